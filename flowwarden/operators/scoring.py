@@ -40,7 +40,12 @@ class Model:
 
 
 def _expression_score(df: DataFrame, model: Model, vec: str, out: str) -> DataFrame:
-    """Plain arithmetic in three projections, all inside generated code."""
+    """Plain arithmetic in a few projections, all inside generated code.
+
+    The score leaves through a one-element generator. A filter on it, or on what is made of it, is
+    not pushed below a generator; pushed below the projections it would repeat the whole arithmetic
+    at every place the score is used.
+    """
     d = model.dim
     x = F.col(vec)
     centred = F.array(*[x[i].cast("double") - float(m) for i, m in enumerate(model.mean)])
@@ -56,11 +61,9 @@ def _expression_score(df: DataFrame, model: Model, vec: str, out: str) -> DataFr
 
     step = step.withColumn("_p", F.array(*[dot((c[i], w[i]) for i in range(d)) for w in model.components]))
     p = F.col("_p")
-    error = F.lit(0.0)
-    for i in range(d):
-        rest = c[i] - dot((p[j], w[i]) for j, w in enumerate(model.components))
-        error = error + rest * rest
-    return step.withColumn(out, error / d).drop("_c", "_p")
+    rest = [c[i] - dot((p[j], w[i]) for j, w in enumerate(model.components)) for i in range(d)]
+    error = dot((F.pow(r, F.lit(2.0)), 1.0) for r in rest) / d
+    return step.select(*[x for x in df.columns if x != vec], F.explode(F.array(error)).alias(out))
 
 
 def _batch_score(model: Model):
@@ -85,7 +88,7 @@ def score(df: DataFrame, model: Model, vec: str = "features", out: str = "raw_sc
     nested = df.schema[vec].dataType.elementType.typeName() == "array"
     flat = F.flatten(F.col(vec)) if nested else F.col(vec)
     if model.dim <= EXPRESSION_DIM:
-        return _expression_score(df.withColumn("_x", flat), model, "_x", out).drop("_x")
+        return _expression_score(df.withColumn("_x", flat), model, "_x", out)
     return df.withColumn(out, _batch_score(model)(flat))
 
 
