@@ -222,6 +222,11 @@ def _(spark, sf):
     return e.select("event_uid", *_spread(e, "features", FE.EVENT_FEATURES))
 
 
+def _slot(ts="ts", s=300):
+    """SQL for the start of the fixed window of ``s`` seconds a time falls into."""
+    return f"make_timestamp(cast(floor(epoch_us({ts}) / {s}000000) AS bigint) * {s}000000)"
+
+
 def _totals(seq):
     """Sum of each feature over the steps of a sequence."""
     return [

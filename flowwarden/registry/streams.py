@@ -1 +1,138 @@
-def flagship(spark, sf): ...
+"""Streaming forms (ST, S6-S8, M10). Each feeds a table as a stream in parts and returns what the
+stream wrote; the SQL twin computes the same from the table at once."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowwarden.functions import columns as C
+from flowwarden.operators import detectors as D
+from flowwarden.operators import features as FE
+from flowwarden.operators import flows as FL
+from flowwarden.operators import stats as ST
+from flowwarden.operators.lookup_joins import tag_mitre
+from flowwarden.registry import views as V
+from flowwarden.registry.alerts import _FINAL, CHAIN, _final
+from flowwarden.registry.base import query
+from flowwarden.registry.models import (
+    _FLOW_COLS, _TOTALS, EVENT_MODEL, EVENT_VECTORS, FLOW_MODEL, FLOWS_SQL, RAW_THRESHOLD, SCORED_EVENTS, SCORED_FLOWS,
+    SEQUENCES, _slot, _totals,
+)
+from flowwarden.session import work_dir
+from flowwarden.sources.tables import latest
+from flowwarden.streaming import jobs
+from flowwarden.streaming.state import alert_chain_stream, dispositions_stream, host_sequences_stream
+
+PARTS = 2
+
+
+def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = None) -> DataFrame:
+    """The table as a stream: written in parts by time, one file set per micro-batch.
+
+    ``flush`` gives the columns of one closing row two days after the last, which moves the watermark
+    past everything before, as the end of a capture file does.
+    """
+    path = work_dir(spark, name)
+    rows = df.withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = rows.agg(F.min(C.micros(F.col("ts"))).alias("a"), F.max(C.micros(F.col("ts"))).alias("b")).first()
+    part = F.least(F.floor((C.micros(F.col("ts")) - ends["a"]) * PARTS / (ends["b"] - ends["a"] + 1)), F.lit(PARTS - 1))
+    for i in range(PARTS):
+        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+    if flush is not None:
+        values = {"ts": F.timestamp_micros(F.lit(ends["b"] + 2 * 86_400_000_000)), **{k: F.lit(v) for k, v in flush.items()}}
+        closing = spark.range(1).select(*[
+            (values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields
+        ])
+        closing.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
+    """What the stream has written when all input is taken."""
+    spark = stream.sparkSession
+    out = work_dir(spark, name)
+    q = jobs.start(stream, work_dir(spark, f"{name}-state"), lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), mode, every=None)
+    q.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
+
+
+@query("st3_flow_sessions_stream", f"WITH {FLOWS_SQL} SELECT * FROM flows")
+def _(spark, sf):
+    p = feed(spark, V.packets(spark, sf), "packets", {"src_ip": "flush"})
+    return run(FL.build_flows_stream(FL.normalise_packets(p)), "flows").filter("src_ip <> 'flush'").select(*_FLOW_COLS)
+
+
+@query("st5_hourly_stream", f"""WITH {V.ALERTS} SELECT cast(date_trunc('hour', ts) AS varchar) AS hour, count(*) AS cnt FROM alerts GROUP BY 1""")
+def _(spark, sf):
+    return run(ST.hourly_stream(feed(spark, V.alerts(spark, sf), "alerts", {}).filter("alert_id IS NOT NULL")), "hours")
+
+
+@query("st6_brute_force_sliding_stream", f"""WITH {V.WIN_EVENTS}, s AS (SELECT src_ip, ts, unnest([0, 1, 2, 3, 4]) AS i FROM win_events WHERE event_id = 4625 AND src_ip <> '')
+SELECT src_ip, cast({_slot(s=60)} - to_minutes(i) AS varchar) AS window_start, count(*) AS failures FROM s GROUP BY 1, 2 HAVING count(*) >= 3""")
+def _(spark, sf):
+    e = feed(spark, V.win_events(spark, sf).drop("ts0"), "events", {})
+    return run(D.brute_force(e, min_failures=3, slide="1 minute", watermark="10 minutes"), "failures")
+
+
+@query("r1_port_scan_stream", f"""WITH {V.NET_FLOWS} SELECT src_ip, dst_ip, cast({_slot()} AS varchar) AS window_start, count(DISTINCT dst_port) AS ports, count(*) AS flows
+FROM net_flows WHERE len(tcp_flags) = 1 AND tcp_flags[1] = 'SYN' GROUP BY 1, 2, 3 HAVING count(DISTINCT dst_port) >= 3""")
+def _(spark, sf):
+    return run(D.port_scan_stream(feed(spark, V.net_flows(spark, sf), "flows", {}), min_ports=3), "scans")
+
+
+@query("st1_host_sequence_stream", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, {SEQUENCES} SELECT event_uid, computer, {_TOTALS} FROM seqs WHERE rn >= 10""")
+def _(spark, sf):
+    e = feed(spark, V.win_events(spark, sf).drop("ts0"), "events", {"computer": "flush", "event_uid": "flush"})
+    s = run(host_sequences_stream(FE.event_features(e).select("event_uid", "computer", "ts", "features")), "sequences")
+    return s.filter("seq IS NOT NULL").select("event_uid", "computer", *_totals(F.col("seq")))
+
+
+def _alert_feed(spark, sf):
+    return feed(spark, V.alerts(spark, sf), "alerts", {"alert_id": "flush", "src_ip": "flush", "source_type": "network"})
+
+
+@query("st2_alert_dispositions_stream", f"""WITH RECURSIVE {CHAIN} SELECT a.alert_id, CASE WHEN f.alert_id IS NULL THEN 'deduped'
+  WHEN h.alert_id IS NULL THEN 'rate_limited' ELSE 'kept' END AS disposition, coalesce(h.hit_count, 0) AS hit_count
+FROM alerts a LEFT JOIN fresh f ON a.alert_id = f.alert_id LEFT JOIN hits h ON a.alert_id = h.alert_id""")
+def _(spark, sf):
+    d = run(dispositions_stream(_alert_feed(spark, sf)), "dispositions").filter("alert_id <> 'flush'")
+    return d.select("alert_id", "disposition", F.coalesce("hit_count", F.lit(0)).alias("hit_count"))
+
+
+@query("l10_alert_chain_stream", f"WITH RECURSIVE {CHAIN} SELECT {_FINAL} FROM final")
+def _(spark, sf):
+    return _final(run(alert_chain_stream(_alert_feed(spark, sf), processed_at=F.col("ts")), "alerts-done").filter("alert_id <> 'flush'"))
+
+
+@query("m10_flow_scoring_stream", f"""WITH {SCORED_FLOWS} SELECT flow_id AS id, severity, is_anomaly, anomaly_score FROM scored_flows""")
+def _(spark, sf):
+    scaler = FE.fit_scaler(FE.flow_features(FE.split_normal_attack(V.net_flows(spark, sf))[0]))
+    model = replace(FLOW_MODEL, scaler=scaler, threshold=RAW_THRESHOLD)
+    s = run(jobs.score_flows_stream(feed(spark, V.net_flows(spark, sf), "flows"), model), "scored")
+    return s.select(F.col("flow_id").alias("id"), "severity", "is_anomaly", "anomaly_score")
+
+
+@query("m10_event_scoring_stream", f"""WITH {SCORED_EVENTS} SELECT event_uid AS id, severity, is_anomaly, coalesce(anomaly_score, -1) AS anomaly_score FROM scored_events""")
+def _(spark, sf):
+    e = tag_mitre(V.win_events(spark, sf).drop("ts0")).withColumn("severity", F.col("baseline_severity"))
+    e = feed(spark, e, "events", {"computer": "flush", "event_uid": "flush"})
+    s = run(jobs.score_events_stream(e, EVENT_MODEL), "scored-events").filter("event_uid <> 'flush'")
+    return s.select(F.col("event_uid").alias("id"), "severity", "is_anomaly", F.coalesce("anomaly_score", F.lit(-1.0)).alias("anomaly_score"))
+
+
+@query("s8_store_and_publish_stream", f"""WITH {SCORED_FLOWS} SELECT f.flow_id AS _id, severity, CASE WHEN is_anomaly THEN md5(flow_id || '|network') ELSE '-' END AS alert_id
+FROM scored_flows f""")
+def _(spark, sf):
+    scaler = FE.fit_scaler(FE.flow_features(FE.split_normal_attack(V.net_flows(spark, sf))[0]))
+    model = replace(FLOW_MODEL, scaler=scaler, threshold=RAW_THRESHOLD)
+    stream = jobs.observe_stream(jobs.score_flows_stream(feed(spark, V.net_flows(spark, sf), "flows"), model))
+    events, alerts = work_dir(spark, "scored"), work_dir(spark, "published")
+    jobs.start(stream, work_dir(spark, "scored-state"), jobs.store_and_alert("network", events, alerts), every=None).awaitTermination()
+    stored = latest(spark.read.parquet(events).withColumnRenamed("flow_id", "_id"), "_id", "epoch")
+    messages = spark.read.schema("key string, value string").json(f"{alerts}/epoch=*")
+    told = messages.select(F.col("key").alias("alert_id"), F.get_json_object(F.get_json_object("value", "$.raw_event"), "$.flow_id").alias("_id"))
+    return stored.join(told, "_id", "left").select("_id", "severity", F.coalesce("alert_id", F.lit("-")).alias("alert_id"))
