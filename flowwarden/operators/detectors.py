@@ -105,31 +105,54 @@ def compromise_chain(events: DataFrame, min_failures: int = 10, within_s: int =
     """Per host: many failed logons, then a new user (4720), then the log cleared (1102).
 
     A chain is a clearing with a new user at most ``within_s`` seconds before it, and at least
-    ``min_failures`` failed logons at most ``within_s`` before that user. Only these three event ids
-    are ordered. Times are joined by overlapping cells, so a busy host is spread over them.
+    ``min_failures`` failed logons at most ``within_s`` before that user.
+
+    Time is cut into cells of ``within_s``, so what lies before an event is in its own cell or the one
+    before. Each step is a running sum or maximum inside (host, cell): a busy host is spread over its
+    cells, and no frame is added up again for every row.
     """
-    cell = within_s * 1_000_000
+    width = within_s * 1_000_000
+    cell = ["computer", "cell"]
     e = events.filter(F.col("event_id").isin(4625, 4720, 1102)).select(
         "computer", "event_id", C.micros(F.col("ts")).alias("us")
     )
     # several events of one kind at one instant are one row with a count
     e = e.groupBy("computer", "event_id", "us").agg(F.count(F.lit(1)).alias("n"))
-    # each row counts in its own cell and, as something that came before, in the next one
-    e = e.withColumn("c", C.cell_start(F.col("us"), cell))
-    both = e.withColumn("own", F.lit(True)).unionByName(e.withColumns({"c": F.col("c") + cell, "own": F.lit(False)}))
-    w = Window.partitionBy("computer", "c").orderBy("us").rangeBetween(-cell, -1)
-    fails = F.coalesce(F.sum(F.when(F.col("event_id") == 4625, F.col("n"))).over(w), F.lit(0))
-    users = both.withColumn("failures", fails).filter(F.col("own") & (F.col("event_id") == 4720))
-    users = users.filter(F.col("failures") >= min_failures).select("computer", "c", "us", "failures")
-    clears = e.filter(F.col("event_id") == 1102).select("computer", "c", "us")
-    u = users.withColumn("mark", F.lit(0)).unionByName(users.withColumns({"c": F.col("c") + cell, "mark": F.lit(0)}))
-    k = clears.withColumns({"failures": F.lit(None).cast("bigint"), "mark": F.lit(1)})
-    before = Window.partitionBy("computer", "c").orderBy("us").rangeBetween(-cell, -1)
-    latest = F.max(F.when(F.col("mark") == 0, F.struct("us", "failures"))).over(before)
+    e = e.withColumn("cell", C.cell_start(F.col("us"), width))
+    made, cleared = e.filter("event_id = 4720"), e.filter("event_id = 1102")
+
+    # failures before a new user: those of its cell up to it, and those of the cell before from
+    # ``width`` earlier on, which are that cell's total less the ones up to there
+    start = F.col("us") - width
+    marks = made.select("computer", "cell", "us", F.col("us").alias("user_us"), F.lit("own").alias("mark")).unionByName(
+        made.select("computer", (F.col("cell") - width).alias("cell"), start.alias("us"), F.col("us").alias("user_us"),
+                    F.lit("before").alias("mark")))
+    rows = e.filter("event_id = 4625").select("computer", "cell", "us", "n").unionByName(marks, allowMissingColumns=True)
+    # a mark sorts ahead of failures at its instant
+    order = Window.partitionBy(*cell).orderBy("us", F.col("mark").isNull())
+    rows = rows.withColumns({
+        "upto": F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)),
+        "total": F.coalesce(F.sum("n").over(Window.partitionBy(*cell)), F.lit(0)),
+    })
+    part = F.when(F.col("mark") == "own", F.col("upto")).otherwise(F.col("total") - F.col("upto"))
+    users = (
+        rows.filter(F.col("mark").isNotNull())
+        .groupBy("computer", "user_us")
+        .agg(F.sum(part).alias("failures"))
+        .filter(F.col("failures") >= min_failures)
+        .withColumn("cell", C.cell_start(F.col("user_us"), width))
+    )
+
+    # the latest such user before a clearing, from the clearing's cell or the one before
+    known = users.select("computer", "cell", F.col("user_us").alias("us"), "failures")
+    known = known.unionByName(known.withColumn("cell", F.col("cell") + width)).withColumn("clears", F.lit(False))
+    ends = cleared.select("computer", "cell", "us", F.lit(True).alias("clears"))
+    both = known.unionByName(ends, allowMissingColumns=True)
+    before = Window.partitionBy(*cell).orderBy("us", F.desc("clears")).rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.last(F.when(~F.col("clears"), F.struct("us", "failures")), ignorenulls=True).over(before)
     return (
-        u.unionByName(k)
-        .withColumn("user", latest)
-        .filter((F.col("mark") == 1) & F.col("user").isNotNull())
+        both.withColumn("user", latest)
+        .filter(F.col("clears") & (F.col("user.us") >= F.col("us") - width))
         .select(
             "computer",
             F.col("user.failures").alias("failures"),

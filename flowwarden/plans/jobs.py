@@ -13,6 +13,7 @@ from flowwarden.operators.features import apply_scaler, event_features, fit_scal
 from flowwarden.operators.flows import build_flows, normalise_packets
 from flowwarden.operators.scoring import Model, annotate, fit_threshold, score, time_split
 from flowwarden.operators.sequences import complete, host_sequences
+from flowwarden.session import cut
 from flowwarden.sources.event_xml import parse_event_xml
 
 MIN_FLOWS = 100
@@ -21,14 +22,17 @@ MIN_SEQUENCES = 20
 
 
 def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_col: str | None = None) -> Model:
-    """Fit on normal flows: scaler on all of them, directions and threshold on the first 80% in time."""
+    """Fit on normal flows: scaler on all of them, directions and threshold on the first 80% in time.
+
+    Every fitting step reads the vectors again, so they are written once.
+    """
     normal, _ = split_normal_attack(flows, label_col)
-    n = normal.count()
+    vectors = cut(flow_features(normal).select("ts", "features"))
+    n = vectors.count()
     if n < min_rows:
         raise ValueError(f"{n} normal flows, {min_rows} needed")
-    vectors = flow_features(normal)
     scaler = fit_scaler(vectors)
-    train, _ = time_split(apply_scaler(vectors, scaler).select("ts", "features"))
+    train, _ = time_split(apply_scaler(vectors, scaler))
     return scoring.fit_reconstruction(train, k=k, name="flows", scaler=scaler)
 
 
@@ -39,7 +43,7 @@ def train_sequences(events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32,
     if n < min_rows:
         raise ValueError(f"{n} normal events, {min_rows} needed")
     narrow = event_features(normal).select("event_uid", "computer", "ts", "features")
-    sequences = complete(host_sequences(narrow)).select("ts", "seq")
+    sequences = cut(complete(host_sequences(narrow)).select("ts", "seq"))
     m = sequences.count()
     if m < MIN_SEQUENCES:
         warnings.warn(f"only {m} sequences, training on what there is", stacklevel=2)
