@@ -68,7 +68,7 @@ def _expression_score(df: DataFrame, model: Model, vec: str, out: str) -> DataFr
 
 def _batch_score(model: Model):
     mean = np.array(model.mean)
-    weights = np.array(model.components)
+    weights = np.array(model.components, dtype="float64").reshape(-1, model.dim)
 
     @F.pandas_udf("double")
     def mse(vectors: pd.Series) -> pd.Series:

@@ -32,7 +32,8 @@ def _base(spark, sf) -> DataFrame:
         F.col("user_id").alias("uid"),
         F.col("event_type").alias("et"),
         F.col("value").alias("val"),
-        F.get_json_object("props", "$.k").cast("int").alias("k"),
+        # through a generator, so that filters on what is made of k do not parse the JSON again
+        F.explode(F.array(F.get_json_object("props", "$.k").cast("int"))).alias("k"),
         (F.col("event_id") + 4000 * F.floor(F.col("event_id") / 250)).alias("t"),
     )
 

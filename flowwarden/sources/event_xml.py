@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden import lookups as L
 from flowwarden.functions import columns as C
 from flowwarden.operators.flows import ingest_placeholders
 from flowwarden.operators.lookup_joins import name_logon_type, tag_mitre
@@ -54,15 +53,28 @@ def event_data(data: Column) -> Column:
 def parse_event_xml(
     df: DataFrame, xml_col: str = "xml", event_ids: list[int] | None = None, mitre: DataFrame | None = None
 ) -> DataFrame:
-    """One normalised event per readable XML record.
+    """One normalised event per readable XML record in a text column, as messages carry them."""
+    e = F.from_xml(F.col(xml_col), _EVENT, {"mode": "PERMISSIVE"})
+    # a filter is not pushed below a generator, so each record is parsed once only
+    return normalise_events(df.select(F.explode(F.array(e)).alias("e")), event_ids, mitre)
+
+
+def read_event_xml(
+    spark: SparkSession, path: str, event_ids: list[int] | None = None, mitre: DataFrame | None = None
+) -> DataFrame:
+    """The same from XML files; they are split between tasks at the ``Event`` elements."""
+    rows = spark.read.format("xml").option("rowTag", "Event").option("mode", "PERMISSIVE").schema(_EVENT).load(path)
+    return normalise_events(rows.select(F.struct("System", "EventData").alias("e")), event_ids, mitre)
+
+
+def normalise_events(parsed: DataFrame, event_ids: list[int] | None = None, mitre: DataFrame | None = None) -> DataFrame:
+    """Normalised events from parsed records in column ``e``.
 
     Records without a readable integer EventID (broken XML, no System part) are dropped. A time that
     cannot be read gives a null ``ts`` with ``ts_missing`` set, rather than the time of the run.
     """
-    e = F.from_xml(F.col(xml_col), _EVENT, {"mode": "PERMISSIVE"})
     text = F.trim(F.col("e.System.EventID._VALUE"))
-    # a filter is not pushed below a generator, so each record is parsed once only
-    rows = df.select(F.explode(F.array(e)).alias("e")).select(
+    rows = parsed.select(
         F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int")).alias("event_id"),
         F.col("e.System.TimeCreated._SystemTime").try_cast("timestamp").alias("ts"),
         F.coalesce(C.blank_to_null(F.col("e.System.Computer")), F.lit("unknown")).alias("computer"),
@@ -92,11 +104,3 @@ def parse_event_xml(
     uid = C.event_uid(F.col("ts"), F.col("event_id"), F.col("computer"), F.col("user"))
     rows = rows.withColumns({"event_uid": uid, "src_ip": C.blank_to_null(F.col("src_ip"))})
     return rows.select("*", *ingest_placeholders("evtx", severity=F.col("baseline_severity")))
-
-
-def read_event_xml(spark, path: str, row_tag: str = "Event") -> DataFrame:
-    """XML files to one text row per event, for ``parse_event_xml``: one line holds one record."""
-    return spark.read.text(path).select(F.col("value").alias("xml")).filter(F.col("xml").contains(f"<{row_tag}"))
-
-
-NAMESPACE = L.EVENT_XML_NS
