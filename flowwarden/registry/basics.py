@@ -16,7 +16,7 @@ from flowwarden.registry import views as V
 from flowwarden.registry.base import query
 from flowwarden.session import work_dir
 from flowwarden.sources import tables
-from flowwarden.sources.event_xml import parse_event_xml
+from flowwarden.sources.event_xml import parse_event_xml, record_counts
 
 
 def _in(values) -> str:
@@ -107,6 +107,12 @@ def _(spark, sf):
     )
 
 
+@query("a14_record_counts", f"""WITH {V.WIN_EVENTS} SELECT count(*) AS records, count(*) FILTER (event_id <> 4999) AS parsed,
+  count(*) FILTER (event_id = 4999) AS skipped FROM win_events""")
+def _(spark, sf):
+    return record_counts(_xml(spark, sf))
+
+
 @query("p1_system_fields", f"""WITH {V.WIN_EVENTS} SELECT event_id, computer, 'Security' AS channel,
   count(*) AS cnt, cast(min(ts) AS varchar) AS first_ts, cast(max(ts) AS varchar) AS last_ts
 FROM win_events WHERE event_id <> 4999 GROUP BY 1, 2""")

@@ -301,6 +301,11 @@ def _(spark, sf):
     return f.groupBy(*keys).agg(count).unionByName(e.groupBy(*keys).agg(count))
 
 
+@query("a14_scored_counts", f"""WITH {SCORED_FLOWS} SELECT count(*) AS processed, count(*) FILTER (is_anomaly) AS anomalies FROM scored_flows""")
+def _(spark, sf):
+    return scored_flows(spark, sf).agg(F.count(F.lit(1)).alias("processed"), F.count_if("is_anomaly").alias("anomalies"))
+
+
 # --- fitting ------------------------------------------------------------------------------------
 
 

@@ -50,6 +50,11 @@ def event_data(data: Column) -> Column:
     return F.coalesce(_last_wins(entries), F.create_map().cast("map<string,string>"))
 
 
+def _event_id(e: Column) -> Column:
+    text = F.trim(e["System"]["EventID"]["_VALUE"])
+    return F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int"))
+
+
 def parse_event_xml(
     df: DataFrame, xml_col: str = "xml", event_ids: list[int] | None = None, mitre: DataFrame | None = None
 ) -> DataFrame:
@@ -59,6 +64,14 @@ def parse_event_xml(
     return normalise_events(df.select(F.explode(F.array(e)).alias("e")), event_ids, mitre)
 
 
+def record_counts(df: DataFrame, xml_col: str = "xml") -> DataFrame:
+    """Records read, parsed and skipped."""
+    e = F.from_xml(F.col(xml_col), _EVENT, {"mode": "PERMISSIVE"})
+    parsed = F.count(_event_id(e))
+    n = F.count(F.lit(1))
+    return df.agg(n.alias("records"), parsed.alias("parsed"), (n - parsed).alias("skipped"))
+
+
 def read_event_xml(
     spark: SparkSession, path: str, event_ids: list[int] | None = None, mitre: DataFrame | None = None
 ) -> DataFrame:
@@ -73,9 +86,8 @@ def normalise_events(parsed: DataFrame, event_ids: list[int] | None = None, mitr
     Records without a readable integer EventID (broken XML, no System part) are dropped. A time that
     cannot be read gives a null ``ts`` with ``ts_missing`` set, rather than the time of the run.
     """
-    text = F.trim(F.col("e.System.EventID._VALUE"))
     rows = parsed.select(
-        F.when(text.rlike("^[+-]?[0-9]+$"), text.try_cast("int")).alias("event_id"),
+        _event_id(F.col("e")).alias("event_id"),
         F.col("e.System.TimeCreated._SystemTime").try_cast("timestamp").alias("ts"),
         F.coalesce(C.blank_to_null(F.col("e.System.Computer")), F.lit("unknown")).alias("computer"),
         F.coalesce(C.blank_to_null(F.col("e.System.Channel")), F.lit("unknown")).alias("channel"),

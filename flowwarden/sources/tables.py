@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,11 +22,10 @@ def read_packets(spark: SparkSession, path: str, fmt: str = "parquet", **options
 def write_table(df: DataFrame, path: str, mode: str = "append", ts: str = "ts") -> None:
     """Parquet partitioned by day; rows of one day are brought together so that files stay few.
 
-    The hash of the row's time spreads one day over several tasks, so a busy day is not one file.
+    The rebalance hint lets AQE split a busy day over as many tasks as its size asks for.
     """
-    rows = df.withColumn("event_date", F.to_date(ts))
-    spread = F.pmod(F.hash(F.col(ts)), F.lit(16))
-    rows.repartition("event_date", spread).write.mode(mode).partitionBy("event_date").parquet(path)
+    rows = df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
+    rows.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -104,7 +103,7 @@ def upsert(df: DataFrame, path: str, id_col: str, version: Column) -> None:
     """Append rows with their version; the same id written again replaces the row for readers."""
     id_or_new = F.coalesce(F.col(id_col).cast("string"), F.expr("uuid()"))
     rows = df.withColumns({"_id": id_or_new, "_version": version.cast("bigint"), "event_date": F.to_date("ts")})
-    rows.write.mode("append").partitionBy("event_date").parquet(path)
+    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
 def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version") -> DataFrame:
@@ -119,7 +118,7 @@ def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version") ->
 def compact(spark: SparkSession, path: str, new_path: str) -> None:
     """Write the latest rows to a new path; the old one can be given up once readers have moved."""
     rows = latest(spark.read.parquet(path)).withColumn("_version", F.lit(0).cast("bigint"))
-    rows.repartition("event_date", F.pmod(F.hash("_id"), F.lit(16))).write.partitionBy("event_date").parquet(new_path)
+    rows.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(new_path)
 
 
 # --- retention ------------------------------------------------------------------------------
@@ -131,9 +130,3 @@ def with_tier(df: DataFrame, as_of: dt.date, warm_days: int = WARM_AFTER_DAYS, d
     warm_from = F.lit(as_of - dt.timedelta(days=warm_days))
     gone_from = F.lit(as_of - dt.timedelta(days=delete_days))
     return df.filter(day > gone_from).withColumn("tier", F.when(day > warm_from, "hot").otherwise("warm"))
-
-
-def latest_by_window(df: DataFrame, id_col: str, order: list[Column]) -> DataFrame:
-    """The first row per id in a given order, for tables without a version column."""
-    w = Window.partitionBy(id_col).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

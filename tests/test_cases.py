@@ -338,6 +338,36 @@ def test_training_gates(spark):
         jobs.train_flows(f)
 
 
+def test_legacy_forms(spark):
+    flow = spark.createDataFrame([("f", at(0), True, "high", 9.0, "a", "b", 80, "TCP")],
+                                 "flow_id string, ts timestamp, is_anomaly boolean, severity string, anomaly_score double, src_ip string, dst_ip string, dst_port int, protocol string")
+    new, old = A.make_alerts(flow, "network").first(), A.make_alerts(flow, "network", legacy=True).first()
+    assert (new.dst_port, old.dst_port, new.alert_id) == (80, None, old.alert_id)
+    assert new.description == "[HIGH] Anomalous network flow detected: a → b:80 (TCP)"
+    event = spark.createDataFrame([(4625, at(0), 3, "Admin", "C:\\Temp\\x.exe", "8.8.8.8")],
+                                  "event_id int, ts timestamp, logon_type int, user string, process_name string, src_ip string")
+    v = [round(x, 4) for x in features.event_features(event).first().features]
+    assert v == [round(1 / 11, 4), 0.0, 0.0, round(3 / 11, 4), 1.0, 0.0, 1.0, 1.0]
+    assert features.event_features(event, legacy=True).first().features[7] == 0.0
+
+
+def test_packets_and_xml_to_alerts(spark):
+    """Both ways from raw input to finished alerts in one go."""
+    key = ("10.0.0.1", L.KNOWN_BAD_IPS[0], 50000)
+    p = packets(spark, [(i * 100, *key, 4444, 6, 2, 100) for i in range(6)])
+    x = xml_df(spark, *[event_xml(time=f'<TimeCreated SystemTime="2024-01-01T00:00:{i:02}Z"/>', data='<Data Name="LogonType">10</Data>')
+                        for i in range(12)])
+    flow_model = Model("f", [0.0] * 15, [], 1.0)
+    event_model = Model("e", [0.0] * 80, [], 1e-9)
+    out = jobs.packets_and_xml_to_alerts(p, x, flow_model, event_model).orderBy("ts").collect()
+    net = [r for r in out if r.source_type == "network"]
+    assert [r.hit_count for r in net] == [1, 2, 3, 4, 5, 6]
+    assert all(r.dst_ip_known_bad and r.dst_port_category == "Metasploit" and r.risk_score == 100 for r in net)
+    win = [r for r in out if r.source_type == "windows"]
+    # three sequences are complete, one second apart: the first alert holds back the others
+    assert [(r.hostname, r.event_id) for r in win] == [("DC01", 4624)]
+
+
 # --- XML, JSON, tables ------------------------------------------------------------------------------
 
 NS = f'xmlns="{L.EVENT_XML_NS}"'
