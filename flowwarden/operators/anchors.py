@@ -5,12 +5,14 @@ overlap. Which row opens a window depends on the opener before it, so the rule i
 key may hold a large part of all rows. The chain is therefore cut into time chunks:
 
 1. per (key, chunk) the distinct times, added up before the shuffle;
-2. per (key, chunk), independently, a table "first time a new window may open -> last opener of the
-   chunk" for every way of entering the chunk;
-3. per key, in order of chunks, a walk through these tables only: it gives the opener in force when
+2. which chunks are linked, that is, start less than a window after the chunk before has ended; all
+   others begin afresh, and with few events per key that is nearly all of them;
+3. per linked chunk and the one before it, independently, a table "first time a new window may open
+   -> last opener of the chunk" for every way of entering the chunk;
+4. per key, in order of chunks, a walk through these tables only: it gives the opener in force when
    each chunk starts;
-4. per (key, chunk), independently again, the openers of the chunk;
-5. rows meet their chunk's openers in an equi-join on (key, chunk).
+5. per (key, chunk), independently again, the openers of the chunk;
+6. rows meet their chunk's openers in an equi-join on (key, chunk).
 
 No step holds more than one chunk of a key, apart from the walk, which streams over the tables.
 """
@@ -34,6 +36,8 @@ def chunk_steps(times: np.ndarray, chunk_start: int, width: int) -> tuple[np.nda
     """For sorted distinct times of one chunk: entering at or before ``enter[i]`` (and after
     ``enter[i-1]``) means that ``leave[i]`` is the chunk's last opener."""
     n = len(times)
+    if times[-1] - times[0] < width:
+        return times, times
     # an opener before this chunk keeps its window open until less than chunk_start + width
     m = min(int(np.searchsorted(times, chunk_start + width, "left")) + 1, n)
     following = np.searchsorted(times, times + width, "left")
@@ -81,6 +85,24 @@ def _walk(width: int):
     return walk
 
 
+def _walked(times: DataFrame, width: int, chunk: int) -> DataFrame:
+    """The (key, chunk) pairs the walk has to visit: linked chunks and those before them.
+
+    A chunk is at least as long as a window, so only the chunk right before can be linked to it.
+    """
+    own = times.select("_key", "_chunk", F.element_at("_times", 1).alias("first"), F.lit(None).cast("bigint").alias("prev"))
+    left = times.select("_key", (F.col("_chunk") + chunk).alias("_chunk"), F.lit(None).cast("bigint").alias("first"),
+                        F.element_at("_times", -1).alias("prev"))
+    linked = (
+        own.unionByName(left)
+        .groupBy("_key", "_chunk")
+        .agg(F.max("first").alias("first"), F.max("prev").alias("prev"))
+        .filter(F.col("first") - F.col("prev") < width)
+    )
+    both = F.explode(F.array(F.col("_chunk"), F.col("_chunk") - chunk)).alias("_chunk")
+    return linked.select("_key", both).distinct()
+
+
 def open_windows(
     df: DataFrame,
     key: str,
@@ -103,7 +125,8 @@ def open_windows(
     us = F.coalesce(C.micros(F.col(ts)), F.lit(0).cast("bigint"))
     rows = df.withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_us": us, "_chunk": C.cell_start(us, chunk)})
     times = rows.groupBy("_key", "_chunk").agg(F.sort_array(F.collect_set("_us")).alias("_times"))
-    tables = times.select("_key", "_chunk", _steps_udf(width, chunk)("_times").alias("s")).select("_key", "_chunk", "s.*")
+    steps = _steps_udf(width, chunk)("_times").alias("s")
+    tables = times.join(_walked(times, width, chunk), ["_key", "_chunk"]).select("_key", "_chunk", steps).select("_key", "_chunk", "s.*")
     carried = (
         tables.repartition("_key")
         .sortWithinPartitions("_key", "_chunk")
@@ -114,9 +137,10 @@ def open_windows(
         nxt = F.struct(t.alias("last"), F.concat(acc["all"], F.array(t)).alias("all"))
         return F.when(t >= acc["last"] + width, nxt).otherwise(acc)
 
-    start = F.struct(F.col("_carried").alias("last"), F.array().cast("array<bigint>").alias("all"))
+    before = F.coalesce("_carried", F.lit(_NEVER))
+    start = F.struct(before.alias("last"), F.array().cast("array<bigint>").alias("all"))
     # at most chunk / width + 1 openers per chunk, however many times it has
-    openers = times.join(carried, ["_key", "_chunk"]).select(
+    openers = times.join(carried, ["_key", "_chunk"], "left").select(
         "_key", "_chunk", "_carried", F.aggregate("_times", start, open_next, lambda acc: acc["all"]).alias("_openers")
     )
     here = F.array_max(F.filter("_openers", lambda o: o <= F.col("_us")))
