@@ -150,9 +150,10 @@ def dispositions(
 ) -> DataFrame:
     """Every alert with ``disposition``: kept, deduped or rate_limited.
 
-    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it.
+    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it. It reads
+    its input more than once, so the marked alerts are written to the shared folder first.
     """
-    marked = mark_duplicates(alerts, ttl_s)
+    marked = cut(mark_duplicates(alerts, ttl_s))
     fresh = mark_rate_limited(marked.filter(~F.col("is_duplicate")), max_n, window_s, legacy)
     dropped = marked.filter("is_duplicate").withColumns({
         "source_key": source_key(legacy), "disposition": F.lit("deduped"),
@@ -164,7 +165,8 @@ def dispositions(
 def kept_alerts(
     alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
 ) -> DataFrame:
-    return rate_limit(dedup(alerts, ttl_s), max_n, window_s, legacy)
+    """The alerts that survive deduplication and then the rate limit."""
+    return rate_limit(cut(dedup(alerts, ttl_s)), max_n, window_s, legacy)
 
 
 def process_alerts(
@@ -184,8 +186,7 @@ def process_alerts(
     Limiting and counting read their input more than once, so the survivors of each step are written
     to the shared folder first.
     """
-    fresh = cut(dedup(alerts, ttl_s))
-    hits = hit_count(cut(rate_limit(fresh, max_n, window_s, legacy)), reset_s, legacy)
+    hits = hit_count(cut(kept_alerts(alerts, ttl_s, max_n, window_s, legacy)), reset_s, legacy)
     return risk_score(escalate(enrich(hits, ports, bad_ips, processed_at), escalate_at))
 
 
