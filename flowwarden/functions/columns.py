@@ -65,6 +65,7 @@ def event_description(event_id: Column, data) -> Column:
     )
     say = F.concat
     t = F.lit
+    # The wording has to stay as it is
     texts = {
         4624: say(t("Successful logon by "), v("TargetUserName"), t(" ("), logon, t(" logon) from "), v("IpAddress", "-")),
         4625: say(t("FAILED logon for "), v("TargetUserName"), t(" from "), v("IpAddress", "-"), t(" (type: "), logon, t(")")),
@@ -140,6 +141,7 @@ def alert_description(source_type: str, severity: Column) -> Column:
     def v(name):
         return F.coalesce(F.col(name).cast("string"), F.lit("?"))
 
+    # The wording has to stay as it is
     prefix = F.concat(F.lit("["), F.upper(severity), F.lit("] "))
     if source_type == "network":
         return F.concat(

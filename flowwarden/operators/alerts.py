@@ -11,6 +11,7 @@ from flowwarden.operators.flows import idle_runs
 from flowwarden.operators.lookup_joins import flag_bad_ips, port_category
 from flowwarden.session import cut
 
+# The defaults of the chain
 DEDUP_TTL_S = 60
 RATE_MAX = 10
 RATE_WINDOW_S = 60

@@ -11,6 +11,7 @@ from flowwarden import lookups as L
 from flowwarden.functions import columns as C
 from flowwarden.operators.quantiles import exact_quantiles
 
+# Names and order of the features
 FLOW_FEATURES = [
     "bytes_sent", "bytes_recv", "bytes_total", "packets_sent", "packets_recv", "packets_total",
     "duration_ms", "bytes_per_sec", "src_port_norm", "dst_port_norm",

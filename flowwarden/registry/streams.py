@@ -53,11 +53,21 @@ def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = Non
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """What the stream has written when all input is taken."""
+    """What the stream has written when all input is taken.
+
+    Streams keep the number of state partitions they start with and AQE does not merge them, so it is
+    set to the number of cores.
+    """
     spark = stream.sparkSession
     out = work_dir(spark, name)
-    q = jobs.start(stream, work_dir(spark, f"{name}-state"), lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), mode, every=None)
-    q.awaitTermination()
+    setting = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(spark.sparkContext.defaultParallelism))
+    try:
+        q = jobs.start(stream, work_dir(spark, f"{name}-state"), lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), mode, every=None)
+        q.awaitTermination()
+    finally:
+        spark.conf.set(setting, before)
     return spark.read.schema(stream.schema).parquet(f"{out}/epoch=*")
 
 

@@ -16,7 +16,7 @@ _EVENT = (
     "EventData struct<Data: array<struct<_Name: string, _VALUE: string>>>"
 )
 
-# EventData names taken over as they are -> column
+# Column -> EventData name, taken over as it is
 _PLAIN = {
     "parent_process": "ParentProcessName",
     "command_line": "CommandLine",
