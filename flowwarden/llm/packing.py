@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -13,74 +14,71 @@ from pyspark.sql import functions as F
 
 MAX_LENGTH = 4096
 END_ID = 2
-#: Words a Python worker remembers with their ids; it starts anew beyond that.
-MEMORY_WORDS = 300_000
-#: Characters of text looked at together; a longer text is taken alone.
-BATCH_CHARS = 2_000_000
+#: Parts of texts a Python worker remembers with their ids; it starts anew beyond that.
+MEMORY_WORDS = 800_000
+#: Rows whose pieces are handed back together.
+BATCH_ROWS = 500
 
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, bucket long, ids binary"
 )
-_PLAIN = re.compile(r"[A-Za-z]+[.,;:!?]*\Z")
+#: Letters whose lower case is one letter of its own in any library, and marks that are neither letter nor number.
+_LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e"
+_MARKS = "\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018-\u201d\u2026"
+#: The parts of a lower-cased word that the tokenizer encodes one by one.
+_PARTS = re.compile(f"[{_LETTERS}]+|[0-9]|'(?:s|t|re|ve|m|ll|d)|[^{_LETTERS}0-9\\s]+")
+#: Texts that are left to the tokenizer as a whole.
+_OTHER = re.compile(f"[\x1c-\x1f]|<\\||[^\x00-\x7f{_LETTERS}{_MARKS}]")
+
+
+#: Byte-level vocabularies write a byte as a printable character: itself, or for the others the next free one.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_AS_CHAR = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
+
+class Known(dict):
+    """Lower-cased words and their parts -> ids, four bytes each; what is missing is encoded and remembered."""
+
+    def __init__(self, tokenizer):
+        self.model = tokenizer.model
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= MEMORY_WORDS:
+            self.clear()
+        parts = _PARTS.findall(word)
+        if len(parts) == 1:
+            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_AS_CHAR)
+            found = [t.id for t in self.model.tokenize(spelt)]
+            ids = struct.pack(f"<{len(found)}I", *found)
+        else:
+            ids = b"".join([self[p] for p in parts])
+        self[word] = ids
+        return ids
 
 
 class WordIds:
     """Token ids of texts, by way of their words.
 
-    The tokenizer drops white space and never joins what stands on its two sides, so a text's ids are those of
-    its words in a row; and letters never join the marks behind them. Words are remembered. A text that holds a
-    special string, or white space that the tokenizer and Python may see differently, goes to the tokenizer whole.
+    The tokenizer lower-cases, drops white space and encodes runs of letters, digits and runs of marks one by
+    one; the ids of words are remembered. Texts with a special string, or with characters about which Python
+    and the tokenizer might differ, go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, list[int]] = {}  # words as they stand
-        self.cores: dict[str, list[int]] = {}  # their letters in lower case, and marks
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
-
-    def learn(self, words: set[str]) -> None:
-        split = {w: re.match(r"[A-Za-z]+", w)[0].lower() for w in words if _PLAIN.match(w)}
-        parts = {p for w, core in split.items() for p in (core, w[len(core):]) if p}
-        if len(parts.difference(self.cores)) + len(self.cores) > MEMORY_WORDS:
-            self.cores.clear()
-        new = [*parts.difference(self.cores)]
-        self.cores.update(zip(new, self.encode(new)))
-        for w, core in split.items():
-            self.known[w] = self.cores[core] + self.cores[w[len(core):]] if len(w) > len(core) else self.cores[core]
-        other = [*words.difference(split)]
-        self.known.update(zip(other, self.encode(other)))
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        split = {}
-        for i, t in enumerate(texts):
-            if "<|" in t or _ODD.search(t):
-                out[i] = np.array(self.encode([t])[0] + [END_ID], "<u4")
-            else:
-                split[i] = t.split()
-        words = set().union(*split.values()) if split else set()
-        missing = words.difference(self.known)
-        if len(missing) + len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-            missing = words
-        if missing:
-            self.learn(missing)
-        known = self.known
-        for i, ws in split.items():
-            ids: list[int] = []
-            for w in ws:
-                ids += known[w]
-            ids.append(END_ID)
-            out[i] = np.array(ids, "<u4")
-        return out
-
-
-#: What Python takes for white space and the tokenizer does not: U+001C to U+001F.
-_ODD = re.compile("[\x1c-\x1f]")
+        self.known = Known(self.tokenizer)
+
+    def __call__(self, text: str) -> bytes:
+        """The ids of the text and the end mark, four bytes each."""
+        plain = text.isascii() and not any(c in text for c in ("<|", "\x1c", "\x1d", "\x1e", "\x1f"))
+        if plain or not _OTHER.search(text):
+            return b"".join(map(self.known.__getitem__, text.lower().split())) + _END
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids + [END_ID], "<u4").tobytes()
+
+
+_END = np.array([END_ID], "<u4").tobytes()
 _WORKER: dict[str, WordIds] = {}
 
 
@@ -102,31 +100,25 @@ def pieces(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, with
             _WORKER[tokenizer_path] = WordIds(tokenizer_path)
         encode = _WORKER[tokenizer_path]
         for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            at = 0
-            while at < batch.num_rows:
-                group, chars = [], 0
-                while at + len(group) < batch.num_rows and (not group or chars < BATCH_CHARS):
-                    group.append(texts[at + len(group)].as_py() or "")
-                    chars += len(group[-1])
-                yield _rows(ids.slice(at, len(group)), encode(group), longest, with_ids)
-                at += len(group)
+            for at in range(0, batch.num_rows, BATCH_ROWS):
+                part = batch.slice(at, BATCH_ROWS)
+                yield _rows(part.column(0), (encode(t or "") for t in part.column(1).to_pylist()), longest, with_ids)
 
     fields = PIECES if with_ids else PIECES.rsplit(",", 1)[0]
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
 
 
-def _rows(ids: pa.Array, tokens: list[np.ndarray], longest: int, with_ids: bool) -> pa.RecordBatch:
+def _rows(ids: pa.Array, tokens: Iterator[bytes], longest: int, with_ids: bool) -> pa.RecordBatch:
     of, start, length, crc, total, body = [], [], [], [], [], []
-    for i, t in enumerate(tokens):
-        raw, at = t.tobytes(), 0
-        for n in cuts(len(t), longest):
+    for i, raw in enumerate(tokens):
+        at = 0
+        for n in cuts(len(raw) // 4, longest):
             part = raw[4 * at:4 * (at + n)]
             of.append(i)
             start.append(at)
             length.append(n)
             crc.append(zlib.crc32(part))
-            total.append(len(t))
+            total.append(len(raw) // 4)
             if with_ids:
                 body.append(part)
             at += n
