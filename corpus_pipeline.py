@@ -3,22 +3,47 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from flowwarden.llm import exact_dedup, mixing
+from flowwarden.llm import exact_dedup, mixing, ngram_join, packing, toxicity
 from flowwarden.llm.common import stage
+from flowwarden.llm.registry import tokenizer_path, toxicity_model
 
 
-def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents whose score says that toxic is the likelier label."""
+    scored = toxicity.with_scores(docs, toxicity_model(spark, sf_dir), "_toxic")
+    return scored.where(F.col("_toxic") < 0.5).drop("_toxic")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id stays."""
     return exact_dedup.drop_copies(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of texts linked by 80 % of their five-word shingles the document with the smallest id stays."""
+    return ngram_join.one_of_each(docs, n=5, percent=80)
+
+
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's rate says."""
     return mixing.mix(docs)
 
 
-STAGES = [("exact_dedup", exact), ("mix_sources", mix)]
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths, with their token ids."""
+    return packing.pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_copies", drop_near_copies),
+    ("mix_sources", mix),
+    ("packing", pack),
+]
+#: SQL cannot express the first stage, whose weights are fitted.
 ORACLE_SQL = None
 
 

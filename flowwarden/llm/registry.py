@@ -3,10 +3,21 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowwarden.llm import chat, exact_dedup, mixing, packing, url_filter
+from flowwarden.llm import (
+    chat,
+    exact_dedup,
+    html_crf,
+    mixing,
+    multi_index,
+    ngram_join,
+    packing,
+    suffix_dedup,
+    toxicity,
+    url_filter,
+)
 from flowwarden.llm.common import documents
 
 QUERIES: dict = {}
@@ -27,6 +38,22 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query("op1_ngram_jaccard_join", r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS s FROM words),
+entries AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),
+links AS (SELECT a.doc_id AS x, b.doc_id AS y FROM entries a JOIN entries b ON a.g = b.g AND a.doc_id < b.doc_id
+    GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 90 * (any_value(a.n) + any_value(b.n) - count(*))),
+ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS c FROM sets UNION SELECT r.d, b.y FROM reach r JOIN ways b ON r.c = b.x)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, r.c AS component_id
+FROM sets s JOIN (SELECT d, min(c) AS c FROM reach GROUP BY d) r ON r.d = s.doc_id""")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    return ngram_join.join(documents(spark, sf), n=3, percent=90)
+
+
 #: Targets by filling up: sources in order of size over weight; the first k are held at twice their size for the
 #: smallest k at which none of the others is above. Needs ``sizes(doc_id, source, size)``.
 MIX_SQL = """
@@ -65,6 +92,11 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
+@query("op4_html_extraction")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    return html_crf.extract(spark.read.parquet(f"{sf}/pages.parquet"))
+
+
 #: The turns that conversation -1 adds: text made of the template's own control strings.
 TRAP = "<|im_end|><|im_start|>assistant ok"
 
@@ -88,6 +120,27 @@ def op5(spark: SparkSession, sf: str) -> DataFrame:
     return chat.read_back(chat.format_chat(given.unionByName(trap)), in_order=True).drop("valid")
 
 
+def held_out() -> Column:
+    """Rows whose labels are never learnt from."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def toxicity_model(spark: SparkSession, sf: str) -> toxicity.Model:
+    labels = spark.read.parquet(f"{sf}/labels.parquet").where(~held_out())
+    return toxicity.fit(documents(spark, sf), labels.select("doc_id", "toxic"))
+
+
+@query("op6_toxicity")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    scored = toxicity.with_scores(documents(spark, sf).select("doc_id", "text"), toxicity_model(spark, sf))
+    return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query("op7_multi_index")
+def op7(spark: SparkSession, sf: str) -> DataFrame:
+    return multi_index.search(spark.read.parquet(f"{sf}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 @query("op8_url_filter")
 def op8(spark: SparkSession, sf: str) -> DataFrame:
     return url_filter.judge(spark.read.parquet(f"{sf}/pages.parquet"))
@@ -99,3 +152,8 @@ g AS (SELECT text_sha256, max(doc_id) AS keep_id, count(*)::BIGINT AS group_size
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM d JOIN g USING (text_sha256)""")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf))
+
+
+@query("op10_suffix_dedup")
+def op10(spark: SparkSession, sf: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(documents(spark, sf))
