@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import math
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,15 +17,17 @@ from pyspark.sql import functions as F
 from flowwarden.llm.common import stage
 
 #: Centroids of a half; the index has the square of it as cells.
-CENTROIDS = 32
+CENTROIDS = 64
 #: Vectors the centroids are fitted on, at most about so many, taken by a hash of the id. Every vector is indexed.
 SAMPLE_ROWS = 20_000
 ROUNDS = 15
-#: Entries that the cells a query walks must hold together.
-WALKED = 4_000
-#: Entries of a cell that one task compares at a time; larger cells are split.
-CHUNK = 4_096
-QUERY_BLOCK = 512
+#: Share of all entries that the cells a query walks must hold together. The given vectors have no clusters, so
+#: recall takes a share of the entries and not a number of them; and the least number walked.
+WALKED = 0.4
+WALKED_LEAST = 4_000
+#: Entries of a bucket of cells, about; larger cells are split.
+BUCKET = 4_096
+QUERY_BLOCK = 128
 
 
 @dataclass
@@ -105,7 +108,7 @@ def index(vectors: DataFrame, book: Codebook, k: int) -> DataFrame:
     return rows.mapInArrow(run, "cell int, vec_id long, vector array<double>")
 
 
-def walk(a: np.ndarray, b: np.ndarray, held: dict[int, int], wanted: int) -> list[int]:
+def walk(a: np.ndarray, b: np.ndarray, held: dict[int, int], wanted: float) -> list[int]:
     """Cells by summed distance of their centroid pair, nearest first, until they hold ``wanted`` entries.
 
     A heap holds the border of the pairs passed: (i, j) comes up after (i - 1, j) and (i, j - 1).
@@ -128,7 +131,7 @@ def walk(a: np.ndarray, b: np.ndarray, held: dict[int, int], wanted: int) -> lis
 
 def search(
     rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-    centroids: int = CENTROIDS, walked: int = WALKED, sample_rows: int = SAMPLE_ROWS,
+    centroids: int = CENTROIDS, walked: float = WALKED, sample_rows: int = SAMPLE_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row with ``is_query``.
 
@@ -143,56 +146,81 @@ def search(
         return rows.sparkSession.createDataFrame([], out)
     entries = stage(index(vectors, book, k), "index")
     held = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # centroids ** 2 at most
-    chunks = {cell: -(-n // CHUNK) for cell, n in held.items()}
+    wanted = max(WALKED_LEAST, walked * sum(held.values()))
+    buckets = deal(held)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, cells, parts = [], [], []
+            of, into, cells = [], [], []
             if batch.num_rows:
                 for i, (a, b) in enumerate(zip(*book.distances(_unit(batch.column(1).to_pylist())))):
-                    for cell in walk(a, b, held, walked):
-                        for part in range(chunks[cell]):
-                            of.append(i)
-                            cells.append(cell)
-                            parts.append(part)
+                    mine = defaultdict(list)
+                    for cell in walk(a, b, held, wanted):
+                        for bucket in buckets[cell]:
+                            mine[bucket].append(cell)
+                    of += [i] * len(mine)
+                    into += mine.keys()
+                    cells += mine.values()
             queries = batch.take(pa.array(of, pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.int32()), pa.array(parts, pa.int32()), *queries.columns], ["cell", "part", "query_id", "vector"])
+                [pa.array(into, pa.int32()), pa.array(cells, pa.list_(pa.int32())), *queries.columns],
+                ["bucket", "cells", "query_id", "vector"])
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
+            at = [buckets[cell][vec % len(buckets[cell])] for cell, vec in rows]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["bucket", "cell", "vec_id", "vector"])
 
     asked = vectors.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector")
-    asked = asked.mapInArrow(visits, "cell int, part int, query_id long, vector array<double>")
-    sizes = F.create_map(*[F.lit(x) for cell, n in chunks.items() if n > 1 for x in (cell, n)]) if max(chunks.values()) > 1 else None
-    parts = F.coalesce(sizes[F.col("cell")], F.lit(1)) if sizes is not None else F.lit(1)
-    dealt = entries.withColumn("part", F.pmod(F.hash("vec_id"), parts).cast("int"))
+    asked = asked.mapInArrow(visits, "bucket int, cells array<int>, query_id long, vector array<double>")
+    dealt = entries.mapInArrow(places, "bucket int, cell int, vec_id long, vector array<double>")
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(left) and len(right):
-            ids = right["vec_id"].to_numpy()
+            ids, cells = right["vec_id"].to_numpy(), right["cell"].to_numpy()
             e = np.array(right["vector"].to_list(), float)
             norm = np.sqrt((e * e).sum(1))
             for at in range(0, len(left), QUERY_BLOCK):
                 block = left.iloc[at:at + QUERY_BLOCK]
-                found += _best(block["query_id"].to_numpy(), np.array(block["vector"].to_list(), float), ids, e, norm, k)
+                walked_to = np.stack([np.isin(cells, c) for c in block["cells"]])
+                found += _best(block["query_id"].to_numpy(), np.array(block["vector"].to_list(), float), walked_to, ids, e, norm, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    met = asked.groupBy("cell", "part").cogroup(dealt.groupBy("cell", "part")).applyInPandas(
+    met = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(
         compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def _best(queries: np.ndarray, q: np.ndarray, ids: np.ndarray, e: np.ndarray, norm: np.ndarray, k: int) -> list[tuple]:
-    """The k nearest entries of one cell for each query, by scores that do not hang on the place of a row."""
+def deal(held: dict[int, int], bucket: int = BUCKET) -> dict[int, list[int]]:
+    """Cell -> its buckets: small cells share one, a large cell has several to itself."""
+    out, at, full = {}, 0, 0
+    for cell in sorted(held):
+        n = held[cell]
+        if full and full + n > bucket:
+            at, full = at + 1, 0
+        if n <= bucket:
+            out[cell] = [at]
+            full += n
+        else:
+            out[cell] = [*range(at, at + -(-n // bucket))]
+            at, full = at + len(out[cell]), 0
+    return out
+
+
+def _best(queries, q, walked_to, ids, e, norm, k) -> list[tuple]:
+    """The k nearest of the entries walked to, for each query, by scores that do not hang on the place of a row."""
     own = np.sqrt((q * q).sum(1))
     with np.errstate(over="ignore", invalid="ignore"):
-        rough = (q / own[:, None]) @ (e / norm[:, None]).T
+        rough = np.where(walked_to & (ids != queries[:, None]), (q / own[:, None]) @ (e / norm[:, None]).T, -math.inf)
     out = []
     for i, name in enumerate(queries):
-        r = np.where(ids == name, -math.inf, rough[i])
+        r = rough[i]
         least = np.partition(r, -k)[-k] if len(r) > k else -math.inf
-        some = np.flatnonzero((r >= least - 1e-9) & (ids != name))
+        some = np.flatnonzero((r >= least - 1e-9) & (r > -math.inf))
         exact = (e[some] * q[i]).sum(1) / (norm[some] * own[i])
         order = np.lexsort((ids[some], -exact))[:k]
         out += [(name, ids[some[j]], exact[j]) for j in order]

@@ -19,15 +19,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import components, stage
+from flowwarden.llm.common import components, marked, stage, without
 
 #: Counters of the sketch that tells common n-grams from rare ones, as a power of two, and how far above their
 #: mean (and above a floor) a counter makes its n-grams common. They set speed, never the result.
 SKETCH_BITS = 21
 COMMON_FLOOR = 64
 COMMON_TIMES_MEAN = 4
-#: Bits of the map that tells which documents' rows are needed, as a power of two.
-MAP_BITS = 24
 #: Words a Python worker remembers with their hashes.
 MEMORY_WORDS = 300_000
 U64 = np.uint64
@@ -128,26 +126,18 @@ def leading_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
 
 def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(node, grams): the whole sets of the documents in ``nodes``, and of a few others.
+    """(node, grams): the whole sets of the documents in ``nodes``, and of a few others that find no partner later.
 
-    The documents are read once more and screened by a map of bits of fixed size, so their texts are never
-    shuffled; documents let through by chance find no partner later.
+    The documents are read once more and screened by a map of fixed size, so their texts are never shuffled.
     """
-    words = nodes.select(F.pmod(F.xxhash64("node"), F.lit(1 << MAP_BITS)).alias("bit")).select(
-        (F.col("bit") / 32).cast("long").alias("word"), F.expr("shiftleft(1L, cast(bit % 32 as int))").alias("flag"))
-    held = np.zeros(1 << (MAP_BITS - 5), np.uint32)
-    met = words.groupBy("word").agg(F.bit_or("flag").alias("flags")).toArrow()  # at most 2**(MAP_BITS - 5) rows
-    held[met.column("word").to_numpy()] = met.column("flags").to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(held)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bit = batch.column(2).to_numpy(zero_copy_only=False)
-            batch = batch.filter(pa.array((shared.value[bit >> 5] >> (bit & 31).astype(np.uint32)) & 1 == 1))
             grams = [ngram_set(t.as_py(), n).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
 
-    rows = _texts(docs).where("doc_id is not null").withColumn("bit", F.pmod(F.xxhash64("doc_id"), F.lit(1 << MAP_BITS)))
+    rows = _texts(docs).where("doc_id is not null")
+    rows = marked(rows, F.xxhash64("doc_id"), nodes, F.xxhash64("node")).where("_maybe").select("doc_id", "text")
     return rows.mapInArrow(run, "node long, grams binary")
 
 
@@ -254,4 +244,4 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs`` without those that a linked row of a smaller doc_id stands for; rows without an id stay."""
     gone = stage(join(docs, n, percent).where("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    return without(docs, gone, {"_gone": F.col("doc_id")})

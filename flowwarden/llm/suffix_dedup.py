@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import stage
+from flowwarden.llm.common import marked, stage, without
 
 LENGTH = 200
 #: Bytes of an anchor. The string holds it with every place before it that may be its start.
@@ -381,6 +381,8 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_i
     total, most = twice.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     places = found.join(twice, "gram").groupBy("text_id").agg(
         F.collect_list(F.struct("pos", "gram", (F.col("n") > class_items).alias("big"))).alias("places"))
+    places = stage(places, "places")
+    longs = marked(longs, F.xxhash64("text_id"), places, F.xxhash64("text_id")).where("_maybe").select("text_id", "body")
     survivors = stage(longs.join(places, "text_id"), "survivors")
     n_parts = max(1, -(-total // PART_ITEMS))
     spans = _merge(_runs(survivors, n_parts, length, gram), length, gram)
@@ -404,7 +406,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, clas
     later = stage(
         rows.join(copied, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first")))
         .select(F.col("doc_id").alias("later_id"), F.col("digest").alias("later_digest")), "later")
-    once = given.join(later, F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.col("digest") == F.col("later_digest")), "left_anti")
+    once = without(given, later, {"later_id": F.col("doc_id"), "later_digest": F.col("digest")})
     spans, survivors = find_spans(once.select(F.xxhash64("digest").alias("text_id"), "body"), length, gram, class_items)
     by_text = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = stage(_cut(survivors.dropDuplicates(["text_id"]).join(by_text, "text_id")), "cut")
