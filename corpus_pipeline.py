@@ -12,8 +12,8 @@ from flowwarden.llm.registry import tokenizer_path, toxicity_model
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents whose score says that toxic is the likelier label."""
-    scored = toxicity.with_scores(docs, toxicity_model(spark, sf_dir), "_toxic")
-    return scored.where(F.col("_toxic") < 0.5).drop("_toxic")
+    scored = toxicity.with_scores(docs, toxicity_model(spark, sf_dir), "_fw_toxic")
+    return scored.where(F.col("_fw_toxic") < 0.5).drop("_fw_toxic")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ MAP_BITS = 24
 
 
 def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column) -> DataFrame:
-    """``rows`` with ``_maybe``: false only if no row of ``wanted`` has this key.
+    """``rows`` with ``_fw_maybe``: false only if no row of ``wanted`` has this key.
 
     The keys wanted are marked in a map of ``MAP_BITS`` bits. The map is broadcast, which its fixed size allows;
     with it long texts are left where they are unless they are wanted, however many rows that are.
@@ -35,23 +35,24 @@ def marked(rows: DataFrame, key: Column, wanted: DataFrame, wanted_key: Column)
     bit = lambda k: F.pmod(k, F.lit(1 << MAP_BITS))
     flags = stage(
         wanted.select(bit(wanted_key).alias("bit"))
-        .select((F.col("bit") / 64).cast("int").alias("_word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("flag"))
-        .groupBy("_word").agg(F.bit_or("flag").alias("_flags")), "map")
-    held = rows.withColumn("_bit", bit(key)).withColumn("_word", (F.col("_bit") / 64).cast("int"))
-    met = held.join(F.broadcast(flags), "_word", "left")
-    flag = F.expr("coalesce((shiftright(_flags, cast(_bit % 64 as int)) & 1L) = 1L, false)")
-    return met.withColumn("_maybe", flag).drop("_bit", "_word", "_flags")
+        .select((F.col("bit") / 64).cast("int").alias("_fw_word"), F.expr("shiftleft(1L, cast(bit % 64 as int))").alias("flag"))
+        .groupBy("_fw_word").agg(F.bit_or("flag").alias("_fw_flags")), "map")
+    held = rows.withColumn("_fw_bit", bit(key)).withColumn("_fw_word", (F.col("_fw_bit") / 64).cast("int"))
+    met = held.join(F.broadcast(flags), "_fw_word", "left")
+    flag = F.expr("coalesce((shiftright(_fw_flags, cast(_fw_bit % 64 as int)) & 1L) = 1L, false)")
+    return met.withColumn("_fw_maybe", flag).drop("_fw_bit", "_fw_word", "_fw_flags")
 
 
 def without(rows: DataFrame, gone: DataFrame, names: dict[str, Column]) -> DataFrame:
     """``rows`` less those that agree with a row of ``gone`` in all ``names`` (a column of ``gone`` -> an expression
     of ``rows``; null agrees with null). Only rows that the map marks are shuffled."""
     columns = [F.col(f"`{c}`") for c in rows.columns]
-    both = marked(rows, F.xxhash64(*names.values()), gone, F.xxhash64(*names))
-    own = both.where("_maybe").select("*", *[k.alias(f"_key_{c}") for c, k in names.items()])
-    same = [F.col(f"_key_{c}").eqNullSafe(F.col(c)) for c in names]
-    left = own.join(gone.select(*names), [*same], "left_anti").select(*columns)
-    return both.where(~F.col("_maybe")).select(*columns).unionByName(left)
+    gone = gone.select(*[F.col(c).alias(f"_fw_gone_{i}") for i, c in enumerate(names)])
+    both = marked(rows, F.xxhash64(*names.values()), gone, F.xxhash64(*gone.columns))
+    own = both.where("_fw_maybe").select("*", *[k.alias(f"_fw_key_{i}") for i, k in enumerate(names.values())])
+    same = [F.col(f"_fw_key_{i}").eqNullSafe(F.col(f"_fw_gone_{i}")) for i in range(len(names))]
+    left = own.join(gone, same, "left_anti").select(*columns)
+    return both.where(~F.col("_fw_maybe")).select(*columns).unionByName(left)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import stage
+from flowwarden.llm.common import marked, stage, without
 
 #: Digests of one filter; it bounds what a task holds.
 SHARD_KEYS = 100_000
@@ -175,6 +175,7 @@ def _byte_checked(docs: DataFrame, hits: DataFrame) -> DataFrame:
         F.struct(F.lit(0).alias("side"), F.col("old_top").alias("id")),
         F.struct(F.lit(1).alias("side"), F.col("top").alias("id")))).alias("e")).select("digest", "e.side", "e.id")
     texts = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("body"))
+    texts = marked(texts, F.xxhash64("doc_id"), ends, F.xxhash64("id")).where("_fw_maybe")
     texts = texts.withColumn("body_digest", F.sha2(F.col("body").cast("binary"), 256))
     met = ends.join(texts, ends["id"].eqNullSafe(texts["doc_id"]) & (ends["digest"] == texts["body_digest"]))
     body = [F.max(F.when(F.col("side") == s, F.col("body"))) for s in (0, 1)]
@@ -182,16 +183,16 @@ def _byte_checked(docs: DataFrame, hits: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, **rules) -> DataFrame:
-    """The rows of ``docs`` that stay, with its columns; of rows that repeat the kept one, one stays."""
-    judged = stage(exact_groups(docs, **rules).where("kept").groupBy("doc_id", "text_sha256").agg(
-        F.count("*").alias("_times")), "kept")
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    keys = judged.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_digest"), "_times")
+    """The rows of ``docs`` that stay, with its columns; of rows that repeat the kept one, id included, one stays."""
+    judged = stage(exact_groups(docs, **rules), "judged")
+    ends = [F.col("doc_id").alias("_fw_id"), F.col("text_sha256").alias("_fw_digest")]
+    gone = judged.where(~F.col("kept")).select(*ends).distinct()
+    again = judged.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n")).where("n > 1")
+    again = stage(again.select(*ends), "again")
     digest = F.sha2(F.coalesce(docs["text"], F.lit("")).cast("binary"), 256)
-    met = docs.withColumn("_own", digest).join(
-        keys, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_digest")))
-    once = met.where("_times = 1").select(*names)
-    if keys.where("_times > 1").isEmpty():
-        return once
-    more = met.where("_times > 1").dropDuplicates(["_id", "_digest"]).select(*names)
-    return once.unionByName(more)
+    keys = {"_fw_id": docs["doc_id"], "_fw_digest": digest}
+    if again.isEmpty():
+        return without(docs, stage(gone, "gone"), keys)
+    rest = without(docs, stage(gone.union(again), "gone"), keys)
+    same = docs["doc_id"].eqNullSafe(F.col("_fw_id")) & (digest == F.col("_fw_digest"))
+    return rest.unionByName(docs.join(again, same).dropDuplicates(["_fw_id", "_fw_digest"]).drop("_fw_id", "_fw_digest"))

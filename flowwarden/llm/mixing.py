@@ -97,10 +97,10 @@ def plan_mix(docs: DataFrame, **rules) -> DataFrame:
 def mix(docs: DataFrame, **rules) -> DataFrame:
     """The rows of ``docs``, each as often as the mix takes it, with the columns of ``docs``."""
     rates = stage(source_targets(with_sizes(docs), **rules), "rates").select(
-        F.col("source").alias("_mix_source"), F.col("rate").alias("_mix_rate"))
+        F.col("source").alias("_fw_source"), F.col("rate").alias("_fw_rate"))
     names = [F.col(f"`{c}`") for c in docs.columns]
     return (
-        docs.join(rates, docs["source"].eqNullSafe(rates["_mix_source"]))
-        .withColumn("_mix_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_mix_rate"), F.col("doc_id")).cast("int"))))
+        docs.join(rates, docs["source"].eqNullSafe(rates["_fw_source"]))
+        .withColumn("_fw_copy", F.explode(F.array_repeat(F.lit(0), copies(F.col("_fw_rate"), F.col("doc_id")).cast("int"))))
         .select(*names)
     )

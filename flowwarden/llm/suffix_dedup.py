@@ -382,7 +382,7 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_i
     places = found.join(twice, "gram").groupBy("text_id").agg(
         F.collect_list(F.struct("pos", "gram", (F.col("n") > class_items).alias("big"))).alias("places"))
     places = stage(places, "places")
-    longs = marked(longs, F.xxhash64("text_id"), places, F.xxhash64("text_id")).where("_maybe").select("text_id", "body")
+    longs = marked(longs, F.xxhash64("text_id"), places, F.xxhash64("text_id")).where("_fw_maybe").select("text_id", "body")
     survivors = stage(longs.join(places, "text_id"), "survivors")
     n_parts = max(1, -(-total // PART_ITEMS))
     spans = _merge(_runs(survivors, n_parts, length, gram), length, gram)
