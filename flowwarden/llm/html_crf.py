@@ -316,6 +316,7 @@ class PageMaker:
     def page(self) -> tuple[list[Block], list[bool]]:
         r = self.r
         before = [self.other(k) for k in ("header", "menu", "notice", "advert", "share", "sidebar") if r.random() < 0.4]
+        before = [] if r.random() < 0.3 else before
         after = [self.other(k) for k in ("comments", "sidebar", "advert", "form", "share", "notice", "menu") if r.random() < 0.25]
         after += [self.other("footer")] if r.random() < 0.8 else []
         main = self.main() if r.random() < 0.96 else ""
