@@ -15,6 +15,25 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+def utc_date(ts: Column) -> Column:
+    """The day of a time in UTC, whatever the session's time zone."""
+    return F.date_from_unix_date(F.floor(micros(ts) / F.lit(86_400_000_000)).cast("int"))
+
+
+def utc_hour(ts: Column) -> Column:
+    return F.floor(F.pmod(micros(ts), F.lit(86_400_000_000)) / F.lit(3_600_000_000)).cast("int")
+
+
+def utc_weekday(ts: Column) -> Column:
+    """0 for Monday."""
+    return F.weekday(utc_date(ts))
+
+
+def as_json(row: Column) -> Column:
+    """JSON whose times keep their microseconds."""
+    return F.to_json(row, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
+
+
 def cell_start(us: Column, width_us: int) -> Column:
     """Start of the fixed cell a time falls into, in whole-number arithmetic."""
     return us - F.pmod(us, F.lit(int(width_us)).cast("bigint"))
@@ -44,8 +63,14 @@ def decode_flags(bits: Column) -> Column:
     return F.array_compact(F.array(*named))
 
 
-def event_uid(ts: Column, event_id: Column, computer: Column, user: Column) -> Column:
-    return F.md5(F.concat_ws("|", ts.cast("string"), event_id.cast("string"), computer, user))
+def event_uid(ts: Column, event_id: Column, computer: Column, user: Column, content: Column | None = None) -> Column:
+    """An id from an event's time, kind and place: ``=value`` or ``-`` for each part, so that a missing part counts.
+
+    An event without a time also takes ``content``, as nothing else tells such events apart.
+    """
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit("-"))
+    untimed = F.when(ts.isNull(), mark(content)) if content is not None else F.lit(None).cast("string")
+    return F.md5(F.concat_ws("|", mark(micros(ts)), mark(event_id), mark(computer), mark(user), untimed))
 
 
 def flow_id(src_ip, dst_ip, src_port, dst_port, protocol, first_us: Column) -> Column:

@@ -115,7 +115,9 @@ EVENT_XML_NS = "http://schemas.microsoft.com/win/2004/08/events/event"
 
 # ----------------------------------------------------------------------------------------------
 
+# Largest lookup that is broadcast, by rows and by the bytes of its values.
 BROADCAST_ROWS = 200_000
+BROADCAST_BYTES = 32_000_000
 
 
 def _inline(spark: SparkSession, rows, columns: str) -> DataFrame:
@@ -160,17 +162,26 @@ def bad_prefixes(spark: SparkSession) -> DataFrame:
     return _inline(spark, [(p,) for p in BAD_PREFIXES], "prefix")
 
 
-def small_side(lookup: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark a lookup for broadcast only after checking that it is small.
+def small_side(lookup: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark a lookup for broadcast only after checking that it is small, in rows and in bytes.
 
-    The check reads at most ``max_rows + 1`` rows. A larger lookup is returned without the hint, so
-    that the join runs as a shuffle join, where AQE splits the partitions of hot keys.
+    The check runs one job when the plan is built; it reads at most ``max_rows + 1`` rows. A larger lookup is
+    returned without the hint, so that the join runs as a shuffle join, where AQE splits the partitions of hot keys.
     """
-    if lookup.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(lookup)
-    return lookup
+    width = F.sum(sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)) for c in lookup.columns), F.lit(16)))
+    rows, size = lookup.limit(max_rows + 1).agg(F.count("*"), F.coalesce(width, F.lit(0))).first()
+    return F.broadcast(lookup) if rows <= max_rows and size <= max_bytes else lookup
 
 
-def side(df: DataFrame, given: DataFrame | None, default) -> DataFrame:
-    """The user's lookup (size-checked) or the default rows (at most a few dozen, broadcast)."""
-    return F.broadcast(default(df.sparkSession)) if given is None else small_side(given)
+def one_per_key(lookup: DataFrame, key: str) -> DataFrame:
+    """One row per key, so that a join cannot multiply rows: of several the least one; rows without a key go."""
+    rest = [c for c in lookup.columns if c != key]
+    rows = lookup.filter(F.col(key).isNotNull())
+    if not rest:
+        return rows.distinct()
+    return rows.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
+
+
+def side(df: DataFrame, given: DataFrame | None, default, key: str) -> DataFrame:
+    """The user's lookup (one row per key, size-checked) or the default rows (at most a few dozen, broadcast)."""
+    return F.broadcast(default(df.sparkSession)) if given is None else small_side(one_per_key(given, key))

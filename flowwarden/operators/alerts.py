@@ -9,7 +9,7 @@ from flowwarden.functions import columns as C
 from flowwarden.operators.anchors import open_windows
 from flowwarden.operators.flows import idle_runs
 from flowwarden.operators.lookup_joins import flag_bad_ips, port_category
-from flowwarden.session import cut
+from flowwarden.session import stage
 
 # The defaults of the chain
 DEDUP_TTL_S = 60
@@ -48,7 +48,7 @@ def make_alerts(scored: DataFrame, source_type: str, legacy: bool = False) -> Da
         (F.lit(None) if network else F.col("event_id")).cast("int").alias("event_id"),
         text("computer").alias("hostname"),
         F.lit("open").alias("status"),
-        F.to_json(F.struct(*[F.col(c) for c in scored.columns])).alias("raw_event"),
+        C.as_json(F.struct(*[F.col(c) for c in scored.columns])).alias("raw_event"),
     )
 
 
@@ -154,7 +154,7 @@ def dispositions(
     Rate limiting looks at the survivors of deduplication only, so duplicates pass by it. It reads
     its input more than once, so the marked alerts are written to the shared folder first.
     """
-    marked = cut(mark_duplicates(alerts, ttl_s))
+    marked = stage(mark_duplicates(alerts, ttl_s), "marked")
     fresh = mark_rate_limited(marked.filter(~F.col("is_duplicate")), max_n, window_s, legacy)
     dropped = marked.filter("is_duplicate").withColumns({
         "source_key": source_key(legacy), "disposition": F.lit("deduped"),
@@ -167,7 +167,7 @@ def kept_alerts(
     alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
 ) -> DataFrame:
     """The alerts that survive deduplication and then the rate limit."""
-    return rate_limit(cut(dedup(alerts, ttl_s)), max_n, window_s, legacy)
+    return rate_limit(stage(dedup(alerts, ttl_s), "dedup"), max_n, window_s, legacy)
 
 
 def process_alerts(
@@ -187,7 +187,7 @@ def process_alerts(
     Limiting and counting read their input more than once, so the survivors of each step are written
     to the shared folder first.
     """
-    hits = hit_count(cut(kept_alerts(alerts, ttl_s, max_n, window_s, legacy)), reset_s, legacy)
+    hits = hit_count(stage(kept_alerts(alerts, ttl_s, max_n, window_s, legacy), "kept"), reset_s, legacy)
     return risk_score(escalate(enrich(hits, ports, bad_ips, processed_at), escalate_at))
 
 

@@ -171,4 +171,4 @@ def suspicious_process(events: DataFrame) -> DataFrame:
 def off_hours(events: DataFrame, ids: list[int] | None = None, hours: list[int] | None = None, ts: str = "ts") -> DataFrame:
     """Watched event ids between 22 and 4 o'clock."""
     watched = F.col("event_id").isin(ids or L.TRACKED_EVENT_IDS)
-    return events.filter(watched & F.hour(ts).isin(OFF_HOURS if hours is None else hours))
+    return events.filter(watched & C.utc_hour(F.col(ts)).isin(OFF_HOURS if hours is None else hours))

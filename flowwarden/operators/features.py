@@ -87,8 +87,8 @@ def event_features(df: DataFrame, legacy: bool = False, out: str = "features") -
     process = F.lower(F.coalesce(F.col("process_name"), F.lit("")))
     parts = [
         code,
-        F.coalesce(F.hour("ts") / 23.0, F.lit(0.0)),
-        F.coalesce(F.weekday("ts") / 6.0, F.lit(0.0)),
+        F.coalesce(C.utc_hour(F.col("ts")) / 23.0, F.lit(0.0)),
+        F.coalesce(C.utc_weekday(F.col("ts")) / 6.0, F.lit(0.0)),
         F.least(F.coalesce(F.col("logon_type"), F.lit(0)), F.lit(11)) / 11.0,
         _flag(F.coalesce(F.lower("user").isin(L.ADMIN_USERS), F.lit(False))),
         _flag(process.contains("system")),

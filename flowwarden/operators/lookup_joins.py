@@ -10,7 +10,7 @@ from flowwarden import lookups as L
 
 def tag_mitre(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Tactic, technique, its name and the baseline severity of an event id."""
-    side = L.side(df, table, L.mitre)
+    side = L.side(df, table, L.mitre, "event_id")
     defaults = {
         "mitre_tactic": F.coalesce("mitre_tactic", F.lit("unknown")),
         "mitre_technique": F.coalesce("mitre_technique", F.lit("")),
@@ -22,7 +22,7 @@ def tag_mitre(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 def name_logon_type(df: DataFrame, text: str = "logon_type_text", table: DataFrame | None = None) -> DataFrame:
     """The name of a logon type, or its own text where there is none."""
-    side = L.side(df, table, L.logon_types).select(
+    side = L.side(df, table, L.logon_types, "logon_type_text").select(
         F.col("logon_type_text").alias("_lt"), F.col("logon_type_name").alias("_name")
     )
     return (
@@ -34,7 +34,7 @@ def name_logon_type(df: DataFrame, text: str = "logon_type_text", table: DataFra
 
 def port_category(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """Category of the destination port: Unknown if not listed, null if absent or 0."""
-    side = L.side(df, table, L.ports).select(F.col("dst_port").alias("_p"), F.col("dst_port_category").alias("_cat"))
+    side = L.side(df, table, L.ports, "dst_port").select(F.col("dst_port").alias("_p"), F.col("dst_port_category").alias("_cat"))
     present = F.coalesce("dst_port", F.lit(0)) != 0
     return (
         df.join(side, F.col("dst_port") == F.col("_p"), "left")
@@ -45,7 +45,7 @@ def port_category(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
 
 def flag_bad_ips(df: DataFrame, feed: DataFrame | None = None) -> DataFrame:
     """Whether source and destination are in the feed of known-bad addresses."""
-    side = L.side(df, None if feed is None else feed.select("ip").distinct(), L.bad_ips)
+    side = L.side(df, None if feed is None else feed.select("ip"), L.bad_ips, "ip")
     src = side.select(F.col("ip").alias("_src"))
     dst = side.select(F.col("ip").alias("_dst"))
     return (
@@ -58,7 +58,7 @@ def flag_bad_ips(df: DataFrame, feed: DataFrame | None = None) -> DataFrame:
 
 def only_bad_ips(df: DataFrame, column: str = "src_ip", feed: DataFrame | None = None, bad: bool = True) -> DataFrame:
     """Rows whose address is (or is not) in the feed, as a semi (or anti) join."""
-    side = L.side(df, feed, L.bad_ips)
+    side = L.side(df, feed, L.bad_ips, "ip")
     return df.join(side, df[column] == side["ip"], "left_semi" if bad else "left_anti")
 
 
@@ -71,13 +71,13 @@ def flag_bad_prefix(df: DataFrame, column: str, prefixes: list[str] | None = Non
 
 
 def name_event(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
-    side = L.side(df, table, L.event_names)
+    side = L.side(df, table, L.event_names, "event_id")
     return df.join(side, "event_id", "left").withColumn("event_name", F.coalesce("event_name", F.lit("Unknown")))
 
 
 def label_port(df: DataFrame, table: DataFrame | None = None) -> DataFrame:
     """``443 (HTTPS)`` and a risk colour of a destination port."""
-    side = L.side(df, table, L.chart_ports)
+    side = L.side(df, table, L.chart_ports, "dst_port")
     port = F.col("dst_port").cast("string")
     named = F.concat(port, F.lit(" ("), F.col("port_name"), F.lit(")"))
     risk = F.when(F.col("dst_port").isin(L.CHART_RED_PORTS), "red").when(F.col("dst_port").isin(L.CHART_AMBER_PORTS), "amber")

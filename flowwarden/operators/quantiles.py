@@ -1,10 +1,9 @@
-"""Exact quantiles of columns too large for one task.
+"""Exact quantiles of columns of any size.
 
-The built-in exact ``percentile`` keeps every distinct value in one task. It is used up to a checked
-number of rows. Beyond it, each rank is closed in on: a sketch of bounded size proposes a narrow
-interval, one pass counts the rows below, in and above it, and so on with the part that holds the
-rank, until that part is small or a single value. Each round serves all columns and ranks at once,
-and cuts the rows in question about a thousandfold.
+The built-in exact ``percentile`` keeps every distinct value in one task. Here each rank is closed in on: a sketch
+of bounded size proposes a narrow interval, one pass counts the rows below, in and above it, and so on with the part
+that holds the rank, until at most ``LIST_ROWS`` rows are left, or a single value. Each round serves all columns and
+ranks at once, and cuts the rows in question about a thousandfold.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIRECT_ROWS = 2_000_000
+# rows of one rank's interval that are put in order as a list
+LIST_ROWS = 10_000
 
 
 @dataclass
@@ -34,23 +34,20 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: dict[str, Column], probs: list[float], direct_rows: int = DIRECT_ROWS, accuracy: int = 10_000
+    df: DataFrame, cols: dict[str, Column], probs: list[float], list_rows: int = LIST_ROWS, accuracy: int = 10_000
 ) -> dict[str, list[float | None]]:
-    """``{name: [value per prob]}`` with linear interpolation; nulls ignored, None if there is no value."""
-    data = df.select(*[c.cast("double").alias(n) for n, c in cols.items()])
+    """``{name: [value per prob]}`` with linear interpolation; nulls and NaN ignored, None if there is no value."""
+    number = {n: c.cast("double") for n, c in cols.items()}
+    data = df.select(*[F.when(~F.isnan(c), c).alias(n) for n, c in number.items()])
     head = data.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in cols for f in (F.count, F.min, F.max)]).first()
     n_rows = {n: head[f"count_{n}"] for n in cols}
-    if max(n_rows.values()) <= direct_rows:
-        ps = F.array(*[F.lit(float(p)) for p in probs])
-        row = data.agg(*[F.percentile(n, ps).alias(n) for n in cols]).first()
-        return {n: row[n] or [None] * len(probs) for n in cols}
     wanted = {(n, r) for n in cols if n_rows[n] for p in probs for r in _ranks(n_rows[n], p)}
     todo = {(n, r): _Search(n, r, n_rows[n], head[f"min_{n}"], head[f"max_{n}"]) for n, r in sorted(wanted)}
     found: dict[tuple[str, int], float] = {}
     while todo:
         for key in [k for k, s in todo.items() if s.lo == s.hi]:
             found[key] = todo.pop(key).lo
-        small = {k: s for k, s in todo.items() if s.m <= direct_rows}
+        small = {k: s for k, s in todo.items() if s.m <= list_rows}
         found.update(_pick(data, small))
         todo = _narrow(data, {k: s for k, s in todo.items() if k not in small}, accuracy)
 

@@ -12,15 +12,14 @@ EVENT_TERMS = {"severity": 10, "event_id": 10, "computer": 10, "user": 10, "mitr
 ALERT_TERMS = {"severity": 10, "source_type": 5, "status": 5, "mitre_tactic": 10, "src_ip": 10}
 
 
+def value_counts(df: DataFrame, col: str) -> DataFrame:
+    """(key, cnt) of all values; nulls are not counted."""
+    return df.filter(F.col(col).isNotNull()).groupBy(F.col(col).alias("key")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
 def terms(df: DataFrame, col: str, n: int = 10) -> DataFrame:
-    """The ``n`` most frequent values (key, cnt), ties by key; nulls are not counted."""
-    return (
-        df.filter(F.col(col).isNotNull())
-        .groupBy(F.col(col).alias("key"))
-        .agg(F.count(F.lit(1)).alias("cnt"))
-        .orderBy(F.desc("cnt"), F.asc("key"))
-        .limit(n)
-    )
+    """The ``n`` most frequent values (key, cnt), ties by key."""
+    return value_counts(df, col).orderBy(F.desc("cnt"), F.asc("key")).limit(n)
 
 
 def all_terms(df: DataFrame, dims: dict[str, int]) -> DataFrame:
@@ -80,8 +79,9 @@ def last_hours(hours: DataFrame, n: int = 24) -> DataFrame:
 
 
 def share_of_total(counts: DataFrame) -> DataFrame:
-    total = F.sum("cnt").over(Window.partitionBy())
-    return counts.withColumn("share_pct", F.round(F.col("cnt") * 100 / total, 0))
+    """Share of each row in the sum of all, in percent. The sum is one number, taken when the plan is built."""
+    total = counts.agg(F.sum("cnt")).first()[0]
+    return counts.withColumn("share_pct", F.round(F.col("cnt") * 100 / F.lit(total), 0))
 
 
 def ratio_to_max(counts: DataFrame) -> DataFrame:
@@ -99,7 +99,7 @@ def change(hours: DataFrame) -> DataFrame:
 
 
 def merged_tactics(*counts: DataFrame, n: int = 8) -> DataFrame:
-    """Tactic counts of several sources added up, without ``unknown``, top ``n``."""
+    """Whole tactic counts (``value_counts``) of several sources added up, without ``unknown``, top ``n``."""
     both = reduce(DataFrame.unionByName, counts)
     return (
         both.filter(F.col("key") != "unknown")

@@ -13,7 +13,7 @@ from flowwarden.operators.features import apply_scaler, event_features, fit_scal
 from flowwarden.operators.flows import build_flows, normalise_packets
 from flowwarden.operators.scoring import Model, annotate, fit_threshold, score, time_split
 from flowwarden.operators.sequences import complete, host_sequences
-from flowwarden.session import cut
+from flowwarden.session import stage
 from flowwarden.sources.event_xml import parse_event_xml
 
 MIN_FLOWS = 100
@@ -27,7 +27,7 @@ def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_c
     Every fitting step reads the vectors again, so they are written once.
     """
     normal, _ = split_normal_attack(flows, label_col)
-    vectors = cut(flow_features(normal).select("ts", "features"))
+    vectors = stage(flow_features(normal).select("ts", "features"), "vectors")
     n = vectors.count()
     if n < min_rows:
         raise ValueError(f"{n} normal flows, {min_rows} needed")
@@ -43,7 +43,7 @@ def train_sequences(events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32,
     if n < min_rows:
         raise ValueError(f"{n} normal events, {min_rows} needed")
     narrow = event_features(normal).select("event_uid", "computer", "ts", "features")
-    sequences = cut(complete(host_sequences(narrow)).select("ts", "seq"))
+    sequences = stage(complete(host_sequences(narrow)).select("ts", "seq"), "sequences")
     m = sequences.count()
     if m < MIN_SEQUENCES:
         warnings.warn(f"only {m} sequences, training on what there is", stacklevel=2)

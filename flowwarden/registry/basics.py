@@ -90,7 +90,7 @@ _DESCRIBE_SQL = """CASE p.event_id
 
 
 @query("s1_event_xml_scan", _XML_SQL + f"""
-SELECT md5(concat_ws('|', cast(ts AS varchar), cast(p.event_id AS varchar), computer, "user")) AS event_uid,
+SELECT md5(concat_ws('|', '=' || epoch_us(ts), '=' || p.event_id, '=' || computer, '=' || "user")) AS event_uid,
   cast(ts AS varchar) AS ts, p.event_id, cast(p.event_id AS varchar) AS event_id_keyword, 'Security' AS channel,
   computer, "user", coalesce(cast(logon_type AS varchar), '') AS logon_type, logon_type_name, process_name,
   coalesce(src_ip, '') AS src_ip, CASE WHEN p.event_id = 4698 THEN 'Updater' ELSE '' END AS task_name,
@@ -209,11 +209,11 @@ def _(spark, sf):
     return tables.parse_json(_messages(spark, sf), _MSG)
 
 
-@query("s4_bounded_read", _MSG_SQL + " ORDER BY win_events.ts, event_uid LIMIT 50000")
+@query("s4_bounded_read", _MSG_SQL + " ORDER BY win_events.ts, event_uid LIMIT 300")
 def _(spark, sf):
     path = work_dir(spark, "topic")
     _messages(spark, sf).select("value").write.text(path)
-    return tables.read_bounded(spark, _MSG, "text", path, order=[F.col("ts"), F.col("event_uid")])
+    return tables.read_bounded(spark, _MSG, 300, "text", path, order=[F.col("ts"), F.col("event_uid")])
 
 
 @query("s5_keyed_json_sink", f"""WITH {V.NET_FLOWS} SELECT flow_id AS key, flow_id, cast(ts AS varchar) AS ts, src_ip, dst_ip,
@@ -343,7 +343,7 @@ def _(spark, sf):
 
 
 @query("p8_event_uid", f"""WITH {V.WIN_EVENTS} SELECT event_uid AS source_uid,
-  md5(cast(ts AS varchar) || '|' || event_id || '|' || computer || '|' || "user") AS event_uid FROM win_events""")
+  md5('=' || epoch_us(ts) || '|=' || event_id || '|=' || computer || '|=' || "user") AS event_uid FROM win_events""")
 def _(spark, sf):
     return V.win_events(spark, sf).select(
         F.col("event_uid").alias("source_uid"),
@@ -397,12 +397,12 @@ def _(spark, sf):
 
 @query("f2_windows_search", f"""WITH {V.WIN_EVENTS}, g AS (SELECT *, {_GRADED.format('length(process_name)')} FROM win_events)
 SELECT event_uid, cast(ts AS varchar) AS ts, event_id, computer, "user", severity FROM g
-WHERE is_anomaly AND severity = 'medium' AND event_id = 4624 AND computer = 'DC01' AND "user" = 'john.doe'
+WHERE is_anomaly AND severity = 'medium' AND event_id = 4624 AND computer = 'HUB-A' AND "user" = 'u.alder'
 UNION ALL SELECT event_uid, cast(ts AS varchar), event_id, computer, "user", severity FROM g WHERE event_id = 1102""")
 def _(spark, sf):
     e = _graded(V.win_events(spark, sf), F.length("process_name"))
     cols = ["event_uid", "ts", "event_id", "computer", "user", "severity"]
-    one = search.search_events(e, True, "Medium", 4624, "DC01", "john.doe").select(*cols)
+    one = search.search_events(e, True, "Medium", 4624, "HUB-A", "u.alder").select(*cols)
     return one.unionAll(search.search_events(e, event_id=1102).select(*cols))
 
 

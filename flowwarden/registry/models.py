@@ -16,7 +16,7 @@ from flowwarden.operators.stats import terms
 from flowwarden.plans import jobs
 from flowwarden.registry import views as V
 from flowwarden.registry.base import query
-from flowwarden.session import cut, work_dir
+from flowwarden.session import stage, work_dir
 
 # --- fixed weights, so that SQL can compute the same scores ------------------------------------
 
@@ -397,7 +397,7 @@ def _(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Packets to flows to features to scores, counted by severity."""
     # read by the fit and by the scoring
-    f = cut(jobs.packets_to_flows(V.packets(spark, sf)))
+    f = stage(jobs.packets_to_flows(V.packets(spark, sf)), "flows")
     scaler = FE.fit_scaler(FE.flow_features(FE.split_normal_attack(f)[0]))
     return terms(jobs.score_flows(f, replace(FLOW_MODEL, scaler=scaler, threshold=RAW_THRESHOLD)), "severity")
 

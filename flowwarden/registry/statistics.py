@@ -102,7 +102,7 @@ _PROTO = "t AS (SELECT protocol AS key, count(*) AS cnt FROM net_flows GROUP BY
 
 @query("w5_share_of_total", f"WITH {V.NET_FLOWS}, {_PROTO} SELECT key, cnt, round(cnt * 100 / sum(cnt) OVER (), 0) AS share_pct FROM t")
 def _(spark, sf):
-    return ST.share_of_total(ST.terms(V.net_flows(spark, sf), "protocol"))
+    return ST.share_of_total(ST.value_counts(V.net_flows(spark, sf), "protocol"))
 
 
 @query("w6_ratio_to_max", f"""WITH {V.NET_FLOWS}, t AS (SELECT src_ip AS key, count(*) AS cnt FROM net_flows GROUP BY 1 ORDER BY cnt DESC, key LIMIT 8)
@@ -143,15 +143,37 @@ _TACTICS = """SELECT key, cast(sum(cnt) AS bigint) AS cnt FROM (SELECT mitre_tac
 
 @query("a15_merged_tactics", f"WITH {SCORED_EVENTS}, {V.ALERTS.split('),', 1)[1]} {_TACTICS}")
 def _(spark, sf):
-    return ST.merged_tactics(ST.terms(scored_events(spark, sf), "mitre_tactic"), ST.terms(V.alerts(spark, sf), "mitre_tactic"))
+    return ST.merged_tactics(
+        ST.value_counts(scored_events(spark, sf), "mitre_tactic"), ST.value_counts(V.alerts(spark, sf), "mitre_tactic"))
 
 
 @query("u2_tactic_union", f"WITH {V.ALERTS} SELECT mitre_tactic AS key, count(*) * 2 AS cnt FROM alerts WHERE mitre_tactic <> 'unknown' GROUP BY 1 ORDER BY cnt DESC, key LIMIT 8")
 def _(spark, sf):
-    t = ST.terms(V.alerts(spark, sf), "mitre_tactic")
+    t = ST.value_counts(V.alerts(spark, sf), "mitre_tactic")
     return ST.merged_tactics(t, t)
 
 
+_MANY = """t AS (SELECT source_type || ' ' || (t % 37) AS mitre_tactic FROM alerts)"""
+
+
+@query("a15_many_tactics", f"""WITH {V.ALERTS}, {_MANY}, c AS (SELECT mitre_tactic AS key, count(*) AS cnt FROM t GROUP BY 1)
+SELECT key, cast(sum(cnt) AS bigint) AS cnt FROM (SELECT * FROM c UNION ALL SELECT replace(key, 'windows', 'network'), 2 * cnt FROM c)
+GROUP BY 1 ORDER BY cnt DESC, key LIMIT 8""")
+def _(spark, sf):
+    """More tactics than either top list would hold."""
+    a = V.alerts(spark, sf)
+    seconds = F.unix_timestamp(a["ts"].cast("timestamp")) - F.unix_timestamp(F.lit(V.EPOCH))
+    named = a.select(F.concat_ws(" ", "source_type", (seconds % 37).cast("string")).alias("mitre_tactic"))
+    c = ST.value_counts(named, "mitre_tactic")
+    return ST.merged_tactics(c, c.select(F.replace("key", F.lit("windows"), F.lit("network")).alias("key"), (F.col("cnt") * 2).alias("cnt")))
+
+
+@query("w5_many_keys", f"""WITH {V.NET_FLOWS}, t AS (SELECT src_port AS key, count(*) AS cnt FROM net_flows GROUP BY 1)
+SELECT key, cnt, round(cnt * 100 / sum(cnt) OVER (), 0) AS share_pct FROM t""")
+def _(spark, sf):
+    return ST.share_of_total(ST.value_counts(V.net_flows(spark, sf), "src_port"))
+
+
 @query("f10_exclude_unknown_and_zero", f"""WITH {V.ALERTS}, c AS (SELECT list_extract(['none','low','medium','high','critical'], i) AS severity,
   (SELECT count(*) FROM alerts WHERE severity = list_extract(['none','low','medium','high','critical'], i) AND mitre_tactic <> 'unknown') AS cnt FROM range(1, 6) r(i))
 SELECT severity, cnt FROM c WHERE cnt > 0""")

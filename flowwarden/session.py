@@ -27,20 +27,24 @@ def local_session(cores: str = "8", app: str = "flowwarden") -> SparkSession:
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
 
-    Only a local-mode session may fall back to a temporary folder: on a cluster a machine-local
-    folder is not visible to the other executors.
+    Only where the driver is the only executor (``local[...]``) may that setting be missing; a temporary folder
+    then serves, as in tests. On a cluster a machine-local folder is not visible to the other executors.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
     return f"{root.rstrip('/')}/flowwarden/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared checkpoint folder, so that readers do not compute them again."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(work_dir(spark, "checkpoint"))
-    return df.checkpoint()
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written as Parquet to the shared folder and read again.
+
+    Readers do not compute them again, read only the columns they need, and push their filters down; lost
+    executors do not matter. The files stay until the owner of the shared folder removes them.
+    """
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -113,6 +113,7 @@ def normalise_events(parsed: DataFrame, event_ids: list[int] | None = None, mitr
         **{col: text_of(name) for col, name in _PLAIN.items()},
     })
     rows = tag_mitre(name_logon_type(rows.drop("ed")), mitre).drop("logon_type_text")
-    uid = C.event_uid(F.col("ts"), F.col("event_id"), F.col("computer"), F.col("user"))
+    content = C.as_json(F.struct(*rows.columns))
+    uid = C.event_uid(F.col("ts"), F.col("event_id"), F.col("computer"), F.col("user"), content)
     rows = rows.withColumns({"event_uid": uid, "src_ip": C.blank_to_null(F.col("src_ip"))})
     return rows.select("*", *ingest_placeholders("evtx", severity=F.col("baseline_severity")))

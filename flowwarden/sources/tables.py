@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from flowwarden import schemas
+from flowwarden.functions import columns as C
 
 WARM_AFTER_DAYS = 30
 DELETE_AFTER_DAYS = 90
@@ -24,7 +25,7 @@ def write_table(df: DataFrame, path: str, mode: str = "append", ts: str = "ts")
 
     The rebalance hint lets AQE split a busy day over as many tasks as its size asks for.
     """
-    rows = df.withColumn("event_date", F.to_date(ts)).hint("rebalance", "event_date")
+    rows = df.withColumn("event_date", C.utc_date(F.col(ts))).hint("rebalance", "event_date")
     rows.write.mode(mode).partitionBy("event_date").parquet(path)
 
 
@@ -42,15 +43,18 @@ def _wire(schema: T.StructType) -> T.StructType:
     return T.StructType([*names, T.StructField("_corrupt", T.StringType())])
 
 
-def parse_json(df: DataFrame, schema: T.StructType, value: str = "value") -> DataFrame:
-    """Messages to typed rows; a message that cannot be decoded is skipped; unknown fields are ignored."""
+def parse_json(df: DataFrame, schema: T.StructType, value: str = "value", carry: tuple[str, ...] = ()) -> DataFrame:
+    """Messages to typed rows; a message that cannot be decoded is skipped; unknown fields are ignored.
+
+    ``carry`` names columns beside the message that are kept.
+    """
     parsed = F.from_json(
         F.col(value).cast("string"), _wire(schema), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}
     )
-    rows = df.select(parsed.alias("m")).filter(F.col("m").isNotNull() & F.col("m._corrupt").isNull())
+    rows = df.select(parsed.alias("m"), *carry).filter(F.col("m").isNotNull() & F.col("m._corrupt").isNull())
     return rows.select(*[
         F.col(f"m.`{'@timestamp' if f.name == 'ts' else f.name}`").alias(f.name) for f in schema.fields
-    ])
+    ], *carry)
 
 
 def read_json_stream(
@@ -66,18 +70,28 @@ def read_json_stream(
 def read_bounded(
     spark: SparkSession,
     schema: T.StructType,
+    limit: int | None,
     fmt: str = "text",
     path: str | None = None,
-    limit: int = 50_000,
     order: list[Column] | None = None,
     **options,
 ) -> DataFrame:
-    """At most ``limit`` decoded messages from the earliest on."""
+    """The first ``limit`` decoded messages, or all with None.
+
+    First means by ``order``; by default by topic, partition and offset where the source has them. A bound
+    without any order is refused.
+    """
     reader = spark.read.format(fmt).options(**options)
     if fmt == "kafka":
         reader = reader.option("startingOffsets", "earliest")
-    rows = parse_json(reader.load(path) if path else reader.load(), schema)
-    return (rows.orderBy(*order) if order else rows).limit(limit)
+    given = reader.load(path) if path else reader.load()
+    place = tuple(c for c in ("topic", "partition", "offset") if c in given.columns and c not in schema.names)
+    rows = parse_json(given, schema, carry=place)
+    if limit is not None:
+        if not order and not place:
+            raise ValueError("a bound needs an order")
+        rows = rows.orderBy(*(order or place)).limit(limit)
+    return rows.drop(*place)
 
 
 def to_messages(df: DataFrame, key_col: str) -> DataFrame:
@@ -85,7 +99,7 @@ def to_messages(df: DataFrame, key_col: str) -> DataFrame:
     stamp = F.coalesce(F.col("ts"), F.current_timestamp()) if "ts" in df.columns else F.current_timestamp()
     others = [F.col(c) for c in df.columns if c != "ts"]
     body = F.struct(stamp.alias("@timestamp"), *others)
-    return df.select(F.col(key_col).cast("string").alias("key"), F.to_json(body).alias("value"))
+    return df.select(F.col(key_col).cast("string").alias("key"), C.as_json(body).alias("value"))
 
 
 def write_json(df: DataFrame, key_col: str, fmt: str = "kafka", path: str | None = None, **options) -> None:
@@ -100,24 +114,38 @@ def write_json(df: DataFrame, key_col: str, fmt: str = "kafka", path: str | None
 
 
 def upsert(df: DataFrame, path: str, id_col: str, version: Column) -> None:
-    """Append rows with their version; the same id written again replaces the row for readers."""
-    id_or_new = F.coalesce(F.col(id_col).cast("string"), F.expr("uuid()"))
-    rows = df.withColumns({"_id": id_or_new, "_version": version.cast("bigint"), "event_date": F.to_date("ts")})
+    """Append rows with their version; the same id written again replaces the row for readers.
+
+    A row without an id gets one from its content, so that a repeated write does not make a new row.
+    """
+    content = F.sha2(C.as_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
+    rows = df.withColumns({
+        "_id": F.coalesce(F.col(id_col).cast("string"), content),
+        "_version": version.cast("bigint"),
+        "event_date": C.utc_date(F.col("ts")),
+    })
     rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
 
 
-def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version") -> DataFrame:
-    """One row per id, that of the highest version. Copies of an id are folded on the map side."""
-    cols = [c for c in df.columns if c not in (id_col, version_col)]
+def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version", by_day: bool = True, keep_version: bool = False) -> DataFrame:
+    """One row per id, that of the highest version. Copies of an id are folded on the map side.
+
+    Ids made from an event hold its time, so all versions of an id lie in one ``event_date``; with ``by_day`` a
+    filter on the day prunes the folders that are read. ``by_day=False`` serves ids whose time may change.
+    """
+    keys = [id_col, *(["event_date"] if by_day and "event_date" in df.columns else [])]
+    cols = [c for c in df.columns if c not in (*keys, version_col)]
     # equal versions: the greatest row counts, so that a repeated read gives the same
     order = F.struct(F.col(version_col), F.xxhash64(*cols))
     row = F.max_by(F.struct(*[F.col(c) for c in cols]), order)
-    return df.groupBy(id_col).agg(row.alias("_r")).select(id_col, "_r.*")
+    version = [F.max(version_col).alias(version_col)] if keep_version else []
+    return df.groupBy(*keys).agg(row.alias("_r"), *version).select(*keys, "_r.*", *([version_col] if keep_version else []))
 
 
-def compact(spark: SparkSession, path: str, new_path: str) -> None:
-    """Write the latest rows to a new path; the old one can be given up once readers have moved."""
-    rows = latest(spark.read.parquet(path)).withColumn("_version", F.lit(0).cast("bigint"))
+def compact(spark: SparkSession, path: str, new_path: str, by_day: bool = True) -> None:
+    """Write the latest rows to a new path with their versions, so that an older version that arrives later does
+    not win; the old path can be given up once readers have moved."""
+    rows = latest(spark.read.parquet(path), by_day=by_day, keep_version=True)
     rows.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(new_path)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from flowwarden.functions import columns as C
 from flowwarden.operators.alerts import make_alerts
 from flowwarden.operators.features import event_features
 from flowwarden.operators.scoring import Model
@@ -28,7 +29,7 @@ def score_events_stream(events: DataFrame, model: Model, legacy: bool = False, w
 def write_epoch(batch: DataFrame, epoch: int, path: str) -> None:
     """One micro-batch into its own folder. A batch that is run again replaces its folder, so that
     nothing is written twice; readers take ``epoch`` as the version of a row."""
-    rows = batch.withColumn("event_date", F.to_date("ts")) if "ts" in batch.columns else batch
+    rows = batch.withColumn("event_date", C.utc_date(F.col("ts"))) if "ts" in batch.columns else batch
     writer = rows.write.mode("overwrite")
     if "ts" in batch.columns:
         writer = writer.partitionBy("event_date")

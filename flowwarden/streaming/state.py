@@ -193,7 +193,7 @@ class AlertChain(_Ordered):
 
 def _payload(df: DataFrame):
     """The other columns as JSON; the time travels in microseconds beside it."""
-    return F.to_json(F.struct(*[F.col(c) for c in df.columns if c != "ts"])).alias("payload")
+    return C.as_json(F.struct(*[F.col(c) for c in df.columns if c != "ts"])).alias("payload")
 
 
 def _unpack(df: DataFrame, schema: T.StructType, more: list[str]) -> DataFrame:

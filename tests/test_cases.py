@@ -282,7 +282,7 @@ def test_exact_quantiles(spark, direct, shape):
     x = {"normal": rng.normal(size=n), "ties": rng.integers(0, 7, n) * 1.0, "two": (rng.random(n) < 0.5) * 1.0, "one": np.ones(n)}[shape]
     df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double").repartition(4)
     probs = [0.0, 0.25, 0.333, 0.5, 0.8, 0.95, 1.0]
-    got = exact_quantiles(df, {"x": F.col("x")}, probs, direct_rows=direct, accuracy=50)["x"]
+    got = exact_quantiles(df, {"x": F.col("x")}, probs, list_rows=direct, accuracy=50)["x"]
     assert np.allclose(got, np.quantile(x, probs), rtol=0, atol=1e-12)
 
 
@@ -365,7 +365,7 @@ def test_packets_and_xml_to_alerts(spark):
     assert all(r.dst_ip_known_bad and r.dst_port_category == "Metasploit" and r.risk_score == 100 for r in net)
     win = [r for r in out if r.source_type == "windows"]
     # three sequences are complete, one second apart: the first alert holds back the others
-    assert [(r.hostname, r.event_id) for r in win] == [("DC01", 4624)]
+    assert [(r.hostname, r.event_id) for r in win] == [("HUB-A", 4624)]
 
 
 # --- XML, JSON, tables ------------------------------------------------------------------------------
@@ -373,7 +373,7 @@ def test_packets_and_xml_to_alerts(spark):
 NS = f'xmlns="{L.EVENT_XML_NS}"'
 
 
-def event_xml(eid="<EventID>4624</EventID>", time='<TimeCreated SystemTime="2024-01-01T10:00:00.5Z"/>', data="", computer="<Computer>DC01</Computer>"):
+def event_xml(eid="<EventID>4624</EventID>", time='<TimeCreated SystemTime="2024-01-01T10:00:00.5Z"/>', data="", computer="<Computer>HUB-A</Computer>"):
     return f"<Event {NS}><System>{eid}{time}{computer}</System><EventData>{data}</EventData></Event>"
 
 
@@ -427,7 +427,7 @@ def test_json_messages(spark):
 def test_bounded_read_takes_the_earliest(spark):
     path = work_dir(spark, "topic")
     spark.range(100).select(F.format_string('{"alert_id":"%03d"}', 99 - F.col("id"))).write.text(path)
-    got = tables.read_bounded(spark, schemas.ACTIONS, "text", path, limit=5, order=[F.col("alert_id")])
+    got = tables.read_bounded(spark, schemas.ACTIONS, 5, "text", path, order=[F.col("alert_id")])
     assert [r.alert_id for r in got.collect()] == ["000", "001", "002", "003", "004"]
 
 
