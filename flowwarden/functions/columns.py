@@ -34,6 +34,11 @@ def as_json(row: Column) -> Column:
     return F.to_json(row, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"})
 
 
+def untimed(df, ts: str = "ts"):
+    """The rows without a time: those that sequences, deduplication, rate limits and hit counts leave aside."""
+    return df.filter(F.col(ts).isNull())
+
+
 def cell_start(us: Column, width_us: int) -> Column:
     """Start of the fixed cell a time falls into, in whole-number arithmetic."""
     return us - F.pmod(us, F.lit(int(width_us)).cast("bigint"))
@@ -162,6 +167,11 @@ def risk_points(severity, anomaly_score, src_bad, dst_bad, dst_port) -> Column:
     return F.least(base + score_part + bad + port, F.lit(100)).cast("int")
 
 
+def title(severity: Column, description: Column, width: int = 80) -> Column:
+    """``[HIGH] what happened``, cut to ``width`` characters."""
+    return F.substring(F.concat(F.lit("["), F.upper(severity), F.lit("] "), F.coalesce(description, F.lit(""))), 1, width)
+
+
 def alert_description(source_type: str, severity: Column) -> Column:
     def v(name):
         return F.coalesce(F.col(name).cast("string"), F.lit("?"))

@@ -107,7 +107,7 @@ def hit_count(alerts: DataFrame, reset_s: float = HIT_RESET_S, legacy: bool = Fa
     """
     reset_us = int(reset_s * 1_000_000)
     us = F.coalesce(C.micros(F.col("ts")), F.lit(0).cast("bigint"))
-    rows = alerts.withColumns({"source_key": source_key(legacy), "_us": us, "_cell": C.cell_start(us, reset_us)})
+    rows = alerts.filter(F.col("ts").isNotNull()).withColumns({"source_key": source_key(legacy), "_us": us, "_cell": C.cell_start(us, reset_us)})
     cells = rows.groupBy("source_key", "_cell").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n")
     )

@@ -121,9 +121,9 @@ def open_windows(
     """
     width = int(width_s * 1_000_000)
     chunk = max(int(chunk_s * 1_000_000), width)
-    # neither side of the joins below can be null: a row without a time counts as time 0
+    # neither side of the joins below can be null: rows without a time take no part
     us = F.coalesce(C.micros(F.col(ts)), F.lit(0).cast("bigint"))
-    rows = df.withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_us": us, "_chunk": C.cell_start(us, chunk)})
+    rows = df.filter(F.col(ts).isNotNull()).withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_us": us, "_chunk": C.cell_start(us, chunk)})
     times = rows.groupBy("_key", "_chunk").agg(F.sort_array(F.collect_set("_us")).alias("_times"))
     steps = _steps_udf(width, chunk)("_times").alias("s")
     tables = times.join(_walked(times, width, chunk), ["_key", "_chunk"]).select("_key", "_chunk", steps).select("_key", "_chunk", "s.*")

@@ -120,6 +120,11 @@ def is_attack(df: DataFrame, label_col: str | None = None) -> Column:
     return attack_points(df.columns) >= 2
 
 
+def flag_attack(df: DataFrame, label_col: str | None = None, out: str = "attack") -> DataFrame:
+    """The rows with a flag; one scan serves both sides."""
+    return df.withColumn(out, is_attack(df, label_col))
+
+
 def split_normal_attack(df: DataFrame, label_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     attack = is_attack(df, label_col)
     return df.filter(~attack), df.filter(attack)

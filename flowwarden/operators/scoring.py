@@ -18,8 +18,6 @@ from flowwarden.operators.quantiles import exact_quantiles
 
 DEFAULT_THRESHOLD = 0.05
 PERCENTILE = 0.95
-# above this width the projection is a matrix product on Arrow batches instead of column arithmetic
-EXPRESSION_DIM = 32
 
 
 @dataclass(frozen=True)
@@ -83,11 +81,15 @@ def _batch_score(model: Model):
     return mse
 
 
-def score(df: DataFrame, model: Model, vec: str = "features", out: str = "raw_score") -> DataFrame:
-    """Mean squared reconstruction error of a vector, or of a sequence of vectors taken as one."""
+def score(df: DataFrame, model: Model, vec: str = "features", out: str = "raw_score", engine: str | None = None) -> DataFrame:
+    """Mean squared reconstruction error of a vector, or of a sequence of vectors taken as one.
+
+    ``engine``: ``columns`` is plain column arithmetic in generated code, for narrow vectors; ``batches`` a matrix
+    product on Arrow batches, for wide ones. By default sequences take the second.
+    """
     nested = df.schema[vec].dataType.elementType.typeName() == "array"
     flat = F.flatten(F.col(vec)) if nested else F.col(vec)
-    if model.dim <= EXPRESSION_DIM:
+    if (engine or ("batches" if nested else "columns")) == "columns":
         return _expression_score(df.withColumn("_x", flat), model, "_x", out)
     return df.withColumn(out, _batch_score(model)(flat))
 
@@ -170,5 +172,11 @@ def time_split(df: DataFrame, share: float = 0.8, ts: str = "ts") -> tuple[DataF
 
 def hash_split(df: DataFrame, id_col: str, share: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """A split by id, free of any order and stable when rows are added."""
-    first = F.pmod(F.xxhash64(id_col), F.lit(10_000)) < int(share * 10_000)
+    first = in_share(F.col(id_col), share)
     return df.filter(first), df.filter(~first)
+
+
+def in_share(key: Column, share: float) -> Column:
+    """Whether a key falls into a share of all keys, by a hash that other engines have as well. A null key does not."""
+    draw = F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long") % 10_000
+    return F.coalesce(draw < int(share * 10_000), F.lit(False))

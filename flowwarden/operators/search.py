@@ -79,6 +79,24 @@ def page(df: DataFrame, order: list[Column], page: int = 1, size: int = 20) -> D
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 
+def page_after(df: DataFrame, keys: list[tuple[str, bool]], after: tuple | None = None, size: int = 20) -> DataFrame:
+    """The page behind the row whose key values are ``after`` (None: the first page), however deep.
+
+    ``keys`` are (column, descending), the last one unique; they order the rows, and a row is behind if it differs
+    first in a key that comes later. Only one page is ever held, and the bound is pushed to the scan.
+    """
+    if not 1 <= size <= 100:
+        raise ValueError("size is 1 to 100")
+    if after is not None:
+        behind, same = F.lit(False), F.lit(True)
+        for (name, descending), value in zip(keys, after, strict=True):
+            c, v = F.col(name), F.lit(value)
+            behind = behind | (same & ((c < v) if descending else (c > v)))
+            same = same & (c == v)
+        df = df.filter(behind)
+    return df.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in keys]).limit(size)
+
+
 def by_time(id_col: str) -> list[Column]:
     return [F.desc("ts"), F.asc(id_col)]
 
@@ -92,9 +110,14 @@ def page_counts(df: DataFrame, size: int = 20) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("total")).withColumn("pages", F.ceil(F.col("total") / size))
 
 
+def alert_by_id(df: DataFrame, alert_id: str) -> DataFrame:
+    """The alert, or no row."""
+    return df.filter(F.col("alert_id") == alert_id).limit(1)
+
+
 def get_alert(df: DataFrame, alert_id: str):
     """The alert's row; KeyError if there is none."""
-    row = df.filter(F.col("alert_id") == alert_id).limit(1).first()
+    row = alert_by_id(df, alert_id).first()
     if row is None:
         raise KeyError(alert_id)
     return row

@@ -28,9 +28,10 @@ def host_sequences(
 ) -> DataFrame:
     """Add ``out``: the vectors of the host's last ``n`` events up to this one, null before the n-th.
 
-    Order within a host is by time, then id.
+    Order within a host is by time, then id. Events without a time have no place in it and take no part
+    (``columns.untimed`` gives them), here as in the stream.
     """
-    rows = df.withColumns({
+    rows = df.filter(F.col(ts).isNotNull()).withColumns({
         "_host": F.coalesce(F.col(host), F.lit("unknown")),
         "_bucket": C.cell_start(C.micros(F.col(ts)), bucket_s * 1_000_000),
     })

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from flowwarden import lookups as L
+
 FLOW_TERMS = {"severity": 10, "protocol": 10, "src_ip": 10, "dst_port": 10}
 EVENT_TERMS = {"severity": 10, "event_id": 10, "computer": 10, "user": 10, "mitre_tactic": 10}
 ALERT_TERMS = {"severity": 10, "source_type": 5, "status": 5, "mitre_tactic": 10, "src_ip": 10}
@@ -110,47 +112,72 @@ def merged_tactics(*counts: DataFrame, n: int = 8) -> DataFrame:
     )
 
 
-def _figures(df: DataFrame, section: str, values: dict[str, Column]) -> DataFrame:
-    row = df.agg(*[v.cast("double").alias(k) for k, v in values.items()])
-    pairs = [F.struct(F.lit(k).alias("key"), F.col(k).alias("value")) for k in values]
-    return row.select(F.inline(F.array(*pairs))).select(F.lit(section).alias("section"), F.lit("figure").alias("dim"), "key", "value")
-
-
-def _listed(df: DataFrame, section: str, dims: dict[str, int]) -> DataFrame:
-    return all_terms(df, dims).select(F.lit(section).alias("section"), "dim", "key", F.col("cnt").cast("double").alias("value"))
+def _document(
+    df: DataFrame, section: str, figures: dict[str, tuple[Column, str, int]], dims: dict[str, int], whole: dict[str, Column] | None = None
+) -> DataFrame:
+    """Figures and lists in long form (section, dim, key, value), by one scan and one shuffle.
 
+    Each row becomes one (dim, key, number) for each figure and each listed column, which the map side adds up.
+    A figure is the ``sum`` or the ``mean`` of its numbers, rounded. The top of each of ``dims`` is cut per
+    partition before rows meet; ``whole`` names lists that are given in full. Without rows figures are 0.
+    """
 
-def _anomaly_figures() -> dict[str, Column]:
-    total, bad = F.count(F.lit(1)), F.count_if("is_anomaly")
+    def entry(dim, key, number, n):
+        return F.struct(F.lit(dim).alias("dim"), key.cast("string").alias("key"), number.cast("double").alias("x"), n.cast("long").alias("n"))
+
+    one = F.lit(1)
+    entries = [entry("figure", F.lit(k), x, F.when(x.isNotNull(), 1).otherwise(0)) for k, (x, _, _) in figures.items()]
+    entries += [entry(d, F.col(d), one, one) for d in dims] + [entry(d, c, one, one) for d, c in (whole or {}).items()]
+    none = F.array(*[entry("figure", F.lit(k), F.lit(0.0), F.lit(0)) for k in figures])
+    rows = df.select(F.inline(F.array(*entries))).unionAll(df.sparkSession.range(1).select(F.inline(none)))
+    sums = rows.filter(F.col("key").isNotNull()).groupBy("dim", "key").agg(
+        F.coalesce(F.sum("x"), F.lit(0.0)).alias("x"), F.sum("n").alias("n"))
+    value = F.col("x")
+    for k, (_, kind, digits) in figures.items():
+        made = F.col("x") / F.greatest("n", F.lit(1)) if kind == "mean" else F.col("x")
+        value = F.when((F.col("dim") == "figure") & (F.col("key") == k), F.round(made, digits)).otherwise(value)
+    # a list given in full is ranked by itself, so that one limit serves all
+    group = F.when(F.col("dim").isin(list(dims)), F.col("dim")).otherwise(F.concat_ws("|", "dim", "key"))
+    w = Window.partitionBy("_group").orderBy(F.desc("x"), F.asc("key"))
+    ranked = sums.withColumn("_group", group).withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= max(dims.values()))
+    limit = reduce(lambda acc, d: acc.when(F.col("dim") == d, dims[d]), dims, F.when(F.lit(False), 0)).otherwise(1)
+    return ranked.filter(F.col("_r") <= limit).select(F.lit(section).alias("section"), "dim", "key", value.alias("value"))
+
+
+def _anomaly_figures() -> dict[str, tuple[Column, str, int]]:
+    bad = F.when(F.col("is_anomaly"), 1.0).otherwise(0.0)
     return {
-        "total_events": total,
-        "total_anomalies": bad,
-        "anomaly_rate_pct": F.round(bad / F.greatest(total, F.lit(1)) * 100, 2),
+        "total_events": (F.lit(1.0), "sum", 0),
+        "total_anomalies": (bad, "sum", 0),
+        "anomaly_rate_pct": (bad * 100, "mean", 2),
     }
 
 
 def flow_stats(df: DataFrame) -> DataFrame:
     """Statistics of flows in long form (section, dim, key, value)."""
-    mean = F.round(F.coalesce(F.avg("anomaly_score"), F.lit(0.0)), 4)
-    figures = _figures(df, "network", {**_anomaly_figures(), "avg_anomaly_score": mean})
-    return figures.unionByName(_listed(df, "network", FLOW_TERMS))
+    return _document(df, "network", {**_anomaly_figures(), "avg_anomaly_score": (F.col("anomaly_score"), "mean", 4)}, FLOW_TERMS)
 
 
 def event_stats(df: DataFrame) -> DataFrame:
-    return _figures(df, "windows", _anomaly_figures()).unionByName(_listed(df, "windows", EVENT_TERMS))
+    return _document(df, "windows", _anomaly_figures(), EVENT_TERMS)
 
 
 def alert_stats(df: DataFrame) -> DataFrame:
-    figures = _figures(df, "alerts", {
-        "total_alerts": F.count(F.lit(1)),
-        "open_alerts": F.count_if(F.col("status") == "open"),
-        "critical_alerts": F.count_if(F.col("severity") == "critical"),
-        "avg_risk_score": F.round(F.coalesce(F.avg("risk_score"), F.lit(0.0)), 1),
-    })
-    hours = hourly(df).select(
-        F.lit("alerts").alias("section"),
-        F.lit("alerts_over_time").alias("dim"),
-        F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("key"),
-        F.col("cnt").cast("double").alias("value"),
-    )
-    return figures.unionByName(_listed(df, "alerts", ALERT_TERMS)).unionByName(hours)
+    def count(c):
+        return F.when(c, 1.0).otherwise(0.0), "sum", 0
+
+    figures = {
+        "total_alerts": (F.lit(1.0), "sum", 0),
+        "open_alerts": count(F.col("status") == "open"),
+        "critical_alerts": count(F.col("severity") == "critical"),
+        "avg_risk_score": (F.col("risk_score"), "mean", 1),
+    }
+    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    return _document(df, "alerts", figures, ALERT_TERMS, {"alerts_over_time": hour})
+
+
+def severity_counts(df: DataFrame) -> DataFrame:
+    """(severity, cnt) in the order of the scale, without those of no rows."""
+    counts = df.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in L.SEVERITIES])
+    pairs = [F.struct(F.lit(s).alias("severity"), F.col(s).alias("cnt")) for s in L.SEVERITIES]
+    return counts.select(F.inline(F.array(*pairs))).filter("cnt > 0")

@@ -6,6 +6,7 @@ import warnings
 from dataclasses import replace
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from flowwarden.operators import scoring
 from flowwarden.operators.alerts import make_alerts, process_alerts, union_alerts
@@ -21,6 +22,17 @@ MIN_EVENTS = 50
 MIN_SEQUENCES = 20
 
 
+def gate(rows: DataFrame, least: int) -> DataFrame:
+    """(n, enough): rows to train on, and whether they reach ``least``."""
+    return rows.agg(F.count(F.lit(1)).alias("n")).withColumn("enough", F.col("n") >= least)
+
+
+def _pass(rows: DataFrame, least: int, what: str) -> None:
+    n, enough = gate(rows, least).first()
+    if not enough:
+        raise ValueError(f"{n} normal {what}, {least} needed")
+
+
 def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_col: str | None = None) -> Model:
     """Fit on normal flows: scaler on all of them, directions and threshold on the first 80% in time.
 
@@ -28,9 +40,7 @@ def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_c
     """
     normal, _ = split_normal_attack(flows, label_col)
     vectors = stage(flow_features(normal).select("ts", "features"), "vectors")
-    n = vectors.count()
-    if n < min_rows:
-        raise ValueError(f"{n} normal flows, {min_rows} needed")
+    _pass(vectors, min_rows, "flows")
     scaler = fit_scaler(vectors)
     train, _ = time_split(apply_scaler(vectors, scaler))
     return scoring.fit_reconstruction(train, k=k, name="flows", scaler=scaler)
@@ -39,9 +49,7 @@ def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_c
 def train_sequences(events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32, label_col: str | None = None) -> Model:
     """Fit on sequences built from normal events only."""
     normal, _ = split_normal_attack(events, label_col)
-    n = normal.count()
-    if n < min_rows:
-        raise ValueError(f"{n} normal events, {min_rows} needed")
+    _pass(normal, min_rows, "events")
     narrow = event_features(normal).select("event_uid", "computer", "ts", "features")
     sequences = stage(complete(host_sequences(narrow)).select("ts", "seq"), "sequences")
     m = sequences.count()

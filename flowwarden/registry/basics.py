@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -253,6 +254,39 @@ def _(spark, sf):
     return tables.latest(spark.read.parquet(path)).select("_id", "severity", "status")
 
 
+@query("s6_late_version", f"""WITH {V.NET_FLOWS} SELECT flow_id AS _id, 'new' AS state FROM net_flows""")
+def _(spark, sf):
+    """An older version that arrives after compaction does not win either."""
+    f = V.net_flows(spark, sf).select("flow_id", F.col("ts").cast("timestamp").alias("ts"))
+    path, compacted = work_dir(spark, "versions"), work_dir(spark, "versions-compacted")
+    tables.upsert(f.withColumn("state", F.lit("new")), path, "flow_id", F.lit(7))
+    tables.compact(spark, path, compacted)
+    tables.upsert(f.withColumn("state", F.lit("old")), compacted, "flow_id", F.lit(3))
+    return tables.latest(spark.read.parquet(compacted)).select("_id", "state")
+
+
+@query("s6_one_day", f"""WITH {V.NET_FLOWS} SELECT flow_id AS _id, src_ip FROM net_flows WHERE cast(ts AS date) = date '2024-01-02'""")
+def _(spark, sf):
+    """One current day of the upserted table; only its folder is read."""
+    path = work_dir(spark, "days")
+    f = V.net_flows(spark, sf).select("flow_id", F.col("ts").cast("timestamp").alias("ts"), "src_ip")
+    tables.upsert(f, path, "flow_id", F.lit(1))
+    tables.upsert(f, path, "flow_id", F.lit(2))
+    day = F.col("event_date") == F.lit(dt.date(2024, 1, 2))
+    return tables.latest(spark.read.parquet(path)).filter(day).select("_id", "src_ip")
+
+
+@query("s5_fractions_of_seconds", f"""WITH {V.NET_FLOWS} SELECT flow_id, epoch_us(ts) + bytes_sent % 1000000 AS us FROM net_flows""")
+def _(spark, sf):
+    """Times go through JSON with their microseconds."""
+    us = C.micros(F.col("ts")) + F.col("bytes_sent") % 1_000_000
+    f = V.net_flows(spark, sf).withColumn("ts", F.timestamp_micros(us))
+    path = work_dir(spark, "fractions")
+    tables.write_json(f, "flow_id", "json", path)
+    back = tables.parse_json(spark.read.schema("key string, value string").json(path), schemas.NET_FLOWS)
+    return back.select("flow_id", C.micros(F.col("ts")).alias("us"))
+
+
 @query("s9_typed_scan", f"""WITH {V.NET_FLOWS} SELECT cast(cast(ts AS date) AS varchar) AS event_date, protocol, count(*) AS cnt,
   cast(sum(bytes_total) AS bigint) AS bytes, count(*) FILTER (list_contains(tcp_flags, 'SYN')) AS syn FROM net_flows
 WHERE ts >= timestamp '2024-01-02' GROUP BY 1, 2""")
@@ -409,7 +443,7 @@ def _(spark, sf):
 @query("f4_point_lookup", f"""WITH {V.ALERTS} SELECT alert_id, cast(ts AS varchar) AS ts, severity FROM alerts
 WHERE alert_id = md5('a17')""")
 def _(spark, sf):
-    return V.alerts(spark, sf).filter(F.col("alert_id") == F.md5(F.lit("a17"))).select("alert_id", "ts", "severity")
+    return search.alert_by_id(V.alerts(spark, sf), hashlib.md5(b"a17").hexdigest()).select("alert_id", "ts", "severity")
 
 
 @query("f5_event_id_allow_list", f"""WITH {V.WIN_EVENTS} SELECT event_id, count(*) AS cnt FROM win_events
@@ -431,14 +465,19 @@ def _(spark, sf):
     labelled = f.withColumn("_is_attack", F.col("dst_port") == 22)
     out = None
     for what, df in (("flows", f), ("events", e), ("labelled", labelled)):
-        for attack, part in zip((False, True), features.split_normal_attack(df)):
-            one = part.agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(what).alias("what"), F.lit(attack).alias("attack"), "cnt")
-            out = one if out is None else out.unionAll(one)
+        one = features.flag_attack(df).groupBy("attack").agg(F.count(F.lit(1)).alias("cnt")).select(F.lit(what).alias("what"), "attack", "cnt")
+        out = one if out is None else out.unionAll(one)
     return out
 
 
 @query("u3_complement_split", f"""WITH {V.NET_FLOWS} SELECT flow_id, {_POINTS} >= 2 AS attack FROM net_flows""")
 def _(spark, sf):
+    return features.flag_attack(V.net_flows(spark, sf)).select("flow_id", "attack")
+
+
+@query("u3_both_sides", f"""WITH {V.NET_FLOWS} SELECT flow_id, {_POINTS} >= 2 AS attack FROM net_flows""")
+def _(spark, sf):
+    """The two sides as tables of their own lose and repeat no row."""
     normal, attack = features.split_normal_attack(V.net_flows(spark, sf))
     return normal.select("flow_id", F.lit(False).alias("attack")).unionAll(attack.select("flow_id", F.lit(True)))
 
@@ -598,7 +637,9 @@ def _(spark, sf):
 
 @query("x11_stable_alert_id", f"""WITH {V.NET_FLOWS} SELECT flow_id, md5(flow_id || '|network') AS alert_id FROM net_flows""")
 def _(spark, sf):
-    return V.net_flows(spark, sf).select("flow_id", F.md5(F.concat_ws("|", "flow_id", F.lit("network"))).alias("alert_id"))
+    scored = V.net_flows(spark, sf).withColumns({"is_anomaly": F.lit(True), "anomaly_score": F.lit(1.0), "severity": F.lit("low")})
+    made = A.make_alerts(scored, "network")
+    return made.select(F.get_json_object("raw_event", "$.flow_id").alias("flow_id"), "alert_id")
 
 
 @query("x12_short_numbers", f"""WITH {V.NET_FLOWS}, x AS (SELECT flow_id, bytes_total AS n FROM net_flows)
@@ -619,5 +660,5 @@ def _(spark, sf):
 @query("x14_titles", f"""WITH {V.ALERTS} SELECT alert_id, left('[' || upper(severity) || '] ' || mitre_tactic || ' ' || repeat(source_type, 12), 80) AS title
 FROM alerts""")
 def _(spark, sf):
-    title = F.concat(F.lit("["), F.upper("severity"), F.lit("] "), F.col("mitre_tactic"), F.lit(" "), F.repeat("source_type", 12))
-    return V.alerts(spark, sf).select("alert_id", F.substring(title, 1, 80).alias("title"))
+    a = V.alerts(spark, sf).withColumn("description", F.concat("mitre_tactic", F.lit(" "), F.repeat("source_type", 12)))
+    return a.select("alert_id", C.title(F.col("severity"), F.col("description")).alias("title"))

@@ -246,6 +246,20 @@ def _(spark, sf):
     return _sequences(spark, sf).select("event_uid", "computer", *_totals(F.col("seq")))
 
 
+UNTIMED_SEQUENCES = SEQUENCES.replace("FROM evec", "FROM (SELECT * FROM evec WHERE event_id <> 4999)")
+
+
+def untimed_events(spark, sf):
+    """Events of which one kind has lost its time."""
+    return V.win_events(spark, sf).withColumn("ts", F.when(F.col("event_id") != 4999, F.col("ts")))
+
+
+@query("w1_untimed", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, {UNTIMED_SEQUENCES} SELECT event_uid, computer, {_TOTALS} FROM seqs WHERE rn >= 10""")
+def _(spark, sf):
+    s = complete(host_sequences(FE.event_features(untimed_events(spark, sf)).select("event_uid", "computer", "ts", "features")))
+    return s.select("event_uid", "computer", *_totals(F.col("seq")))
+
+
 @query("m4_training_sequences", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, ne AS (SELECT * FROM evec WHERE event_id NOT IN (4625, 7045, 1102)),
 {SEQUENCES.replace('FROM evec', 'FROM ne')} SELECT event_uid, computer, {_TOTALS} FROM seqs WHERE rn >= 10""")
 def _(spark, sf):
@@ -336,12 +350,23 @@ def _(spark, sf):
     return train.select("flow_id", F.lit(True).alias("train")).unionAll(rest.select("flow_id", F.lit(False)))
 
 
-@query("w4_hash_split")
+@query("w4_hash_split", f"""WITH {V.NET_FLOWS} SELECT flow_id, ('0x' || substr(md5(flow_id), 1, 8))::BIGINT % 10000 < 8000 AS train FROM net_flows""")
 def _(spark, sf):
     train, rest = S.hash_split(V.net_flows(spark, sf), "flow_id")
     return train.select("flow_id", F.lit(True).alias("train")).unionAll(rest.select("flow_id", F.lit(False)))
 
 
+@query("m6_two_feature_direction", f"""WITH {V.NET_FLOWS}, x AS (SELECT bytes_sent / 1000.0::double AS a, bytes_recv / 1000.0::double AS b FROM net_flows),
+c AS (SELECT var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM x),
+e AS (SELECT *, (aa + bb + sqrt((aa - bb) * (aa - bb) + 4 * ab * ab)) / 2 AS lead FROM c)
+SELECT round(abs(ab / sqrt(ab * ab + (lead - aa) * (lead - aa))), 5) AS first, round(abs((lead - aa) / sqrt(ab * ab + (lead - aa) * (lead - aa))), 5) AS second FROM e""")
+def _(spark, sf):
+    """The leading direction of two features has a closed form."""
+    x = V.net_flows(spark, sf).select(F.array(F.col("bytes_sent") / 1000.0, F.col("bytes_recv") / 1000.0).alias("features"))
+    w = S.fit_reconstruction(x, k=1).components[0]
+    return spark.range(1).select(F.round(F.lit(abs(w[0])), 5).alias("first"), F.round(F.lit(abs(w[1])), 5).alias("second"))
+
+
 @query("m7_train_threshold", f"""WITH {SCORED_FLOWS}, n AS (SELECT * FROM raw WHERE NOT attack),
 c AS (SELECT quantile_cont(epoch_us(ts)::double, 0.8) AS cut FROM n)
 SELECT round(quantile_cont(raw_score, 0.95), 4) AS threshold FROM n, c WHERE epoch_us(ts) <= cut""")
@@ -385,8 +410,7 @@ UNION ALL SELECT 'events', count(*), count(*) >= 50 FROM win_events WHERE event_
 def _(spark, sf):
     out = None
     for what, df, least in (("flows", V.net_flows(spark, sf), jobs.MIN_FLOWS), ("events", V.win_events(spark, sf), jobs.MIN_EVENTS)):
-        n = FE.split_normal_attack(df)[0].agg(F.count(F.lit(1)).alias("normal"))
-        one = n.select(F.lit(what).alias("what"), "normal", (F.col("normal") >= least).alias("enough"))
+        one = jobs.gate(FE.split_normal_attack(df)[0], least).select(F.lit(what).alias("what"), F.col("n").alias("normal"), "enough")
         out = one if out is None else out.unionAll(one)
     return out
 

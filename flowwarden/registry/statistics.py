@@ -178,10 +178,7 @@ def _(spark, sf):
   (SELECT count(*) FROM alerts WHERE severity = list_extract(['none','low','medium','high','critical'], i) AND mitre_tactic <> 'unknown') AS cnt FROM range(1, 6) r(i))
 SELECT severity, cnt FROM c WHERE cnt > 0""")
 def _(spark, sf):
-    a = V.alerts(spark, sf).filter(F.col("mitre_tactic") != "unknown")
-    counts = a.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in L.SEVERITIES])
-    pairs = [F.struct(F.lit(s).alias("severity"), F.col(s).alias("cnt")) for s in L.SEVERITIES]
-    return counts.select(F.inline(F.array(*pairs))).filter("cnt > 0")
+    return ST.severity_counts(V.alerts(spark, sf).filter(F.col("mitre_tactic") != "unknown"))
 
 
 @query("a16_total_and_pages", f"WITH {V.NET_FLOWS} SELECT count(*) AS total, cast(ceil(count(*) / 20) AS bigint) AS pages FROM net_flows WHERE protocol = 'TCP'")
@@ -194,6 +191,14 @@ def _(spark, sf):
     return search.page(V.net_flows(spark, sf), search.by_time("flow_id"), page=3).select("flow_id", "ts", "src_ip")
 
 
+@query("t2_page_after", f"WITH {V.NET_FLOWS} SELECT flow_id, cast(ts AS varchar) AS ts, src_ip FROM net_flows ORDER BY net_flows.ts DESC, flow_id LIMIT 20 OFFSET 20")
+def _(spark, sf):
+    f = V.net_flows(spark, sf)
+    keys = [("ts", True), ("flow_id", False)]
+    last = search.page_after(f, keys).orderBy(F.asc("ts"), F.desc("flow_id")).select("ts", "flow_id").first()
+    return search.page_after(f, keys, tuple(last)).select("flow_id", "ts", "src_ip")
+
+
 @query("t5_severity_order", f"""WITH {V.ALERTS} SELECT severity, cast(list_position(['none','low','medium','high','critical'], severity) AS int) AS rank, count(*) AS cnt FROM alerts GROUP BY 1, 2""")
 def _(spark, sf):
     a = V.alerts(spark, sf)

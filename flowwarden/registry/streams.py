@@ -20,7 +20,7 @@ from flowwarden.registry.alerts import _FINAL, CHAIN, _final
 from flowwarden.registry.base import query
 from flowwarden.registry.models import (
     _FLOW_COLS, _TOTALS, EVENT_MODEL, EVENT_VECTORS, FLOW_MODEL, FLOWS_SQL, RAW_THRESHOLD, SCORED_EVENTS, SCORED_FLOWS,
-    SEQUENCES, _slot, _totals,
+    SEQUENCES, UNTIMED_SEQUENCES, _slot, _totals, untimed_events,
 )
 from flowwarden.session import work_dir
 from flowwarden.sources.tables import latest
@@ -28,10 +28,11 @@ from flowwarden.streaming import jobs
 from flowwarden.streaming.state import alert_chain_stream, dispositions_stream, host_sequences_stream
 
 PARTS = 2
+FILES = 4
 
 
 def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = None) -> DataFrame:
-    """The table as a stream: written in parts by time, one file set per micro-batch.
+    """The table as a stream: written in parts by time, each by several tasks, one part to a micro-batch.
 
     ``flush`` gives the columns of one closing row two days after the last, which moves the watermark
     past everything before, as the end of a capture file does. It has to pass the query's filters, as
@@ -42,14 +43,14 @@ def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = Non
     ends = rows.agg(F.min(C.micros(F.col("ts"))).alias("a"), F.max(C.micros(F.col("ts"))).alias("b")).first()
     part = F.least(F.floor((C.micros(F.col("ts")) - ends["a"]) * PARTS / (ends["b"] - ends["a"] + 1)), F.lit(PARTS - 1))
     for i in range(PARTS):
-        rows.filter(part == i).coalesce(1).write.mode("append").parquet(path)
+        rows.filter(F.coalesce(part, F.lit(0)) == i).repartition(FILES).write.mode("append").parquet(path)
     if flush is not None:
         values = {"ts": F.timestamp_micros(F.lit(ends["b"] + 2 * 86_400_000_000)), **{k: F.lit(v) for k, v in flush.items()}}
         closing = spark.range(1).select(*[
             (values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields
         ])
-        closing.coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        closing.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
 def run(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -102,6 +103,14 @@ def _(spark, sf):
     return s.filter("seq IS NOT NULL").select("event_uid", "computer", *_totals(F.col("seq")))
 
 
+@query("st1_untimed_stream", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, {UNTIMED_SEQUENCES} SELECT event_uid, computer, {_TOTALS} FROM seqs WHERE rn >= 10""")
+def _(spark, sf):
+    """Events without a time in a stream: they take no part and stop nothing."""
+    e = feed(spark, untimed_events(spark, sf).drop("ts0"), "events", {"computer": "flush", "event_uid": "flush"})
+    s = run(host_sequences_stream(FE.event_features(e).select("event_uid", "computer", "ts", "features")), "sequences")
+    return s.filter("seq IS NOT NULL").select("event_uid", "computer", *_totals(F.col("seq")))
+
+
 def _alert_feed(spark, sf):
     return feed(spark, V.alerts(spark, sf), "alerts", {"alert_id": "flush", "src_ip": "flush", "source_type": "network"})
 

@@ -210,7 +210,7 @@ def host_sequences_stream(
     use_rocksdb(df.sparkSession)
     # "vec" travels as itself, the rest as payload
     rest = df.drop(vec)
-    rows = df.withWatermark("ts", watermark).select(
+    rows = df.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark).select(
         "ts", F.coalesce("computer", F.lit("unknown")).alias("host"), C.micros(F.col("ts")).alias("us"),
         F.col("event_uid").alias("uid"), F.col(vec).alias("vec"), _payload(rest))
     out = rows.groupBy("host").transformWithStateInPandas(
@@ -232,7 +232,7 @@ def dispositions_stream(
     With ``legacy`` all alerts without an address share one source, as in batch.
     """
     use_rocksdb(alerts.sparkSession)
-    rows = alerts.withWatermark("ts", watermark).select(
+    rows = alerts.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark).select(
         "ts", A.source_key(legacy).alias("source_key"), C.micros(F.col("ts")).alias("us"), "alert_id",
         A.dedup_key().alias("dedup_key"), _payload(alerts))
     second = 1_000_000

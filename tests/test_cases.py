@@ -529,3 +529,116 @@ def test_port_scan_needs_syn_only(spark):
     rows = [("a", "b", at(i), i, ["SYN"]) for i in range(50)] + [("c", "b", at(i), i, ["SYN", "ACK"]) for i in range(50)]
     df = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, dst_port int, tcp_flags array<string>")
     assert [(r.src_ip, r.ports) for r in detectors.port_scan(df).collect()] == [("a", 50)]
+
+
+# --- edges: missing times, zones, versions, repeated keys, plans --------------------------------------
+
+
+def test_ids_do_not_collide_or_follow_the_zone(spark):
+    rows = spark.createDataFrame(
+        [(at(0), 1, "a", None), (at(0), 1, None, "a"), (None, 1, "a", "x"), (None, 1, "a", "y")],
+        "ts timestamp, event_id int, computer string, user string")
+    uid = C.event_uid(F.col("ts"), F.col("event_id"), F.col("computer"), F.col("user"))
+    found = []
+    for zone in ("UTC", "Asia/Tokyo"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            found.append([r[0] for r in rows.select(uid).collect()])
+            hours = spark.range(1).select(F.timestamp_micros(F.lit(23 * 3_600_000_000)).alias("ts")).select(
+                C.utc_hour(F.col("ts")), C.utc_date(F.col("ts")).cast("string"), C.utc_weekday(F.col("ts"))).first()
+            assert tuple(hours) == (23, "1970-01-01", 3)
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert found[0] == found[1] and len(set(found[0])) == 4
+
+
+def test_events_without_a_time_keep_ids_of_their_own(spark):
+    def xml(ip):
+        return f"<Event {NS}><System><EventID>4624</EventID></System><EventData><Data Name='IpAddress'>{ip}</Data></EventData></Event>"
+
+    got = parse_event_xml(xml_df(spark, xml("10.0.0.1"), xml("10.0.0.2"))).collect()
+    assert len({r.event_uid for r in got}) == 2
+
+
+def test_untimed_rows_take_no_part(spark):
+    df = spark.createDataFrame([(at(i), "h", f"u{i:02}", [float(i)]) for i in range(12)] + [(None, "h", "x", [-1.0])],
+                               "ts timestamp, computer string, event_uid string, features array<float>")
+    got = host_sequences(df).collect()
+    assert len(got) == 12 and all([-1.0] not in (r.seq or []) for r in got)
+    assert [r.event_uid for r in C.untimed(df).collect()] == ["x"]
+
+
+def test_json_keeps_microseconds(spark):
+    moment = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
+    df = spark.createDataFrame([("a", moment)], "alert_id string, ts timestamp")
+    assert [r.ts for r in tables.parse_json(tables.to_messages(df, "alert_id"), schemas.ACTIONS).collect()] == [moment]
+
+
+def test_versions_outlive_compaction(spark):
+    path, new = work_dir(spark, "v"), work_dir(spark, "v2")
+    row = spark.createDataFrame([("a", at(0), "new")], "id string, ts timestamp, v string")
+    tables.upsert(row, path, "id", F.lit(7))
+    tables.compact(spark, path, new)
+    tables.upsert(row.withColumn("v", F.lit("old")), new, "id", F.lit(3))
+    assert [r.v for r in tables.latest(spark.read.parquet(new)).collect()] == ["new"]
+
+
+def test_rows_without_an_id_are_not_doubled_by_a_repeated_write(spark):
+    path = work_dir(spark, "w")
+    rows = spark.createDataFrame([(None, at(0), 1), (None, at(0), 2)], "id string, ts timestamp, v int")
+    for _ in range(2):
+        tables.upsert(rows, path, "id", F.lit(1))
+    assert sorted(r.v for r in tables.latest(spark.read.parquet(path)).collect()) == [1, 2]
+
+
+def test_latest_of_a_day_reads_that_day(spark):
+    path = work_dir(spark, "days")
+    tables.upsert(spark.createDataFrame([("a", at(0)), ("b", at(200_000))], "id string, ts timestamp"), path, "id", F.lit(1))
+    day = tables.latest(spark.read.parquet(path)).filter(F.col("event_date") == F.lit(dt.date(2024, 1, 3)))
+    plan = day._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan
+    assert [r._id for r in day.collect()] == ["b"]
+
+
+def test_a_bound_needs_an_order(spark):
+    path = work_dir(spark, "topic")
+    spark.range(3).select(F.lit('{"alert_id":"a"}')).write.text(path)
+    with pytest.raises(ValueError):
+        tables.read_bounded(spark, schemas.ACTIONS, 2, "text", path)
+    assert tables.read_bounded(spark, schemas.ACTIONS, None, "text", path).count() == 3
+
+
+def test_a_repeated_lookup_key_does_not_multiply_rows(spark):
+    events = spark.createDataFrame([(4624,), (1,)], "event_id int")
+    table = spark.createDataFrame(
+        [(4624, "b", "t", "n", "low"), (4624, "a", "t", "n", "low"), (None, "c", "t", "n", "low")],
+        "event_id int, mitre_tactic string, mitre_technique string, mitre_technique_name string, baseline_severity string")
+    got = lookup_joins.tag_mitre(events, table).collect()
+    assert sorted((r.event_id, r.mitre_tactic) for r in got) == [(1, "unknown"), (4624, "a")]
+
+
+def test_quantiles_leave_nan_out(spark):
+    df = spark.createDataFrame([(float("nan"),)] * 50 + [(float(i),) for i in range(101)], "x double")
+    assert exact_quantiles(df, {"x": F.col("x")}, [0.5], list_rows=10, accuracy=50)["x"] == [50.0]
+
+
+def test_pages_behind_a_row(spark):
+    df = spark.createDataFrame([(i % 7, f"{i:03}") for i in range(60)], "n int, id string")
+    keys = [("n", True), ("id", False)]
+    want = [tuple(r) for r in df.orderBy(F.desc("n"), "id").collect()]
+    got, after = [], None
+    while rows := [tuple(r) for r in search.page_after(df, keys, after, 25).collect()]:
+        got += rows
+        after = rows[-1]
+    assert got == want
+
+
+def test_statistics_document_reads_its_input_once(spark):
+    path = work_dir(spark, "scored")
+    cols = "severity string, protocol string, src_ip string, dst_port int, is_anomaly boolean, anomaly_score double"
+    spark.createDataFrame([("low", "TCP", "a", 1, True, 0.25), ("low", None, "b", 1, False, None)], cols).write.parquet(path)
+    doc = stats.flow_stats(spark.read.parquet(path))
+    plan = doc._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 1
+    got = {(r.dim, r.key): r.value for r in doc.collect()}
+    assert got["figure", "anomaly_rate_pct"] == 50.0 and got["figure", "avg_anomaly_score"] == 0.25 and got["dst_port", "1"] == 2.0
