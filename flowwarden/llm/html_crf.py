@@ -344,14 +344,16 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
     carried along, repeated rows give repeated results, pages of any length are read whole.
     """
     field = field or trained()
-    shared = pages.sparkSession.sparkContext.broadcast(field)
+    # plain values: a broadcast class would have to be installed on the executors
+    shared = pages.sparkSession.sparkContext.broadcast((field.weights, field.bias, field.start, field.step))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = Field(*shared.value)
         for batch in batches:
             texts = []
             for page in batch.column(2):
                 found = blocks(page.as_py())
-                texts.append("\n".join(b.text for b, main in zip(found, shared.value.decode(found)) if main))
+                texts.append("\n".join(b.text for b, main in zip(found, field.decode(found)) if main))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])

@@ -173,6 +173,8 @@ def search(
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["bucket", "cell", "vec_id", "vector"])
 
     asked = vectors.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector")
+    # a walk is work of its own: queries go to as many tasks as a shuffle has, however few bytes they are
+    asked = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
     asked = asked.mapInArrow(visits, "bucket int, cells array<int>, query_id long, vector array<double>")
     dealt = entries.mapInArrow(places, "bucket int, cell int, vec_id long, vector array<double>")
 

@@ -83,8 +83,8 @@ class Model:
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        known = _Weights(self)
+    def scores(self, texts: list[str | None], known: dict | None = None) -> np.ndarray:
+        known = _Weights(self) if known is None else known
         z = np.array([self.bias + sum(map(known.__getitem__, words_of(t))) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -163,11 +163,12 @@ def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, sample_rows:
                 [batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32())), batch.column(3)],
                 ["label", "share", "features", "swaps"])
 
-    table = sample.mapInArrow(over_chosen, EXAMPLE).orderBy("label", "share", F.hash("features")).toArrow()
-    features = table.column("features").to_pylist()
-    y = table.column("label").to_numpy().astype(float)
-    cost = 1 / table.column("share").to_numpy()
-    swaps = [s for row in table.column("swaps").to_pylist() for s in row]
+    rows = sample.mapInArrow(over_chosen, EXAMPLE).toArrow().to_pylist()  # at most about twice sample_rows
+    rows.sort(key=lambda r: (r["label"], r["share"], r["features"]))  # in whatever order tasks end
+    features = [r["features"] for r in rows]
+    y = np.array([r["label"] for r in rows], float)
+    cost = np.array([1 / r["share"] for r in rows])
+    swaps = [s for r in rows for s in r["swaps"]]
     weights, bias = _solve(features, y, cost, swaps, index)
     return Model(float(bias), {f: float(weights[i]) for f, i in index.items() if weights[i]})
 
@@ -207,12 +208,15 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
 
     Rows pass through one by one in batches and are never shuffled; repeated rows get the same score.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    # plain values: a broadcast class would have to be installed on the executors
+    shared = docs.sparkSession.sparkContext.broadcast((model.bias, model.weights))
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(*shared.value)
+        known = _Weights(model)
         for batch in batches:
-            scores = shared.value.scores(batch.column(at).cast(pa.string()).to_pylist())
+            scores = model.scores(batch.column(at).cast(pa.string()).to_pylist(), known)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
