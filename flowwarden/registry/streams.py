@@ -31,12 +31,13 @@ PARTS = 2
 FILES = 4
 
 
-def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = None) -> DataFrame:
+def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = None, late: DataFrame | None = None) -> DataFrame:
     """The table as a stream: written in parts by time, each by several tasks, one part to a micro-batch.
 
     ``flush`` gives the columns of one closing row two days after the last, which moves the watermark
     past everything before, as the end of a capture file does. It has to pass the query's filters, as
-    these run ahead of the watermark; the windows it opens itself stay open.
+    these run ahead of the watermark; the windows it opens itself stay open. ``late`` rows come in a
+    micro-batch after that.
     """
     path = work_dir(spark, name)
     rows = df.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -46,10 +47,14 @@ def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = Non
         rows.filter(F.coalesce(part, F.lit(0)) == i).repartition(FILES).write.mode("append").parquet(path)
     if flush is not None:
         values = {"ts": F.timestamp_micros(F.lit(ends["b"] + 2 * 86_400_000_000)), **{k: F.lit(v) for k, v in flush.items()}}
-        closing = spark.range(1).select(*[
+        # rows count as late by the watermark of the micro-batch before: two of closing rows come in between
+        n = 1 if late is None else 2 * FILES
+        closing = spark.range(0, n, 1, n).select(*[
             (values[f.name] if f.name in values else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema.fields
         ])
         closing.write.mode("append").parquet(path)
+    if late is not None:
+        late.select(*rows.columns).withColumn("ts", F.col("ts").cast("timestamp")).repartition(FILES).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES).parquet(path)
 
 
@@ -83,6 +88,40 @@ def _(spark, sf):
     return run(ST.hourly_stream(feed(spark, V.alerts(spark, sf), "alerts", {})), "hours")
 
 
+@query("st4_late_rows_stream", f"""WITH {V.ALERTS} SELECT cast(date_trunc('hour', ts) AS varchar) AS hour, count(*) AS cnt FROM alerts GROUP BY 1""")
+def _(spark, sf):
+    """Every row again, after the watermark has passed it: none is counted twice."""
+    a = V.alerts(spark, sf)
+    return run(ST.hourly_stream(feed(spark, a, "alerts", {}, late=a)), "hours")
+
+
+@query("st7_repeated_batch_stream", f"WITH {V.NET_FLOWS} SELECT flow_id, src_ip FROM net_flows")
+def _(spark, sf):
+    """Each micro-batch is stored twice, as after a failure between store and commit: rows are there once."""
+    out = work_dir(spark, "stored")
+
+    def twice(batch, epoch):
+        for _ in range(2):
+            jobs.write_epoch(batch, epoch, out)
+
+    jobs.start(feed(spark, V.net_flows(spark, sf), "flows"), work_dir(spark, "stored-state"), twice, every=None).awaitTermination()
+    return spark.read.parquet(out).select("flow_id", "src_ip")
+
+
+@query("st8_progress_counters_stream", f"""WITH {SCORED_FLOWS} SELECT count(*) AS processed, count(*) FILTER (is_anomaly) AS anomalies FROM scored_flows""")
+def _(spark, sf):
+    """The counters that each micro-batch reports, added up."""
+    scaler = FE.fit_scaler(FE.flow_features(FE.split_normal_attack(V.net_flows(spark, sf))[0]))
+    model = replace(FLOW_MODEL, scaler=scaler, threshold=RAW_THRESHOLD)
+    stream = jobs.observe_stream(jobs.score_flows_stream(feed(spark, V.net_flows(spark, sf), "flows"), model))
+    out = work_dir(spark, "counted")
+    q = jobs.start(stream, work_dir(spark, "counted-state"), lambda b, e: jobs.write_epoch(b, e, out), every=None)
+    q.awaitTermination()
+    told = [p["observedMetrics"]["scored"] for p in q.recentProgress if "scored" in p["observedMetrics"]]
+    sums = [sum(t[name] for t in told) for name in ("processed", "anomalies")]
+    return spark.range(1).select(F.lit(sums[0]).cast("long").alias("processed"), F.lit(sums[1]).cast("long").alias("anomalies"))
+
+
 @query("st6_brute_force_sliding_stream", f"""WITH {V.WIN_EVENTS}, s AS (SELECT src_ip, ts, unnest([0, 1, 2, 3, 4]) AS i FROM win_events WHERE event_id = 4625 AND src_ip <> '')
 SELECT src_ip, cast({_slot(s=60)} - to_minutes(i) AS varchar) AS window_start, count(*) AS failures FROM s GROUP BY 1, 2 HAVING count(*) >= 3""")
 def _(spark, sf):
