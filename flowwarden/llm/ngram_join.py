@@ -5,7 +5,8 @@ Rows of the matrix are the distinct n-gram sets, columns are n-grams. Two sets o
 put in one order, the first ``size - least overlap + 1`` of either set must then share one, so only those
 entries of the matrix are multiplied. The order puts n-grams that many documents share last, so columns are
 short. Products are added up by pair, and a pair goes on only if what its first entries already differ by
-leaves room for the overlap that its sizes ask for. What is left is counted on the whole rows.
+leaves room for the overlap that its sizes ask for; so do the parities of its whole rows. What is left is counted
+on the whole rows.
 """
 
 from __future__ import annotations
@@ -26,14 +27,16 @@ from flowwarden.llm.common import components, marked, stage, without
 SKETCH_BITS = 21
 COMMON_FLOOR = 64
 COMMON_TIMES_MEAN = 4
-#: Words a Python worker remembers with their hashes.
-MEMORY_WORDS = 300_000
+#: Words a task remembers with their hashes.
+MEMORY_WORDS = 200_000
 U64 = np.uint64
 _K1, _K2 = U64(0x9E3779B97F4A7C15), U64(0xBF58476D1CE4E5B9)
 BLOCK = 1 << 14
 
 
-class _Hashes(dict):
+class Hashes(dict):
+    """Word -> its hash. A task holds one of its own, so that nothing outlives the task in a worker that is used again."""
+
     def __missing__(self, word: bytes) -> int:
         if len(self) >= MEMORY_WORDS:
             self.clear()
@@ -41,15 +44,12 @@ class _Hashes(dict):
         return h
 
 
-_WORDS = _Hashes()
-
-
-def ngram_set(text: str | None, n: int) -> np.ndarray:
+def ngram_set(text: str | None, n: int, known: Hashes) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the n-word shingles; the whole sequence is one if it is shorter."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.empty(0, U64)
-    w = np.fromiter(map(_WORDS.__getitem__, words), U64, len(words))
+    w = np.fromiter(map(known.__getitem__, words), U64, len(words))
     k = min(n, len(w))
     acc = np.full(len(w) - k + 1, k, U64)
     for j in range(k):
@@ -73,10 +73,16 @@ def common_columns(docs: DataFrame, n: int) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(size, np.int64)
+        waiting, some, known = [], 0, Hashes()
         for batch in batches:
             for t in batch.column(0):
-                at = (ngram_set(t.as_py(), n) >> U64(64 - SKETCH_BITS)).astype(np.int64)
-                np.add.at(held, at, 1)
+                waiting.append((ngram_set(t.as_py(), n, known) >> U64(64 - SKETCH_BITS)).astype(np.int64))
+                some += len(waiting[-1])
+                if some > size:
+                    held += np.bincount(np.concatenate(waiting), minlength=size)
+                    waiting, some = [], 0
+        if waiting:
+            held += np.bincount(np.concatenate(waiting), minlength=size)
         held = np.minimum(held, 65_535).astype(np.uint16).reshape(-1, BLOCK)
         some = np.flatnonzero(held.any(axis=1))
         yield pa.RecordBatch.from_arrays(
@@ -100,29 +106,48 @@ def common_columns(docs: DataFrame, n: int) -> np.ndarray:
     return total > max(COMMON_FLOOR, COMMON_TIMES_MEAN * total.mean())
 
 
+def parities(grams: np.ndarray) -> bytes:
+    """One bit for each residue of the hashes, as many as the next power of two from the size on (8 at least): whether
+    an odd number of them has it. Two sets differ in no fewer elements than their parities differ in bits."""
+    bits = 1 << max(3, (len(grams) - 1).bit_length())
+    return np.packbits(np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint8).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Elements in which the sets behind two parities differ, at least. The longer one is folded first."""
+    x, y = (np.unpackbits(np.frombuffer(p, np.uint8)) for p in (a, b))
+    while len(x) != len(y):
+        if len(x) < len(y):
+            x, y = y, x
+        x = x[: len(x) // 2] ^ x[len(x) // 2:]
+    return int((x ^ y).sum())
+
+
 def leading_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, a 128-bit digest (a, b) of its set, and the leading entries of its row."""
+    """Per row of ``docs``: doc_id, size, a 128-bit digest (a, b) of its set, its parities, and the leading entries of
+    its row."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(np.packbits(common_columns(docs, n)))  # 2**SKETCH_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flags = np.unpackbits(common.value).astype(bool)
+        flags, known = np.unpackbits(common.value).astype(bool), Hashes()
         for batch in batches:
-            sizes, a, b, first = [], [], [], []
+            sizes, a, b, odd, first = [], [], [], [], []
             for t in batch.column(1):
-                grams = ngram_set(t.as_py(), n)
+                grams = ngram_set(t.as_py(), n, known)
                 digest = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
                 late = flags[(grams >> U64(64 - SKETCH_BITS)).astype(np.int64)]
                 keep = len(grams) - -(-percent * len(grams) // 100) + 1 if len(grams) else 0
                 sizes.append(len(grams))
                 a.append(digest[0])
                 b.append(digest[1])
+                odd.append(parities(grams))
                 first.append(np.concatenate([grams[~late], grams[late]])[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.array(first, pa.list_(pa.int64()))], ["doc_id", "size", "a", "b", "first"])
+                 pa.array(odd, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "size", "a", "b", "odd", "first"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, size long, a long, b long, first array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, size long, a long, b long, odd binary, first array<long>")
 
 
 def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -132,19 +157,38 @@ def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Hashes()
         for batch in batches:
-            grams = [ngram_set(t.as_py(), n).tobytes() for t in batch.column(1)]
+            grams = [ngram_set(t.as_py(), n, known).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(grams, pa.binary())], ["node", "grams"])
 
     rows = _texts(docs).where("doc_id is not null")
-    rows = marked(rows, F.xxhash64("doc_id"), nodes, F.xxhash64("node")).where("_maybe").select("doc_id", "text")
+    rows = marked(rows, F.xxhash64("doc_id"), nodes, F.xxhash64("node")).where("_fw_maybe").select("doc_id", "text")
     return rows.mapInArrow(run, "node long, grams binary")
 
 
-def links(docs: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose sizes and parities leave room for a link."""
+    left = sets.select(F.col("node").alias("u"), F.col("size").alias("nu"), F.col("odd").alias("ou"))
+    right = sets.select(F.col("node").alias("v"), F.col("size").alias("nv"), F.col("odd").alias("ov"))
+
+    def room(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for nu, nv, ou, ov in zip(*(batch.column(i).to_pylist() for i in range(2, 6))):
+                need = -(-percent * (nu + nv) // (100 + percent))
+                keep.append(least_difference(ou, ov) <= nu + nv - 2 * need)
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    met = pairs.join(left, "u").join(right, "v").select("u", "v", "nu", "nv", "ou", "ov")
+    return met.mapInArrow(room, "u long, v long")
+
+
+def links(docs: DataFrame, pairs: DataFrame, sets: DataFrame, n: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (u, v) whose whole rows overlap enough. A hot document's pairs are split by the joins."""
+    pairs = stage(_close(pairs, sets, percent), "close")
     nodes = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    rows = stage(whole_rows(docs, nodes, n).dropDuplicates(["node"]), "rows")
+    rows = stage(whole_rows(docs, nodes, n), "rows")
     left = rows.select(F.col("node").alias("u"), F.col("grams").alias("gu"))
     right = rows.select(F.col("node").alias("v"), F.col("grams").alias("gv"))
 
@@ -215,7 +259,8 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     Equal sets are one row of the matrix. A first round ties each row to the ends of its columns, so that large
     groups of near copies become one group without a product of their own; a second round multiplies all that
     is not yet in one group, so no link between groups is missed. Texts without words link with nothing. Rows
-    without a doc_id link with nothing and get no component. Repeated rows get the same result. Hashes have 64
+    without a doc_id link with nothing and get no component. Repeated rows get the same result; rows of one id and
+    different texts count as linked. Hashes have 64
     bits; within the two sets of a pair they collide about once in 10**13 pairs of 1,000 n-grams.
     """
     first = stage(leading_entries(docs, n, percent), "leading")
@@ -223,15 +268,17 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sets = stage(full.groupBy("a", "b", "size").agg(F.min("doc_id").alias("node")), "sets")
     members = stage(
         full.join(sets, ["a", "b", "size"])
-        .select("doc_id", "size", "node", F.when(F.col("doc_id") == F.col("node"), F.col("first")).alias("first")), "members")
+        .select("doc_id", "size", "node", *[F.when(F.col("doc_id") == F.col("node"), F.col(c)).alias(c) for c in ("odd", "first")]),
+        "members")
+    sets = members.where("first is not null").select("node", "size", "odd")
     entries = members.where("first is not null").select("node", "size", F.posexplode("first").alias("pos", "gram"))
     columns = stage(
         entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram"),
         "columns")
     shared = stage(entries.join(columns, "gram"), "shared")
-    near = stage(links(docs, stage(_hub_pairs(shared, percent), "pairs"), n, percent), "links")
+    near = stage(links(docs, stage(_hub_pairs(shared, percent), "pairs"), sets, n, percent), "links")
     labels = stage(components(near), "labels")
-    more = stage(links(docs, stage(_product_pairs(shared, labels, percent), "pairs"), n, percent), "links")
+    more = stage(links(docs, stage(_product_pairs(shared, labels, percent), "pairs"), sets, n, percent), "links")
     if not more.isEmpty():
         tied = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
         labels = stage(components(tied), "labels")
