@@ -22,7 +22,7 @@ RULES = (
 SAMPLE_ROWS = 20_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters",
-    "hyphens", "fragment", "suffix_rows", "suffix_rate", "domain_rows", "domain_rate",
+    "hyphens", "fragment", "suffix_rows", "suffix_rate", "domain_rows", "domain_rate", "section_rows", "section_rate",
 )
 
 
@@ -64,6 +64,7 @@ def with_features(pages: DataFrame) -> DataFrame:
         .withColumn("host", host_of(F.col("rest"))).withColumn("path", path_of(F.col("rest")))
         .withColumn("suffix", F.substring_index("host", ".", -1))
         .withColumn("domain", F.substring_index("host", ".", -2))
+        .withColumn("section", F.concat_ws("/", "domain", F.regexp_extract("path", "^/([^/]*)", 1)))
         .select(
             "*",
             F.length(url).cast("double").alias("url_length"),
@@ -81,7 +82,7 @@ def with_features(pages: DataFrame) -> DataFrame:
 
 
 def suffix_stats(rows: DataFrame, by: str) -> DataFrame:
-    """Per value of ``by``: log of its rows, and the share of blocked among its labelled rows, drawn to a half."""
+    """Per value of ``by`` (last part of the host, its last two, these with the first folder): log of its rows, and the share of blocked among its labelled rows, drawn to a half."""
     return rows.groupBy(by).agg(
         F.log1p(F.count("*")).alias(f"{by}_rows"),
         ((F.coalesce(F.sum("label"), F.lit(0.0)) + 5.0) / (F.count("label") + 10.0)).alias(f"{by}_rate"))
@@ -101,7 +102,7 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Data
     rows = rows.withColumn("by_rule", F.when(F.col("rule").isNotNull(), F.element_at(verdict, F.col("rule"))))
     rows = rows.withColumn("label", F.when(F.col("rule").isNotNull(), (F.col("by_rule") == "block").cast("double")))
     rows = stage(rows, "urls")
-    for by in ("suffix", "domain"):
+    for by in ("suffix", "domain", "section"):
         rows = rows.join(stage(suffix_stats(rows, by), "suffixes"), by)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
     counts = {r["label"]: r["n"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}

@@ -117,3 +117,18 @@ def test_pipeline(spark, duck):
     rows = corpus_pipeline.run(spark, SF).collect()
     key = lambda r: (r.doc_id, r.start, r.length, r.ids_crc32)
     assert sorted(map(key, rows)) == sorted(map(key, packed))
+
+
+@pytest.mark.parametrize("name,step", corpus_pipeline.STAGES)
+def test_stage_on_odd_rows(spark, make, prose, name, step):
+    """Nulls, empties, repeats, a very long text and columns of clashing names; then a table without rows."""
+    docs = make(prose, clashes=True)
+    out = step(spark, docs, SF)
+    rows = out.collect()
+    if name != "packing":
+        assert out.columns == docs.columns
+        assert {(r.doc_id, r.text) for r in rows} <= {(r[0], r[1]) for r in prose}
+        assert name in ("mix_sources", "exact_dedup") or any(r.text is None for r in rows)
+    else:
+        assert len({r.sequence_id for r in rows}) == len(rows)
+    assert step(spark, make([]), SF).count() == 0
