@@ -113,6 +113,12 @@ def parities(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams & U64(bits - 1)).astype(np.int64), minlength=bits) & 1).view(np.uint8).tobytes()
 
 
+def short_parities(grams: np.ndarray) -> np.ndarray:
+    """Parities by 256 residues as four 64-bit numbers: narrow enough to travel with every entry."""
+    odd = np.bincount((grams & U64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def least_difference(a: bytes, b: bytes) -> int:
     """Elements in which the sets behind two parities differ, at least. The longer one is folded first."""
     x, y = (np.unpackbits(np.frombuffer(p, np.uint8)) for p in (a, b))
@@ -124,15 +130,15 @@ def least_difference(a: bytes, b: bytes) -> int:
 
 
 def leading_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Per row of ``docs``: doc_id, size, a 128-bit digest (a, b) of its set, its parities, and the leading entries of
-    its row."""
+    """Per row of ``docs``: doc_id, size, a 128-bit digest (a, b) of its set, its parities (long and short), and the
+    leading entries of its row."""
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(np.packbits(common_columns(docs, n)))  # 2**SKETCH_BITS bits
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flags, known = np.unpackbits(common.value).astype(bool), Hashes()
         for batch in batches:
-            sizes, a, b, odd, first = [], [], [], [], []
+            sizes, a, b, odd, short, first = [], [], [], [], [], []
             for t in batch.column(1):
                 grams = ngram_set(t.as_py(), n, known)
                 digest = np.frombuffer(hashlib.blake2b(grams.tobytes(), digest_size=16).digest(), np.int64)
@@ -142,12 +148,14 @@ def leading_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
                 a.append(digest[0])
                 b.append(digest[1])
                 odd.append(parities(grams))
+                short.append(short_parities(grams))
                 first.append(np.concatenate([grams[~late], grams[late]])[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()),
-                 pa.array(odd, pa.binary()), pa.array(first, pa.list_(pa.int64()))], ["doc_id", "size", "a", "b", "odd", "first"])
+                 pa.array(odd, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
+                ["doc_id", "size", "a", "b", "odd", "short", "first"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, size long, a long, b long, odd binary, first array<long>")
+    return _texts(docs).mapInArrow(run, "doc_id long, size long, a long, b long, odd binary, short array<long>, first array<long>")
 
 
 def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -224,11 +232,12 @@ def _hub_pairs(shared: DataFrame, percent: int) -> DataFrame:
     return best.select(F.least("node", "b.hub").alias("u"), F.greatest("node", "b.hub").alias("v")).distinct()
 
 
-def _product_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _product_pairs(shared: DataFrame, labels: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs of rows from different groups that share columns, their products added up and cut by the bounds.
 
     Of each column the rows outside its largest group are multiplied with all rows, so a large group that is
-    linked already is never multiplied with itself.
+    linked already is never multiplied with itself; and of the products only those are made whose sizes and short
+    parities leave room for a link.
     """
     rows = stage(
         shared.join(labels.select("node", "component"), "node", "left")
@@ -238,11 +247,16 @@ def _product_pairs(shared: DataFrame, labels: DataFrame, percent: int) -> DataFr
         held.groupBy("gram").agg(F.max(F.struct("n", "group"))["group"].alias("largest"), F.count("*").alias("groups"))
         .where("groups > 1").select("gram", "largest"), "mixed")
     rows = stage(rows.join(mixed, "gram"), "open")
-    x = rows.where("group != largest").select("gram", *[F.col(c).alias(f"x_{c}") for c in ("node", "size", "pos", "group")])
-    y = rows.select("gram", "largest", *[F.col(c).alias(f"y_{c}") for c in ("node", "size", "pos", "group")])
+    rows = stage(rows.join(sets.select("node", *[F.col("short")[i].alias(f"s{i}") for i in range(4)]), "node"), "open")
+    names = ("node", "size", "pos", "group", "s0", "s1", "s2", "s3")
+    x = rows.where("group != largest").select("gram", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = rows.select("gram", "largest", *[F.col(c).alias(f"y_{c}") for c in names])
     apart = ((F.col("y_group") == F.col("largest")) | (F.col("x_group") < F.col("y_group"))) & (F.col("x_group") != F.col("y_group"))
     near = (F.lit(100) * F.least("x_size", "y_size") >= F.lit(percent) * F.greatest("x_size", "y_size"))
-    met = x.join(y, "gram").where(apart & near)
+    differ = sum((F.bit_count(F.col(f"x_s{i}").bitwiseXOR(F.col(f"y_s{i}"))) for i in range(1, 4)), F.bit_count(F.col("x_s0").bitwiseXOR(F.col("y_s0"))))
+    both = F.col("x_size") + F.col("y_size")
+    room = differ <= both - 2 * F.ceil(F.lit(percent) * both / F.lit(100 + percent))
+    met = x.join(y, "gram").where(apart & near & room)
     turned = F.col("x_node") > F.col("y_node")
     pick = lambda c, first: F.when(turned == F.lit(first), F.col(f"y_{c}")).otherwise(F.col(f"x_{c}"))
     sums = met.select(
@@ -268,9 +282,9 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     sets = stage(full.groupBy("a", "b", "size").agg(F.min("doc_id").alias("node")), "sets")
     members = stage(
         full.join(sets, ["a", "b", "size"])
-        .select("doc_id", "size", "node", *[F.when(F.col("doc_id") == F.col("node"), F.col(c)).alias(c) for c in ("odd", "first")]),
+        .select("doc_id", "size", "node", *[F.when(F.col("doc_id") == F.col("node"), F.col(c)).alias(c) for c in ("odd", "short", "first")]),
         "members")
-    sets = members.where("first is not null").select("node", "size", "odd")
+    sets = members.where("first is not null").select("node", "size", "odd", "short")
     entries = members.where("first is not null").select("node", "size", F.posexplode("first").alias("pos", "gram"))
     columns = stage(
         entries.groupBy("gram").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("gram"),
@@ -278,7 +292,7 @@ def join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     shared = stage(entries.join(columns, "gram"), "shared")
     near = stage(links(docs, stage(_hub_pairs(shared, percent), "pairs"), sets, n, percent), "links")
     labels = stage(components(near), "labels")
-    more = stage(links(docs, stage(_product_pairs(shared, labels, percent), "pairs"), sets, n, percent), "links")
+    more = stage(links(docs, stage(_product_pairs(shared, labels, sets, percent), "pairs"), sets, n, percent), "links")
     if not more.isEmpty():
         tied = labels.select(F.col("node").alias("u"), F.col("component").alias("v")).union(more)
         labels = stage(components(tied), "labels")
