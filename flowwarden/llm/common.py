@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +16,32 @@ from flowwarden.session import work_dir
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of a batch that goes to Python, for tables with long texts.
+BATCH_ROWS = 1_000
+
+
+def over_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``rows.mapInArrow(run, schema)`` for rows with long texts, kind to an executor's memory.
+
+    Batches are kept short (the session's setting is lowered to ``BATCH_ROWS`` if it is larger), and a worker, which
+    is used again for later tasks, gives back at the end of a task what the task held.
+    """
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark = rows.sparkSession
+    if not 0 < int(spark.conf.get(setting, "10000")) <= BATCH_ROWS:
+        spark.conf.set(setting, str(BATCH_ROWS))
+
+    def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return rows.mapInArrow(tidy, schema)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet under the shared folder and read again.
 

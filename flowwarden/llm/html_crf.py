@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.llm.common import over_texts
+
 #: Pages the field is trained on, and steps of the fit.
 TRAINING_PAGES = 600
 STEPS = 120
@@ -360,4 +362,4 @@ def extract(pages: DataFrame, field: Field | None = None) -> DataFrame:
 
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                         F.col("html").cast("string").alias("html"))
-    return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return over_texts(rows, run, "page_id long, url string, text string, n_chars long")

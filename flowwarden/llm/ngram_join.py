@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import components, marked, stage, without
+from flowwarden.llm.common import components, marked, over_texts, stage, without
 
 #: Counters of the sketch that tells common n-grams from rare ones, as a power of two, and how far above their
 #: mean (and above a floor) a counter makes its n-grams common. They set speed, never the result.
@@ -97,7 +97,7 @@ def common_columns(docs: DataFrame, n: int) -> np.ndarray:
             [pa.array([*held], pa.int32()), pa.array([c.tobytes() for c in held.values()], pa.binary())], ["block", "counts"])
 
     sums = stage(
-        _texts(docs).select("text").mapInArrow(count, "block int, counts binary")
+        over_texts(_texts(docs).select("text"), count, "block int, counts binary")
         .repartition("block").mapInArrow(add, "block int, counts binary"), "columns")
     total = np.zeros((size // BLOCK, BLOCK), np.int64)
     for row in sums.collect():  # a fixed number of blocks, whatever the input
@@ -155,7 +155,7 @@ def leading_entries(docs: DataFrame, n: int, percent: int) -> DataFrame:
                  pa.array(odd, pa.binary()), pa.array(short, pa.list_(pa.int64())), pa.array(first, pa.list_(pa.int64()))],
                 ["doc_id", "size", "a", "b", "odd", "short", "first"])
 
-    return _texts(docs).mapInArrow(run, "doc_id long, size long, a long, b long, odd binary, short array<long>, first array<long>")
+    return over_texts(_texts(docs), run, "doc_id long, size long, a long, b long, odd binary, short array<long>, first array<long>")
 
 
 def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
@@ -172,7 +172,7 @@ def whole_rows(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
 
     rows = _texts(docs).where("doc_id is not null")
     rows = marked(rows, F.xxhash64("doc_id"), nodes, F.xxhash64("node")).where("_fw_maybe").select("doc_id", "text")
-    return rows.mapInArrow(run, "node long, grams binary")
+    return over_texts(rows, run, "node long, grams binary")
 
 
 def _close(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -12,10 +12,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.llm.common import over_texts
+
 MAX_LENGTH = 4096
 END_ID = 2
-#: Parts of texts a Python worker remembers with their ids; it starts anew beyond that.
-MEMORY_WORDS = 800_000
+#: Words and parts of words a task remembers with their ids; it starts anew beyond that.
+MEMORY_WORDS = 200_000
 #: Rows whose pieces are handed back together.
 BATCH_ROWS = 500
 
@@ -79,7 +81,6 @@ class WordIds:
 
 
 _END = np.array([END_ID], "<u4").tobytes()
-_WORKER: dict[str, WordIds] = {}
 
 
 def cuts(n: int, longest: int = MAX_LENGTH) -> list[int]:
@@ -96,16 +97,15 @@ def pieces(docs: DataFrame, tokenizer_path: str, longest: int = MAX_LENGTH, with
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _WORKER:
-            _WORKER[tokenizer_path] = WordIds(tokenizer_path)
-        encode = _WORKER[tokenizer_path]
+        encode = WordIds(tokenizer_path)  # with what it remembers, gone with the task
         for batch in batches:
             for at in range(0, batch.num_rows, BATCH_ROWS):
                 part = batch.slice(at, BATCH_ROWS)
-                yield _rows(part.column(0), (encode(t or "") for t in part.column(1).to_pylist()), longest, with_ids)
+                yield _rows(part.column(0), (encode(t.as_py() or "") for t in part.column(1)), longest, with_ids)
 
     fields = PIECES if with_ids else PIECES.rsplit(",", 1)[0]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, fields)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return over_texts(rows, run, fields)
 
 
 def _rows(ids: pa.Array, tokens: Iterator[bytes], longest: int, with_ids: bool) -> pa.RecordBatch:

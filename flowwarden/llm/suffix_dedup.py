@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowwarden.llm.common import marked, stage, without
+from flowwarden.llm.common import marked, over_texts, stage, without
 
 LENGTH = 200
 #: Bytes of an anchor. The string holds it with every place before it that may be its start.
@@ -277,7 +277,7 @@ def _runs(survivors: DataFrame, n_parts: int, length: int, gram: int) -> DataFra
                     n = 0
         yield give()
 
-    return survivors.select("text_id", "body", "places").mapInArrow(run, "part int, run binary")
+    return over_texts(survivors.select("text_id", "body", "places"), run, "part int, run binary")
 
 
 def _merge(runs: DataFrame, length: int, gram: int) -> DataFrame:
@@ -353,7 +353,7 @@ def _cut(rows: DataFrame) -> DataFrame:
                 [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
                 ["text_id", "n_removed", "n_spans", "kept_sha256"])
 
-    return rows.select("text_id", "body", "spans").mapInArrow(run, "text_id long, n_removed long, n_spans long, kept_sha256 string")
+    return over_texts(rows.select("text_id", "body", "spans"), run, "text_id long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_items: int = CLASS_ITEMS) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +373,7 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_i
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), ids, pa.array(np.concatenate(places))], ["gram", "text_id", "pos"])
 
-    found = stage(longs.mapInArrow(scan, "gram long, text_id long, pos long"), "anchors")
+    found = stage(over_texts(longs, scan, "gram long, text_id long, pos long"), "anchors")
     key = F.xxhash64("text_id", "pos")
     twice = stage(
         found.groupBy("gram").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))

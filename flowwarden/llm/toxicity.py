@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from flowwarden.llm.common import stage
+from flowwarden.llm.common import over_texts, stage
 
 #: Labelled rows of either class that a fit takes at most; the others are left out by a hash of their id.
 SAMPLE_ROWS = 8_000
@@ -29,7 +29,7 @@ HASH_BITS = 22
 RIDGE = 0.02
 COUNTERFACTUAL = 5.0
 STEPS = 400
-MEMORY_WORDS = 300_000
+MEMORY_WORDS = 150_000
 #: Fixed value: names of groups of people, by kind; a term is swapped for the others of its kind.
 IDENTITY_TERMS = (
     ("women", "men", "girls", "boys"),
@@ -54,8 +54,8 @@ def word_features(word: str) -> tuple[int, ...]:
     return (_feature(word), *(_feature(f"{word[:n]}-") for n in (5, 6) if len(word) > n))
 
 
-class _Words(dict):
-    """Blank-separated form -> its words."""
+class Forms(dict):
+    """Blank-separated form -> its words. A task holds one of its own, so that nothing outlives the task."""
 
     def __missing__(self, form: str) -> tuple[str, ...]:
         if len(self) >= MEMORY_WORDS:
@@ -64,12 +64,9 @@ class _Words(dict):
         return words
 
 
-_FORMS = _Words()
-
-
-def words_of(text: str | None) -> set[str]:
+def words_of(text: str | None, forms: Forms) -> set[str]:
     """The distinct words of the whole text in lower case."""
-    return set().union(*map(_FORMS.__getitem__, set((text or "").lower().split())))
+    return set().union(*map(forms.__getitem__, set((text or "").lower().split())))
 
 
 def _partners(groups) -> dict[str, list[str]]:
@@ -83,9 +80,10 @@ class Model:
     bias: float
     weights: dict[int, float] = field(default_factory=dict)
 
-    def scores(self, texts: list[str | None], known: dict | None = None) -> np.ndarray:
+    def scores(self, texts: list[str | None], known: dict | None = None, forms: Forms | None = None) -> np.ndarray:
         known = _Weights(self) if known is None else known
-        z = np.array([self.bias + sum(map(known.__getitem__, words_of(t))) for t in texts], float)
+        forms = Forms() if forms is None else forms
+        z = np.array([self.bias + sum(map(known.__getitem__, words_of(t, forms))) for t in texts], float)
         return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
@@ -115,10 +113,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, s
     partners = _partners(groups)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forms = Forms()
         for batch in batches:
             features, swaps = [], []
             for text in batch.column(2).to_pylist():
-                words = words_of(text)
+                words = words_of(text, forms)
                 features.append([f for w in sorted(words) for f in word_features(w)])
                 swaps.append([
                     {"minus": list(word_features(w)), "plus": list(word_features(p))}
@@ -130,7 +129,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, s
 
     # the drawn labels are at most about twice sample_rows narrow rows
     met = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), "doc_id")
-    return met.select("label", "share", "text").mapInArrow(run, EXAMPLE)
+    return over_texts(met.select("label", "share", "text"), run, EXAMPLE)
 
 
 def fit(docs: DataFrame, labels: DataFrame, groups=IDENTITY_TERMS, sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -214,9 +213,9 @@ def with_scores(docs: DataFrame, model: Model, column: str = "score") -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Model(*shared.value)
-        known = _Weights(model)
+        known, forms = _Weights(model), Forms()
         for batch in batches:
-            scores = model.scores(batch.column(at).cast(pa.string()).to_pylist(), known)
+            scores = model.scores([t.as_py() for t in batch.column(at).cast(pa.string())], known, forms)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
+    return over_texts(docs, run, StructType([*docs.schema.fields, StructField(column, DoubleType())]))
