@@ -49,7 +49,7 @@ class Known(dict):
             self.clear()
         parts = _PARTS.findall(word)
         if len(parts) == 1:
-            spelt = word if word.isascii() else word.encode().decode("latin-1").translate(_AS_CHAR)
+            spelt = word.encode().decode("latin-1").translate(_AS_CHAR)  # control characters too are spelt otherwise
             found = [t.id for t in self.model.tokenize(spelt)]
             ids = struct.pack(f"<{len(found)}I", *found)
         else:

@@ -169,6 +169,17 @@ def test_packing(make, prose):
     assert packing.pack(make([]), tokenizer_path()).count() == 0
 
 
+def test_every_ascii_character_has_the_tokenizers_ids(make):
+    encode = packing.WordIds(tokenizer_path())
+    chars = [chr(i) for i in range(128)]
+    texts = [f.replace("?", c) for c in chars for f in ("?", "a?b", "!?", "1?2", "A ? b", "'?s", "\u00e9?\u00e9", "\u201c?\u201d")]
+    texts += [a + b for a in chars for b in chars]
+    want = {t: encode.tokenizer.encode(t, add_special_tokens=False).ids + [2] for t in texts}
+    assert [t for t in texts if encode(t) != np.array(want[t], "<u4").tobytes()] == []
+    got = {r.doc_id: r for r in packing.pieces(make(list(enumerate(["a\x01b", "!\x01"]))), tokenizer_path()).where("start = 0").collect()}
+    assert got[0].doc_tokens == len(want["a\x01b"]) == 4 and got[1].doc_tokens == len(want["!\x01"]) == 3
+
+
 def test_words_forgotten_are_learnt_again(monkeypatch, prose):
     monkeypatch.setattr(packing, "MEMORY_WORDS", 5)
     small = packing.WordIds(tokenizer_path())
