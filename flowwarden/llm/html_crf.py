@@ -31,18 +31,23 @@ INLINE = frozenset(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split())
 HIDDEN = ("script", "style", "noscript", "template", "title", "textarea", "svg", "iframe", "select", "object")
+#: Of these, those whose content is plain text up to their end tag; by HTML's rules up to the end of the page without one.
+RAW = ("script", "style", "title", "textarea", "iframe")
 ENDS_P = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 #: Words of a block's own text that tell of notices, forms and the like.
 SIGNALS = frozenset(
     "comment comments reply cookie cookies subscribe newsletter advertisement sponsored login register share "
     "copyright rights reserved privacy terms menu search related tags".split())
 
+#: A quote opens only at the start of a value; one that is never closed is a character like others.
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z][^>]*(?:>|\Z)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*(?:\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*)?)*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
     re.S)
 _ATTRIBUTE = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PIECE = re.compile(r"[a-z]+")
-_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in HIDDEN}
+_END = {t: re.compile(rf"</{t}\b[^>]*(?:>|\Z)", re.I) for t in RAW}
+_NOSCRIPT = re.compile(r"<(/?)noscript\b[^>]*(?:>|\Z)", re.I)
 
 
 @dataclass
@@ -51,9 +56,49 @@ class Block:
     features: tuple[str, ...]
 
 
+def _raw_end(page: str, tag: str, at: int) -> int:
+    closing = _END[tag].search(page, at)
+    return closing.end() if closing else len(page)
+
+
+def _noscript_end(page: str, at: int) -> int:
+    """Where a noscript ends whose start tag ends at ``at``; ``at`` itself if it has no end tag before the next one."""
+    following = _NOSCRIPT.search(page, at)
+    return following.end() if following and following[1] else at
+
+
+def _closes_itself(tag: str, rest: str | None) -> bool:
+    return tag in ("svg", "object") and (rest or "").rstrip().endswith("/")
+
+
+def _container_ends(page: str) -> dict[int, int]:
+    """Where each select, object, svg or template starts that has an end tag of its own -> where that ends."""
+    ends: dict[int, int] = {}
+    opened: dict[str, list[int]] = {t: [] for t in HIDDEN if t not in RAW and t != "noscript"}
+    at = 0
+    while m := _TOKEN.search(page, at):
+        at = m.end()
+        tag = (m[2] or "").lower()
+        if tag in opened:
+            if not m[1] and not _closes_itself(tag, m[3]):
+                opened[tag].append(m.start())
+            elif m[1] and opened[tag]:
+                ends[opened[tag].pop()] = at
+        elif not m[1] and tag == "noscript":
+            at = _noscript_end(page, at)
+        elif not m[1] and tag in RAW and (tag == "script" or not opened["svg"]):
+            at = _raw_end(page, tag, at)  # inside an svg, title and style are elements like others
+    return ends
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order, with their features. Unclosed, stray and cut-off tags are borne."""
+    """The leaf blocks of a page in order, with their features. Unclosed, stray and cut-off tags are borne.
+
+    What is not shown is left out up to its own end tag. A select, object, noscript, svg or template without one, or
+    an svg or object that closes itself, hides nothing.
+    """
     page = page or ""
+    ends: dict[int, int] | None = None
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     text: list[str] = []
@@ -96,8 +141,13 @@ def blocks(page: str | None) -> list[Block]:
             text.append(" ")
             continue
         if tag in HIDDEN:
-            closing = _END[tag].search(page, at)
-            at = closing.end() if closing else len(page)
+            if tag in RAW:
+                at = _raw_end(page, tag, at)
+            elif tag == "noscript":
+                at = _noscript_end(page, at)
+            elif not _closes_itself(tag, m[3]):
+                ends = _container_ends(page) if ends is None else ends
+                at = ends.get(m.start(), at)
             continue
         if tag not in INLINE:
             flush()

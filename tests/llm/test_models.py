@@ -70,6 +70,39 @@ def test_extraction_of_odd_pages(spark, field):
     assert html_crf.extract(df.limit(0), field).count() == 0
 
 
+ODD_TAGS = [
+    '<svg class="i" viewBox="0 0 1 1"/>', "<svg/>", "<svg><path d='M0'>", "<object data=x />", "<object data=x>", "<select><option>",
+    "<noscript>", "<template>", "<NOSCRIPT><img src=x>", "<a title=it's>", "<img alt=5\"x>", "<b title = it's don't>", "<!-->", "<!--->",
+]
+
+
+@pytest.mark.parametrize("odd", ODD_TAGS)
+def test_text_after_an_odd_tag_survives(odd):
+    """Whether the page goes on without a like tag, or with a closed one, or with a later apostrophe."""
+    for later in ("", "<svg><path></svg><object></object><select><option>no</select><noscript>no</noscript><template>no</template>",
+                  "<i title=it's>it's</i> \"so\" <!-- no -->"):
+        page = f"<article><p>One sentence. {odd} Two.</p><p>Three.</p>{later}<p>Four.</p></article><footer>Five.</footer>"
+        text = " ".join(b.text for b in html_crf.blocks(page)).split()
+        assert [w for w in text if w in ("One", "Two.", "Three.", "Four.", "Five.")] == ["One", "Two.", "Three.", "Four.", "Five."]
+        assert "no" not in text
+
+
+def test_hidden_content_ends_at_its_own_end_tag():
+    shown = lambda page: [b.text for b in html_crf.blocks(page)]
+    assert shown("<p>a <object>x <object>y</object> z</object> b</p>") == ["a b"]
+    assert shown("<p>a <svg><title/><style>x</svg> b</p>") == ["a b"]
+    assert shown("<p>a <svg><!-- </svg> --><text>x</text></svg> b</p>") == ["a b"]
+    assert shown("<p>a <noscript><!-- x</noscript> b</p>") == ["a b"]
+    assert shown("<p>a <script>'<svg>'</script> b <svg>x</svg> c <a title='> x'>d</a></p>") == ["a b c d"]
+    assert shown("<p>a <script>x <p>y") == ["a"]
+
+
+def test_odd_pages_take_time_in_proportion():
+    for odd in ("<svg>", "<select>", "<noscript>", "<a title=it's>", "<!-->", "<a b='"):
+        page = "<p>x</p>" + odd * 40_000 + "<p>y</p>"
+        assert html_crf.blocks(page)[0].text == "x"
+
+
 def test_toxicity_held_out(spark):
     from flowwarden.llm import registry
 
