@@ -35,7 +35,7 @@ def as_json(row: Column) -> Column:
 
 
 def untimed(df, ts: str = "ts"):
-    """The rows without a time: those that sequences, deduplication, rate limits and hit counts leave aside."""
+    """The rows without a time, which have no place in an order; jobs and alert operators carry them past it."""
     return df.filter(F.col(ts).isNull())
 
 

@@ -72,12 +72,12 @@ def mark_duplicates(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, chunk_s: floa
     """Add ``dedup_key`` and ``is_duplicate``.
 
     The first alert of a key opens ``ttl_s`` seconds; the others inside are duplicates and do not
-    prolong them. Ties go by alert id.
+    prolong them. Ties go by alert id. An alert without a time falls into no window and is no duplicate.
     """
-    rows = open_windows(
-        alerts.withColumn("dedup_key", dedup_key()), "dedup_key", ttl_s, chunk_s=chunk_s, opener="_opens"
-    )
-    return rows.withColumn("is_duplicate", ~F.col("_opens")).drop("opened_us", "_opens")
+    keyed = alerts.withColumn("dedup_key", dedup_key())
+    rows = open_windows(keyed, "dedup_key", ttl_s, chunk_s=chunk_s, opener="_opens")
+    marked = rows.withColumn("is_duplicate", ~F.col("_opens")).drop("opened_us", "_opens")
+    return marked.unionByName(C.untimed(keyed).withColumn("is_duplicate", F.lit(False)))
 
 
 def dedup(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S) -> DataFrame:
@@ -89,10 +89,12 @@ def mark_rate_limited(
     alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False, chunk_s: float = 600
 ) -> DataFrame:
     """Add ``source_key`` and ``is_limited``: beyond the first ``max_n`` of a fixed window that opens
-    at the first alert of the source after the last window."""
-    rows = open_windows(alerts.withColumn("source_key", source_key(legacy)), "source_key", window_s, chunk_s=chunk_s)
+    at the first alert of the source after the last window. One without a time is neither counted nor limited."""
+    keyed = alerts.withColumn("source_key", source_key(legacy))
+    rows = open_windows(keyed, "source_key", window_s, chunk_s=chunk_s)
     w = Window.partitionBy("source_key", "opened_us").orderBy("ts", "alert_id")
-    return rows.withColumn("is_limited", F.row_number().over(w) > max_n).drop("opened_us")
+    marked = rows.withColumn("is_limited", F.row_number().over(w) > max_n).drop("opened_us")
+    return marked.unionByName(C.untimed(keyed).withColumn("is_limited", F.lit(False)))
 
 
 def rate_limit(alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False) -> DataFrame:
@@ -104,10 +106,12 @@ def hit_count(alerts: DataFrame, reset_s: float = HIT_RESET_S, legacy: bool = Fa
 
     Alerts are counted per (source, time cell of ``reset_s``) first: alerts of one cell are always in
     one run, so only the cells need an order over the whole source, and a row its rank in its cell.
+    An alert without a time is not counted; its ``hit_count`` is null.
     """
     reset_us = int(reset_s * 1_000_000)
     us = F.coalesce(C.micros(F.col("ts")), F.lit(0).cast("bigint"))
-    rows = alerts.filter(F.col("ts").isNotNull()).withColumns({"source_key": source_key(legacy), "_us": us, "_cell": C.cell_start(us, reset_us)})
+    keyed = alerts.withColumn("source_key", source_key(legacy))
+    rows = keyed.filter(F.col("ts").isNotNull()).withColumns({"_us": us, "_cell": C.cell_start(us, reset_us)})
     cells = rows.groupBy("source_key", "_cell").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
@@ -115,11 +119,12 @@ def hit_count(alerts: DataFrame, reset_s: float = HIT_RESET_S, legacy: bool = Fa
     earlier = Window.partitionBy("source_key", "_run").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     before = runs.select("source_key", "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("source_key", "_cell").orderBy("ts", "alert_id"))
-    return (
+    counted = (
         rows.join(before, ["source_key", "_cell"])
         .withColumn("hit_count", (F.col("_before") + rank).cast("int"))
         .drop("_us", "_cell", "_before")
     )
+    return counted.unionByName(C.untimed(keyed).withColumn("hit_count", F.lit(None).cast("int")))
 
 
 def escalate(alerts: DataFrame, at: int = ESCALATE_AT) -> DataFrame:

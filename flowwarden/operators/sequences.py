@@ -29,7 +29,7 @@ def host_sequences(
     """Add ``out``: the vectors of the host's last ``n`` events up to this one, null before the n-th.
 
     Order within a host is by time, then id. Events without a time have no place in it and take no part
-    (``columns.untimed`` gives them), here as in the stream.
+    (``columns.untimed`` gives them; ``with_untimed`` adds them again), here as in the stream.
     """
     rows = df.filter(F.col(ts).isNotNull()).withColumns({
         "_host": F.coalesce(F.col(host), F.lit("unknown")),
@@ -53,5 +53,11 @@ def host_sequences(
     return inner.unionByName(heads).drop("_host", "_bucket", "_rank", "_size")
 
 
+def with_untimed(sequences: DataFrame, df: DataFrame, ts: str = "ts", out: str = "seq") -> DataFrame:
+    """``sequences`` and the rows of ``df`` without a time, which have no sequence; for batch and stream."""
+    missing = {c: F.lit(None).cast(sequences.schema[c].dataType) for c in (ts, out)}
+    return sequences.unionByName(C.untimed(df, ts).withColumns(missing).select(*sequences.columns))
+
+
 def complete(df: DataFrame, seq: str = "seq") -> DataFrame:
     return df.filter(F.col(seq).isNotNull())

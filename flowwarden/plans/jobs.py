@@ -13,7 +13,7 @@ from flowwarden.operators.alerts import make_alerts, process_alerts, union_alert
 from flowwarden.operators.features import apply_scaler, event_features, fit_scaler, flow_features, split_normal_attack
 from flowwarden.operators.flows import build_flows, normalise_packets
 from flowwarden.operators.scoring import Model, annotate, fit_threshold, score, time_split
-from flowwarden.operators.sequences import complete, host_sequences
+from flowwarden.operators.sequences import complete, host_sequences, with_untimed
 from flowwarden.session import stage
 from flowwarden.sources.event_xml import parse_event_xml
 
@@ -76,8 +76,9 @@ def score_sequences(events: DataFrame, model: Model, seq: str = "seq") -> DataFr
 
 
 def score_events(events: DataFrame, model: Model, legacy: bool = False) -> DataFrame:
-    rows = host_sequences(event_features(events, legacy))
-    return score_sequences(rows, model).drop("features")
+    """Every event; one without a time has no place in a sequence and stays unscored."""
+    vectors = event_features(events, legacy)
+    return score_sequences(with_untimed(host_sequences(vectors), vectors), model).drop("features")
 
 
 def packets_to_flows(packets: DataFrame, idle_s: float = 60, bidirectional: bool = False) -> DataFrame:

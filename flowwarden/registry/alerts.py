@@ -157,6 +157,27 @@ def _(spark, sf):
     return A.dispositions(V.alerts(spark, sf)).select("alert_id", "disposition")
 
 
+# alerts on one port have lost their time: none of them is a duplicate, limited or counted
+UNTIMED_CHAIN = CHAIN.replace("AS sk FROM alerts)", "AS sk FROM (SELECT * FROM alerts WHERE dst_port IS DISTINCT FROM 22))")
+UNTIMED_DISPOSITION = _DISPOSITION.replace("CASE WHEN", "CASE WHEN dst_port IS NOT DISTINCT FROM 22 THEN 'kept' WHEN", 1)
+
+
+def untimed_alerts(spark, sf) -> DataFrame:
+    return V.alerts(spark, sf).withColumn("ts", F.when(~F.col("dst_port").eqNullSafe(F.lit(22)), F.col("ts")))
+
+
+@query("l10_untimed_dispositions", f"WITH RECURSIVE {UNTIMED_CHAIN} {UNTIMED_DISPOSITION}")
+def _(spark, sf):
+    return A.dispositions(untimed_alerts(spark, sf)).select("alert_id", "disposition")
+
+
+@query("l10_untimed_chain", f"""WITH RECURSIVE {UNTIMED_CHAIN} SELECT alert_id, hit_count, severity, was_escalated FROM final
+UNION ALL SELECT alert_id, 0, severity, false FROM alerts WHERE dst_port IS NOT DISTINCT FROM 22""")
+def _(spark, sf):
+    done = A.process_alerts(untimed_alerts(spark, sf), processed_at=F.col("ts"))
+    return done.select("alert_id", F.coalesce("hit_count", F.lit(0)).alias("hit_count"), "severity", "was_escalated")
+
+
 @query("a14_disposition_counts", f"WITH RECURSIVE {CHAIN}, d AS ({_DISPOSITION}) SELECT disposition, count(*) AS cnt FROM d GROUP BY 1")
 def _(spark, sf):
     return A.disposition_counts(A.dispositions(V.alerts(spark, sf)))

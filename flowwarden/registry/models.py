@@ -260,6 +260,20 @@ def _(spark, sf):
     return s.select("event_uid", "computer", *_totals(F.col("seq")))
 
 
+UNTIMED_SCORED = f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, {UNTIMED_SEQUENCES}, scored AS (SELECT event_uid FROM seqs WHERE rn >= 10)
+SELECT event_uid, event_id = 4999 AS untimed, event_uid IN (SELECT event_uid FROM scored) AS is_scored FROM win_events"""
+
+
+def is_scored(scored):
+    return scored.select("event_uid", F.col("ts").isNull().alias("untimed"), F.col("anomaly_score").isNotNull().alias("is_scored"))
+
+
+@query("m9_untimed", UNTIMED_SCORED)
+def _(spark, sf):
+    """Every event comes out of scoring, those without a time unscored."""
+    return is_scored(jobs.score_events(untimed_events(spark, sf).drop("ts0"), EVENT_MODEL))
+
+
 @query("m4_training_sequences", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, ne AS (SELECT * FROM evec WHERE event_id NOT IN (4625, 7045, 1102)),
 {SEQUENCES.replace('FROM evec', 'FROM ne')} SELECT event_uid, computer, {_TOTALS} FROM seqs WHERE rn >= 10""")
 def _(spark, sf):

@@ -16,11 +16,11 @@ from flowwarden.operators import flows as FL
 from flowwarden.operators import stats as ST
 from flowwarden.operators.lookup_joins import tag_mitre
 from flowwarden.registry import views as V
-from flowwarden.registry.alerts import _FINAL, CHAIN, _final
+from flowwarden.registry.alerts import _FINAL, CHAIN, UNTIMED_CHAIN, UNTIMED_DISPOSITION, _final, untimed_alerts
 from flowwarden.registry.base import query
 from flowwarden.registry.models import (
     _FLOW_COLS, _TOTALS, EVENT_MODEL, EVENT_VECTORS, FLOW_MODEL, FLOWS_SQL, RAW_THRESHOLD, SCORED_EVENTS, SCORED_FLOWS,
-    SEQUENCES, UNTIMED_SEQUENCES, _slot, _totals, untimed_events,
+    SEQUENCES, UNTIMED_SCORED, UNTIMED_SEQUENCES, _slot, _totals, is_scored, untimed_events,
 )
 from flowwarden.session import work_dir
 from flowwarden.sources.tables import latest
@@ -162,6 +162,12 @@ def _(spark, sf):
     return d.select("alert_id", "disposition", F.coalesce("hit_count", F.lit(0)).alias("hit_count"))
 
 
+@query("st2_untimed_stream", f"WITH RECURSIVE {UNTIMED_CHAIN} {UNTIMED_DISPOSITION}")
+def _(spark, sf):
+    a = feed(spark, untimed_alerts(spark, sf), "alerts", {"alert_id": "flush", "src_ip": "flush", "source_type": "network"})
+    return run(dispositions_stream(a), "dispositions").filter("alert_id <> 'flush'").select("alert_id", "disposition")
+
+
 @query("l10_alert_chain_stream", f"WITH RECURSIVE {CHAIN} SELECT {_FINAL} FROM final")
 def _(spark, sf):
     return _final(run(alert_chain_stream(_alert_feed(spark, sf), processed_at=F.col("ts")), "alerts-done").filter("alert_id <> 'flush'"))
@@ -183,6 +189,12 @@ def _(spark, sf):
     return s.select(F.col("event_uid").alias("id"), "severity", "is_anomaly", F.coalesce("anomaly_score", F.lit(-1.0)).alias("anomaly_score"))
 
 
+@query("m10_untimed_stream", UNTIMED_SCORED)
+def _(spark, sf):
+    e = feed(spark, untimed_events(spark, sf).drop("ts0"), "events", {"computer": "flush", "event_uid": "flush"})
+    return is_scored(run(jobs.score_events_stream(e, EVENT_MODEL), "scored-events").filter("event_uid <> 'flush'"))
+
+
 @query("s8_store_and_publish_stream", f"""WITH {SCORED_FLOWS} SELECT f.flow_id AS _id, severity, CASE WHEN is_anomaly THEN md5(flow_id || '|network') ELSE '-' END AS alert_id
 FROM scored_flows f""")
 def _(spark, sf):

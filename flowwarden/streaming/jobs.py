@@ -12,6 +12,7 @@ from flowwarden.functions import columns as C
 from flowwarden.operators.alerts import make_alerts
 from flowwarden.operators.features import event_features
 from flowwarden.operators.scoring import Model
+from flowwarden.operators.sequences import with_untimed
 from flowwarden.plans.jobs import score_flows, score_sequences
 from flowwarden.sources.tables import to_messages
 from flowwarden.streaming.state import host_sequences_stream
@@ -22,8 +23,9 @@ def score_flows_stream(flows: DataFrame, model: Model) -> DataFrame:
 
 
 def score_events_stream(events: DataFrame, model: Model, legacy: bool = False, watermark: str = "10 minutes") -> DataFrame:
-    rows = host_sequences_stream(event_features(events, legacy), watermark=watermark)
-    return score_sequences(rows, model)
+    """Every event; one without a time waits for no watermark and stays unscored."""
+    vectors = event_features(events, legacy)
+    return score_sequences(with_untimed(host_sequences_stream(vectors, watermark=watermark), vectors), model)
 
 
 def write_epoch(batch: DataFrame, epoch: int, path: str) -> None:

@@ -229,7 +229,8 @@ def dispositions_stream(
 ) -> DataFrame:
     """Every alert of a stream with its disposition, and the hit count of those kept.
 
-    With ``legacy`` all alerts without an address share one source, as in batch.
+    With ``legacy`` all alerts without an address share one source, as in batch. Those without a time are kept,
+    uncounted, and wait for no watermark.
     """
     use_rocksdb(alerts.sparkSession)
     rows = alerts.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark).select(
@@ -238,7 +239,11 @@ def dispositions_stream(
     second = 1_000_000
     chain = AlertChain(int(ttl_s * second), max_n, int(window_s * second), int(reset_s * second))
     out = rows.groupBy("source_key").transformWithStateInPandas(chain, AlertChain.output, "Append", "EventTime")
-    return _unpack(out, alerts.schema, ["dedup_key", "disposition", "hit_count"])
+    done = _unpack(out, alerts.schema, ["dedup_key", "disposition", "hit_count"])
+    aside = C.untimed(alerts).withColumns({
+        "ts": F.lit(None).cast("timestamp"), "dedup_key": A.dedup_key(), "disposition": F.lit("kept"),
+        "hit_count": F.lit(None).cast("int")})
+    return done.unionByName(aside)
 
 
 def alert_chain_stream(alerts: DataFrame, ports=None, bad_ips=None, escalate_at: int = A.ESCALATE_AT, processed_at=None, **options) -> DataFrame:

@@ -568,6 +568,19 @@ def test_untimed_rows_take_no_part(spark):
     assert [r.event_uid for r in C.untimed(df).collect()] == ["x"]
 
 
+def test_untimed_alerts_pass_the_chain(spark):
+    rows = [(f"a{i:02}", i, "1.1.1.1", 80 + i, "low") for i in range(13)] + [("b", 5, "1.1.1.1", 80, "low")]
+    a = alert_rows(spark, rows + [(f"x{i:02}", 0, "1.1.1.1", 80, "low") for i in range(12)])
+    a = a.withColumn("ts", F.when(~F.col("alert_id").startswith("x"), F.col("ts")))
+    got = {r.alert_id: r.disposition for r in A.dispositions(a).collect()}
+    assert len(got) == 26 and got["b"] == "deduped"
+    assert {i for i, d in got.items() if d == "rate_limited"} == {"a10", "a11", "a12"}
+    assert all(got[f"x{i:02}"] == "kept" for i in range(12))
+    done = {r.alert_id: r for r in A.process_alerts(a).collect()}
+    assert len(done) == 22 and all(done[f"x{i:02}"].hit_count is None and done[f"x{i:02}"].severity == "low" for i in range(12))
+    assert [done[f"a{i:02}"].hit_count for i in range(10)] == list(range(1, 11))
+
+
 def test_json_keeps_microseconds(spark):
     moment = dt.datetime(2024, 1, 1, 0, 0, 0, 123456)
     df = spark.createDataFrame([("a", moment)], "alert_id string, ts timestamp")
