@@ -131,13 +131,14 @@ def walk(a: np.ndarray, b: np.ndarray, held: dict[int, int], wanted: float) -> l
 
 def search(
     rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-    centroids: int = CENTROIDS, walked: float = WALKED, sample_rows: int = SAMPLE_ROWS,
+    centroids: int = CENTROIDS, walked: float = WALKED, sample_rows: int = SAMPLE_ROWS, least: int = WALKED_LEAST,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row with ``is_query``.
 
     ``is_query`` is a condition on vec_id. Every row but the query's own is a candidate. Scores are cosines in double precision of
     the given vectors; ties go to the smaller vec_id. Repeated rows of one id and vector count once. Fewer than
-    k candidates give fewer rows, no valid vectors none.
+    k candidates give fewer rows, no valid vectors none. A query walks cells until they hold the share ``walked`` of all
+    entries, and ``least`` entries at least.
     """
     vectors = stage(valid_vectors(rows, vec_id, embedding), "vectors")
     out = "query_id long, rank int, vec_id long, score double"
@@ -146,7 +147,7 @@ def search(
         return rows.sparkSession.createDataFrame([], out)
     entries = stage(index(vectors, book, k), "index")
     held = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # centroids ** 2 at most
-    wanted = max(WALKED_LEAST, walked * sum(held.values()))
+    wanted = max(least, walked * sum(held.values()))
     buckets = deal(held)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -222,6 +222,29 @@ def test_recall_on_given_vectors(spark):
     assert hits >= 0.9 * total
 
 
+def test_recall_of_the_walk_itself(spark):
+    """As above with no least number of entries, so that cells are left out."""
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, x = zip(*[(r.vec_id, r.embedding) for r in rows.collect()])
+    ids, x = np.array(ids), np.array(x, float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    def recall(walked):
+        got = multi_index.search(rows, F.col("vec_id") % 50 == 0, walked=walked, least=0).collect()
+        found = {(r.query_id, r.vec_id) for r in got}
+        hits = total = 0
+        for q in np.flatnonzero(ids % 50 == 0):
+            s = x @ x[q]
+            s[q] = -2
+            hits += sum((ids[q], i) in found for i in ids[np.argsort(-s)[:5]].tolist())
+            total += 5
+        print(f"recall {hits / total:.3f} at {walked}")
+        return hits / total
+
+    assert recall(multi_index.WALKED) >= 0.9
+    assert recall(0.05) < 0.9
+
+
 def judged(url):
     rest = url.partition("://")[2] if url and "://" in url else ""
     host = re.split(r"[/?#]", rest)[0]
