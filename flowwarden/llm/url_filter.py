@@ -18,7 +18,7 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Labelled rows the trees are fitted on, at most about so many; the statistics of suffixes use all.
+#: Distinct labelled urls of either label the trees are fitted on, at most about so many; the statistics of suffixes use all.
 SAMPLE_ROWS = 20_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters",
@@ -88,11 +88,25 @@ def suffix_stats(rows: DataFrame, by: str) -> DataFrame:
         ((F.coalesce(F.sum("label"), F.lit(0.0)) + 5.0) / (F.count("label") + 10.0)).alias(f"{by}_rate"))
 
 
+def labelled_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """Distinct labelled urls, at most about ``sample_rows`` of either label, with the rows each stands for as weight."""
+    labelled = rows.where("label is not null")
+    share = F.lit(1.0)
+    for r in labelled.groupBy("label").agg(F.approx_count_distinct("url").alias("n")).collect():
+        share = F.when(F.col("label") == r["label"], min(1.0, sample_rows / max(r["n"], 1))).otherwise(share)
+    drawn = labelled.withColumn("share", share).where(F.pmod(F.xxhash64("url"), F.lit(2**30)) < F.col("share") * 2**30)
+    # label, share and features are the same for all rows of a url
+    return drawn.groupBy("url").agg(
+        F.first("label").alias("label"), F.first("features").alias("features"),
+        (F.count("*") / F.first("share")).alias("weight")).drop("url")
+
+
 def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, score.
 
-    The rules label the urls they fit; those labels train the trees, on at most about ``sample_rows`` rows taken
-    by a hash of the url, and the trees judge the urls that no rule fits (block from a score of 0.5 on). With
+    The rules label the urls they fit; those labels train the trees, on at most about ``sample_rows`` distinct urls
+    of either label, taken by a hash of the url and weighted by the rows they stand for, and the trees judge the urls
+    that no rule fits (block from a score of 0.5 on). With
     labels of one kind only that kind is the verdict, without any it is allow. Null and malformed urls have an
     empty host and path and go to the trees; repeated rows get the same verdict.
     """
@@ -105,17 +119,15 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Data
     for by in ("suffix", "domain", "section"):
         rows = rows.join(stage(suffix_stats(rows, by), "suffixes"), by)
     rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
-    counts = {r["label"]: r["n"] for r in rows.where("label is not null").groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
-        only = "block" if 1.0 in counts else "allow"
+    sample = stage(labelled_sample(rows, sample_rows), "labelled")
+    found = {r["label"] for r in sample.select("label").distinct().collect()}
+    if len(found) < 2:
+        only = "block" if 1.0 in found else "allow"
         scored = rows.withColumn("score", F.lit(None).cast("double"))
         own = F.lit(only)
     else:
-        share = min(1.0, sample_rows / sum(counts.values()))
-        drawn = F.pmod(F.xxhash64("url"), F.lit(2**30)) < int(share * 2**30)
-        sample = stage(rows.where(F.col("label").isNotNull() & drawn).select("label", "features"), "labelled")
         model = GBTClassifier(
-            featuresCol="features", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=7, predictionCol="guess",
+            featuresCol="features", labelCol="label", weightCol="weight", maxIter=20, maxDepth=4, stepSize=0.2, seed=7, predictionCol="guess",
         ).fit(sample)
         scored = model.transform(rows).withColumn("score", _positive(F.col("probability")))
         own = F.when(F.col("guess") >= 0.5, "block").otherwise("allow")

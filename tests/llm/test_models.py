@@ -288,3 +288,23 @@ def test_url_labels_of_one_kind(spark):
     assert url_filter.judge(spark.createDataFrame([], schema)).count() == 0
     got = url_filter.judge(spark.createDataFrame([(1, "http://a.com/"), (2, "http://b.org/")], schema)).collect()
     assert {r.verdict for r in got} == {"allow"}
+
+
+def test_url_sample_holds_either_label(spark):
+    """Copies of few urls, and a label with one url among many."""
+    rules = (("bad.com", "block"), ("good.org", "allow"))
+    schema = "page_id long, url string"
+    copies = [(i, "http://bad.com/x" if i % 2 else "http://good.org/y") for i in range(2000)]
+    rare = [(i, f"http://good.org/page{i}") for i in range(300)] + [(-1, "http://bad.com/x")]
+    for rows in (copies, rare):
+        labelled = spark.createDataFrame(rows, schema).selectExpr(
+            "*", "cast(url like '%bad.com%' as double) as label", "length(url) as features")
+        got = url_filter.labelled_sample(labelled, sample_rows=10).collect()
+        assert {r.label for r in got} == {0.0, 1.0} and len(got) < 40
+        weight = {y: sum(r.weight for r in got if r.label == y) for y in (0.0, 1.0)}
+        assert weight[1.0] == sum("bad.com" in u for _, u in rows)
+        assert weight[0.0] == pytest.approx(sum("good.org" in u for _, u in rows), rel=0.9)
+    other = [(-2, "http://bad.net/x"), (-3, "http://good.net/y")]
+    got = url_filter.judge(spark.createDataFrame(copies + other, schema), rules, sample_rows=10).collect()
+    assert len(got) == 2002 and all(r.score is not None for r in got)
+    assert all((r.score >= 0.5) == (r.verdict == "block") for r in got)
