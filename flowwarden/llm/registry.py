@@ -14,7 +14,10 @@ from flowwarden.llm import (
     multi_index,
     ngram_join,
     packing,
+    prefix_trie,
+    secret_scan,
     suffix_dedup,
+    token_alignment,
     toxicity,
     url_filter,
 )
@@ -157,3 +160,47 @@ def op9(spark: SparkSession, sf: str) -> DataFrame:
 @query("op10_suffix_dedup")
 def op10(spark: SparkSession, sf: str) -> DataFrame:
     return suffix_dedup.remove_repeats(documents(spark, sf))
+
+
+#: CRC-32 of a short ASCII string, bit by bit.
+CRC_SQL = """
+xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+        lambda v, z: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384::BIGINT) ELSE v >> 1 END)), 4294967295::BIGINT)"""
+
+
+@query("op11_prefix_trie", rf"""
+WITH own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}}
+        ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS l
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (SELECT conv_id, l, {CRC_SQL.format("conv_id::VARCHAR")} % 4 AS h FROM own),
+rebuilt AS (SELECT c.conv_id, list_concat(coalesce(b.l[1:c.h], []), c.l[c.h + 1:]) AS l
+    FROM heads c LEFT JOIN own b ON b.conv_id = c.conv_id - c.conv_id % 20),
+prefixes AS (SELECT conv_id, len(l) AS n, l, unnest(range(0, len(l) + 1)) AS d FROM rebuilt),
+members AS (SELECT conv_id AS member, d, n, l[1:d]::VARCHAR AS k, CASE WHEN d = 0 THEN 0
+    ELSE len(regexp_extract_all(l[d].t, '[^ 	-
+]+')) END AS words FROM prefixes),
+nodes AS (SELECT d, k, min(member) AS conv_id, count(*) AS n_convs, any_value(words) AS words,
+    sha256(coalesce(string_agg(member::VARCHAR, ',' ORDER BY member) FILTER (WHERE n = d), '')) AS ends FROM members GROUP BY d, k),
+spots AS (SELECT m.member, m.d, n.conv_id FROM members m JOIN nodes n ON n.d = m.d AND n.k = m.k),
+linked AS (SELECT n.*, p.conv_id AS up FROM nodes n LEFT JOIN spots p ON p.member = n.conv_id AND p.d = n.d - 1),
+counted AS (SELECT l.*, coalesce(c.n, 0) AS n_children
+    FROM linked l LEFT JOIN (SELECT up, d - 1 AS d, count(*) AS n FROM linked WHERE up IS NOT NULL GROUP BY 1, 2) c ON c.up = l.conv_id AND c.d = l.d),
+below AS (SELECT v.conv_id, v.d, sum(CASE WHEN u.n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((u.n_convs - 1) * u.words) AS saved
+    FROM counted u JOIN spots v ON v.member = u.conv_id AND v.d <= u.d GROUP BY 1, 2)
+SELECT n.conv_id, n.d::BIGINT AS depth, n.up AS parent_conv_id, n.n_convs::BIGINT AS n_convs, n.n_children::BIGINT AS n_children,
+    b.n_leaves::BIGINT AS n_leaves, b.saved::BIGINT AS saved_tokens, n.ends AS ends_sha256
+FROM counted n JOIN below b ON b.conv_id = n.conv_id AND b.d = n.d""")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{sf}/conversations.parquet"))
+
+
+@query("op12_token_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    return token_alignment.align(
+        documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op13_secret_scan")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    return secret_scan.scan(documents(spark, sf))
