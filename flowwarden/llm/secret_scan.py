@@ -43,7 +43,7 @@ CLASSES = (
     CharacterClass("base64", r"A-Za-z0-9+/=_\-", 20, 3.8),
 )
 #: A word, words in camel case, capitals or a number; nothing is taken back, so long strings need no stack.
-_WORD = r"(?:[A-Z]?+[a-z]++(?:[A-Z][a-z]{2,}+)*+|[A-Z]++|[0-9]++)"
+_WORD = r"(?:[A-Z]?+[a-z]++(?:[A-Z][a-z]++)*+|[A-Z]++|[0-9]++)"
 #: Candidates that are one of these as a whole are no secrets: words and numbers joined by marks (names, paths,
 #: numbers of cards and phones), alphabets written out, universally unique ids, and strings marked as examples.
 ALLOWED = (

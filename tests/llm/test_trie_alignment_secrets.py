@@ -302,7 +302,7 @@ def secrets(r):
 
 QUIET = [
     "some-very-long-file_name/with/many/parts/2024/12/31/index", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/",
-    "123e4567-e89b-12d3-a456-426614174000", "0123456789012345678901234567890123456789", "a" * 500, "ThisIsAVeryLongCamelCaseNameOfSomeClassInJava",
+    "123e4567-e89b-12d3-a456-426614174000", "0123456789012345678901234567890123456789", "a" * 500, "ThisIsTheVeryLongCamelCaseNameOfSomeClassInJava",
     "dGhpcyBpcyBhbiBFWEFNUExF-EXAMPLE-0a9b8c7d6e5f", "beberschlichkeitgeheitundsoweiter", "4952935900253052 +49-170-1234567-8901234",
 ]
 
