@@ -62,18 +62,24 @@ def net_flows(spark, sf) -> DataFrame:
     )
 
 
+def _host() -> Column:
+    """A host for each kind of event and remainder of its user."""
+    return F.concat(F.upper("et"), F.lit("."), (F.col("uid") % 3).cast("string"))
+
+
 def win_events(spark, sf) -> DataFrame:
     k, eid, uid = F.col("k"), F.col("eid"), F.col("uid")
-    process = "C:/Windows/System32/svchost.exe,C:/Temp/payload.exe,C:/Windows/explorer.exe,"
+    place = _pick("D:/system/,D:/work/temp/,E:/tools/,", eid % 4)
+    process = F.when(place != "", F.concat(place, "et", (k % 6).cast("string"), F.lit(".exe"))).otherwise("")
     return _base(spark, sf).select(
         F.md5(F.concat(F.lit("w"), eid.cast("string"))).alias("event_uid"),
         _ts("t").alias("ts"),
         "ts0",
         _pick("4624,4625,4648,4672,4688,4698,4720,4732,4756,7045,1102,4999", k % 12).cast("int").alias("event_id"),
-        _pick("HUB-A,DESK-11,DESK-12,STORE-1,FRONT-1,NOTE-7", uid % 6).alias("computer"),
-        _pick("SYSTEM,Administrator,u.alder,u.birch,robot_db", eid % 5).alias("user"),
+        _host().alias("computer"),
+        F.concat(F.lit("id"), (eid % 9).cast("string")).alias("user"),
         F.when(k % 3 == 0, _pick("2,3,10,11", eid % 4).cast("int")).alias("logon_type"),
-        F.replace(_pick(process, eid % 4), F.lit("/"), F.chr(F.lit(92))).alias("process_name"),
+        F.replace(process, F.lit("/"), F.chr(F.lit(92))).alias("process_name"),
         F.when(k % 4 == 0, "").when(k % 4 == 1, _pick(BAD4, uid % 4))
         .otherwise(F.concat(F.lit("192.168.1."), (uid % 9).cast("string"))).alias("src_ip"),
     )
@@ -109,7 +115,7 @@ def alerts(spark, sf) -> DataFrame:
         F.when(net, F.concat(F.lit("8.8.8."), (k % 5).cast("string"))).alias("dst_ip"),
         F.when(net, _pick("80,443,4444,1337,9001,53,22,50000", half % 8).cast("int")).alias("dst_port"),
         F.when(~net, _pick("4624,4625,4688,1102", half % 4).cast("int")).alias("event_id"),
-        F.when(net, "").otherwise(_pick("HUB-A,DESK-11", F.floor(eid / 8) % 2)).alias("hostname"),
+        F.when(net, "").otherwise(_host()).alias("hostname"),
         F.when(k % 9 == 0, "acknowledged").otherwise("open").alias("status"),
     )
 
@@ -148,16 +154,16 @@ net_flows AS (
     string_split({_sql_pick('SYN,SYN;ACK,SYN;ACK;PSH,RST', 'k % 4')}, ';') AS tcp_flags
   FROM ev)"""
 
-_PROCESS = "C:/Windows/System32/svchost.exe,C:/Temp/payload.exe,C:/Windows/explorer.exe,"
+_PLACE = _sql_pick("D:/system/,D:/work/temp/,E:/tools/,", "eid % 4")
+_HOST = "upper(et) || '.' || (uid % 3)"
 
 WIN_EVENTS = EV + f""",
 win_events AS (
   SELECT md5('w' || eid) AS event_uid, {_sql_ts('t')} AS ts, ts0,
     cast({_sql_pick('4624,4625,4648,4672,4688,4698,4720,4732,4756,7045,1102,4999', 'k % 12')} AS int) AS event_id,
-    {_sql_pick('HUB-A,DESK-11,DESK-12,STORE-1,FRONT-1,NOTE-7', 'uid % 6')} AS computer,
-    {_sql_pick('SYSTEM,Administrator,u.alder,u.birch,robot_db', 'eid % 5')} AS "user",
+    {_HOST} AS computer, 'id' || (eid % 9) AS "user",
     CASE WHEN k % 3 = 0 THEN cast({_sql_pick('2,3,10,11', 'eid % 4')} AS int) END AS logon_type,
-    replace({_sql_pick(_PROCESS, 'eid % 4')}, '/', chr(92)) AS process_name,
+    CASE WHEN {_PLACE} <> '' THEN replace({_PLACE} || et || (k % 6) || '.exe', '/', chr(92)) ELSE '' END AS process_name,
     CASE WHEN k % 4 = 0 THEN '' WHEN k % 4 = 1 THEN {_sql_pick(BAD4, 'uid % 4')}
          ELSE '192.168.1.' || (uid % 9) END AS src_ip
   FROM ev)"""
@@ -183,6 +189,6 @@ alerts AS (
     CASE WHEN eid % 2 = 0 THEN '8.8.8.' || (k % 5) END AS dst_ip,
     CASE WHEN eid % 2 = 0 THEN cast({_sql_pick('80,443,4444,1337,9001,53,22,50000', 'floor(eid / 2) % 8')} AS int) END AS dst_port,
     CASE WHEN eid % 2 = 1 THEN cast({_sql_pick('4624,4625,4688,1102', 'floor(eid / 2) % 4')} AS int) END AS event_id,
-    CASE WHEN eid % 2 = 0 THEN '' ELSE {_sql_pick('HUB-A,DESK-11', 'floor(eid / 8) % 2')} END AS hostname,
+    CASE WHEN eid % 2 = 0 THEN '' ELSE {_HOST} END AS hostname,
     CASE WHEN k % 9 = 0 THEN 'acknowledged' ELSE 'open' END AS status
   FROM ev)"""
