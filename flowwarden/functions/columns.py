@@ -11,8 +11,34 @@ from flowwarden import lookups as L
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since the epoch, for timestamps with or without a time zone."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since the epoch. A time without a zone is one in UTC, whatever the session's zone."""
+    day = F.unix_date(ts.cast("date")).cast("bigint") * 86_400 + F.hour(ts) * 3_600 + F.minute(ts) * 60
+    zoneless = day * 1_000_000 + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("bigint")
+    # the type is known when the query is planned, so one of the two is left
+    return F.when(F.typeof(ts) == "timestamp_ntz", zoneless).otherwise(F.unix_micros(ts.cast("timestamp")))
+
+
+def instant(ts: Column) -> Column:
+    """The time as a point in time, for windows and watermarks; one without a zone is in UTC."""
+    return F.when(F.typeof(ts) == "timestamp_ntz", F.timestamp_micros(micros(ts))).otherwise(ts.cast("timestamp"))
+
+
+def instant_of_text(text: Column) -> Column:
+    """A point in time from its text; one without an offset is in UTC. Null if it cannot be read."""
+    text = F.trim(text)
+    day = F.when(text.rlike(r"^\d{4}-\d{1,2}(-\d{1,2})?$"), text.try_cast("date"))
+    zoned = text.rlike(r"(?i)(z|utc|gmt|[+-]\d{1,2}(:?\d{2}){0,2}|[a-z]+/[a-z_/+-]+)$")
+    return F.when(day.isNotNull(), F.timestamp_micros(F.unix_date(day).cast("bigint") * 86_400_000_000)).otherwise(
+        F.when(zoned, text).otherwise(F.concat(text, F.lit("Z"))).try_cast("timestamp"))
+
+
+def utc_stamp(us: Column) -> Column:
+    """``yyyy-MM-dd HH:mm:ss`` in UTC."""
+    day = F.floor(us / F.lit(86_400_000_000))
+    second = F.floor(F.pmod(us, F.lit(86_400_000_000)) / F.lit(1_000_000))
+    two = lambda c: F.lpad(c.cast("string"), 2, "0")
+    time = F.concat_ws(":", two(F.floor(second / 3_600)), two(F.floor(second / 60) % 60), two(second % 60))
+    return F.concat_ws(" ", F.date_from_unix_date(day.cast("int")).cast("string"), time)
 
 
 def utc_date(ts: Column) -> Column:

@@ -12,7 +12,7 @@ OFF_HOURS = [22, 23, 0, 1, 2, 3]
 
 
 def _window(every: str, slide: str | None) -> Column:
-    return F.window(F.col("ts").cast("timestamp"), every, slide)
+    return F.window(C.instant(F.col("ts")), every, slide)
 
 
 def port_scan(flows: DataFrame, min_ports: int = 50, every: str = "5 minutes", slide: str | None = None) -> DataFrame:

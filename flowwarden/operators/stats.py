@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwarden import lookups as L
+from flowwarden.functions import columns as C
 
 FLOW_TERMS = {"severity": 10, "protocol": 10, "src_ip": 10, "dst_port": 10}
 EVENT_TERMS = {"severity": 10, "event_id": 10, "computer": 10, "user": 10, "mitre_tactic": 10}
@@ -59,8 +60,12 @@ def anomaly_rate(df: DataFrame) -> DataFrame:
 
 
 def hourly(df: DataFrame, ts: str = "ts") -> DataFrame:
-    """(hour, cnt) for calendar hours that have rows."""
-    return df.groupBy(F.date_trunc("hour", ts).alias("hour")).agg(F.count(F.lit(1)).alias("cnt"))
+    """(hour, cnt) for hours of UTC that have rows, as in the stream form; rows without a time share a null hour."""
+    return df.groupBy(F.timestamp_micros(_hour_us(F.col(ts))).alias("hour")).agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _hour_us(ts: Column) -> Column:
+    return C.cell_start(C.micros(ts), 3_600_000_000)
 
 
 def hourly_stream(df: DataFrame, watermark: str = "10 minutes") -> DataFrame:
@@ -172,7 +177,7 @@ def alert_stats(df: DataFrame) -> DataFrame:
         "critical_alerts": count(F.col("severity") == "critical"),
         "avg_risk_score": (F.col("risk_score"), "mean", 1),
     }
-    hour = F.date_format(F.date_trunc("hour", "ts"), "yyyy-MM-dd HH:mm:ss")
+    hour = C.utc_stamp(_hour_us(F.col("ts")))
     return _document(df, "alerts", figures, ALERT_TERMS, {"alerts_over_time": hour})
 
 

@@ -88,7 +88,7 @@ def normalise_events(parsed: DataFrame, event_ids: list[int] | None = None, mitr
     """
     rows = parsed.select(
         _event_id(F.col("e")).alias("event_id"),
-        F.col("e.System.TimeCreated._SystemTime").try_cast("timestamp").alias("ts"),
+        C.instant_of_text(F.col("e.System.TimeCreated._SystemTime")).alias("ts"),
         F.coalesce(C.blank_to_null(F.col("e.System.Computer")), F.lit("unknown")).alias("computer"),
         F.coalesce(C.blank_to_null(F.col("e.System.Channel")), F.lit("unknown")).alias("channel"),
         event_data(F.col("e.EventData.Data")).alias("ed"),
