@@ -8,6 +8,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.functions import columns as C
 from flowwarden.operators import scoring
 from flowwarden.operators.alerts import make_alerts, process_alerts, union_alerts
 from flowwarden.operators.features import apply_scaler, event_features, fit_scaler, flow_features, split_normal_attack
@@ -15,6 +16,7 @@ from flowwarden.operators.flows import build_flows, normalise_packets
 from flowwarden.operators.scoring import Model, annotate, fit_threshold, score, time_split
 from flowwarden.operators.sequences import complete, host_sequences, with_untimed
 from flowwarden.session import stage
+from flowwarden.sources import store
 from flowwarden.sources.event_xml import parse_event_xml
 
 MIN_FLOWS = 100
@@ -94,3 +96,24 @@ def flows_and_events_to_alerts(flows: DataFrame, events: DataFrame, flow_model:
 
 def packets_and_xml_to_alerts(packets: DataFrame, xml: DataFrame, flow_model: Model, event_model: Model, **options) -> DataFrame:
     return flows_and_events_to_alerts(packets_to_flows(packets), parse_event_xml(xml), flow_model, event_model, **options)
+
+
+#: The columns of a stored alert that an analyst's actions set.
+ACTED_ON = ("status", "acknowledged_by", "acknowledged_at", "analyst_notes", "closed_at")
+
+
+def store_actions(actions: DataFrame, path: str, source: str = "actions", epoch: int | None = None) -> None:
+    """Write acknowledge and dismiss actions to the stored alerts as patches; ``store.read(spark, path, ACTED_ON)`` gives
+    the alerts with them, as ``apply_actions`` would. Other actions and unknown alerts change nothing; later versions of
+    an alert keep them."""
+    # of two actions at one instant the dismissal counts
+    at = C.micros(F.col("ts")) * 2
+    done = {
+        "acknowledge": [F.lit("acknowledged").alias("status"), F.coalesce("actor", F.lit("analyst")).alias("acknowledged_by"),
+                        F.col("ts").alias("acknowledged_at"), F.col("notes").alias("analyst_notes")],
+        "dismiss": [F.lit("dismissed").alias("status"), F.col("ts").alias("closed_at")],
+    }
+    for action, columns in done.items():
+        rows = actions.filter(F.col("action") == action).select("alert_id", *columns, (at + int(action == "dismiss")).alias("_at"))
+        names = [c for c in rows.columns if c not in ("alert_id", "_at")]
+        store.patch(rows, path, "alert_id", names, F.col("_at"), f"{source}-{action}", epoch)

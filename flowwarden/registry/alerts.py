@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from flowwarden.functions import columns as C
 from flowwarden.operators import alerts as A
 from flowwarden.operators import search
+from flowwarden.plans import jobs
 from flowwarden.registry import views as V
 from flowwarden.registry.basics import BAD, PORTS_SQL
-from flowwarden.registry.base import query
+from flowwarden.registry.base import SQL, query
 from flowwarden.registry.models import SCORED_EVENTS, SCORED_FLOWS, scored_events, scored_flows
+from flowwarden.session import work_dir
+from flowwarden.sources import store
 
 # --- the chain in SQL: a step per alert and key, carried by recursion ------------------------------
 
@@ -230,6 +233,29 @@ def _(spark, sf):
     return _state(A.apply_actions(V.alerts(spark, sf), _actions(spark, sf)))
 
 
+def _acted_on(spark, sf, actions):
+    """Alerts in the store, the actions written to it in two parts, and then a later version of every second alert."""
+    path = work_dir(spark, "acted-on")
+    a = V.alerts(spark, sf)
+    store.write(a.withColumn("severity", F.lit("old")), path, "alert_id", F.lit(1))
+    early = F.col("action") == "acknowledge"
+    jobs.store_actions(actions.filter(early), path)
+    store.compact(spark, path)
+    jobs.store_actions(actions.filter(~early), path)
+    store.write(a, path, "alert_id", F.lit(2))
+    return _state(store.read(spark, path, jobs.ACTED_ON))
+
+
+@query("l11_acknowledge_stored", SQL["l11_acknowledge"])
+def _(spark, sf):
+    return _acted_on(spark, sf, _actions(spark, sf).filter("action = 'acknowledge'"))
+
+
+@query("l12_dismiss_stored", SQL["l12_dismiss"])
+def _(spark, sf):
+    return _acted_on(spark, sf, _actions(spark, sf))
+
+
 @query("l13_high_severity", f"""WITH RECURSIVE {CHAIN} SELECT alert_id, upper(severity) AS severity, risk_score, source_type, coalesce(src_ip, '-') AS src_ip,
   coalesce(dst_ip, '') AS dst_ip, left(mitre_tactic || ' ' || repeat(hostname, 20), 80) AS description FROM final WHERE severity IN ('high', 'critical')""")
 def _(spark, sf):

@@ -16,7 +16,7 @@ from flowwarden.operators import features, flows, lookup_joins, search
 from flowwarden.registry import views as V
 from flowwarden.registry.base import query
 from flowwarden.session import work_dir
-from flowwarden.sources import tables
+from flowwarden.sources import store, tables
 from flowwarden.sources.event_xml import parse_event_xml, record_counts
 
 
@@ -235,12 +235,11 @@ def _(spark, sf):
 def _(spark, sf):
     f = V.net_flows(spark, sf).select("flow_id", F.col("ts").cast("timestamp").alias("ts"), "src_ip", "bytes_sent", F.lit("none").alias("severity"))
     path = work_dir(spark, "events")
-    tables.upsert(f, path, "flow_id", F.lit(1))
+    store.write(f, path, "flow_id", F.lit(1))
     again = f.filter("bytes_sent > 1000").withColumn("severity", F.lit("high"))
-    tables.upsert(again, path, "flow_id", F.lit(2))
-    compacted = work_dir(spark, "events-compacted")
-    tables.compact(spark, path, compacted)
-    return tables.latest(spark.read.parquet(compacted)).select("_id", "ts", "src_ip", "severity")
+    store.write(again, path, "flow_id", F.lit(2))
+    store.compact(spark, path)
+    return store.read(spark, path).select("_id", "ts", "src_ip", "severity")
 
 
 @query("s7_alert_upsert", f"""WITH {V.ALERTS} SELECT alert_id AS _id, severity,
@@ -248,32 +247,32 @@ def _(spark, sf):
 def _(spark, sf):
     a = V.alerts(spark, sf).select("alert_id", F.col("ts").cast("timestamp").alias("ts"), "severity", "status")
     path = work_dir(spark, "alerts")
-    tables.upsert(a.filter("severity = 'low'").withColumn("status", F.lit("dismissed")), path, "alert_id", F.lit(7))
+    store.write(a.filter("severity = 'low'").withColumn("status", F.lit("dismissed")), path, "alert_id", F.lit(7))
     # an older version that arrives late does not win
-    tables.upsert(a, path, "alert_id", F.lit(3))
-    return tables.latest(spark.read.parquet(path)).select("_id", "severity", "status")
+    store.write(a, path, "alert_id", F.lit(3))
+    return store.read(spark, path).select("_id", "severity", "status")
 
 
 @query("s6_late_version", f"""WITH {V.NET_FLOWS} SELECT flow_id AS _id, 'new' AS state FROM net_flows""")
 def _(spark, sf):
     """An older version that arrives after compaction does not win either."""
     f = V.net_flows(spark, sf).select("flow_id", F.col("ts").cast("timestamp").alias("ts"))
-    path, compacted = work_dir(spark, "versions"), work_dir(spark, "versions-compacted")
-    tables.upsert(f.withColumn("state", F.lit("new")), path, "flow_id", F.lit(7))
-    tables.compact(spark, path, compacted)
-    tables.upsert(f.withColumn("state", F.lit("old")), compacted, "flow_id", F.lit(3))
-    return tables.latest(spark.read.parquet(compacted)).select("_id", "state")
+    path = work_dir(spark, "versions")
+    store.write(f.withColumn("state", F.lit("older")), path, "flow_id", F.lit(5))
+    store.write(f.withColumn("state", F.lit("new")), path, "flow_id", F.lit(7))
+    store.compact(spark, path)
+    store.write(f.withColumn("state", F.lit("old")), path, "flow_id", F.lit(3))
+    return store.read(spark, path).select("_id", "state")
 
 
 @query("s6_one_day", f"""WITH {V.NET_FLOWS} SELECT flow_id AS _id, src_ip FROM net_flows WHERE cast(ts AS date) = date '2024-01-02'""")
 def _(spark, sf):
-    """One current day of the upserted table; only its folder is read."""
+    """One current day of the upserted table; only its folders are listed."""
     path = work_dir(spark, "days")
     f = V.net_flows(spark, sf).select("flow_id", F.col("ts").cast("timestamp").alias("ts"), "src_ip")
-    tables.upsert(f, path, "flow_id", F.lit(1))
-    tables.upsert(f, path, "flow_id", F.lit(2))
-    day = F.col("event_date") == F.lit(dt.date(2024, 1, 2))
-    return tables.latest(spark.read.parquet(path)).filter(day).select("_id", "src_ip")
+    store.write(f, path, "flow_id", F.lit(1))
+    store.write(f, path, "flow_id", F.lit(2))
+    return store.read(spark, path, days=["2024-01-02"]).select("_id", "src_ip")
 
 
 @query("s5_fractions_of_seconds", f"""WITH {V.NET_FLOWS} SELECT flow_id, epoch_us(ts) + bytes_sent % 1000000 AS us FROM net_flows""")
@@ -431,12 +430,12 @@ def _(spark, sf):
 
 @query("f2_windows_search", f"""WITH {V.WIN_EVENTS}, g AS (SELECT *, {_GRADED.format('length(process_name)')} FROM win_events)
 SELECT event_uid, cast(ts AS varchar) AS ts, event_id, computer, "user", severity FROM g
-WHERE is_anomaly AND severity = 'medium' AND event_id = 4624 AND computer = 'HUB-A' AND "user" = 'u.alder'
+WHERE is_anomaly AND severity = 'medium' AND event_id = 4624 AND computer = 'PURCHASE.1' AND "user" = 'id4'
 UNION ALL SELECT event_uid, cast(ts AS varchar), event_id, computer, "user", severity FROM g WHERE event_id = 1102""")
 def _(spark, sf):
     e = _graded(V.win_events(spark, sf), F.length("process_name"))
     cols = ["event_uid", "ts", "event_id", "computer", "user", "severity"]
-    one = search.search_events(e, True, "Medium", 4624, "HUB-A", "u.alder").select(*cols)
+    one = search.search_events(e, True, "Medium", 4624, "PURCHASE.1", "id4").select(*cols)
     return one.unionAll(search.search_events(e, event_id=1102).select(*cols))
 
 
@@ -562,11 +561,11 @@ def _(spark, sf):
 
 
 @query("x1_text_functions", f"""WITH {V.WIN_EVENTS} SELECT event_uid, trim(' ' || computer || ' ') AS trimmed, lower("user") AS lowered,
-  upper(computer) AS uppered, starts_with(computer, 'SRV') AS starts, contains(lower(process_name), 'system') AS has FROM win_events""")
+  upper(computer) AS uppered, starts_with(computer, 'VIEW') AS starts, contains(lower(process_name), 'system') AS has FROM win_events""")
 def _(spark, sf):
     return V.win_events(spark, sf).select(
         "event_uid", F.trim(F.concat(F.lit(" "), "computer", F.lit(" "))).alias("trimmed"), F.lower("user").alias("lowered"),
-        F.upper("computer").alias("uppered"), F.startswith("computer", F.lit("SRV")).alias("starts"),
+        F.upper("computer").alias("uppered"), F.startswith("computer", F.lit("VIEW")).alias("starts"),
         F.contains(F.lower("process_name"), F.lit("system")).alias("has"))
 
 

@@ -23,7 +23,7 @@ from flowwarden.registry.models import (
     SEQUENCES, UNTIMED_SCORED, UNTIMED_SEQUENCES, _slot, _totals, is_scored, untimed_events,
 )
 from flowwarden.session import work_dir
-from flowwarden.sources.tables import latest
+from flowwarden.sources import store
 from flowwarden.streaming import jobs
 from flowwarden.streaming.state import alert_chain_stream, dispositions_stream, host_sequences_stream
 
@@ -102,10 +102,43 @@ def _(spark, sf):
 
     def twice(batch, epoch):
         for _ in range(2):
-            jobs.write_epoch(batch, epoch, out)
+            jobs.write_epoch(batch, epoch, out, "flow_id")
 
     jobs.start(feed(spark, V.net_flows(spark, sf), "flows"), work_dir(spark, "stored-state"), twice, every=None).awaitTermination()
-    return spark.read.parquet(out).select("flow_id", "src_ip")
+    return store.read(spark, out).select("flow_id", "src_ip")
+
+
+def _stored(spark, stream, name, id_col, each=None):
+    """The store's folder after a stream has written to it; ``each`` is run after every micro-batch."""
+    out = work_dir(spark, name)
+
+    def run_batch(batch, epoch):
+        jobs.write_epoch(batch, epoch, out, id_col)
+        if each is not None:
+            each(out)
+
+    jobs.start(stream, work_dir(spark, f"{name}-state"), run_batch, every=None).awaitTermination()
+    return out
+
+
+@query("s6_event_upsert_stream", f"""WITH {V.NET_FLOWS} SELECT flow_id AS _id, cast(ts AS varchar) AS ts, src_ip,
+  CASE WHEN bytes_sent > 1000 THEN 'high' ELSE 'none' END AS severity FROM net_flows""")
+def _(spark, sf):
+    """Rows with an id that a later micro-batch writes again come out once, with their last state."""
+    f = V.net_flows(spark, sf).select("flow_id", "ts", "src_ip", "bytes_sent", F.lit("none").alias("severity"))
+    again = f.filter("bytes_sent > 1000").withColumn("severity", F.lit("high"))
+    out = _stored(spark, feed(spark, f, "flows", {"flow_id": "flush"}, late=again), "events", "flow_id")
+    return store.read(spark, out).filter("_id <> 'flush'").select("_id", "ts", "src_ip", "severity")
+
+
+@query("s7_alert_upsert_stream", f"""WITH {V.ALERTS} SELECT alert_id AS _id, severity,
+  CASE WHEN severity = 'low' THEN 'dismissed' ELSE status END AS status FROM alerts""")
+def _(spark, sf):
+    """Compaction runs after every micro-batch, and each row is there once all the same."""
+    a = V.alerts(spark, sf).select("alert_id", "ts", "severity", "status")
+    low = a.filter("severity = 'low'").withColumn("status", F.lit("dismissed"))
+    out = _stored(spark, feed(spark, a, "alerts", {"alert_id": "flush"}, late=low), "alerts", "alert_id", lambda at: store.compact(spark, at))
+    return store.read(spark, out).filter("_id <> 'flush'").select("_id", "severity", "status")
 
 
 @query("st8_progress_counters_stream", f"""WITH {SCORED_FLOWS} SELECT count(*) AS processed, count(*) FILTER (is_anomaly) AS anomalies FROM scored_flows""")
@@ -115,7 +148,7 @@ def _(spark, sf):
     model = replace(FLOW_MODEL, scaler=scaler, threshold=RAW_THRESHOLD)
     stream = jobs.observe_stream(jobs.score_flows_stream(feed(spark, V.net_flows(spark, sf), "flows"), model))
     out = work_dir(spark, "counted")
-    q = jobs.start(stream, work_dir(spark, "counted-state"), lambda b, e: jobs.write_epoch(b, e, out), every=None)
+    q = jobs.start(stream, work_dir(spark, "counted-state"), lambda b, e: jobs.write_epoch(b, e, out, "flow_id"), every=None)
     q.awaitTermination()
     told = [p["observedMetrics"]["scored"] for p in q.recentProgress if "scored" in p["observedMetrics"]]
     sums = [sum(t[name] for t in told) for name in ("processed", "anomalies")]
@@ -203,7 +236,7 @@ def _(spark, sf):
     stream = jobs.observe_stream(jobs.score_flows_stream(feed(spark, V.net_flows(spark, sf), "flows"), model))
     events, alerts = work_dir(spark, "scored"), work_dir(spark, "published")
     jobs.start(stream, work_dir(spark, "scored-state"), jobs.store_and_alert("network", events, alerts), every=None).awaitTermination()
-    stored = latest(spark.read.parquet(events).withColumnRenamed("flow_id", "_id"), "_id", "epoch")
+    stored = store.read(spark, events)
     messages = spark.read.schema("key string, value string").json(f"{alerts}/epoch=*")
     told = messages.select(F.col("key").alias("alert_id"), F.get_json_object(F.get_json_object("value", "$.raw_event"), "$.flow_id").alias("_id"))
     return stored.join(told, "_id", "left").select("_id", "severity", F.coalesce("alert_id", F.lit("-")).alias("alert_id"))

@@ -1,4 +1,4 @@
-"""Scans and sinks: typed tables, JSON messages, id-keyed upserts, retention."""
+"""Scans and sinks: typed tables, JSON messages, versions of rows, retention."""
 
 from __future__ import annotations
 
@@ -110,21 +110,7 @@ def write_json(df: DataFrame, key_col: str, fmt: str = "kafka", path: str | None
     writer.save(path) if path else writer.save()
 
 
-# --- id-keyed upserts -----------------------------------------------------------------------
-
-
-def upsert(df: DataFrame, path: str, id_col: str, version: Column) -> None:
-    """Append rows with their version; the same id written again replaces the row for readers.
-
-    A row without an id gets one from its content, so that a repeated write does not make a new row.
-    """
-    content = F.sha2(C.as_json(F.struct(*[F.col(f"`{c}`") for c in df.columns])), 256)
-    rows = df.withColumns({
-        "_id": F.coalesce(F.col(id_col).cast("string"), content),
-        "_version": version.cast("bigint"),
-        "event_date": C.utc_date(F.col("ts")),
-    })
-    rows.hint("rebalance", "event_date").write.mode("append").partitionBy("event_date").parquet(path)
+# --- versions -------------------------------------------------------------------------------
 
 
 def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version", by_day: bool = True, keep_version: bool = False) -> DataFrame:
@@ -142,13 +128,6 @@ def latest(df: DataFrame, id_col: str = "_id", version_col: str = "_version", by
     return df.groupBy(*keys).agg(row.alias("_r"), *version).select(*keys, "_r.*", *([version_col] if keep_version else []))
 
 
-def compact(spark: SparkSession, path: str, new_path: str, by_day: bool = True) -> None:
-    """Write the latest rows to a new path with their versions, so that an older version that arrives later does
-    not win; the old path can be given up once readers have moved."""
-    rows = latest(spark.read.parquet(path), by_day=by_day, keep_version=True)
-    rows.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(new_path)
-
-
 # --- retention ------------------------------------------------------------------------------
 
 

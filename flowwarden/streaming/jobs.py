@@ -8,12 +8,12 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowwarden.functions import columns as C
 from flowwarden.operators.alerts import make_alerts
 from flowwarden.operators.features import event_features
 from flowwarden.operators.scoring import Model
 from flowwarden.operators.sequences import with_untimed
 from flowwarden.plans.jobs import score_flows, score_sequences
+from flowwarden.sources import store
 from flowwarden.sources.tables import to_messages
 from flowwarden.streaming.state import host_sequences_stream
 
@@ -28,14 +28,10 @@ def score_events_stream(events: DataFrame, model: Model, legacy: bool = False, w
     return score_sequences(with_untimed(host_sequences_stream(vectors, watermark=watermark), vectors), model)
 
 
-def write_epoch(batch: DataFrame, epoch: int, path: str) -> None:
-    """One micro-batch into its own folder. A batch that is run again replaces its folder, so that
-    nothing is written twice; readers take ``epoch`` as the version of a row."""
-    rows = batch.withColumn("event_date", C.utc_date(F.col("ts"))) if "ts" in batch.columns else batch
-    writer = rows.write.mode("overwrite")
-    if "ts" in batch.columns:
-        writer = writer.partitionBy("event_date")
-    writer.parquet(f"{path}/epoch={epoch}")
+def write_epoch(batch: DataFrame, epoch: int, path: str, id_col: str | None = None, source: str = "stream") -> None:
+    """One micro-batch into the id-keyed store, with its number as version. A batch that is run again replaces its
+    former rows; an id of several batches comes out once, with its last row. ``source`` names the query that writes."""
+    store.write(batch, path, id_col, F.lit(epoch), source, epoch)
 
 
 def publish(batch: DataFrame, epoch: int, key_col: str, path: str | None, fmt: str = "json", **options) -> None:
@@ -53,7 +49,7 @@ def store_and_alert(source_type: str, events_path: str, alerts_path: str | None,
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
         try:
-            write_epoch(batch, epoch, events_path)
+            write_epoch(batch, epoch, events_path, "flow_id" if source_type == "network" else "event_uid", source_type)
             publish(make_alerts(batch, source_type), epoch, "alert_id", alerts_path, fmt, **options)
         finally:
             batch.unpersist()

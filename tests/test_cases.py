@@ -18,7 +18,7 @@ from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile
 from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.plans import jobs
 from flowwarden.session import work_dir
-from flowwarden.sources import tables
+from flowwarden.sources import store, tables
 from flowwarden.sources.event_xml import parse_event_xml, read_event_xml
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -365,7 +365,7 @@ def test_packets_and_xml_to_alerts(spark):
     assert all(r.dst_ip_known_bad and r.dst_port_category == "Metasploit" and r.risk_score == 100 for r in net)
     win = [r for r in out if r.source_type == "windows"]
     # three sequences are complete, one second apart: the first alert holds back the others
-    assert [(r.hostname, r.event_id) for r in win] == [("HUB-A", 4624)]
+    assert [(r.hostname, r.event_id) for r in win] == [("gate7", 4624)]
 
 
 # --- XML, JSON, tables ------------------------------------------------------------------------------
@@ -373,7 +373,7 @@ def test_packets_and_xml_to_alerts(spark):
 NS = f'xmlns="{L.EVENT_XML_NS}"'
 
 
-def event_xml(eid="<EventID>4624</EventID>", time='<TimeCreated SystemTime="2024-01-01T10:00:00.5Z"/>', data="", computer="<Computer>HUB-A</Computer>"):
+def event_xml(eid="<EventID>4624</EventID>", time='<TimeCreated SystemTime="2024-01-01T10:00:00.5Z"/>', data="", computer="<Computer>gate7</Computer>"):
     return f"<Event {NS}><System>{eid}{time}{computer}</System><EventData>{data}</EventData></Event>"
 
 
@@ -434,9 +434,56 @@ def test_bounded_read_takes_the_earliest(spark):
 def test_upsert_and_latest(spark):
     path = work_dir(spark, "t")
     one = spark.createDataFrame([("a", at(0), 1), ("b", at(0), 1)], "id string, ts timestamp, v int")
-    tables.upsert(one, path, "id", F.lit(1))
-    tables.upsert(one.filter("id = 'a'").withColumn("v", F.lit(2)), path, "id", F.lit(2))
-    assert {(r._id, r.v) for r in tables.latest(spark.read.parquet(path)).collect()} == {("a", 2), ("b", 1)}
+    store.write(one, path, "id", F.lit(1))
+    store.write(one.filter("id = 'a'").withColumn("v", F.lit(2)), path, "id", F.lit(2))
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == {("a", 2), ("b", 1)}
+
+
+def test_a_micro_batch_run_again_replaces_itself_and_an_id_of_two_comes_out_once(spark):
+    path = work_dir(spark, "epochs")
+    rows = lambda *r: spark.createDataFrame(list(r), "id string, ts timestamp, v int")
+    jobs_write = lambda df, e, source="q": store.write(df, path, "id", F.lit(e), source, e)
+    jobs_write(rows(("a", at(0), 1), ("gone", at(0), 1)), 0)
+    jobs_write(rows(("a", at(0), 1), ("b", None, 1)), 0)  # the same epoch, after a failure, with other rows
+    jobs_write(rows(("a", at(0), 2), ("c", at(90_000), 2)), 1)
+    jobs_write(rows(("a", at(0), 0)), 0, "another query")
+    want = {("a", 2), ("b", 1), ("c", 2)}
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == want
+    assert len(store.compact(spark, path)) == 1  # only the day of "a" has several pieces
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == want
+    assert len(store.unused(spark, path)) == 2  # what the repeated epoch wrote first, and the other query's only day
+    jobs_write(rows(("a", at(0), 1)), 0)  # an epoch that was folded already comes again
+    jobs_write(rows(("d", at(1), 3)), 2)
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == want | {("d", 3)}
+    assert store.compact(spark, path, least=2) != [] and store.compact(spark, path) == []
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == want | {("d", 3)}
+
+
+def test_a_write_without_its_line_in_the_log_is_not_read(spark):
+    path = work_dir(spark, "half")
+    one = spark.createDataFrame([("a", at(0), 1)], "id string, ts timestamp, v int")
+    store.write(one, path, "id", F.lit(1))
+    lost = one.selectExpr("id AS _id", "v", "9L AS _version", "cast(null AS array<string>) AS _set", "date '2024-01-01' AS event_date", "ts", "id")
+    store._write_piece(lost, path, "rows")
+    assert [r.v for r in store.read(spark, path).collect()] == [1]
+
+
+def test_patches_outlive_later_versions_and_compaction(spark):
+    path = work_dir(spark, "patches")
+    alert = spark.createDataFrame([("a", at(0), "low", "open"), ("b", at(0), "low", "open")], "alert_id string, ts timestamp, severity string, status string")
+    store.write(alert, path, "alert_id", F.lit(1))
+    act = lambda *r: jobs.store_actions(
+        spark.createDataFrame(list(r), "alert_id string, action string, actor string, notes string, ts timestamp"), path)
+    act(("a", "acknowledge", "amy", "n", at(10)), ("nobody", "dismiss", None, None, at(1)), ("b", "other", None, None, at(1)))
+    store.compact(spark, path)
+    act(("a", "dismiss", "bob", None, at(20)), ("a", "acknowledge", None, None, at(5)))  # the second is older
+    store.write(alert.withColumn("severity", F.lit("high")), path, "alert_id", F.lit(2))
+    state = lambda: [tuple(r) for r in store.read(spark, path, jobs.ACTED_ON).select(
+        "_id", "severity", "status", "acknowledged_by", "acknowledged_at", "analyst_notes", "closed_at").orderBy("_id").collect()]
+    want = [("a", "high", "dismissed", "amy", at(10), "n", at(20)), ("b", "high", "open", None, None, None, None)]
+    assert state() == want
+    store.compact(spark, path)
+    assert state() == want
 
 
 def test_retention(spark):
@@ -588,29 +635,70 @@ def test_json_keeps_microseconds(spark):
 
 
 def test_versions_outlive_compaction(spark):
-    path, new = work_dir(spark, "v"), work_dir(spark, "v2")
+    path = work_dir(spark, "v")
     row = spark.createDataFrame([("a", at(0), "new")], "id string, ts timestamp, v string")
-    tables.upsert(row, path, "id", F.lit(7))
-    tables.compact(spark, path, new)
-    tables.upsert(row.withColumn("v", F.lit("old")), new, "id", F.lit(3))
-    assert [r.v for r in tables.latest(spark.read.parquet(new)).collect()] == ["new"]
+    store.write(row, path, "id", F.lit(7))
+    store.write(row.withColumn("v", F.lit("older")), path, "id", F.lit(2))
+    assert store.compact(spark, path) == ["2024-01-01"]
+    store.write(row.withColumn("v", F.lit("old")), path, "id", F.lit(3))
+    assert [r.v for r in store.read(spark, path).collect()] == ["new"]
 
 
 def test_rows_without_an_id_are_not_doubled_by_a_repeated_write(spark):
     path = work_dir(spark, "w")
     rows = spark.createDataFrame([(None, at(0), 1), (None, at(0), 2)], "id string, ts timestamp, v int")
     for _ in range(2):
-        tables.upsert(rows, path, "id", F.lit(1))
-    assert sorted(r.v for r in tables.latest(spark.read.parquet(path)).collect()) == [1, 2]
+        store.write(rows, path, "id", F.lit(1))
+    assert sorted(r.v for r in store.read(spark, path).collect()) == [1, 2]
 
 
 def test_latest_of_a_day_reads_that_day(spark):
     path = work_dir(spark, "days")
-    tables.upsert(spark.createDataFrame([("a", at(0)), ("b", at(200_000))], "id string, ts timestamp"), path, "id", F.lit(1))
-    day = tables.latest(spark.read.parquet(path)).filter(F.col("event_date") == F.lit(dt.date(2024, 1, 3)))
+    store.write(spark.createDataFrame([("a", at(0)), ("b", at(200_000))], "id string, ts timestamp"), path, "id", F.lit(1))
+    day = store.read(spark, path).filter(F.col("event_date") == F.lit(dt.date(2024, 1, 3)))
     plan = day._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan
     assert [r._id for r in day.collect()] == ["b"]
+    assert [r._id for r in store.read(spark, path, days=["2024-01-03", "2030-01-01"]).collect()] == ["b"]
+    assert store.read(spark, path, days=[]).collect() == []
+
+
+ZONES = ("UTC", "Asia/Kolkata", "America/St_Johns", "Europe/Berlin")
+
+
+def test_times_without_a_zone_are_utc_whatever_the_session_says(spark):
+    """Also in the hours that a change of clocks skips or repeats in the session's zone."""
+    texts = ["2024-01-01 02:00:00.25", "2024-03-31 02:30:00", "2024-10-27 02:30:00", "1969-12-31 23:59:59.999999", "2024-06-01 23:45:00"]
+    want = None
+    for zone in ZONES:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        try:
+            bare = spark.createDataFrame([(t,) for t in texts], "t string").selectExpr("cast(t AS timestamp_ntz) AS ts", "concat(t, 'Z') AS z")
+            for ts in (F.col("ts"), F.col("z").cast("timestamp")):
+                got = bare.select(
+                    C.micros(ts), C.utc_date(ts).cast("string"), C.utc_hour(ts), C.utc_weekday(ts), C.utc_stamp(C.micros(ts)),
+                    F.unix_micros(C.instant(ts)), C.event_uid(ts, F.lit(1), F.lit("a"), F.lit("b"))).collect()
+                hours = stats.hourly(bare.select(ts.alias("ts"))).select(F.unix_micros("hour"), "cnt").collect()
+                got = ([tuple(r) for r in got], sorted(tuple(r) for r in hours))
+                want = got if want is None else want
+                assert got == want
+            xml = spark.createDataFrame([(t.replace(" ", "T"), f"{t.replace(' ', 'T')}Z") for t in texts], "a string, b string")
+            same = xml.select(F.unix_micros(C.instant_of_text(F.col("a"))), F.unix_micros(C.instant_of_text(F.col("b")))).collect()
+            assert [r[0] for r in same] == [r[1] for r in same] == [r[0] for r in want[0]]
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert [r[0] for r in want[0]][3] == -1 and [r[4] for r in want[0]][0] == "2024-01-01 02:00:00"
+
+
+def test_texts_of_times(spark):
+    texts = ["2024-01-01T10:00:00.5Z", "2024-01-01T12:00:00.5+02:00", "2024-01-01T10:00:00.5", " 2024-01-01 10:00:00.5 ", "2024-01-01T10:00:00.5 UTC"]
+    odd = ["2024-01-01", "2024-01", "nonsense", "", None]
+    spark.conf.set("spark.sql.session.timeZone", "Asia/Kolkata")
+    try:
+        got = [r[0] for r in spark.createDataFrame([(t,) for t in texts + odd], "t string").select(F.unix_micros(C.instant_of_text(F.col("t")))).collect()]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got[:5] == [1_704_103_200_500_000] * 5 and got[5:] == [1_704_067_200_000_000, 1_704_067_200_000_000, None, None, None]
 
 
 def test_a_bound_needs_an_order(spark):

@@ -9,7 +9,7 @@ from flowwarden import schemas
 from flowwarden.operators import alerts as A
 from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import work_dir
-from flowwarden.sources import tables
+from flowwarden.sources import store, tables
 from flowwarden.streaming import jobs
 from flowwarden.streaming.state import dispositions_stream, host_sequences_stream
 
@@ -107,7 +107,7 @@ def test_a_repeated_batch_is_written_once(spark):
     each = jobs.store_and_alert("network", events, alerts)
     each(batch, 3)
     each(batch, 3)
-    assert spark.read.parquet(events).count() == 2
+    assert store.read(spark, events).count() == 2
     assert spark.read.schema("key string, value string").json(f"{alerts}/epoch=*").count() == 1
 
 
