@@ -31,8 +31,9 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _AS_BYTE = {chr(b): b for b in _PRINTABLE} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 #: How a byte-level tokenizer of this kind cuts a text into words.
 _WORDS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Texts with other characters, or with words or gaps of such length, are encoded by the reference library.
-_OTHER = re.compile("[^\x00-\x7f¡-ž–—‘-”…€]|\\S{400}|\\s{400}")
+#: Texts with other characters, or with words or gaps of such length, are encoded by the file's own library.
+_OTHER = re.compile("[^\x00-\x7f¡-ž–—‘-”…€]")
+LONG = 400
 
 DOCS = (
     "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
@@ -77,11 +78,19 @@ class ByteBpe:
         return tiktoken.Encoding("a", pat_str=_WORDS, mergeable_ranks={self.bytes[i]: i for i in vocab.values()}, special_tokens={})
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast is None or _OTHER.search(text):
+        if self.fast is None or not plain(text):
             return self.whole.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
+def plain(text: str) -> bool:
+    """No characters about which libraries might differ, and no very long words or gaps."""
+    if not text.isascii() and _OTHER.search(text):
+        return False
+    lengths = list(map(len, text.split()))
+    return max(lengths, default=0) < LONG and len(text) - sum(lengths) < len(lengths) + LONG
+
+
 class Pieces:
     """Tokenizer B, of a sentence-piece model with bytes as a fallback; it puts a space before a text."""
 
@@ -134,8 +143,7 @@ class Aligner:
         a, b = (np.fromiter(chain.from_iterable(x), np.int64, sum(map(len, x))) for x in ids)
         n_a, n_b = (np.array([len(x) for x in side], np.int64) for side in ids)
         end_a, end_b = (np.cumsum(length[x]) for length, x in zip(self.lengths, (a, b)))
-        ends = np.intersect1d(end_a, end_b)
-        # an empty token ends where the one before it does; vocabularies hold none
+        ends = end_a[end_b[np.minimum(np.searchsorted(end_b, end_a), len(end_b) - 1)] == end_a] if len(a) else end_a
         group_a, group_b = np.searchsorted(ends, end_a), np.searchsorted(ends, end_b)
         in_a, in_b = np.bincount(group_a, minlength=len(ends)), np.bincount(group_b, minlength=len(ends))
         from_a, from_b = np.cumsum(in_a) - in_a, np.cumsum(in_b) - in_b
