@@ -92,7 +92,7 @@ def op2(spark: SparkSession, sf: str) -> DataFrame:
 @query("op3_power_of_two_packing")
 def op3(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack(documents(spark, sf), tokenizer_path(), with_ids=False).select(
-        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 @query("op4_html_extraction")

@@ -1,6 +1,8 @@
 """Operators on documents against brute force on small tables, with nulls, empties, repeats and clashing names."""
 
 import hashlib
+import json
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -180,14 +182,42 @@ def test_every_ascii_character_has_the_tokenizers_ids(make):
     assert got[0].doc_tokens == len(want["a\x01b"]) == 4 and got[1].doc_tokens == len(want["!\x01"]) == 3
 
 
-def test_words_forgotten_are_learnt_again(monkeypatch, prose):
-    monkeypatch.setattr(packing, "MEMORY_WORDS", 5)
-    small = packing.WordIds(tokenizer_path())
-    text = prose[0][1] + " don't 42"
-    first = small(text)
-    for _, t, *_ in prose[:20]:
-        small(t)
-    assert small(text) == first == np.array(small.tokenizer.encode(text, add_special_tokens=False).ids + [2], "<u4").tobytes()
+def test_merges_by_rank_are_the_tokenizers(spark, prose):
+    encode = packing.WordIds(tokenizer_path())
+    assert encode.fast is not None
+    texts = [r[0] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r[0]]
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz\u00e9\u00df\u00f8\u0142\u0161"
+    texts += [" ".join("".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(400)) for _ in range(50)]
+    texts += ["a" * 399, "ab" * 5000, "x\x01y", "'ll 'LL can't", "!?" * 900, *(t for _, t, *_ in prose if t)]
+    for text, e in zip(texts, encode.tokenizer.encode_batch(texts, add_special_tokens=False)):
+        assert encode(text) == np.array(e.ids + [2], "<u4").tobytes()
+
+
+def test_a_file_whose_merges_are_out_of_order_goes_to_its_library(tmp_path):
+    with open(tokenizer_path(), encoding="utf-8") as file:
+        spec = json.load(file)
+    merges = spec["model"]["merges"]
+    merges[0], merges[1] = merges[1], merges[0]
+    path = tmp_path / "swapped.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    encode = packing.WordIds(str(path))
+    assert encode.fast is None
+    assert encode("in the end") == np.array(encode.tokenizer.encode("in the end", add_special_tokens=False).ids + [2], "<u4").tobytes()
+
+
+def test_buckets_hold_one_length(spark, make, prose, tmp_path):
+    packed = packing.pack(make(prose), tokenizer_path(), longest=64)
+    path = str(tmp_path / "buckets")
+    packing.write_buckets(packed, path)
+    back = spark.read.parquet(path)
+    assert back.where("length(ids) <> 4 * bucket or length <> bucket").isEmpty()
+    key = lambda df: sorted(tuple(r) for r in df.select(F.coalesce("doc_id", F.lit(-1)), "start", "ids_crc32", "length").collect())
+    assert key(back) == key(packed)
+    assert {int(d.name.split("=")[1]) for d in (tmp_path / "buckets").iterdir() if d.name.startswith("bucket=")} == {1 << i for i in range(7)}
+    with pytest.raises(Exception, match="(?i)already exists"):
+        packing.write_buckets(packed, path)
+
 
 
 def repeats(texts, length):
