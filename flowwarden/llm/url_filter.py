@@ -18,11 +18,11 @@ RULES = (
     ("net/es/", "block"),
     ("net/fr/", "block"),
 )
-#: Distinct labelled urls of either label the trees are fitted on, at most about so many; the statistics of suffixes use all.
+#: Distinct labelled urls of either label the trees are fitted on, at most about so many; the statistics of suffixes take all rows.
 SAMPLE_ROWS = 20_000
 FEATURES = (
     "url_length", "host_length", "path_length", "depth", "labels", "digit_ratio", "entropy", "parameters",
-    "hyphens", "fragment", "suffix_rows", "suffix_rate", "domain_rows", "domain_rate", "section_rows", "section_rate",
+    "hyphens", "fragment", "section_rows",
 )
 
 
@@ -62,9 +62,7 @@ def with_features(pages: DataFrame) -> DataFrame:
     return (
         pages.withColumn("rest", _rest(F.col("url")))
         .withColumn("host", host_of(F.col("rest"))).withColumn("path", path_of(F.col("rest")))
-        .withColumn("suffix", F.substring_index("host", ".", -1))
-        .withColumn("domain", F.substring_index("host", ".", -2))
-        .withColumn("section", F.concat_ws("/", "domain", F.regexp_extract("path", "^/([^/]*)", 1)))
+        .withColumn("section", F.concat_ws("/", F.substring_index("host", ".", -2), F.regexp_extract("path", "^/([^/]*)", 1)))
         .select(
             "*",
             F.length(url).cast("double").alias("url_length"),
@@ -81,11 +79,14 @@ def with_features(pages: DataFrame) -> DataFrame:
     )
 
 
-def suffix_stats(rows: DataFrame, by: str) -> DataFrame:
-    """Per value of ``by`` (last part of the host, its last two, these with the first folder): log of its rows, and the share of blocked among its labelled rows, drawn to a half."""
-    return rows.groupBy(by).agg(
-        F.log1p(F.count("*")).alias(f"{by}_rows"),
-        ((F.coalesce(F.sum("label"), F.lit(0.0)) + 5.0) / (F.count("label") + 10.0)).alias(f"{by}_rate"))
+def with_suffix_statistics(rows: DataFrame) -> DataFrame:
+    """``rows`` with the log of how many rows share the last two parts of their host and the first folder.
+
+    No statistic is made from labels: rules are written for suffixes and folders, so the share of blocked urls of one
+    would be the label itself, as would rows of a whole suffix, of which there are few.
+    """
+    counts = rows.groupBy("section").agg(F.log1p(F.count("*")).alias("section_rows"))
+    return rows.join(stage(counts, "suffixes"), "section")
 
 
 def labelled_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -116,9 +117,7 @@ def judge(pages: DataFrame, rules=RULES, sample_rows: int = SAMPLE_ROWS) -> Data
     rows = rows.withColumn("by_rule", F.when(F.col("rule").isNotNull(), F.element_at(verdict, F.col("rule"))))
     rows = rows.withColumn("label", F.when(F.col("rule").isNotNull(), (F.col("by_rule") == "block").cast("double")))
     rows = stage(rows, "urls")
-    for by in ("suffix", "domain", "section"):
-        rows = rows.join(stage(suffix_stats(rows, by), "suffixes"), by)
-    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(rows)
+    rows = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffix_statistics(rows))
     sample = stage(labelled_sample(rows, sample_rows), "labelled")
     found = {r["label"] for r in sample.select("label").distinct().collect()}
     if len(found) < 2:
