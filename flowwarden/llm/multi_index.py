@@ -17,17 +17,18 @@ from pyspark.sql import functions as F
 from flowwarden.llm.common import stage
 
 #: Centroids of a half; the index has the square of it as cells.
-CENTROIDS = 64
+CENTROIDS = 128
 #: Vectors the centroids are fitted on, at most about so many, taken by a hash of the id. Every vector is indexed.
 SAMPLE_ROWS = 20_000
 ROUNDS = 15
 #: Share of all entries that the cells a query walks must hold together. The given vectors have no clusters, so
-#: recall takes a share of the entries and not a number of them; and the least number walked.
-WALKED = 0.4
-WALKED_LEAST = 4_000
+#: recall takes a share of the entries and not a number of them.
+WALKED = 0.35
 #: Entries of a bucket of cells, about; larger cells are split.
 BUCKET = 4_096
 QUERY_BLOCK = 128
+#: Queries that meet a bucket in one task, about; more are compared in several, each with a copy of the bucket.
+QUERY_ROWS = 20_000
 
 
 @dataclass
@@ -46,15 +47,16 @@ class Codebook:
 
 
 def valid_vectors(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, vector) without rows that take no part: null ids, and vectors that are null, empty, zero, not of
-    the commonest length, or hold null or non-finite parts."""
+    """(vec_id, vector), one row an id, without rows that take no part: null ids, and vectors that are null, empty,
+    zero, or hold null or non-finite parts. An id with several vectors has the least of them, compared part by part.
+    Shorter vectors are filled up with zeros, which changes no cosine between vectors of one length."""
     vector = F.col(embedding).cast("array<double>")
     ok = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), vector.alias("vector")).where(
         F.col("vec_id").isNotNull() & F.col("vector").isNotNull() & F.forall("vector", ok) & F.exists("vector", lambda x: x != 0))
-    lengths = rows.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows"))
-    common = lengths.orderBy(F.desc("rows"), "n").first()
-    return rows.where(F.size("vector") == (common["n"] if common else 0))
+    one = stage(rows.groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    longest = one.agg(F.max(F.size("vector"))).first()[0] or 0
+    return one.withColumn("vector", F.concat("vector", F.array_repeat(F.lit(0.0), F.lit(longest) - F.size("vector"))))
 
 
 def _unit(batch: list) -> np.ndarray:
@@ -95,9 +97,8 @@ def index(vectors: DataFrame, book: Codebook, k: int) -> DataFrame:
     Of equal vectors only the k + 1 smallest ids are kept: ties go to smaller ids and a query's own row takes no
     part, so no other can be among k. Each task keeps as many before rows meet, so a hot vector stays small.
     """
-    rows = vectors.groupBy("vector", "vec_id").agg(F.lit(1).alias("one")).drop("one")
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    rows = rows.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("vec_id", "vector")
+    rows = vectors.withColumn("rank", rank).where(F.col("rank") <= k + 1).select("vec_id", "vector")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -131,14 +132,14 @@ def walk(a: np.ndarray, b: np.ndarray, held: dict[int, int], wanted: float) -> l
 
 def search(
     rows: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", embedding: str = "embedding",
-    centroids: int = CENTROIDS, walked: float = WALKED, sample_rows: int = SAMPLE_ROWS, least: int = WALKED_LEAST,
+    centroids: int = CENTROIDS, walked: float = WALKED, sample_rows: int = SAMPLE_ROWS, query_rows: int = QUERY_ROWS,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of largest cosine found for each row with ``is_query``.
 
     ``is_query`` is a condition on vec_id. Every row but the query's own is a candidate. Scores are cosines in double precision of
-    the given vectors; ties go to the smaller vec_id. Repeated rows of one id and vector count once. Fewer than
+    the given vectors; ties go to the smaller vec_id. Repeated rows of one id count once (``valid_vectors``). Fewer than
     k candidates give fewer rows, no valid vectors none. A query walks cells until they hold the share ``walked`` of all
-    entries, and ``least`` entries at least.
+    entries, and k + 1 at least.
     """
     vectors = stage(valid_vectors(rows, vec_id, embedding), "vectors")
     out = "query_id long, rank int, vec_id long, score double"
@@ -147,7 +148,7 @@ def search(
         return rows.sparkSession.createDataFrame([], out)
     entries = stage(index(vectors, book, k), "index")
     held = {r["cell"]: r["n"] for r in entries.groupBy("cell").agg(F.count("*").alias("n")).collect()}  # centroids ** 2 at most
-    wanted = max(least, walked * sum(held.values()))
+    wanted = max(k + 1, walked * sum(held.values()))
     buckets = deal(held)
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,11 +174,12 @@ def search(
             at = [buckets[cell][vec % len(buckets[cell])] for cell, vec in rows]
             yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *batch.columns], ["bucket", "cell", "vec_id", "vector"])
 
-    asked = vectors.where(is_query).dropDuplicates(["vec_id"]).select(F.col("vec_id").alias("query_id"), "vector")
-    # a walk is work of its own: queries go to as many tasks as a shuffle has, however few bytes they are
-    asked = asked.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "query_id")
-    asked = asked.mapInArrow(visits, "bucket int, cells array<int>, query_id long, vector array<double>")
+    asked = spread(vectors.where(is_query).select(F.col("vec_id").alias("query_id"), "vector"), "query_id")
+    asked = stage(asked.mapInArrow(visits, "bucket int, cells array<int>, query_id long, vector array<double>"), "walks")
+    parts = max(1, -(-asked.select("query_id").distinct().count() // query_rows))
+    asked = asked.withColumn("part", F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int"))
     dealt = entries.mapInArrow(places, "bucket int, cell int, vec_id long, vector array<double>")
+    dealt = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found = []
@@ -191,13 +193,19 @@ def search(
                 found += _best(block["query_id"].to_numpy(), np.array(block["vector"].to_list(), float), walked_to, ids, e, norm, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
-    met = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(
+    met = asked.groupBy("bucket", "part").cogroup(dealt.groupBy("bucket", "part")).applyInPandas(
         compare, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
+def spread(queries: DataFrame, key: str) -> DataFrame:
+    """Queries over as many tasks as a shuffle has, however few bytes they are: a walk is work of its own. They are dealt
+    by a hash of the key, as a deal by the key itself is left out where rows are already dealt by it."""
+    return queries.repartition(int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64(key, F.lit(7)))
+
+
 def deal(held: dict[int, int], bucket: int = BUCKET) -> dict[int, list[int]]:
     """Cell -> its buckets: small cells share one, a large cell has several to itself."""
     out, at, full = {}, 0, 0
