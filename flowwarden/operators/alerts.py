@@ -68,16 +68,14 @@ def source_key(legacy: bool = False) -> Column:
     return F.coalesce(ip, F.lit("")) if legacy else F.coalesce(ip, F.col("hostname"), F.lit(""))
 
 
-def mark_duplicates(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, chunk_s: float = 600) -> DataFrame:
+def mark_duplicates(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S) -> DataFrame:
     """Add ``dedup_key`` and ``is_duplicate``.
 
     The first alert of a key opens ``ttl_s`` seconds; the others inside are duplicates and do not
     prolong them. Ties go by alert id. An alert without a time falls into no window and is no duplicate.
     """
-    keyed = alerts.withColumn("dedup_key", dedup_key())
-    rows = open_windows(keyed, "dedup_key", ttl_s, chunk_s=chunk_s, opener="_opens")
-    marked = rows.withColumn("is_duplicate", ~F.col("_opens")).drop("opened_us", "_opens")
-    return marked.unionByName(C.untimed(keyed).withColumn("is_duplicate", F.lit(False)))
+    rows = open_windows(alerts.withColumn("dedup_key", dedup_key()), "dedup_key", ttl_s, opener="_opens")
+    return rows.withColumn("is_duplicate", F.col("opened_us").isNotNull() & ~F.col("_opens")).drop("opened_us", "_opens")
 
 
 def dedup(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S) -> DataFrame:
@@ -86,15 +84,12 @@ def dedup(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S) -> DataFrame:
 
 
 def mark_rate_limited(
-    alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False, chunk_s: float = 600
+    alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
 ) -> DataFrame:
     """Add ``source_key`` and ``is_limited``: beyond the first ``max_n`` of a fixed window that opens
     at the first alert of the source after the last window. One without a time is neither counted nor limited."""
-    keyed = alerts.withColumn("source_key", source_key(legacy))
-    rows = open_windows(keyed, "source_key", window_s, chunk_s=chunk_s)
-    w = Window.partitionBy("source_key", "opened_us").orderBy("ts", "alert_id")
-    marked = rows.withColumn("is_limited", F.row_number().over(w) > max_n).drop("opened_us")
-    return marked.unionByName(C.untimed(keyed).withColumn("is_limited", F.lit(False)))
+    rows = open_windows(alerts.withColumn("source_key", source_key(legacy)), "source_key", window_s, within=("_within", max_n))
+    return rows.withColumn("is_limited", F.col("opened_us").isNotNull() & ~F.col("_within")).drop("opened_us", "_within")
 
 
 def rate_limit(alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False) -> DataFrame:
@@ -156,8 +151,8 @@ def dispositions(
 ) -> DataFrame:
     """Every alert with ``disposition``: kept, deduped or rate_limited.
 
-    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it. It reads
-    its input more than once, so the marked alerts are written to the shared folder first.
+    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it. The marked alerts are read
+    twice, so they are written to the shared folder first.
     """
     marked = stage(mark_duplicates(alerts, ttl_s), "marked")
     fresh = mark_rate_limited(marked.filter(~F.col("is_duplicate")), max_n, window_s, legacy)
@@ -172,7 +167,7 @@ def kept_alerts(
     alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
 ) -> DataFrame:
     """The alerts that survive deduplication and then the rate limit."""
-    return rate_limit(stage(dedup(alerts, ttl_s), "dedup"), max_n, window_s, legacy)
+    return rate_limit(dedup(alerts, ttl_s), max_n, window_s, legacy)
 
 
 def process_alerts(
@@ -189,8 +184,8 @@ def process_alerts(
 ) -> DataFrame:
     """The whole chain: deduplicate, limit, count hits, enrich, escalate, score the risk.
 
-    Limiting and counting read their input more than once, so the survivors of each step are written
-    to the shared folder first.
+    The input is written to the shared folder before deduplication, and the survivors before the next steps, so
+    nothing before is computed twice.
     """
     hits = hit_count(stage(kept_alerts(alerts, ttl_s, max_n, window_s, legacy), "kept"), reset_s, legacy)
     return risk_score(escalate(enrich(hits, ports, bad_ips, processed_at), escalate_at))

@@ -2,19 +2,19 @@
 
 A row is the opener of a window, or falls into the window opened before it; windows of one key never
 overlap. Which row opens a window depends on the opener before it, so the rule is a chain, and one
-key may hold a large part of all rows. The chain is therefore cut into time chunks:
-
-1. per (key, chunk) the distinct times, added up before the shuffle;
-2. which chunks are linked, that is, start less than a window after the chunk before has ended; all
-   others begin afresh, and with few events per key that is nearly all of them;
-3. per linked chunk and the one before it, independently, a table "first time a new window may open
-   -> last opener of the chunk" for every way of entering the chunk;
-4. per key, in order of chunks, a walk through these tables only: it gives the opener in force when
-   each chunk starts;
-5. per (key, chunk), independently again, the openers of the chunk;
-6. rows meet their chunk's openers in an equi-join on (key, chunk).
-
-No step holds more than one chunk of a key, apart from the walk, which streams over the tables.
+key may hold a large part of all rows. The chain is therefore cut into runs of bounded size:
+
+1. per (key, time) one row, added up before the shuffle; of the rows of that instant the first is kept;
+2. these are dealt by ranges of (key, time), so a busy key lies in many tasks in order, and each task cuts
+   what it holds of a key into runs of at most ``RUN_TIMES`` times;
+3. a run that may not be the only one of its key gets a step table, independently of all others: "first time
+   a new window may open -> last opener of the run" for every way of entering the run;
+4. step tables are composable: neighbours are put together, ``FAN`` at a time, until a key has few left, and the
+   openers in force go down the same tree; a task holds ``FAN`` tables, whatever the size of a key;
+5. with the opener in force at its start, each run gives its openers, independently again;
+6. times meet their rows in an equi-join on (key, time), rows of no time having none.
+
+No step holds more than ``FAN`` runs of a key, and none walks over a whole key.
 """
 
 from __future__ import annotations
@@ -23,23 +23,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwarden.functions import columns as C
+from flowwarden.session import stage
 
 _NEVER = -(2**62)
-_STEPS = "struct<enter: array<bigint>, leave: array<bigint>>"
+#: Distinct times of one run, at most.
+RUN_TIMES = 50_000
+#: Step tables that one task puts together.
+FAN = 16
 
 
-def chunk_steps(times: np.ndarray, chunk_start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For sorted distinct times of one chunk: entering at or before ``enter[i]`` (and after
-    ``enter[i-1]``) means that ``leave[i]`` is the chunk's last opener."""
+def run_steps(times: np.ndarray, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """For sorted distinct times of one run, none before ``start``: entering at or before ``enter[i]`` (and after
+    ``enter[i-1]``) means that ``leave[i]`` is the run's last opener."""
     n = len(times)
     if times[-1] - times[0] < width:
         return times, times
-    # an opener before this chunk keeps its window open until less than chunk_start + width
-    m = min(int(np.searchsorted(times, chunk_start + width, "left")) + 1, n)
+    # an opener before this run keeps its window open until less than start + width
+    m = min(int(np.searchsorted(times, start + width, "left")) + 1, n)
     following = np.searchsorted(times, times + width, "left")
     last = np.arange(m)
     while True:
@@ -52,55 +58,161 @@ def chunk_steps(times: np.ndarray, chunk_start: int, width: int) -> tuple[np.nda
     return times[:m][keep], times[last[keep]]
 
 
-def _steps_udf(width: int, chunk: int):
-    @F.pandas_udf(_STEPS)
-    def steps(times: pd.Series) -> pd.DataFrame:
-        enter, leave = [], []
-        for t in times:
-            a = np.asarray(t, dtype=np.int64)
-            e, v = chunk_steps(a, int(a[0]) // chunk * chunk, width)
-            enter.append(e)
-            leave.append(v)
-        return pd.DataFrame({"enter": enter, "leave": leave})
-
-    return steps
-
-
-def _walk(width: int):
-    """Carry the opener in force from chunk to chunk; input sorted by key and chunk."""
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        key, opener = None, _NEVER
-        for pdf in batches:
-            carried = np.empty(len(pdf), dtype=np.int64)
-            for i, (k, enter, leave) in enumerate(zip(pdf["_key"], pdf["enter"], pdf["leave"])):
-                if k != key:
-                    key, opener = k, _NEVER
-                carried[i] = opener
-                j = np.searchsorted(enter, opener + width, "left")
-                if j < len(enter):
-                    opener = int(leave[j])
-            yield pd.DataFrame({"_key": pdf["_key"], "_chunk": pdf["_chunk"], "_carried": carried})
-
-    return walk
-
-
-def _walked(times: DataFrame, width: int, chunk: int) -> DataFrame:
-    """The (key, chunk) pairs the walk has to visit: linked chunks and those before them.
-
-    A chunk is at least as long as a window, so only the chunk right before can be linked to it.
-    """
-    own = times.select("_key", "_chunk", F.element_at("_times", 1).alias("first"), F.lit(None).cast("bigint").alias("prev"))
-    left = times.select("_key", (F.col("_chunk") + chunk).alias("_chunk"), F.lit(None).cast("bigint").alias("first"),
-                        F.element_at("_times", -1).alias("prev"))
-    linked = (
-        own.unionByName(left)
-        .groupBy("_key", "_chunk")
-        .agg(F.max("first").alias("first"), F.max("prev").alias("prev"))
-        .filter(F.col("first") - F.col("prev") < width)
-    )
-    both = F.explode(F.array(F.col("_chunk"), F.col("_chunk") - chunk)).alias("_chunk")
-    return linked.select("_key", both).distinct()
+def stepped(opener: int, enter: np.ndarray, leave: np.ndarray, width: int) -> int:
+    """The opener in force after a run, or after several put together."""
+    j = int(np.searchsorted(enter, opener + width, "left"))
+    return int(leave[j]) if j < len(enter) else opener
+
+
+def composed(first: tuple, second: tuple, start: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """The step table of two neighbours, the first of which has no time before ``start``."""
+    (e1, l1), (e2, l2) = first, second
+    j = np.searchsorted(e2, l1 + width, "left")
+    through = np.where(j < len(e2), l2[np.minimum(j, len(e2) - 1)], l1)
+    enter, leave = np.concatenate([e1, e2]), np.concatenate([through, l2])
+    # nobody enters later than this
+    m = min(int(np.searchsorted(enter, start + width, "left")) + 1, len(enter))
+    enter, leave = enter[:m], leave[:m]
+    keep = np.r_[leave[1:] != leave[:-1], True]
+    return enter[keep], leave[keep]
+
+
+_TIMES = "_key string, _us bigint, _first bigint, _part bigint, _run bigint, enter array<bigint>, leave array<bigint>"
+
+
+def _cut(width: int, run_times: int):
+    """Cut sorted (key, time) rows into runs. The first row of a run that may not be the only one of its key, because
+    it lies at an end of the task's rows or the key has more, holds the run's step table."""
+
+    def table(times: np.ndarray) -> tuple[list, list]:
+        enter, leave = run_steps(times, int(times[0]), width)
+        return enter.tolist(), leave.tolist()
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, runs = TaskContext.get().partitionId(), 0
+        key, held, firsts, split = None, [], [], False
+
+        def out(done: list) -> pa.RecordBatch:
+            n = [len(us) for _, us, _, _, _ in done]
+            flat = lambda i: np.concatenate([d[i] for d in done]) if done else np.zeros(0, np.int64)
+            lists = [[x for d, k in zip(done, n) for x in ([d[4][side] if d[4] else None] + [None] * (k - 1))] for side in (0, 1)]
+            columns = [
+                pa.array([d[0] for d, k in zip(done, n) for _ in range(k)], pa.string()), pa.array(flat(1), pa.int64()), pa.array(flat(2), pa.int64()),
+                pa.array([part] * sum(n), pa.int64()), pa.array(np.repeat([d[3] for d in done], n) if done else [], pa.int64()),
+                *[pa.array(x, pa.list_(pa.int64())) for x in lists],
+            ]
+            return pa.RecordBatch.from_arrays(columns, names=["_key", "_us", "_first", "_part", "_run", "enter", "leave"])
+
+        def close(last: bool) -> tuple:
+            us, first = np.concatenate(held), np.concatenate(firsts)
+            return key, us, first, runs, table(us) if last or split or runs == 0 else None
+
+        for batch in batches:
+            done = []
+            keys, us, first = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            at = 0
+            while at < len(keys):
+                if held and keys[at] != key:
+                    done.append(close(False))
+                    runs, held, firsts, split = runs + 1, [], [], False
+                key = keys[at]
+                room = run_times - sum(map(len, held))
+                if room == 0:
+                    split = True
+                    done.append(close(True))
+                    runs, held, firsts, room = runs + 1, [], [], run_times
+                end = at + 1
+                while end < len(keys) and end - at < room and keys[end] == key:
+                    end += 1
+                held.append(us[at:end])
+                firsts.append(first[at:end])
+                at = end
+            yield out(done)
+        if held:
+            yield out([close(True)])
+
+    return cut
+
+
+def _np(x) -> np.ndarray:
+    return np.asarray(x, dtype=np.int64)
+
+
+def _carried(runs: DataFrame, width: int) -> DataFrame:
+    """(_part, _run, carried): the opener in force where each run with a step table begins."""
+    order = Window.partitionBy("_key").orderBy("_part", "_run")
+    numbered = runs.select("_key", "_part", "_run", (F.row_number().over(order) - 1).cast("bigint").alias("i"))
+    lowest = runs.join(numbered, ["_key", "_part", "_run"]).select("_key", "i", "_part", "_run", F.col("_us").alias("start"), "enter", "leave")
+    levels = [stage(lowest, "steps")]
+    shape = "_key string, i bigint, start bigint, enter array<bigint>, leave array<bigint>"
+    block = F.floor(F.col("i") / FAN).alias("block")
+
+    def put_together(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        start, tables = int(pdf["start"].iloc[0]), [(_np(e), _np(v)) for e, v in zip(pdf["enter"], pdf["leave"])]
+        whole = tables[0]
+        for other in tables[1:]:
+            whole = composed(whole, other, start, width)
+        return pd.DataFrame({"_key": [pdf["_key"].iloc[0]], "i": [int(pdf["block"].iloc[0])], "start": [start], "enter": [whole[0]], "leave": [whole[1]]})
+
+    while (levels[-1].agg(F.max("i")).first()[0] or 0) >= FAN:
+        rows = levels[-1].select("_key", "i", "start", "enter", "leave", block)
+        levels.append(stage(rows.groupBy("_key", "block").applyInPandas(put_together, shape), "steps"))
+
+    def pass_on(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("i")
+        opener, carried = int(pdf["above"].iloc[0]), []
+        for enter, leave in zip(pdf["enter"], pdf["leave"]):
+            carried.append(opener)
+            opener = stepped(opener, _np(enter), _np(leave), width)
+        return pd.DataFrame({"_key": pdf["_key"], "i": pdf["i"], "carried": carried})
+
+    above = None
+    for level in reversed(levels):
+        rows = level.select("_key", "i", "enter", "leave", block)
+        if above is None:
+            rows = rows.withColumn("above", F.lit(_NEVER))
+        else:
+            rows = rows.join(above.select("_key", F.col("i").alias("block"), F.col("carried").alias("above")), ["_key", "block"])
+        above = stage(rows.groupBy("_key", "block").applyInPandas(pass_on, "_key string, i bigint, carried bigint"), "carried")
+    return levels[0].join(above, ["_key", "i"]).select("_part", "_run", "carried")
+
+
+def _opened(width: int):
+    """The opening time of each time; input sorted by run and time."""
+
+    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        run, opener = None, _NEVER
+        for batch in batches:
+            us, carried = batch.column(1).to_numpy(), batch.column(5).to_numpy()
+            parts, runs = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            cuts = np.flatnonzero((parts[1:] != parts[:-1]) | (runs[1:] != runs[:-1])) + 1 if len(us) else []
+            out = np.empty(len(us), np.int64)
+            for a, b in zip([0, *cuts], [*cuts, len(us)]):
+                if a == b:
+                    continue
+                if (parts[a], runs[a]) != run:
+                    run, opener = (parts[a], runs[a]), int(carried[a])
+                openers, times, at = [opener], us[a:b], 0
+                while (at := at + int(np.searchsorted(times[at:], openers[-1] + width, "left"))) < len(times):
+                    openers.append(int(times[at]))
+                openers = _np(openers)
+                out[a:b] = openers[np.searchsorted(openers, times, "right") - 1]
+                opener = int(openers[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], names=["_key", "_us", "_first", "_opened"])
+
+    return opened
+
+
+def opening_times(times: DataFrame, width: int, run_times: int = RUN_TIMES) -> DataFrame:
+    """(_key, _us, _first, _opened) for distinct (_key, _us): when the window opened that a time falls into."""
+    rows = times.select("_key", "_us", "_first").repartitionByRange("_key", "_us").sortWithinPartitions("_key", "_us")
+    rows = stage(rows.mapInArrow(_cut(width, run_times), _TIMES), "times")
+    carried = _carried(rows.filter("enter IS NOT NULL"), width)
+    runs = rows.drop("enter", "leave").join(carried, ["_part", "_run"], "left").select(
+        "_key", "_us", "_first", "_part", "_run", F.coalesce("carried", F.lit(_NEVER)).alias("carried"))
+    runs = runs.repartition("_part", "_run").sortWithinPartitions("_part", "_run", "_us")
+    return runs.mapInArrow(_opened(width), "_key string, _us bigint, _first bigint, _opened bigint")
 
 
 def open_windows(
@@ -108,44 +220,36 @@ def open_windows(
     key: str,
     width_s: float,
     ts: str = "ts",
-    chunk_s: float = 600,
     out: str = "opened_us",
     opener: str | None = None,
+    within: tuple[str, int] | None = None,
     tie: str = "alert_id",
+    run_times: int = RUN_TIMES,
 ) -> DataFrame:
-    """Add ``out``: the opening time, in microseconds, of the window a row falls into.
+    """Add ``out``: the opening time, in microseconds, of the window a row falls into; null without a time.
 
-    Windows are ``width_s`` long, per value of the string column ``key``; nulls form one key.
-    ``opener`` names an optional flag column: the row that opens the window, of several at that
-    instant the one with the least ``tie``. It is found inside the chunk, without another shuffle.
+    Windows are ``width_s`` long, per value of the string column ``key``; nulls form one key. ``opener`` names an optional
+    flag column: the row that opens the window, of several at that instant the one with the least ``tie``. ``within`` names
+    another, and a number: whether the row is among the first so many of its window. Rows without a time have neither.
+
+    The input is written once; keys and times alone go through the steps, and the rows meet the result by their number.
     """
     width = int(width_s * 1_000_000)
-    chunk = max(int(chunk_s * 1_000_000), width)
-    # neither side of the joins below can be null: rows without a time take no part
-    us = F.coalesce(C.micros(F.col(ts)), F.lit(0).cast("bigint"))
-    rows = df.filter(F.col(ts).isNotNull()).withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_us": us, "_chunk": C.cell_start(us, chunk)})
-    times = rows.groupBy("_key", "_chunk").agg(F.sort_array(F.collect_set("_us")).alias("_times"))
-    steps = _steps_udf(width, chunk)("_times").alias("s")
-    tables = times.join(_walked(times, width, chunk), ["_key", "_chunk"]).select("_key", "_chunk", steps).select("_key", "_chunk", "s.*")
-    carried = (
-        tables.repartition("_key")
-        .sortWithinPartitions("_key", "_chunk")
-        .mapInPandas(_walk(width), "_key string, _chunk bigint, _carried bigint")
-    )
-
-    def open_next(acc, t):
-        nxt = F.struct(t.alias("last"), F.concat(acc["all"], F.array(t)).alias("all"))
-        return F.when(t >= acc["last"] + width, nxt).otherwise(acc)
-
-    before = F.coalesce("_carried", F.lit(_NEVER))
-    start = F.struct(before.alias("last"), F.array().cast("array<bigint>").alias("all"))
-    # at most chunk / width + 1 openers per chunk, however many times it has
-    openers = times.join(carried, ["_key", "_chunk"], "left").select(
-        "_key", "_chunk", "_carried", F.aggregate("_times", start, open_next, lambda acc: acc["all"]).alias("_openers")
-    )
-    here = F.array_max(F.filter("_openers", lambda o: o <= F.col("_us")))
-    opened = rows.join(openers, ["_key", "_chunk"]).withColumn(out, F.coalesce(here, F.col("_carried")))
+    held = stage(df.withColumn("_row", F.monotonically_increasing_id()), "windows")
+    narrow = held.filter(F.col(ts).isNotNull()).select(
+        "_row", F.coalesce(F.col(key), F.lit("")).alias("_key"), C.micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
+    times = narrow.groupBy("_key", "_us").agg(F.min_by("_row", F.struct("_tie", "_row")).alias("_first"))
+    marks = narrow.join(opening_times(times, width, run_times), ["_key", "_us"])
+    flags = [F.col("_opened").alias(out)]
+    if opener is not None:
+        flags.append(((F.col("_us") == F.col("_opened")) & (F.col("_row") == F.col("_first"))).alias(opener))
+    found = held.join(marks.select("_row", *flags), "_row", "left")
+    if within is not None:
+        name, n = within
+        rank = F.row_number().over(Window.partitionBy("_key", "_opened").orderBy("_us", "_tie", "_row"))
+        # each task keeps the first n of a window before rows meet
+        firsts = marks.withColumn("_rank", rank).filter(F.col("_rank") <= n).select("_row", F.lit(True).alias(name))
+        found = found.join(firsts, "_row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
     if opener is not None:
-        w = Window.partitionBy("_key", "_chunk", out).orderBy("_us", tie)
-        opened = opened.withColumn(opener, (F.row_number().over(w) == 1) & (F.col("_us") == F.col(out)))
-    return opened.drop("_key", "_chunk", "_us", "_carried", "_openers")
+        found = found.withColumn(opener, F.coalesce(opener, F.lit(False)))
+    return found.drop("_row")

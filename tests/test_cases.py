@@ -12,7 +12,8 @@ from flowwarden import schemas
 from flowwarden.functions import columns as C
 from flowwarden.operators import alerts as A
 from flowwarden.operators import detectors, features, flows, lookup_joins, search, stats
-from flowwarden.operators.anchors import chunk_steps, open_windows
+from flowwarden.operators import anchors
+from flowwarden.operators.anchors import open_windows, run_steps
 from flowwarden.operators.quantiles import exact_quantiles
 from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, load_model, save_model, score
 from flowwarden.operators.sequences import complete, host_sequences
@@ -103,13 +104,13 @@ def greedy(times, width):
     return out
 
 
-def test_chunk_steps_agree_with_a_walk():
+def test_run_steps_agree_with_a_walk():
     rnd = random.Random(1)
     for _ in range(200):
         width = rnd.choice([5, 10, 60])
         start = 600 * rnd.randint(0, 3)
         times = np.array(sorted(rnd.sample(range(start, start + 600), rnd.randint(1, 300))))
-        enter, leave = chunk_steps(times, start, width)
+        enter, leave = run_steps(times, start, width)
         for opener in range(start - 2 * width, start):
             j = np.searchsorted(enter, opener + width)
             got = int(leave[j]) if j < len(enter) else opener
@@ -133,15 +134,42 @@ def test_ties_go_by_id(spark):
     assert sorted(r.alert_id for r in A.dedup(a).collect()) == ["a", "c"]
 
 
-@pytest.mark.parametrize("chunk_s", [60, 97, 600, 100_000])
-def test_one_busy_key_never_pausing(spark, chunk_s):
-    """A key without any pause, times down to the microsecond: chunks of every size agree with a walk."""
-    rnd = random.Random(chunk_s)
+def test_step_tables_put_together_agree_with_a_walk():
+    rnd = random.Random(2)
+    for _ in range(200):
+        width = rnd.choice([5, 10, 60])
+        times = sorted(rnd.sample(range(0, 900), rnd.randint(6, 300)))
+        cuts = sorted(rnd.sample(range(1, len(times)), rnd.randint(1, 5)))
+        runs = [np.array(times[i:j]) for i, j in zip([0, *cuts], [*cuts, len(times)])]
+        whole = run_steps(runs[0], times[0], width)
+        for r in runs[1:]:
+            whole = anchors.composed(whole, run_steps(r, int(r[0]), width), times[0], width)
+        assert len(whole[0]) <= len(times) and (np.diff(whole[0]) > 0).all()
+        for opener in [*range(times[0] - 2 * width, times[0]), -(2**62)]:
+            assert anchors.stepped(opener, *whole, width) == greedy([opener, *times], width)[-1]
+
+
+def test_a_busy_key_is_cut_into_bounded_runs_over_tasks(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        times = spark.range(30_000).selectExpr("'hot' AS _key", "id * 1000 AS _us", "id AS _first").repartition(5)
+        rows = times.repartitionByRange("_key", "_us").sortWithinPartitions("_key", "_us").mapInArrow(anchors._cut(60_000_000, 500), anchors._TIMES)
+        runs = rows.groupBy("_part", "_run").agg(F.count("*").alias("n"), F.count("enter").alias("tables"), F.max(F.size("enter")).alias("size")).collect()
+        assert len({r["_part"] for r in runs}) == 8 and max(r["n"] for r in runs) == 500
+        assert all(r["tables"] == 1 and r["size"] <= 500 for r in runs)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+@pytest.mark.parametrize("run_times", [5, 97, 100_000])
+def test_one_busy_key_never_pausing(spark, run_times):
+    """A key without any pause, times down to the microsecond: runs of every size agree with a walk."""
+    rnd = random.Random(run_times)
     times = sorted({round(rnd.uniform(0, 5000), 6) for _ in range(4000)})
     hot = [("hot", t) for t in times]
     cold = [("cold", float(t)) for t in range(0, 5000, 61)]
     df = spark.createDataFrame([(k, at(t), f"{k}{i}") for i, (k, t) in enumerate(hot + cold)], "k string, ts timestamp, alert_id string")
-    out = open_windows(df, "k", 60, chunk_s=chunk_s, opener="opens").select("k", C.micros(F.col("ts")).alias("us"), "opened_us", "opens")
+    out = open_windows(df, "k", 60, run_times=run_times, opener="opens").select("k", C.micros(F.col("ts")).alias("us"), "opened_us", "opens")
     got = sorted(tuple(r) for r in out.collect())
     want = []
     for k, ts in (("hot", times), ("cold", [t for _, t in cold])):
@@ -151,6 +179,15 @@ def test_one_busy_key_never_pausing(spark, chunk_s):
     assert got == sorted(want)
 
 
+def test_repeated_rows_open_one_window(spark):
+    """Of rows that agree in everything one opens the window; rows without a time have none."""
+    df = spark.createDataFrame([("k", at(0), "a")] * 3 + [("k", at(0), None), ("k", None, "z"), (None, at(5), "n")], "k string, ts timestamp, alert_id string")
+    got = open_windows(df, "k", 60, opener="opens", within=("early", 2)).collect()
+    assert sum(r.opens for r in got) == 2 and [r.alert_id for r in got if r.opens and r.k] == [None]
+    assert sum(r.early for r in got) == 3 and [(r.opened_us, r.opens, r.early) for r in got if r.ts is None] == [(None, False, False)]
+    assert open_windows(df.limit(0), "k", 60, opener="opens").collect() == []
+
+
 def test_rate_limit(spark):
     rows = [(f"a{i:02}", i, "1.1.1.1", 1000 + i, "low") for i in range(12)] + [("late", 60, "1.1.1.1", 99, "low")]
     marked = {r.alert_id: r.is_limited for r in A.mark_rate_limited(alert_rows(spark, rows)).collect()}
