@@ -2,7 +2,8 @@
 
 Rows wait in state until the watermark has passed them and are then taken in order of time and id.
 So the result does not depend on the order of arrival within the watermark, and equals that of the
-batch operators. A timer per micro-batch releases what is due; it also clears what has run out.
+batch operators. They wait by time bucket, each with a timer at its end, so a timer reads the rows of
+its bucket alone; it also clears what has run out by then.
 """
 
 from __future__ import annotations
@@ -27,40 +28,42 @@ def use_rocksdb(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+#: Length of a time bucket in which rows wait.
+BUCKET_US = 10_000_000
+
+
 class _Ordered(StatefulProcessor):
-    """Holds rows back until the watermark has passed them."""
+    """Holds rows back until the watermark has passed the end of their time bucket."""
 
-    pending_schema: str
+    row_schema: str
     pending_columns: list[str]
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getListState("pending", self.pending_schema)
+        self.pending = handle.getMapState("pending", "bucket bigint", f"rows array<struct<{self.row_schema}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        latest = None
+        new: dict[int, list[tuple]] = {}
         for pdf in rows:
-            pdf = pdf[self.pending_columns]
-            if len(pdf):
-                self.pending.appendList([self.to_state(r) for r in pdf.itertuples(index=False)])
-                top = int(pdf["us"].max())
-                latest = top if latest is None else max(latest, top)
-        if latest is not None:
-            self.handle.registerTimer(latest // 1000 + 1)
+            for r in pdf[self.pending_columns].itertuples(index=False):
+                new.setdefault(int(r.us) // BUCKET_US, []).append(self.to_state(r))
+        for bucket, more in new.items():
+            if self.pending.containsKey((bucket,)):
+                more = [*(tuple(r) for r in self.pending.getValue((bucket,))[0]), *more]
+            else:
+                self.handle.registerTimer((bucket + 1) * BUCKET_US // 1000)
+            self.pending.updateValue((bucket,), (more,))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        rows = list(self.pending.get())
-        due = sorted((r for r in rows if r[0] <= passed), key=lambda r: (r[0], r[1]))
-        if due:
-            later = [r for r in rows if r[0] > passed]
-            if later:
-                self.pending.put(later)
-            else:
-                self.pending.clear()
+        """Timers come in order of time; what has run out is judged at the timer's time, as later buckets may be due too."""
+        at = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        bucket, rest = divmod(at, BUCKET_US)
+        if rest == 0 and self.pending.containsKey((bucket - 1,)):
+            due = sorted((tuple(r) for r in self.pending.getValue((bucket - 1,))[0]), key=lambda r: (r[0], r[1]))
+            self.pending.removeKey((bucket - 1,))
             yield self.take(due)
-        wake = self.expire(passed)
+        wake = self.expire(at)
         if wake is not None:
             self.handle.registerTimer(wake // 1000 + 1)
 
@@ -81,7 +84,7 @@ class _Ordered(StatefulProcessor):
 class HostSequences(_Ordered):
     """The last ``n`` vectors of one host; hosts silent for ``idle_us`` are forgotten."""
 
-    pending_schema = "us bigint, uid string, vec array<float>, payload string"
+    row_schema = "us:bigint,uid:string,vec:array<float>,payload:string"
     pending_columns = ["us", "uid", "vec", "payload"]
     output = "us bigint, uid string, payload string, seq array<array<float>>"
 
@@ -123,7 +126,7 @@ class AlertChain(_Ordered):
     The dedup key contains source ip and host, so all its alerts come to one source.
     """
 
-    pending_schema = "us bigint, alert_id string, dedup_key string, payload string"
+    row_schema = "us:bigint,alert_id:string,dedup_key:string,payload:string"
     pending_columns = ["us", "alert_id", "dedup_key", "payload"]
     output = "us bigint, alert_id string, dedup_key string, payload string, disposition string, hit_count int"
 
@@ -165,7 +168,8 @@ class AlertChain(_Ordered):
         for key, us in seen.items():
             if us is not None:
                 self.seen.updateValue((key,), (us,))
-        self.rate.update((opened, n))
+        if opened is not None:
+            self.rate.update((opened, n))
         if last is not None:
             self.hits.update((hits, last))
         return pd.DataFrame({

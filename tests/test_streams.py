@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from flowwarden import schemas
@@ -11,7 +12,7 @@ from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import work_dir
 from flowwarden.sources import store, tables
 from flowwarden.streaming import jobs
-from flowwarden.streaming.state import dispositions_stream, host_sequences_stream
+from flowwarden.streaming.state import AlertChain, dispositions_stream, host_sequences_stream
 
 EPOCH = dt.datetime(2024, 1, 1)
 
@@ -65,6 +66,64 @@ def test_alert_chain_survives_a_restart_and_disorder(spark):
     assert sorted(tuple(r) for r in got.select(*cols).collect()) == sorted(tuple(r) for r in want.select(*cols).collect())
 
 
+class Held:
+    """State of one key in plain dicts, that tells which buckets were read."""
+
+    def __init__(self):
+        self.maps, self.values, self.timers, self.read = {}, {}, [], []
+
+    def registerTimer(self, ms):
+        self.timers.append(ms)
+
+    def getMapState(self, name, *_):
+        held, read = self.maps.setdefault(name, {}), self.read
+
+        class Map:
+            containsKey = staticmethod(lambda k: k in held)
+            updateValue = staticmethod(lambda k, v: held.__setitem__(k, v))
+            removeKey = staticmethod(lambda k: held.pop(k))
+            iterator = staticmethod(lambda: iter(list(held.items())))
+
+            @staticmethod
+            def getValue(k):
+                if name == "pending":
+                    read.append(k[0])
+                return held[k]
+
+        return Map
+
+    def getValueState(self, name, *_):
+        values = self.values
+
+        class Value:
+            exists = staticmethod(lambda: name in values)
+            get = staticmethod(lambda: values[name])
+            update = staticmethod(lambda v: values.__setitem__(name, v))
+            clear = staticmethod(lambda: values.pop(name, None))
+
+        return Value
+
+
+def test_a_timer_reads_its_own_bucket_alone():
+    held, second = Held(), 1_000_000
+    chain = AlertChain(60 * second, 10, 60 * second, 3600 * second)
+    chain.init(held)
+    rows = pd.DataFrame([(t * second, f"a{t}", "k", "{}") for t in (3, 1, 12, 300, 301, 9999)], columns=chain.pending_columns)
+    list(chain.handleInputRows(("s",), iter([rows]), None))
+    assert sorted(held.timers) == [10_000, 20_000, 310_000, 10_000_000] and held.read == []
+
+    class Due:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = lambda: ms
+
+    out = [pdf for ms in (10_000, 20_000) for pdf in chain.handleExpiredTimer(("s",), None, Due(ms))]
+    assert held.read == [0, 1]  # neither the bucket of 300 s nor that of 9999 s
+    assert [tuple(r) for pdf in out for r in pdf[["alert_id", "disposition"]].itertuples(index=False)] == [
+        ("a1", "kept"), ("a3", "deduped"), ("a12", "deduped")]
+    assert sorted(k[0] for k in held.maps["pending"]) == [30, 999]
+    assert list(chain.handleExpiredTimer(("s",), None, Due(61_001))) == [] and held.maps["seen"] == {}  # a wake-up call
+
+
 def test_rows_behind_the_watermark_are_dropped(spark):
     src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
     # Spark drops late rows by the watermark of the batch before, hence the batch of "e" in between
