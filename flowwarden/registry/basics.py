@@ -100,7 +100,8 @@ SELECT md5(concat_ws('|', '=' || epoch_us(ts), '=' || p.event_id, '=' || compute
   coalesce(technique_name, '') AS mitre_technique_name, coalesce(sev, 'low') AS severity, 'evtx' AS source
 FROM parsed p LEFT JOIN mitre m ON p.event_id = m.event_id""")
 def _(spark, sf):
-    return parse_event_xml(_xml(spark, sf)).select(
+    # the given table is one file with one row group
+    return parse_event_xml(_xml(spark, sf), tasks=2 * spark.sparkContext.defaultParallelism).select(
         "event_uid", "ts", "event_id", "event_id_keyword", "channel", "computer", "user",
         F.coalesce(F.col("logon_type").cast("string"), F.lit("")).alias("logon_type"), "logon_type_name", "process_name",
         F.coalesce("src_ip", F.lit("")).alias("src_ip"), "task_name", "description", "mitre_tactic", "mitre_technique",

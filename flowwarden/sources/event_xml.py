@@ -56,9 +56,15 @@ def _event_id(e: Column) -> Column:
 
 
 def parse_event_xml(
-    df: DataFrame, xml_col: str = "xml", event_ids: list[int] | None = None, mitre: DataFrame | None = None
+    df: DataFrame, xml_col: str = "xml", event_ids: list[int] | None = None, mitre: DataFrame | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """One normalised event per readable XML record in a text column, as messages carry them."""
+    """One normalised event per readable XML record in a text column, as messages carry them.
+
+    Parsing is most of the work and done where a record is read. Where that is in few tasks, as of a file that cannot be
+    split, ``tasks`` deals the texts over so many before they are parsed; a table read in many tasks needs no such shuffle.
+    """
+    if tasks is not None:
+        df = df.select(xml_col).repartition(tasks)
     e = F.from_xml(F.col(xml_col), _EVENT, {"mode": "PERMISSIVE"})
     # a filter is not pushed below a generator, so each record is parsed once only
     return normalise_events(df.select(F.explode(F.array(e)).alias("e")), event_ids, mitre)

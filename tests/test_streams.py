@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from flowwarden import schemas
 from flowwarden.operators import alerts as A
+from flowwarden.operators import detectors
 from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import work_dir
 from flowwarden.sources import store, tables
@@ -174,3 +175,14 @@ def test_observed_counters(spark):
     df, o = jobs.observed(spark.createDataFrame([(True,), (False,), (False,)], "is_anomaly boolean"))
     df.collect()
     assert o.get == {"processed": 3, "anomalies": 1}
+
+
+def test_ports_of_a_stream_are_counted_in_bitmaps(spark):
+    rows = [("a", "b", at(i % 60), p, ["SYN"]) for i, p in enumerate([0, 1, 32767, 32768, 65535, 65535, None, -1, 65536])]
+    rows += [("flush", "b", at(200_000), 1, ["SYN"])]
+    src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, dst_port int, tcp_flags array<string>")
+    df.filter("src_ip = 'a'").coalesce(1).write.parquet(src)
+    df.filter("src_ip = 'flush'").coalesce(1).write.mode("append").parquet(src)
+    run(detectors.port_scan_stream(read_stream(spark, src, df.schema), min_ports=2), out, state)
+    assert [(r.src_ip, r.ports, r.flows) for r in spark.read.parquet(f"{out}/epoch=*").collect()] == [("a", 5, 9)]
