@@ -206,6 +206,17 @@ def _(spark, sf):
     return _final(run(alert_chain_stream(_alert_feed(spark, sf), processed_at=F.col("ts")), "alerts-done").filter("alert_id <> 'flush'"))
 
 
+@query("a14_alert_counters_stream", f"""WITH RECURSIVE {CHAIN} SELECT (SELECT count(*) FROM alerts) AS received,
+  (SELECT count(*) FROM alerts) - (SELECT count(*) FROM fresh) AS deduped, (SELECT count(*) FROM fresh) - (SELECT count(*) FROM hits) AS rate_limited,
+  (SELECT count(*) FROM hits) AS kept, (SELECT count(*) FROM final WHERE was_escalated) AS escalated""")
+def _(spark, sf):
+    """What became of the alerts of a stream, counted by micro-batch beside the stored alerts."""
+    alerts, counts = work_dir(spark, "chained"), work_dir(spark, "counters")
+    stream = dispositions_stream(_alert_feed(spark, sf)).filter("alert_id <> 'flush'")
+    jobs.start(stream, work_dir(spark, "chained-state"), jobs.store_alert_chain(alerts, counts), every=None).awaitTermination()
+    return jobs.counters(spark, counts)
+
+
 @query("m10_flow_scoring_stream", f"""WITH {SCORED_FLOWS} SELECT flow_id AS id, severity, is_anomaly, anomaly_score FROM scored_flows""")
 def _(spark, sf):
     scaler = FE.fit_scaler(FE.flow_features(FE.split_normal_attack(V.net_flows(spark, sf))[0]))

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from flowwarden.operators.alerts import make_alerts
+from flowwarden.operators.alerts import ESCALATE_AT, enrich, escalate, make_alerts, risk_score
 from flowwarden.operators.features import event_features
 from flowwarden.operators.scoring import Model
 from flowwarden.operators.sequences import with_untimed
@@ -57,6 +57,38 @@ def store_and_alert(source_type: str, events_path: str, alerts_path: str | None,
     return run
 
 
+COUNTERS = ("received", "deduped", "rate_limited", "kept", "escalated")
+
+
+def store_alert_chain(
+    alerts_path: str, counters_path: str, ports: DataFrame | None = None, bad_ips: DataFrame | None = None,
+    escalate_at: int = ESCALATE_AT, processed_at: Column | None = None,
+) -> Callable:
+    """A foreachBatch function over ``dispositions_stream``: finish and store the alerts kept, and count what became of
+    all. The counts of a micro-batch lie in the store under its number, so a batch that is run again counts once."""
+
+    def run(batch: DataFrame, epoch: int) -> None:
+        batch.persist()
+        try:
+            kept = enrich(batch.filter("disposition = 'kept'").drop("disposition"), ports, bad_ips, processed_at)
+            kept = risk_score(escalate(kept, escalate_at)).persist()
+            write_epoch(kept, epoch, alerts_path, "alert_id", "alerts")
+            of = lambda name: F.count_if(F.col("disposition") == name)
+            counts = batch.agg(F.count(F.lit(1)).alias("received"), *[of(n).alias(n) for n in COUNTERS[1:4]])
+            counts = counts.withColumn("escalated", F.lit(kept.filter("was_escalated").count()))
+            store.write(counts.withColumn("epoch", F.lit(str(epoch))), counters_path, "epoch", F.lit(epoch), "counters", epoch)
+            kept.unpersist()
+        finally:
+            batch.unpersist()
+
+    return run
+
+
+def counters(spark: SparkSession, path: str) -> DataFrame:
+    """The counters of all micro-batches so far, added up; restarts and repeated batches change nothing."""
+    return store.read(spark, path).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in COUNTERS])
+
+
 def start(
     df: DataFrame, checkpoint: str, each: Callable, mode: str = "append", every: str | None = "5 seconds"
 ) -> StreamingQuery:

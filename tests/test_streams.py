@@ -186,3 +186,24 @@ def test_ports_of_a_stream_are_counted_in_bitmaps(spark):
     df.filter("src_ip = 'flush'").coalesce(1).write.mode("append").parquet(src)
     run(detectors.port_scan_stream(read_stream(spark, src, df.schema), min_ports=2), out, state)
     assert [(r.src_ip, r.ports, r.flows) for r in spark.read.parquet(f"{out}/epoch=*").collect()] == [("a", 5, 9)]
+
+
+def test_counters_add_up_over_a_restart_and_a_repeated_batch(spark):
+    rows = sample(5, n=200)
+    src, state, alerts, counts = (work_dir(spark, n) for n in ("in", "state", "alerts", "counts"))
+    each = jobs.store_alert_chain(alerts, counts)
+
+    def twice(batch, epoch):
+        for _ in range(2):
+            each(batch, epoch)
+
+    for some in (rows[:100], [*rows[100:], ("flush", 200_000, "flush", 1)]):
+        alert_rows(spark, some).coalesce(1).write.mode("append").parquet(src)
+        stream = dispositions_stream(read_stream(spark, src, schemas.RAW_ALERTS)).filter("alert_id <> 'flush'")
+        jobs.start(stream, state, twice, every=None).awaitTermination()
+    got = jobs.counters(spark, counts).first().asDict()
+    a = alert_rows(spark, rows)
+    want = {r["disposition"]: r["cnt"] for r in A.disposition_counts(A.dispositions(a)).collect()}
+    done = A.process_alerts(a)
+    assert got == {"received": 200, "escalated": done.filter("was_escalated").count(), **{k: want.get(k, 0) for k in ("deduped", "rate_limited", "kept")}}
+    assert store.read(spark, alerts).count() == want["kept"]
