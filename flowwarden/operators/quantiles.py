@@ -1,9 +1,11 @@
 """Exact quantiles of columns of any size.
 
-The built-in exact ``percentile`` keeps every distinct value in one task. Here each rank is closed in on: a sketch
-of bounded size proposes a narrow interval, one pass counts the rows below, in and above it, and so on with the part
-that holds the rank, until at most ``LIST_ROWS`` rows are left, or a single value. Each round serves all columns and
-ranks at once, and cuts the rows in question about a thousandfold.
+The built-in exact ``percentile`` keeps every distinct value in one task. Here each rank is closed in on. The columns are
+written once; one pass takes their counts, ends and a sketch of bounded size, which proposes a narrow interval for each
+rank; one pass counts the rows below, in and above the intervals and sketches those inside; and so on, until at most
+``LIST_ROWS`` rows are left, or a single value, which one last pass puts in order. A pass serves all columns and ranks
+and cuts the rows in question about seven-hundredfold: three passes up to some ten million rows, one more for each
+such factor beyond.
 """
 
 from __future__ import annotations
@@ -14,8 +16,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from flowwarden.session import stage
+
 # rows of one rank's interval that are put in order as a list
 LIST_ROWS = 10_000
+# size of a sketch
+ACCURACY = 16_384
 
 
 @dataclass
@@ -27,6 +33,7 @@ class _Search:
     m: int
     lo: float
     hi: float
+    sketch: bytes | None = None
 
     def inside(self) -> Column:
         c = F.col(self.name)
@@ -34,15 +41,22 @@ class _Search:
 
 
 def exact_quantiles(
-    df: DataFrame, cols: dict[str, Column], probs: list[float], list_rows: int = LIST_ROWS, accuracy: int = 10_000
+    df: DataFrame, cols: dict[str, Column], probs: list[float], list_rows: int = LIST_ROWS, accuracy: int = ACCURACY
 ) -> dict[str, list[float | None]]:
-    """``{name: [value per prob]}`` with linear interpolation; nulls and NaN ignored, None if there is no value."""
+    """``{name: [value per prob]}`` with linear interpolation; nulls and NaN ignored, None if there is no value.
+
+    ``df`` is computed once. ``accuracy`` sets the work, not the result: a larger sketch proposes narrower intervals.
+    """
     number = {n: c.cast("double") for n, c in cols.items()}
-    data = df.select(*[F.when(~F.isnan(c), c).alias(n) for n, c in number.items()])
-    head = data.agg(*[f(n).alias(f"{f.__name__}_{n}") for n in cols for f in (F.count, F.min, F.max)]).first()
+    data = stage(df.select(*[F.when(~F.isnan(c), c).alias(n) for n, c in number.items()]), "quantiles")
+    ends = [f(n).alias(f"{f.__name__}_{n}") for n in cols for f in (F.count, F.min, F.max)]
+    head = data.agg(*ends, *[F.kll_sketch_agg_double(n, accuracy).alias(f"sketch_{n}") for n in cols]).first()
     n_rows = {n: head[f"count_{n}"] for n in cols}
     wanted = {(n, r) for n in cols if n_rows[n] for p in probs for r in _ranks(n_rows[n], p)}
-    todo = {(n, r): _Search(n, r, n_rows[n], head[f"min_{n}"], head[f"max_{n}"]) for n, r in sorted(wanted)}
+    todo = {
+        (n, r): _Search(n, r, n_rows[n], head[f"min_{n}"], head[f"max_{n}"], bytes(head[f"sketch_{n}"]))
+        for n, r in sorted(wanted)
+    }
     found: dict[tuple[str, int], float] = {}
     while todo:
         for key in [k for k, s in todo.items() if s.lo == s.hi]:
@@ -67,47 +81,66 @@ def _ranks(n: int, p: float) -> tuple[int, int]:
 
 
 def _pick(data: DataFrame, searches: dict) -> dict:
+    """The wanted values of intervals with few rows; an interval that several ranks share is put in order once."""
     if not searches:
         return {}
-    picks = [
-        F.element_at(F.sort_array(F.collect_list(s.inside())), s.k + 1).alias(f"v{j}")
-        for j, s in enumerate(searches.values())
-    ]
-    row = data.agg(*picks).first()
-    return {key: row[f"v{j}"] for j, key in enumerate(searches)}
+    intervals = {(s.name, s.lo, s.hi): s for s in searches.values()}
+    at = {where: i for i, where in enumerate(intervals)}
+    lists = data.agg(*[F.sort_array(F.collect_list(s.inside())).alias(f"v{i}") for i, s in enumerate(intervals.values())])
+    picks = [F.element_at(f"v{at[s.name, s.lo, s.hi]}", s.k + 1).alias(f"k{j}") for j, s in enumerate(searches.values())]
+    row = lists.select(*picks).first()
+    return {key: row[f"k{j}"] for j, key in enumerate(searches)}
+
+
+def _guesses(data: DataFrame, searches: dict, accuracy: int) -> dict:
+    """An interval about each rank, from its sketch. A rank is off by at most 2.3 / accuracy ** 0.9 of the rows in 99 %
+    of cases (twice that is taken); where one is off by more, counts tell and the search goes on beside the interval."""
+    eps = 4.6 / accuracy**0.9
+    ends = []
+    for j, s in enumerate(searches.values()):
+        share = s.k / max(s.m - 1, 1)
+        around = F.array(F.lit(max(share - eps, 0.0)), F.lit(min(share + eps, 1.0)))
+        ends.append(F.kll_sketch_get_quantile_double(F.lit(s.sketch), around).alias(f"g{j}"))
+    row = data.sparkSession.range(1).select(*ends).first()
+    return {key: (max(row[j][0], s.lo), min(row[j][1], s.hi)) for j, (key, s) in enumerate(searches.items())}
 
 
 def _narrow(data: DataFrame, searches: dict, accuracy: int) -> dict:
     if not searches:
         return {}
-    eps = 2.0 / accuracy
-    guesses = []
-    for j, s in enumerate(searches.values()):
-        share = s.k / max(s.m - 1, 1)
-        ends = F.array(F.lit(max(share - eps, 0.0)), F.lit(min(share + eps, 1.0)))
-        guesses.append(F.percentile_approx(s.inside(), ends, accuracy).alias(f"g{j}"))
-    row = data.agg(*guesses).first()
-    cuts, counts = [], []
-    for j, s in enumerate(searches.values()):
-        a, b = row[f"g{j}"]
-        if (a, b) == (s.lo, s.hi):
-            b = a  # no progress: split off the least value alone
-        cuts.append((a, b))
+    unknown = {(s.name, s.lo, s.hi): s for s in searches.values() if s.sketch is None}
+    if unknown:
+        row = data.agg(*[F.kll_sketch_agg_double(s.inside(), accuracy) for s in unknown.values()]).first()
+        made = dict(zip(unknown, row))
+        for s in searches.values():
+            s.sketch = s.sketch or bytes(made[s.name, s.lo, s.hi])
+    cuts = _guesses(data, searches, accuracy)
+    for key, s in searches.items():
+        if cuts[key] == (s.lo, s.hi):
+            cuts[key] = (s.lo, s.lo)  # no progress: split off the least value alone
+    # neighbouring ranks mostly share their interval
+    parts = {(s.name, s.lo, s.hi, *cuts[key]): s for key, s in searches.items()}
+    counts = []
+    for i, ((_, _, _, a, b), s) in enumerate(parts.items()):
         x = s.inside()
         counts += [
-            F.count_if(x < a).alias(f"under{j}"),
-            F.count_if(x <= b).alias(f"upto{j}"),
-            F.max(F.when(x < a, x)).alias(f"prev{j}"),
-            F.min(F.when(x > b, x)).alias(f"next{j}"),
+            F.count_if(x < a).alias(f"under{i}"),
+            F.count_if(x <= b).alias(f"upto{i}"),
+            F.max(F.when(x < a, x)).alias(f"prev{i}"),
+            F.min(F.when(x > b, x)).alias(f"next{i}"),
+            F.kll_sketch_agg_double(F.when(x.between(a, b), x), accuracy).alias(f"sketch{i}"),
         ]
     row = data.agg(*counts).first()
+    at = {where: i for i, where in enumerate(parts)}
     left = {}
-    for j, (key, s) in enumerate(searches.items()):
-        (a, b), under, upto = cuts[j], row[f"under{j}"], row[f"upto{j}"]
+    for key, s in searches.items():
+        a, b = cuts[key]
+        i = at[s.name, s.lo, s.hi, a, b]
+        under, upto = row[f"under{i}"], row[f"upto{i}"]
         if s.k < under:
-            left[key] = _Search(s.name, s.k, under, s.lo, row[f"prev{j}"])
+            left[key] = _Search(s.name, s.k, under, s.lo, row[f"prev{i}"])
         elif s.k >= upto:
-            left[key] = _Search(s.name, s.k - upto, s.m - upto, row[f"next{j}"], s.hi)
+            left[key] = _Search(s.name, s.k - upto, s.m - upto, row[f"next{i}"], s.hi)
         else:
-            left[key] = _Search(s.name, s.k - under, upto - under, a, b)
+            left[key] = _Search(s.name, s.k - under, upto - under, a, b, bytes(row[f"sketch{i}"]))
     return left

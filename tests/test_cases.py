@@ -780,3 +780,25 @@ def test_statistics_document_reads_its_input_once(spark):
     assert plan.count("FileScan parquet") == 1
     got = {(r.dim, r.key): r.value for r in doc.collect()}
     assert got["figure", "anomaly_rate_pct"] == 50.0 and got["figure", "avg_anomaly_score"] == 0.25 and got["dst_port", "1"] == 2.0
+
+
+def test_quantiles_take_few_passes(spark):
+    """The input is computed once, and its columns are read three times whatever the number of columns and ranks."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = spark.range(0, 60_000, 1, 4).select(F.rand(3).alias("x"), F.exp(F.randn(4)).alias("y")).mapInArrow(count, "x double, y double")
+    tracker, before = spark.sparkContext.statusTracker(), "quantile-passes"
+    spark.sparkContext.setJobGroup(before, before)
+    got = exact_quantiles(df, {"x": F.col("x"), "y": F.col("y")}, [0.25, 0.5, 0.75])
+    jobs_run = len(tracker.getJobIdsForGroup(before))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = df.agg(*[F.percentile(c, [0.25, 0.5, 0.75]).alias(c) for c in ("x", "y")]).first()
+    assert np.allclose(got["x"], want["x"], rtol=0, atol=1e-12) and np.allclose(got["y"], want["y"], rtol=1e-12)
+    assert seen.value == 2 * 60_000  # one of them is the comparison's
+    # write, sketch, guesses, counts, lists; a job may come with its shuffle stage as another one
+    assert jobs_run <= 8
