@@ -160,21 +160,28 @@ _ENDS = "src_ip || ':' || src_port"
 _ENDD = "dst_ip || ':' || dst_port"
 
 
-@query("a1_flow_build_bidirectional", f"""WITH answers AS (
+BOTH_WAYS_SQL = f"""WITH answers AS (
   SELECT * REPLACE (l_orderkey AS l_orderkey) FROM lineitem), {_PACKETS.replace('FROM lineitem', 'FROM answers')},
 both_ways AS (SELECT us, src_ip, dst_ip, src_port, dst_port, protocol, bits, size, 1 AS fwd FROM np
   UNION ALL SELECT us + 1000000, src_ip, dst_ip, src_port, dst_port, protocol, bits, size * 2, 0 FROM np),
 marked AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY {_K} ORDER BY us) > 60000000 THEN 1 ELSE 0 END AS cut FROM both_ways),
 runs AS (SELECT *, sum(cut) OVER (PARTITION BY {_K} ORDER BY us ROWS UNBOUNDED PRECEDING) AS run FROM marked)
 SELECT {_K}, cast(make_timestamp(min(us)) AS varchar) AS ts, cast(sum(size) FILTER (fwd = 1) AS bigint) AS bytes_sent,
-  cast(coalesce(sum(size) FILTER (fwd = 0), 0) AS bigint) AS bytes_recv, count(*) AS packets_total FROM runs GROUP BY {_K}, run""")
-def _(spark, sf):
-    # every packet gets an answer of twice its size a second later
-    p = V.packets(spark, sf).withColumn("ts", F.col("ts").cast("timestamp"))
+  cast(coalesce(sum(size) FILTER (fwd = 0), 0) AS bigint) AS bytes_recv, count(*) AS packets_total FROM runs GROUP BY {_K}, run"""
+
+
+def with_answers(packets):
+    """Every packet gets an answer of twice its size a second later."""
+    p = packets.withColumn("ts", F.col("ts").cast("timestamp"))
     back = p.select(
         (F.col("ts") + F.expr("INTERVAL 1 SECOND")).alias("ts"), F.col("dst_ip").alias("src_ip"), F.col("src_ip").alias("dst_ip"),
         F.col("dst_port").alias("src_port"), F.col("src_port").alias("dst_port"), "ip_proto", "tcp_flag_bits", (F.col("size") * 2).alias("size"))
-    f = jobs.packets_to_flows(p.unionByName(back), bidirectional=True)
+    return p.unionByName(back)
+
+
+@query("a1_flow_build_bidirectional", BOTH_WAYS_SQL)
+def _(spark, sf):
+    f = jobs.packets_to_flows(with_answers(V.packets(spark, sf)), bidirectional=True)
     return f.select(*FL.FLOW_KEY, "ts", "bytes_sent", "bytes_recv", "packets_total")
 
 

@@ -19,8 +19,9 @@ from flowwarden.registry import views as V
 from flowwarden.registry.alerts import _FINAL, CHAIN, UNTIMED_CHAIN, UNTIMED_DISPOSITION, _final, untimed_alerts
 from flowwarden.registry.base import query
 from flowwarden.registry.models import (
-    _FLOW_COLS, _TOTALS, EVENT_MODEL, EVENT_VECTORS, FLOW_MODEL, FLOWS_SQL, RAW_THRESHOLD, SCORED_EVENTS, SCORED_FLOWS,
+    _FLOW_COLS, _TOTALS, BOTH_WAYS_SQL, EVENT_MODEL, EVENT_VECTORS, FLOW_MODEL, FLOWS_SQL, RAW_THRESHOLD, SCORED_EVENTS, SCORED_FLOWS,
     SEQUENCES, UNTIMED_SCORED, UNTIMED_SEQUENCES, _slot, _totals, is_scored, untimed_events,
+    with_answers,
 )
 from flowwarden.session import work_dir
 from flowwarden.sources import store
@@ -83,6 +84,13 @@ def _(spark, sf):
     return run(FL.build_flows_stream(FL.normalise_packets(p)), "flows").filter("src_ip <> 'flush'").select(*_FLOW_COLS)
 
 
+@query("st3_flow_bidirectional_stream", BOTH_WAYS_SQL)
+def _(spark, sf):
+    p = feed(spark, with_answers(V.packets(spark, sf)), "packets", {"src_ip": "flush"})
+    flows = FL.build_flows_stream(FL.normalise_packets(p), bidirectional=True)
+    return run(flows, "flows").select(*FL.FLOW_KEY, "ts", "bytes_sent", "bytes_recv", "packets_total")
+
+
 @query("st5_hourly_stream", f"""WITH {V.ALERTS} SELECT cast(date_trunc('hour', ts) AS varchar) AS hour, count(*) AS cnt FROM alerts GROUP BY 1""")
 def _(spark, sf):
     return run(ST.hourly_stream(feed(spark, V.alerts(spark, sf), "alerts", {})), "hours")
@@ -95,6 +103,24 @@ def _(spark, sf):
     return run(ST.hourly_stream(feed(spark, a, "alerts", {}, late=a)), "hours")
 
 
+@query("st4_late_alerts_stream", f"""WITH {V.ALERTS} SELECT alert_id, late FROM alerts, (VALUES (true), (false)) AS v (late)""")
+def _(spark, sf):
+    """Every alert again, after the watermark has passed it: all that was received comes out, the second ones as late."""
+    a = V.alerts(spark, sf)
+    d = run(dispositions_stream(_alert_feed(spark, sf, late=a)), "dispositions")
+    return d.filter("alert_id <> 'flush'").select("alert_id", (F.col("disposition") == "late").alias("late"))
+
+
+@query("st4_late_events_stream", f"""WITH {V.WIN_EVENTS}, {EVENT_VECTORS}, {SEQUENCES} SELECT event_uid, count(*) + 1 AS received, count(*) FILTER (rn >= 10) AS sequences
+FROM seqs GROUP BY 1""")
+def _(spark, sf):
+    """Events again behind the watermark: they come out without a sequence and leave those of the others alone."""
+    e = V.win_events(spark, sf).drop("ts0")
+    e = feed(spark, e, "events", {"computer": "flush", "event_uid": "flush"}, late=e)
+    s = run(host_sequences_stream(FE.event_features(e).select("event_uid", "computer", "ts", "features")), "sequences")
+    return s.filter("event_uid <> 'flush'").groupBy("event_uid").agg(F.count(F.lit(1)).alias("received"), F.count("seq").alias("sequences"))
+
+
 @query("st7_repeated_batch_stream", f"WITH {V.NET_FLOWS} SELECT flow_id, src_ip FROM net_flows")
 def _(spark, sf):
     """Each micro-batch is stored twice, as after a failure between store and commit: rows are there once."""
@@ -183,8 +209,8 @@ def _(spark, sf):
     return s.filter("seq IS NOT NULL").select("event_uid", "computer", *_totals(F.col("seq")))
 
 
-def _alert_feed(spark, sf):
-    return feed(spark, V.alerts(spark, sf), "alerts", {"alert_id": "flush", "src_ip": "flush", "source_type": "network"})
+def _alert_feed(spark, sf, late=None):
+    return feed(spark, V.alerts(spark, sf), "alerts", {"alert_id": "flush", "src_ip": "flush", "source_type": "network"}, late)
 
 
 @query("st2_alert_dispositions_stream", f"""WITH RECURSIVE {CHAIN} SELECT a.alert_id, CASE WHEN f.alert_id IS NULL THEN 'deduped'
@@ -206,13 +232,15 @@ def _(spark, sf):
     return _final(run(alert_chain_stream(_alert_feed(spark, sf), processed_at=F.col("ts")), "alerts-done").filter("alert_id <> 'flush'"))
 
 
-@query("a14_alert_counters_stream", f"""WITH RECURSIVE {CHAIN} SELECT (SELECT count(*) FROM alerts) AS received,
+@query("a14_alert_counters_stream", f"""WITH RECURSIVE {CHAIN} SELECT (SELECT count(*) + count(*) FILTER (severity = 'low') FROM alerts) AS received,
+  (SELECT count(*) FILTER (severity = 'low') FROM alerts) AS late,
   (SELECT count(*) FROM alerts) - (SELECT count(*) FROM fresh) AS deduped, (SELECT count(*) FROM fresh) - (SELECT count(*) FROM hits) AS rate_limited,
   (SELECT count(*) FROM hits) AS kept, (SELECT count(*) FROM final WHERE was_escalated) AS escalated""")
 def _(spark, sf):
-    """What became of the alerts of a stream, counted by micro-batch beside the stored alerts."""
+    """What became of the alerts of a stream, some of them sent again too late, counted by micro-batch."""
     alerts, counts = work_dir(spark, "chained"), work_dir(spark, "counters")
-    stream = dispositions_stream(_alert_feed(spark, sf)).filter("alert_id <> 'flush'")
+    low = V.alerts(spark, sf).filter("severity = 'low'")
+    stream = dispositions_stream(_alert_feed(spark, sf, late=low)).filter("alert_id <> 'flush'")
     jobs.start(stream, work_dir(spark, "chained-state"), jobs.store_alert_chain(alerts, counts), every=None).awaitTermination()
     return jobs.counters(spark, counts)
 

@@ -57,15 +57,15 @@ def store_and_alert(source_type: str, events_path: str, alerts_path: str | None,
     return run
 
 
-COUNTERS = ("received", "deduped", "rate_limited", "kept", "escalated")
+COUNTERS = ("received", "deduped", "rate_limited", "kept", "late", "escalated")
 
 
 def store_alert_chain(
     alerts_path: str, counters_path: str, ports: DataFrame | None = None, bad_ips: DataFrame | None = None,
-    escalate_at: int = ESCALATE_AT, processed_at: Column | None = None,
+    escalate_at: int = ESCALATE_AT, processed_at: Column | None = None, late_path: str | None = None,
 ) -> Callable:
     """A foreachBatch function over ``dispositions_stream``: finish and store the alerts kept, and count what became of
-    all. The counts of a micro-batch lie in the store under its number, so a batch that is run again counts once."""
+    all. Late alerts are stored as they came under ``late_path``, if given. The counts of a micro-batch lie in the store under its number, so a batch that is run again counts once."""
 
     def run(batch: DataFrame, epoch: int) -> None:
         batch.persist()
@@ -74,9 +74,12 @@ def store_alert_chain(
             kept = risk_score(escalate(kept, escalate_at)).persist()
             write_epoch(kept, epoch, alerts_path, "alert_id", "alerts")
             of = lambda name: F.count_if(F.col("disposition") == name)
-            counts = batch.agg(F.count(F.lit(1)).alias("received"), *[of(n).alias(n) for n in COUNTERS[1:4]])
+            counts = batch.agg(F.count(F.lit(1)).alias("received"), *[of(n).alias(n) for n in COUNTERS[1:5]])
             counts = counts.withColumn("escalated", F.lit(kept.filter("was_escalated").count()))
             store.write(counts.withColumn("epoch", F.lit(str(epoch))), counters_path, "epoch", F.lit(epoch), "counters", epoch)
+            if late_path is not None:
+                late = batch.filter("disposition = 'late'").drop("dedup_key", "disposition", "hit_count")
+                write_epoch(late, epoch, late_path, "alert_id", "late")
             kept.unpersist()
         finally:
             batch.unpersist()

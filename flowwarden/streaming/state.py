@@ -4,6 +4,10 @@ Rows wait in state until the watermark has passed them and are then taken in ord
 So the result does not depend on the order of arrival within the watermark, and equals that of the
 batch operators. They wait by time bucket, each with a timer at its end, so a timer reads the rows of
 its bucket alone; it also clears what has run out by then.
+
+A row behind the watermark of its micro-batch has lost its place in that order. It comes out at once, marked, and
+touches no state; so what is in time and what is late add up to what was received. Spark drops late rows by itself
+only where the column of the watermark reaches the operator; these hand over the microseconds alone.
 """
 
 from __future__ import annotations
@@ -43,17 +47,23 @@ class _Ordered(StatefulProcessor):
         self.pending = handle.getMapState("pending", "bucket bigint", f"rows array<struct<{self.row_schema}>>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs() * 1000
         new: dict[int, list[tuple]] = {}
         for pdf in rows:
+            late = []
             for r in pdf[self.pending_columns].itertuples(index=False):
-                new.setdefault(int(r.us) // BUCKET_US, []).append(self.to_state(r))
+                if r.us < passed:
+                    late.append(tuple(r))
+                else:
+                    new.setdefault(int(r.us) // BUCKET_US, []).append(self.to_state(r))
+            if late:
+                yield self.aside(late)
         for bucket, more in new.items():
             if self.pending.containsKey((bucket,)):
                 more = [*(tuple(r) for r in self.pending.getValue((bucket,))[0]), *more]
             else:
                 self.handle.registerTimer((bucket + 1) * BUCKET_US // 1000)
             self.pending.updateValue((bucket,), (more,))
-        return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         """Timers come in order of time; what has run out is judged at the timer's time, as later buckets may be due too."""
@@ -73,6 +83,10 @@ class _Ordered(StatefulProcessor):
     def take(self, rows: list[tuple]) -> pd.DataFrame:
         raise NotImplementedError
 
+    def aside(self, rows: list[tuple]) -> pd.DataFrame:
+        """Late rows as they come out."""
+        raise NotImplementedError
+
     def expire(self, passed: int) -> int | None:
         """Clear what has run out at ``passed``; the time of the next look, or None."""
         return None
@@ -109,6 +123,11 @@ class HostSequences(_Ordered):
             "us": [r[0] for r in rows], "uid": [r[1] for r in rows], "payload": [r[3] for r in rows], "seq": seqs,
         })
 
+    def aside(self, rows):
+        return pd.DataFrame({
+            "us": [r[0] for r in rows], "uid": [r[1] for r in rows], "payload": [r[3] for r in rows], "seq": [None] * len(rows),
+        })
+
     def expire(self, passed):
         held = list(self.last.get())
         if not held:
@@ -178,6 +197,13 @@ class AlertChain(_Ordered):
             "hit_count": pd.array(counts, dtype="Int32"),
         })
 
+    def aside(self, rows):
+        return pd.DataFrame({
+            "us": [r[0] for r in rows], "alert_id": [r[1] for r in rows], "dedup_key": [r[2] for r in rows],
+            "payload": [r[3] for r in rows], "disposition": ["late"] * len(rows),
+            "hit_count": pd.array([None] * len(rows), dtype="Int32"),
+        })
+
     def expire(self, passed):
         ends = []
         for (key,), (us,) in list(self.seen.iterator()):
@@ -210,12 +236,13 @@ def _unpack(df: DataFrame, schema: T.StructType, more: list[str]) -> DataFrame:
 def host_sequences_stream(
     df: DataFrame, n: int = 10, vec: str = "features", watermark: str = "10 minutes", idle_s: float = 86_400
 ) -> DataFrame:
-    """``host_sequences`` on a stream; events come out once the watermark has passed them."""
+    """``host_sequences`` on a stream; events come out once the watermark has passed them, late ones at once and
+    without a sequence."""
     use_rocksdb(df.sparkSession)
     # "vec" travels as itself, the rest as payload
     rest = df.drop(vec)
     rows = df.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark).select(
-        "ts", F.coalesce("computer", F.lit("unknown")).alias("host"), C.micros(F.col("ts")).alias("us"),
+        F.coalesce("computer", F.lit("unknown")).alias("host"), C.micros(F.col("ts")).alias("us"),
         F.col("event_uid").alias("uid"), F.col(vec).alias("vec"), _payload(rest))
     out = rows.groupBy("host").transformWithStateInPandas(
         HostSequences(n, int(idle_s * 1_000_000)), HostSequences.output, "Append", "EventTime")
@@ -234,11 +261,11 @@ def dispositions_stream(
     """Every alert of a stream with its disposition, and the hit count of those kept.
 
     With ``legacy`` all alerts without an address share one source, as in batch. Those without a time are kept,
-    uncounted, and wait for no watermark.
+    uncounted, and wait for no watermark. Those behind the watermark come out as ``late``, uncounted.
     """
     use_rocksdb(alerts.sparkSession)
     rows = alerts.filter(F.col("ts").isNotNull()).withWatermark("ts", watermark).select(
-        "ts", A.source_key(legacy).alias("source_key"), C.micros(F.col("ts")).alias("us"), "alert_id",
+        A.source_key(legacy).alias("source_key"), C.micros(F.col("ts")).alias("us"), "alert_id",
         A.dedup_key().alias("dedup_key"), _payload(alerts))
     second = 1_000_000
     chain = AlertChain(int(ttl_s * second), max_n, int(window_s * second), int(reset_s * second))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from flowwarden import schemas
 from flowwarden.operators import alerts as A
-from flowwarden.operators import detectors
+from flowwarden.operators import detectors, flows
 from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import work_dir
 from flowwarden.sources import store, tables
@@ -43,7 +43,7 @@ def read_stream(spark, path, schema):
 
 
 def test_alert_chain_survives_a_restart_and_disorder(spark):
-    rows = sample(2)
+    rows = sample(2, span=1100)
     src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
 
     def add(some):
@@ -110,7 +110,11 @@ def test_a_timer_reads_its_own_bucket_alone():
     chain = AlertChain(60 * second, 10, 60 * second, 3600 * second)
     chain.init(held)
     rows = pd.DataFrame([(t * second, f"a{t}", "k", "{}") for t in (3, 1, 12, 300, 301, 9999)], columns=chain.pending_columns)
-    list(chain.handleInputRows(("s",), iter([rows]), None))
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    list(chain.handleInputRows(("s",), iter([rows]), Now))
     assert sorted(held.timers) == [10_000, 20_000, 310_000, 10_000_000] and held.read == []
 
     class Due:
@@ -125,14 +129,52 @@ def test_a_timer_reads_its_own_bucket_alone():
     assert list(chain.handleExpiredTimer(("s",), None, Due(61_001))) == [] and held.maps["seen"] == {}  # a wake-up call
 
 
-def test_rows_behind_the_watermark_are_dropped(spark):
+def test_rows_behind_the_watermark_come_out_as_late(spark):
     src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
-    # Spark drops late rows by the watermark of the batch before, hence the batch of "e" in between
-    for some in ([("a", 0, "1.1.1.1", 1)], [("b", 5000, "1.1.1.1", 1)], [("e", 5001, "1.1.1.1", 3)], [("c", 10, "1.1.1.1", 2), ("d", 4500, "1.1.1.1", 2)], [("flush", 200_000, "flush", 1)]):
+    # "c" and "f" lie behind the watermark, "d" is out of order within it; "g" would be a copy of "a" were it in time
+    for some in ([("a", 0, "1.1.1.1", 1)], [("b", 5000, "1.1.1.1", 1)],
+                 [("c", 10, "1.1.1.1", 2), ("d", 4500, "1.1.1.1", 2), ("g", 1, "1.1.1.1", 1)], [("f", 4399, "9.9.9.9", 1)], [("flush", 200_000, "flush", 1)]):
         alert_rows(spark, some).coalesce(1).write.mode("append").parquet(src)
     run(dispositions_stream(read_stream(spark, src, schemas.RAW_ALERTS)), out, state)
-    got = {r.alert_id for r in spark.read.parquet(f"{out}/epoch=*").collect()}
-    assert got - {"flush"} == {"a", "b", "d", "e"}
+    got = sorted((r.alert_id, r.disposition, r.hit_count, r.ts) for r in spark.read.parquet(f"{out}/epoch=*").collect())
+    assert [g for g in got if g[0] != "flush"] == [
+        ("a", "kept", 1, at(0)), ("b", "kept", 2, at(5000)), ("c", "late", None, at(10)), ("d", "kept", 1, at(4500)),
+        ("f", "late", None, at(4399)), ("g", "late", None, at(1))]
+
+
+def test_late_alerts_are_stored_aside(spark):
+    alerts, counts, late = (work_dir(spark, n) for n in ("alerts", "counts", "late"))
+    rows = alert_rows(spark, [("a", 0, "1.1.1.1", 1), ("b", 1, "1.1.1.1", 2)])
+    batch = rows.withColumns({"dedup_key": A.dedup_key(), "disposition": F.when(F.col("alert_id") == "a", "kept").otherwise("late"),
+                              "hit_count": F.when(F.col("alert_id") == "a", 1)})
+    each = jobs.store_alert_chain(alerts, counts, late_path=late)
+    for _ in range(2):
+        each(batch, 0)
+    assert [r._id for r in store.read(spark, alerts).collect()] == ["a"]
+    assert [(r._id, r.ts) for r in store.read(spark, late).collect()] == [("b", at(1))]
+    assert jobs.counters(spark, counts).first().asDict() == {"received": 2, "deduped": 0, "rate_limited": 0, "kept": 1, "late": 1, "escalated": 0}
+
+
+def test_a_hot_session_is_added_up_before_it_is_shuffled(spark):
+    """Both directions of one busy 5-tuple: the batch's flows, and sessions merged ahead of the shuffle."""
+    rnd = random.Random(1)
+    ends = [("10.0.0.1", "8.8.8.8", 50000, 443), ("8.8.8.8", "10.0.0.1", 443, 50000)]
+    rows = [(at(rnd.randint(0, 30_000) / 100), *ends[rnd.random() < 0.4], 6, 2, 100) for _ in range(3000)]
+    rows += [(at(1000), *ends[1], 6, 16, 7), (at(1001), *ends[0], 6, 16, 9)]
+    df = spark.createDataFrame(rows, schemas.PACKETS)
+    src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
+    df.repartition(4).write.parquet(src)
+    spark.createDataFrame([(at(200_000), "flush", "flush", 1, 1, 6, 2, 1)], schemas.PACKETS).write.mode("append").parquet(src)
+    stream = flows.build_flows_stream(flows.normalise_packets(spark.readStream.schema(schemas.PACKETS).parquet(src)), bidirectional=True)
+    q = jobs.start(stream, state, lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), every=None)
+    q.awaitTermination()
+    below = q._jsq.explainInternal(False).split("Exchange", 1)[1]
+    assert "MergingSessions" in below
+    cols = ["flow_id", *flows.FLOW_KEY, "bytes_sent", "bytes_recv", "packets_total", "duration_ms"]
+    got = spark.read.parquet(f"{out}/epoch=*").filter("src_ip <> 'flush'").select(*cols)
+    want = flows.build_flows(flows.normalise_packets(df), bidirectional=True).select(*cols)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+    assert want.filter("src_ip = '8.8.8.8' AND bytes_sent = 7 AND bytes_recv = 9").count() == 1
 
 
 def test_host_sequences(spark):
@@ -205,5 +247,5 @@ def test_counters_add_up_over_a_restart_and_a_repeated_batch(spark):
     a = alert_rows(spark, rows)
     want = {r["disposition"]: r["cnt"] for r in A.disposition_counts(A.dispositions(a)).collect()}
     done = A.process_alerts(a)
-    assert got == {"received": 200, "escalated": done.filter("was_escalated").count(), **{k: want.get(k, 0) for k in ("deduped", "rate_limited", "kept")}}
+    assert got == {"received": 200, "escalated": done.filter("was_escalated").count(), **{k: want.get(k, 0) for k in ("deduped", "rate_limited", "kept", "late")}}
     assert store.read(spark, alerts).count() == want["kept"]
