@@ -14,7 +14,7 @@ from flowwarden.operators.alerts import make_alerts, process_alerts, union_alert
 from flowwarden.operators.features import apply_scaler, event_features, fit_scaler, flow_features, split_normal_attack
 from flowwarden.operators.flows import build_flows, normalise_packets
 from flowwarden.operators.scoring import Model, annotate, fit_threshold, score, time_split
-from flowwarden.operators.sequences import complete, host_sequences, with_untimed
+from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import stage
 from flowwarden.sources import store
 from flowwarden.sources.event_xml import parse_event_xml
@@ -53,7 +53,7 @@ def train_sequences(events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32,
     normal, _ = split_normal_attack(events, label_col)
     _pass(normal, min_rows, "events")
     narrow = event_features(normal).select("event_uid", "computer", "ts", "features")
-    sequences = stage(complete(host_sequences(narrow)).select("ts", "seq"), "sequences")
+    sequences = complete(host_sequences(narrow)).select("ts", "seq")
     m = sequences.count()
     if m < MIN_SEQUENCES:
         warnings.warn(f"only {m} sequences, training on what there is", stacklevel=2)
@@ -79,8 +79,7 @@ def score_sequences(events: DataFrame, model: Model, seq: str = "seq") -> DataFr
 
 def score_events(events: DataFrame, model: Model, legacy: bool = False) -> DataFrame:
     """Every event; one without a time has no place in a sequence and stays unscored."""
-    vectors = event_features(events, legacy)
-    return score_sequences(with_untimed(host_sequences(vectors), vectors), model).drop("features")
+    return score_sequences(host_sequences(event_features(events, legacy), untimed=True), model).drop("features")
 
 
 def packets_to_flows(packets: DataFrame, idle_s: float = 60, bidirectional: bool = False) -> DataFrame:

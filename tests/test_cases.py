@@ -16,7 +16,7 @@ from flowwarden.operators import anchors
 from flowwarden.operators.anchors import open_windows, run_steps
 from flowwarden.operators.quantiles import exact_quantiles
 from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, load_model, save_model, score
-from flowwarden.operators.sequences import complete, host_sequences
+from flowwarden.operators.sequences import complete, dealt, host_sequences
 from flowwarden.plans import jobs
 from flowwarden.session import work_dir
 from flowwarden.sources import store, tables
@@ -298,12 +298,12 @@ def test_sequence_needs_ten_events(spark):
     assert [(r.computer, [v[0] for v in r.seq]) for r in full] == [("a", [float(i) for i in range(10)])]
 
 
-@pytest.mark.parametrize("bucket_s", [7, 60, 100_000])
-def test_sequences_across_buckets(spark, bucket_s):
-    rnd = random.Random(bucket_s)
+@pytest.mark.parametrize("parts", [None, 1, 7, 200])
+def test_sequences_across_parts(spark, parts):
+    rnd = random.Random(parts or 0)
     rows = [(rnd.choice(["hot", "hot", "hot", "x", "y"]), rnd.randint(0, 400), i) for i in range(600)]
     rows += [("sparse", i * 1000, i) for i in range(15)]
-    got = {r.event_uid: [int(v[0]) for v in r.seq] if r.seq else None for r in host_sequences(events(spark, rows), bucket_s=bucket_s).collect()}
+    got = {r.event_uid: [int(v[0]) for v in r.seq] if r.seq else None for r in host_sequences(events(spark, rows), parts=parts).collect()}
     want, held = {}, {}
     for s, i, h in sorted((s, i, h) for i, (h, s, _) in enumerate(rows)):
         held[h] = [*held.get(h, []), rows[i][2]][-10:]
@@ -644,6 +644,41 @@ def test_events_without_a_time_keep_ids_of_their_own(spark):
     assert len({r.event_uid for r in got}) == 2
 
 
+def test_a_busy_minute_of_one_host_lies_in_many_parts(spark):
+    """20,000 events of one host within a minute: parts follow counts, and hold ranges in order."""
+    df = spark.range(0, 20_000, 1, 4).selectExpr(
+        "'hot' AS computer", "timestamp_micros(1704067200000000 + (id * 7919) % 20000 * 3000) AS ts", "CAST(id AS string) AS event_uid")
+    got = dealt(df, "computer", "ts", "event_uid", parts=16).groupBy("_part").agg(F.count("*").alias("n"), F.min("ts").alias("a"), F.max("ts").alias("b"))
+    rows = got.orderBy("_part").collect()
+    assert len(rows) >= 14 and max(r.n for r in rows) <= 2 * 20_000 / 16 and sum(r.n for r in rows) == 20_000
+    assert all(x.b <= y.a for x, y in zip(rows, rows[1:]))
+
+
+def test_sequences_compute_their_input_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    df = events(spark, [("a", i % 50, i) for i in range(400)])
+    df = df.withColumn("ts", F.when(F.col("event_uid") >= "u00010", F.col("ts"))).mapInArrow(count, df.schema)
+    got = host_sequences(df, untimed=True)
+    assert got.count() == 400 and got.filter("ts IS NULL AND seq IS NULL").count() == 10 and complete(got).count() == 390 - 9
+    assert seen.value == 400
+
+
+def test_sequences_of_repeated_rows_and_of_nothing(spark):
+    rows = events(spark, [("a", 1, 5)] * 3 + [(None, 1, 6)] * 2)
+    twice = rows.withColumns({"event_uid": F.lit("same"), "other": F.lit(1)}).unionAll(rows.withColumns({"event_uid": F.lit(None), "other": F.lit(2)}))
+    got = host_sequences(twice, n=2).collect()
+    # of every host all events but the first have one before them
+    assert sorted((r.computer or "", r.seq is None) for r in got) == [("", False)] * 3 + [("", True)] + [("a", False)] * 5 + [("a", True)]
+    assert host_sequences(rows.limit(0)).columns == [*rows.columns, "seq"] and host_sequences(rows.limit(0)).count() == 0
+    assert all(len(r.seq) == 1 for r in host_sequences(rows, n=1).collect())
+
+
 def test_untimed_rows_take_no_part(spark):
     df = spark.createDataFrame([(at(i), "h", f"u{i:02}", [float(i)]) for i in range(12)] + [(None, "h", "x", [-1.0])],
                                "ts timestamp, computer string, event_uid string, features array<float>")
