@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from flowwarden.llm.common import marked, over_texts, stage, without
@@ -290,7 +290,7 @@ def _merge(runs: DataFrame, length: int, gram: int) -> DataFrame:
             kind.append(entry)
         if kind:
             rows += spans_of_class(kind, length)
-        columns = [pa.array([r[i] for r in rows], pa.int64()) for i in range(3)]
+        columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64()))]
         return pa.RecordBatch.from_arrays(columns, ["text_id", "start", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def _merge(runs: DataFrame, length: int, gram: int) -> DataFrame:
         if blobs:
             yield combine(blobs)
 
-    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "text_id long, start long, end long")
+    return runs.repartition("part").sortWithinPartitions("part").mapInArrow(run, "text_id binary, start long, end long")
 
 
 def _by_counts(survivors: DataFrame, length: int, gram: int) -> DataFrame:
@@ -320,12 +320,12 @@ def _by_counts(survivors: DataFrame, length: int, gram: int) -> DataFrame:
                     for s in range(max(0, p["pos"] - length + gram), min(p["pos"], len(body) - length) + 1)})
                 prints = [xxhash.xxh3_128_digest(body[s:s + length]) for s in starts]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(prints, pa.binary()), pa.array([text] * len(starts), pa.int64()), pa.array(starts, pa.int64())],
+                    [pa.array(prints, pa.binary()), pa.array([text] * len(starts), pa.binary()), pa.array(starts, pa.int64())],
                     ["print", "text_id", "start"])
 
     rows = stage(
         survivors.where(F.exists("places", lambda p: p["big"])).select("text_id", "body", "places")
-        .mapInArrow(run, "print binary, text_id long, start long"), "strings")
+        .mapInArrow(run, "print binary, text_id binary, start long"), "strings")
     key = F.struct("text_id", "start")
     twice = stage(rows.groupBy("print").agg(F.min(key).alias("low"), F.max(key).alias("high")).where("low < high").select("print"), "twice")
     return rows.join(twice, "print").select("text_id", "start", (F.col("start") + length).alias("end"))
@@ -350,10 +350,10 @@ def _cut(rows: DataFrame) -> DataFrame:
                 kept.update(body[last:])
                 out.append((text, gone, n, kept.hexdigest()))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.string()))],
+                [pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.binary(), pa.int64(), pa.int64(), pa.string()))],
                 ["text_id", "n_removed", "n_spans", "kept_sha256"])
 
-    return over_texts(rows.select("text_id", "body", "spans"), run, "text_id long, n_removed long, n_spans long, kept_sha256 string")
+    return over_texts(rows.select("text_id", "body", "spans"), run, "text_id binary, n_removed long, n_spans long, kept_sha256 string")
 
 
 def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_items: int = CLASS_ITEMS) -> tuple[DataFrame, DataFrame]:
@@ -373,7 +373,7 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_i
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(len(counts)), counts)))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), ids, pa.array(np.concatenate(places))], ["gram", "text_id", "pos"])
 
-    found = stage(over_texts(longs, scan, "gram long, text_id long, pos long"), "anchors")
+    found = stage(over_texts(longs, scan, "gram long, text_id binary, pos long"), "anchors")
     key = F.xxhash64("text_id", "pos")
     twice = stage(
         found.groupBy("gram").agg(F.min(key).alias("low"), F.max(key).alias("high"), F.count("*").alias("n"))
@@ -391,13 +391,18 @@ def find_spans(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, class_i
     return stage(spans, "spans"), survivors
 
 
+def text_key(digest: Column) -> Column:
+    """By what a text goes through the runs: the first 16 bytes of its hex digest."""
+    return F.unhex(F.substring(digest, 1, 32))
+
+
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, class_items: int = CLASS_ITEMS) -> DataFrame:
     """Per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_removed, n_spans, kept_sha256.
 
     A byte goes if it is covered by ``length`` bytes of its text that also start anywhere else, overlaps and the
     same text included. Null text is empty; texts shorter than ``length`` stay whole; texts that are there twice
     go whole. Repeated rows and null ids are rows like others. Texts are told apart by SHA-256 and carried by
-    64 bits of it.
+    the first 128 bits of it, so that even among 10**12 texts two hardly ever share an id.
     """
     body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     given = docs.select("doc_id", body.alias("body")).withColumn("digest", F.sha2("body", 256))
@@ -407,14 +412,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, clas
         rows.join(copied, "digest").where(~F.col("doc_id").eqNullSafe(F.col("first")))
         .select(F.col("doc_id").alias("later_id"), F.col("digest").alias("later_digest")), "later")
     once = without(given, later, {"later_id": F.col("doc_id"), "later_digest": F.col("digest")})
-    spans, survivors = find_spans(once.select(F.xxhash64("digest").alias("text_id"), "body"), length, gram, class_items)
+    spans, survivors = find_spans(once.select(text_key(F.col("digest")).alias("text_id"), "body"), length, gram, class_items)
     by_text = spans.groupBy("text_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     cut = stage(_cut(survivors.dropDuplicates(["text_id"]).join(by_text, "text_id")), "cut")
     whole = (F.col("n") > 1) & (F.col("n_bytes") >= length)
     empty = hashlib.sha256(b"").hexdigest()
     return (
         rows.join(copied.select("digest", "n"), "digest", "left")
-        .withColumn("text_id", F.xxhash64("digest")).join(cut, "text_id", "left")
+        .withColumn("text_id", text_key(F.col("digest"))).join(cut, "text_id", "left")
         .select(
             "doc_id", "n_bytes",
             F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),

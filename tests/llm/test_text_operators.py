@@ -248,6 +248,13 @@ def test_suffix_dedup(make, prose, length, gram, most):
     assert sorted(str(tuple(r)) for r in got.collect()) == want
 
 
+def test_texts_go_by_128_bits(spark):
+    digests = [hashlib.sha256(str(i).encode()).hexdigest() for i in range(3)]
+    df = spark.createDataFrame([(d,) for d in digests], "digest string")
+    got = [bytes(r[0]) for r in df.select(suffix_dedup.text_key(df["digest"])).collect()]
+    assert sorted(got) == sorted(bytes.fromhex(d)[:16] for d in digests)
+
+
 def test_suffix_dedup_of_nothing(make):
     assert suffix_dedup.remove_repeats(make([])).count() == 0
     assert [tuple(r) for r in suffix_dedup.remove_repeats(make([(1, None)])).collect()] == [(1, 0, 0, 0, EMPTY)]
