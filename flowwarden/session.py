@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,26 +28,59 @@ def local_session(cores: str = "8", app: str = "flowwarden") -> SparkSession:
     )
 
 
-def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``).
+#: Folders of the ``staging`` blocks in force, outermost first.
+_blocks: ContextVar[tuple[str, ...]] = ContextVar("_blocks", default=())
 
-    Only where the driver is the only executor (``local[...]``) may that setting be missing; a temporary folder
-    then serves, as in tests. On a cluster a machine-local folder is not visible to the other executors.
-    """
+
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="run-", dir="/tmp")
+
+
+def _own_folder(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         master = spark.sparkContext.master
         if not master.startswith("local") or master.startswith("local-cluster"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return f"{root.rstrip('/')}/flowwarden/{name}-{uuid.uuid4().hex}"
+        root = _local_root()
+    return "/".join([root.rstrip("/"), "flowwarden", spark.sparkContext.applicationId, *_blocks.get()])
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh path under the folder the cluster shares (``spark.checkpoint.dir``), in the application's own folder.
+
+    Only where the driver is the only executor (``local[...]``) may that setting be missing; a temporary folder
+    then serves, as in tests. On a cluster a machine-local folder is not visible to the other executors.
+    """
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[str]:
+    """A block whose staged rows go to a folder of their own, which is removed at its end, also after an error.
+
+    Results that are still wanted have to be written elsewhere inside the block: a DataFrame that reads staged rows
+    cannot be computed after it. Blocks may be nested. Micro-batches of a stream run outside of any block.
+    """
+    held = _blocks.set((*_blocks.get(), f"block-{uuid.uuid4().hex}"))
+    try:
+        folder = _own_folder(spark)
+        try:
+            yield folder
+        finally:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    finally:
+        _blocks.reset(held)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """The rows, written as Parquet to the shared folder and read again.
 
     Readers do not compute them again, read only the columns they need, and push their filters down; lost
-    executors do not matter. The files stay until the owner of the shared folder removes them.
+    executors do not matter. The files stay until the ``staging`` block around the call ends; outside of one until the
+    owner of the shared folder removes the application's folder.
     """
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)

@@ -1,6 +1,7 @@
 """Small cases with known answers."""
 
 import datetime as dt
+import os
 import random
 
 import numpy as np
@@ -18,7 +19,7 @@ from flowwarden.operators.quantiles import exact_quantiles
 from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, load_model, save_model, score
 from flowwarden.operators.sequences import complete, dealt, host_sequences
 from flowwarden.plans import jobs
-from flowwarden.session import work_dir
+from flowwarden.session import stage, staging, work_dir
 from flowwarden.sources import store, tables
 from flowwarden.sources.event_xml import parse_event_xml, read_event_xml
 
@@ -837,3 +838,22 @@ def test_quantiles_take_few_passes(spark):
     assert seen.value == 2 * 60_000  # one of them is the comparison's
     # write, sketch, guesses, counts, lists; a job may come with its shuffle stage as another one
     assert jobs_run <= 8
+
+
+def test_staged_rows_go_with_their_block(spark, tmp_path):
+    before = stage(spark.range(3), "outer")
+    with staging(spark) as folder:
+        assert stage(spark.range(5), "inner").inputFiles()[0].removeprefix("file://").startswith(folder)
+        with staging(spark) as nested:
+            assert nested.startswith(folder) and stage(spark.range(2), "nested").count() == 2
+        assert not os.path.exists(nested) and os.path.exists(folder)
+        # a whole operator inside: its result is written before its staged rows go
+        host_sequences(events(spark, [("a", i, i) for i in range(12)])).write.parquet(str(tmp_path / "out"))
+    assert not os.path.exists(folder)
+    assert before.count() == 3 and complete(spark.read.parquet(str(tmp_path / "out"))).count() == 3
+    with pytest.raises(ZeroDivisionError), staging(spark) as folder:
+        stage(spark.range(1), "lost")
+        1 / 0
+    assert not os.path.exists(folder) and not os.path.exists(work_dir(spark, "fresh"))
+    with staging(spark):
+        pass
