@@ -132,3 +132,23 @@ def test_stage_on_odd_rows(spark, make, prose, name, step):
     else:
         assert len({r.sequence_id for r in rows}) == len(rows)
     assert step(spark, make([]), SF).count() == 0
+
+
+def test_chat_query_and_its_sql_agree_on_turns_out_of_order(spark, tmp_path):
+    """The given conversations are all well-formed; these are not."""
+    talks = {
+        1: ["user", "assistant", "tool", "assistant"], 2: ["system", "user", "assistant"], 3: ["assistant"], 4: ["user", "user", "assistant"],
+        5: ["user", "critic", "assistant"], 6: [None, "user"], 7: ["user", "assistant", "tool", "user"], 8: ["start", "user"], 9: ["system"],
+    }
+    rows = [(c, i, role, f"t<|{i}") for c, roles in talks.items() for i, role in enumerate(roles)]
+    rows += [(10, None, "user", None), (10, 1, "assistant", ""), (11, 0, "user", "a"), (11, 0, "user", "a")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = registry.op5(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/conversations.parquet/*.parquet'")
+    cur = con.execute(registry.SQL["op5_chat_format"])
+    cols = [d[0] for d in cur.description]
+    got = sorted(tuple(r[c] for c in cols) for r in got.collect())
+    assert got == sorted(cur.fetchall())
+    valid = cols.index("valid")
+    assert {r[0] for r in got if r[valid]} == {-1, 1, 2, 9, 10}
