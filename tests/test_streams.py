@@ -129,6 +129,37 @@ def test_a_timer_reads_its_own_bucket_alone():
     assert list(chain.handleExpiredTimer(("s",), None, Due(61_001))) == [] and held.maps["seen"] == {}  # a wake-up call
 
 
+def test_state_is_touched_by_run_and_not_by_row():
+    """Rows in 3,000 buckets: few timers, and the first one of a micro-batch takes all that the watermark has passed."""
+    held, second = Held(), 1_000_000
+    chain = AlertChain(60 * second, 10, 60 * second, 3600 * second)
+    chain.init(held)
+    rnd = random.Random(3)
+    rows = [(t * 10 * second, f"a{t:04}", f"k{t % 4}", "{}") for t in range(1, 3001)]
+    mixed = rnd.sample(rows, len(rows))
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = lambda: ms
+
+    class Due:
+        def __init__(self, ms):
+            self.getExpiryTimeInMs = lambda: ms
+
+    frames = [pd.DataFrame(mixed[i : i + 1500], columns=chain.pending_columns) for i in (0, 1500)]
+    assert list(chain.handleInputRows(("s",), iter(frames), Now(0))) == []
+    assert len(held.timers) < 10
+    got = []
+    for watermark in (14_999_000, 30_010_000):
+        for ms in sorted(t for t in held.timers if t <= watermark):
+            got += [tuple(r) for pdf in chain.handleExpiredTimer(("s",), Now(watermark), Due(ms))
+                    for r in pdf[["us", "alert_id", "disposition"]].itertuples(index=False)]
+        assert len(got) == min(watermark // 10_000 - 1, 3000)
+    assert len(held.read) < 20 and held.maps["pending"] == {}
+    # a key comes again after 40 s, within its 60 s
+    assert got == [(us, i, "deduped" if (n // 4) % 2 else "kept") for n, (us, i, _, _) in enumerate(rows)]
+
+
 def test_rows_behind_the_watermark_come_out_as_late(spark):
     src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
     # "c" and "f" lie behind the watermark, "d" is out of order within it; "g" would be a copy of "a" were it in time
