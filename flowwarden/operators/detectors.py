@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from flowwarden import lookups as L
 from flowwarden.functions import columns as C
+from flowwarden.session import use_rocksdb
 
 OFF_HOURS = [22, 23, 0, 1, 2, 3]
 
@@ -31,20 +32,22 @@ def port_scan(flows: DataFrame, min_ports: int = 50, every: str = "5 minutes", s
 def port_scan_stream(
     flows: DataFrame, min_ports: int = 50, every: str = "5 minutes", watermark: str = "10 minutes"
 ) -> DataFrame:
-    """The stream form. The ports of a pair and window are two bitmaps of 32,768 bits, so its state is 8 KB however many
-    ports it tries; the count is exact. Values that are no port (below 0, above 65,535) are not counted."""
-    half = 32_768
-    marks = [
-        F.bitmap_construct_agg(F.when(F.col("dst_port").between(i * half, (i + 1) * half - 1), (F.col("dst_port") - i * half).cast("bigint"))).alias(f"_m{i}")
-        for i in (0, 1)
-    ]
+    """The stream form. The ports of a pair and window are kept as one number of 64 bits for each block of 64 ports that
+    is tried, at most 1,024; blocks are counted apart, so a busy pair is spread, and added up when the window is closed.
+    The count is exact. Values that are no port (below 0, above 65,535) are not counted. State lies in the RocksDB store."""
+    use_rocksdb(flows.sparkSession)
+    port = F.when(F.col("dst_port").between(0, 65_535), F.col("dst_port"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (port % 64).cast("int"))
     syn_only = F.array_contains("tcp_flags", "SYN") & (F.size("tcp_flags") == 1)
-    return (
+    blocks = (
         flows.withWatermark("ts", watermark)
         .filter(syn_only)
-        .groupBy("src_ip", "dst_ip", F.window("ts", every).alias("w"))
-        .agg(*marks, F.count(F.lit(1)).alias("flows"))
-        .withColumn("ports", F.bitmap_count("_m0") + F.bitmap_count("_m1"))
+        .groupBy("src_ip", "dst_ip", F.window("ts", every).alias("w"), F.floor(port / 64).cast("int").alias("_block"))
+        .agg(F.bit_or(bit).alias("_ports"), F.count(F.lit(1)).alias("_flows"))
+    )
+    return (
+        blocks.groupBy("src_ip", "dst_ip", "w")
+        .agg(F.coalesce(F.sum(F.bit_count("_ports")), F.lit(0)).cast("bigint").alias("ports"), F.sum("_flows").alias("flows"))
         .filter(F.col("ports") >= min_ports)
         .select("src_ip", "dst_ip", F.col("w.start").alias("window_start"), "ports", "flows")
     )

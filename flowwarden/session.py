@@ -28,6 +28,14 @@ def local_session(cores: str = "8", app: str = "flowwarden") -> SparkSession:
     )
 
 
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def use_rocksdb(spark: SparkSession) -> None:
+    """Custom state needs the RocksDB store, which also keeps large state off the heap."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
 #: Folders of the ``staging`` blocks in force, outermost first.
 _blocks: ContextVar[tuple[str, ...]] = ContextVar("_blocks", default=())
 

@@ -27,16 +27,11 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from flowwarden.functions import columns as C
 from flowwarden.operators import alerts as A
+from flowwarden.session import use_rocksdb
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 DAY_US = 86_400_000_000
 
 
-def use_rocksdb(spark) -> None:
-    """Custom state needs the RocksDB store, which also keeps large state off the heap."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
 #: Length of a time bucket in which rows wait.
 BUCKET_US = 10_000_000
 #: Rows over at most so many buckets wait in a run a bucket; over more they share runs of ``RUN_ROWS``.

@@ -280,3 +280,20 @@ def test_counters_add_up_over_a_restart_and_a_repeated_batch(spark):
     done = A.process_alerts(a)
     assert got == {"received": 200, "escalated": done.filter("was_escalated").count(), **{k: want.get(k, 0) for k in ("deduped", "rate_limited", "kept", "late")}}
     assert store.read(spark, alerts).count() == want["kept"]
+
+
+def test_state_of_a_port_scan_follows_the_ports_tried(spark):
+    """300 pairs with two ports each: few bytes a pair, and no ports beyond the window's are counted."""
+    rows = [(f"s{i}", "b", at(i % 60), p, ["SYN"]) for i in range(300) for p in (63, 64, 64)]
+    src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
+    df = spark.createDataFrame(rows, "src_ip string, dst_ip string, ts timestamp, dst_port int, tcp_flags array<string>")
+    df.coalesce(1).write.parquet(src)
+    end = spark.createDataFrame([("flush", "b", at(200_000), 1, ["SYN"])], df.schema)
+    end.coalesce(1).write.mode("append").parquet(src)
+    stream = detectors.port_scan_stream(read_stream(spark, src, df.schema), min_ports=2)
+    q = jobs.start(stream, state, lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), every=None)
+    q.awaitTermination()
+    got = spark.read.parquet(f"{out}/epoch=*").collect()
+    assert sorted((r.src_ip, r.ports, r.flows) for r in got) == sorted((f"s{i}", 2, 3) for i in range(300))
+    plan = q._jsq.explainInternal(False)
+    assert "bitmap_construct_agg" not in plan and "RocksDB" in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
