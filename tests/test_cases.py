@@ -857,3 +857,25 @@ def test_staged_rows_go_with_their_block(spark, tmp_path):
     assert not os.path.exists(folder) and not os.path.exists(work_dir(spark, "fresh"))
     with staging(spark):
         pass
+
+
+@pytest.mark.parametrize("inclusive", [False, True])
+def test_runs_of_a_key_are_numbered_over_its_blocks(spark, inclusive):
+    """Cells of one key over many blocks, with pauses at, below and above the idle time inside blocks and between them."""
+    rnd, idle = random.Random(4), 10
+    us, rows = -50_000, []
+    for _ in range(4000):
+        us += rnd.choice([10, 10, 11, 12, 40, 9_000, 25_000]) if rnd.random() < 0.1 else 10
+        rows.append((rnd.choice(["a", None]), us))
+    df = spark.createDataFrame(rows, "k string, first bigint").withColumn("last", F.col("first"))
+    runs = flows.idle_runs(df, ["k"], idle, "first", "last", "run", inclusive)
+    want, at = set(), {}
+    for k, us in rows:
+        before, run = at.get(k, (us, 0))
+        run += us - before >= idle and before != us if inclusive else us - before > idle
+        at[k] = (us, run)
+        want.add((k, us, run))
+    assert {(r.k, r.first, r.run) for r in runs.collect()} == want and runs.count() == len(rows)
+    # no window goes over the cells of a whole key
+    plan = runs._jdf.queryExecution().optimizedPlan().toString()
+    assert all("_block" in line for line in plan.splitlines() if "Window [" in line)
