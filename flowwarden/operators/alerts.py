@@ -110,7 +110,7 @@ def hit_count(alerts: DataFrame, reset_s: float = HIT_RESET_S, legacy: bool = Fa
     cells = rows.groupBy("source_key", "_cell").agg(
         F.min("_us").alias("_first"), F.max("_us").alias("_last"), F.count(F.lit(1)).alias("_n")
     )
-    runs = idle_runs(cells, ["source_key"], reset_us, "_first", "_last", "_run", inclusive=True)
+    runs = idle_runs(cells, ["source_key"], reset_us, "_first", "_last", "_run", inclusive=True, block_cells=None)
     earlier = Window.partitionBy("source_key", "_run").orderBy("_first").rowsBetween(Window.unboundedPreceding, -1)
     before = runs.select("source_key", "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("source_key", "_cell").orderBy("ts", "alert_id"))
