@@ -9,7 +9,6 @@ from flowwarden.functions import columns as C
 from flowwarden.operators.anchors import open_windows
 from flowwarden.operators.flows import idle_runs
 from flowwarden.operators.lookup_joins import flag_bad_ips, port_category
-from flowwarden.session import stage
 
 # The defaults of the chain
 DEDUP_TTL_S = 60
@@ -84,16 +83,20 @@ def dedup(alerts: DataFrame, ttl_s: float = DEDUP_TTL_S) -> DataFrame:
 
 
 def mark_rate_limited(
-    alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
+    alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False, staged: bool = False
 ) -> DataFrame:
     """Add ``source_key`` and ``is_limited``: beyond the first ``max_n`` of a fixed window that opens
-    at the first alert of the source after the last window. One without a time is neither counted nor limited."""
-    rows = open_windows(alerts.withColumn("source_key", source_key(legacy)), "source_key", window_s, within=("_within", max_n))
+    at the first alert of the source after the last window. One without a time is neither counted nor limited.
+    ``staged`` alerts are read again rather than written."""
+    keyed = alerts.withColumn("source_key", source_key(legacy))
+    rows = open_windows(keyed, "source_key", window_s, within=("_within", max_n), staged=staged)
     return rows.withColumn("is_limited", F.col("opened_us").isNotNull() & ~F.col("_within")).drop("opened_us", "_within")
 
 
-def rate_limit(alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False) -> DataFrame:
-    return mark_rate_limited(alerts, max_n, window_s, legacy).filter(~F.col("is_limited")).drop("is_limited")
+def rate_limit(
+    alerts: DataFrame, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False, staged: bool = False
+) -> DataFrame:
+    return mark_rate_limited(alerts, max_n, window_s, legacy, staged).filter(~F.col("is_limited")).drop("is_limited")
 
 
 def hit_count(alerts: DataFrame, reset_s: float = HIT_RESET_S, legacy: bool = False) -> DataFrame:
@@ -151,11 +154,10 @@ def dispositions(
 ) -> DataFrame:
     """Every alert with ``disposition``: kept, deduped or rate_limited.
 
-    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it. The marked alerts are read
-    twice, so they are written to the shared folder first.
+    Rate limiting looks at the survivors of deduplication only, so duplicates pass by it.
     """
-    marked = stage(mark_duplicates(alerts, ttl_s), "marked")
-    fresh = mark_rate_limited(marked.filter(~F.col("is_duplicate")), max_n, window_s, legacy)
+    marked = mark_duplicates(alerts, ttl_s)
+    fresh = mark_rate_limited(marked.filter(~F.col("is_duplicate")), max_n, window_s, legacy, staged=True)
     dropped = marked.filter("is_duplicate").withColumns({
         "source_key": source_key(legacy), "disposition": F.lit("deduped"),
     })
@@ -167,7 +169,7 @@ def kept_alerts(
     alerts: DataFrame, ttl_s: float = DEDUP_TTL_S, max_n: int = RATE_MAX, window_s: float = RATE_WINDOW_S, legacy: bool = False
 ) -> DataFrame:
     """The alerts that survive deduplication and then the rate limit."""
-    return rate_limit(dedup(alerts, ttl_s), max_n, window_s, legacy)
+    return rate_limit(dedup(alerts, ttl_s), max_n, window_s, legacy, staged=True)
 
 
 def process_alerts(
@@ -184,10 +186,10 @@ def process_alerts(
 ) -> DataFrame:
     """The whole chain: deduplicate, limit, count hits, enrich, escalate, score the risk.
 
-    The input is written to the shared folder before deduplication, and the survivors before the next steps, so
+    The input is written to the shared folder before deduplication, and the marked rows of each step once, so
     nothing before is computed twice.
     """
-    hits = hit_count(stage(kept_alerts(alerts, ttl_s, max_n, window_s, legacy), "kept"), reset_s, legacy)
+    hits = hit_count(kept_alerts(alerts, ttl_s, max_n, window_s, legacy), reset_s, legacy)
     return risk_score(escalate(enrich(hits, ports, bad_ips, processed_at), escalate_at))
 
 

@@ -4,15 +4,19 @@ A row is the opener of a window, or falls into the window opened before it; wind
 overlap. Which row opens a window depends on the opener before it, so the rule is a chain, and one
 key may hold a large part of all rows. The chain is therefore cut into runs of bounded size:
 
-1. per (key, time) one row, added up before the shuffle; of the rows of that instant the first is kept;
-2. these are dealt by ranges of (key, time), so a busy key lies in many tasks in order, and each task cuts
-   what it holds of a key into runs of at most ``RUN_TIMES`` times;
-3. a run that may not be the only one of its key gets a step table, independently of all others: "first time
+1. rows are dealt by ranges of (key, time, tie), so a busy key lies in many tasks in order. A pause of the window's
+   length always starts a new window, so a task knows the windows of all its rows but those ahead of its first
+   pause; it marks them at once and says which window is open at its end;
+2. what is left, and the windows open at ends of tasks, goes per (key, time), added up before the shuffle, through
+   the steps below: next to nothing where keys pause, and everything where a key never does;
+3. these times are dealt by ranges again, and each task cuts what it holds of a key into runs of at most
+   ``RUN_TIMES`` times;
+4. a run that may not be the only one of its key gets a step table, independently of all others: "first time
    a new window may open -> last opener of the run" for every way of entering the run;
-4. step tables are composable: neighbours are put together, ``FAN`` at a time, until a key has few left, and the
+5. step tables are composable: neighbours are put together, ``FAN`` at a time, until a key has few left, and the
    openers in force go down the same tree; a task holds ``FAN`` tables, whatever the size of a key;
-5. with the opener in force at its start, each run gives its openers, independently again;
-6. times meet their rows in an equi-join on (key, time), rows of no time having none.
+6. with the opener in force at its start, each run gives its openers, independently again;
+7. times meet their rows in an equi-join on (key, time), rows of no time having none.
 
 No step holds more than ``FAN`` runs of a key, and none walks over a whole key.
 """
@@ -24,9 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from flowwarden.functions import columns as C
 from flowwarden.session import stage
@@ -215,6 +221,79 @@ def opening_times(times: DataFrame, width: int, run_times: int = RUN_TIMES) -> D
     return runs.mapInArrow(_opened(width), "_key string, _us bigint, _first bigint, _opened bigint")
 
 
+_MARKS = T.StructType([
+    T.StructField("_id", T.LongType()), T.StructField("_opened", T.LongType()), T.StructField("_opens", T.BooleanType()),
+    T.StructField("_rank", T.LongType()), T.StructField("_tail", T.BooleanType()),
+])
+
+
+def _mark(width: int):
+    """Mark rows that are in order of key and time: their number, the opening time of their window, whether they open it,
+    and their place in it. Rows ahead of the task's first pause have a number alone, as their window may have begun in
+    the task before. A last row tells the key, opener and rows so far of the window that is open at the end."""
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        key, last, opener, count, batch = None, 0, None, 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if n == 0:
+                continue
+            keys, us = batch.column("_key"), batch.column("_us").to_numpy()
+            starts = np.r_[True, us[1:] - us[:-1] >= width]
+            starts[1:] |= pc.not_equal(keys.slice(1), keys.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            began = key is not None
+            if began:
+                starts[0] = keys[0].as_py() != key or us[0] - last >= width
+            a = 0
+            if opener is None:
+                found = np.flatnonzero(starts if began else starts[1:])
+                a = n if len(found) == 0 else int(found[0]) + (not began)
+            opened, place, opens = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, bool)
+            key, last = keys[n - 1].as_py(), int(us[-1])
+            if a < n:
+                u, s, m = us[a:], starts[a:], n - a
+                # one scale for all stretches without a pause, each a window's length behind the one before
+                begins = np.flatnonzero(np.r_[True, s[1:]])
+                zero = u[begins]
+                if not s[0]:
+                    zero[0] = opener
+                spans = u[np.r_[begins[1:] - 1, m - 1]] - zero + width
+                offset = np.r_[0, np.cumsum(spans)[:-1]]
+                x = u + np.repeat(offset - zero, np.diff(np.r_[begins, m]))
+                is_open = s.copy()
+                at_work = np.flatnonzero(s)
+                if not s[0]:
+                    at_work = np.r_[np.searchsorted(x, [width], "left"), at_work]
+                    at_work = at_work[at_work < m]
+                    is_open[at_work] = True
+                while len(at_work):
+                    at_work = np.searchsorted(x, x[at_work] + width, "left")
+                    at_work = at_work[at_work < m]
+                    at_work = at_work[~is_open[at_work]]
+                    is_open[at_work] = True
+                by = np.maximum.accumulate(np.where(is_open, np.arange(m), -1))
+                mine = by >= 0
+                opened[a:] = np.where(mine, u[by], opener if opener is not None else 0)
+                place[a:] = np.where(mine, np.arange(m) - by, count + np.arange(m)) + 1
+                opens[a:] = is_open
+                opener, count = int(opened[-1]), int(place[-1])
+            unknown = np.arange(n) < a
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(at + np.arange(n)), pa.array(opened, mask=unknown), pa.array(opens, mask=unknown),
+                 pa.array(place, mask=unknown), pa.array(np.zeros(n, bool))],
+                names=[*batch.schema.names, *_MARKS.names])
+            at += n
+        if opener is not None:
+            told = {"_key": pa.array([key], pa.string()), "_us": pa.array([opener])}
+            yield pa.RecordBatch.from_arrays(
+                [*[told[f.name].cast(f.type) if f.name in told else pa.nulls(1, f.type) for f in batch.schema],
+                 pa.array([-1]), pa.array([opener]), pa.array([False]), pa.array([count]), pa.array([True])],
+                names=[*batch.schema.names, *_MARKS.names])
+
+    return mark
+
+
 def open_windows(
     df: DataFrame,
     key: str,
@@ -225,6 +304,7 @@ def open_windows(
     within: tuple[str, int] | None = None,
     tie: str = "alert_id",
     run_times: int = RUN_TIMES,
+    staged: bool = False,
 ) -> DataFrame:
     """Add ``out``: the opening time, in microseconds, of the window a row falls into; null without a time.
 
@@ -232,24 +312,40 @@ def open_windows(
     flag column: the row that opens the window, of several at that instant the one with the least ``tie``. ``within`` names
     another, and a number: whether the row is among the first so many of its window. Rows without a time have neither.
 
-    The input is written once; keys and times alone go through the steps, and the rows meet the result by their number.
+    The input is written once, unless ``staged`` says that reading it twice computes nothing twice, and so are the
+    marked rows: who reads the result several times need not write it.
     """
     width = int(width_s * 1_000_000)
-    held = stage(df.withColumn("_row", F.monotonically_increasing_id()), "windows")
-    narrow = held.filter(F.col(ts).isNotNull()).select(
-        "_row", F.coalesce(F.col(key), F.lit("")).alias("_key"), C.micros(F.col(ts)).alias("_us"), F.col(tie).alias("_tie"))
-    times = narrow.groupBy("_key", "_us").agg(F.min_by("_row", F.struct("_tie", "_row")).alias("_first"))
-    marks = narrow.join(opening_times(times, width, run_times), ["_key", "_us"])
-    flags = [F.col("_opened").alias(out)]
-    if opener is not None:
-        flags.append(((F.col("_us") == F.col("_opened")) & (F.col("_row") == F.col("_first"))).alias(opener))
-    found = held.join(marks.select("_row", *flags), "_row", "left")
+    held = df if staged else stage(df, "windows")
+    timed = held.filter(F.col(ts).isNotNull()).withColumns({"_key": F.coalesce(F.col(key), F.lit("")), "_us": C.micros(F.col(ts))})
+    dealt = timed.repartitionByRange("_key", "_us", tie).sortWithinPartitions("_key", "_us", tie)
+    # the rows that say what is open at the end of a task hold nothing else
+    shape = T.StructType([T.StructField(f.name, f.dataType) for f in dealt.schema.fields] + _MARKS.fields)
+    marked = stage(dealt.mapInArrow(_mark(width), shape), "marked")
+    done = marked.filter("NOT _tail AND _opened IS NOT NULL")
+    left = marked.filter("NOT _tail AND _opened IS NULL")
+    ends = marked.filter("_tail").select("_key", "_opened", F.col("_rank").alias("_count"))
+    times = left.select("_key", "_us", "_id").unionAll(ends.select("_key", "_opened", F.lit(-1).cast("bigint")))
+    times = times.groupBy("_key", "_us").agg(F.min("_id").alias("_first"))
+    opens = (F.col("_us") == F.col("_opened")) & (F.col("_id") == F.col("_first"))
+    marks = left.select("_id", "_key", "_us").join(opening_times(times, width, run_times), ["_key", "_us"]).select(
+        "_id", "_key", "_opened", opens.alias("_opens"))
     if within is not None:
-        name, n = within
-        rank = F.row_number().over(Window.partitionBy("_key", "_opened").orderBy("_us", "_tie", "_row"))
         # each task keeps the first n of a window before rows meet
-        firsts = marks.withColumn("_rank", rank).filter(F.col("_rank") <= n).select("_row", F.lit(True).alias(name))
-        found = found.join(firsts, "_row", "left").withColumn(name, F.coalesce(name, F.lit(False)))
+        n = within[1]
+        rank = F.row_number().over(Window.partitionBy("_key", "_opened").orderBy("_id"))
+        firsts = marks.withColumn("_place", rank).filter(F.col("_place") <= n).join(ends, ["_key", "_opened"], "left").select(
+            "_id", (F.col("_place") + F.coalesce("_count", F.lit(0))).cast("bigint").alias("_rank"))
+        marks = marks.join(firsts, "_id", "left")
+    else:
+        marks = marks.withColumn("_rank", F.lit(None).cast("bigint"))
+    late = left.drop("_opened", "_opens", "_rank").join(marks.drop("_key"), "_id").select(*marked.columns)
+    flags = [F.col("_opened").alias(out)]
     if opener is not None:
-        found = found.withColumn(opener, F.coalesce(opener, F.lit(False)))
-    return found.drop("_row")
+        flags.append(F.col("_opens").alias(opener))
+    if within is not None:
+        flags.append(F.coalesce(F.col("_rank") <= within[1], F.lit(False)).alias(within[0]))
+    own = [F.col(f"`{c}`") for c in df.columns]
+    untimed = C.untimed(held, ts).select(*own, F.lit(None).cast("bigint").alias(out), *[
+        F.lit(False).alias(c) for c in ([] if opener is None else [opener]) + ([] if within is None else [within[0]])])
+    return done.unionByName(stage(late, "marked")).select(*own, *flags).unionByName(untimed)
