@@ -16,7 +16,7 @@ import uuid
 from collections import defaultdict
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,8 +35,14 @@ def _write_piece(rows: DataFrame, path: str, kind: str) -> tuple[str, list[str]]
     piece = f"{kind}-{uuid.uuid4().hex}"
     at = f"{path}/data/piece={piece}"
     rows.hint("rebalance", "event_date").write.partitionBy("event_date").parquet(at)
-    held = rows.sparkSession.read.schema("event_date date").parquet(at).distinct().collect()
-    return piece, sorted(NO_DAY if r[0] is None else r[0].isoformat() for r in held)
+    return piece, _days_of(rows.sparkSession, at)
+
+
+def _days_of(spark: SparkSession, at: str) -> list[str]:
+    """The days a piece has a folder of, by one listing; no file is opened."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(at)
+    names = [f.getPath().getName() for f in folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)]
+    return sorted(n.removeprefix("event_date=") for n in names if n.startswith("event_date="))
 
 
 def _note(spark: SparkSession, path: str, **line) -> None:
@@ -72,8 +78,15 @@ def live(spark: SparkSession, path: str) -> tuple[dict[str, list[str]], dict[str
 
 
 def _stored(spark: SparkSession, path: str, schema: T.StructType, pieces: Iterable[tuple[str, str]]) -> DataFrame:
-    """The rows of the given (day, piece) pairs; only their folders are listed."""
-    folders = [f"{path}/data/piece={p}/event_date={d}" for d, p in pieces]
+    """The rows of the given (day, piece) pairs; only their folders are listed. A piece of which all days are wanted is
+    one path, so a store of many days is not as many paths."""
+    wanted: dict[str, list[str]] = defaultdict(list)
+    for d, p in pieces:
+        wanted[p].append(d)
+    folders = []
+    for p, days in wanted.items():
+        at = f"{path}/data/piece={p}"
+        folders += [at] if len(days) > 1 and _days_of(spark, at) == sorted(days) else [f"{at}/event_date={d}" for d in days]
     full = T.StructType([*schema.fields, T.StructField("event_date", T.DateType())])
     if not folders:
         return spark.createDataFrame([], full)
@@ -125,12 +138,17 @@ def _order(cols: list[str]) -> Column:
     return F.struct(F.col("_version"), F.xxhash64(*[F.col(f"`{c}`") for c in cols]))
 
 
+def _best(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The row of the highest version of each key. Each task drops its lower versions before rows meet."""
+    order = Window.partitionBy(*keys).orderBy(F.desc("_version"), F.desc("_tie"))
+    cols = [c for c in rows.columns if c not in (*keys, "_version")]
+    ranked = rows.withColumn("_tie", F.xxhash64(*[F.col(f"`{c}`") for c in cols])).withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") == 1).drop("_rank", "_tie")
+
+
 def _newest(rows: DataFrame) -> DataFrame:
     """Of each id the newest whole row and the newest patch of each group; what readers need of the versions."""
-    keys = ["_id", "event_date", "_set"]
-    cols = [c for c in rows.columns if c not in (*keys, "_version")]
-    best = F.max_by(F.struct("_version", *[F.col(f"`{c}`") for c in cols]), _order(cols)).alias("_r")
-    return rows.groupBy(*keys).agg(best).select("_id", "event_date", "_set", "_r.*")
+    return _best(rows, ["_id", "event_date", "_set"])
 
 
 def fold(rows: DataFrame, patched: Iterable[str] = (), by_day: bool = True) -> DataFrame:
@@ -141,13 +159,17 @@ def fold(rows: DataFrame, patched: Iterable[str] = (), by_day: bool = True) -> D
     """
     keys = ["_id", *(["event_date"] if by_day else [])]
     cols = [c for c in rows.columns if c not in (*keys, "_version", "_set")]
-    order = _order(cols)
-    whole = F.max_by(F.struct(*[F.col(f"`{c}`") for c in cols]), F.when(F.col("_set").isNull(), order)).alias("_whole")
+    whole = _best(rows.filter("_set IS NULL").drop("_set"), keys).select(*keys, *[F.col(f"`{c}`") for c in cols])
     patched = [c for c in patched if c in cols]
-    patches = [F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("_set", c), order)).alias(f"_p_{c}") for c in patched]
-    merged = [F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(f"_whole.`{c}`")).alias(c)
-              if c in patched else F.col(f"_whole.`{c}`").alias(c) for c in cols]
-    return rows.groupBy(*keys).agg(whole, *patches).filter("_whole IS NOT NULL").select(*keys, *merged)
+    if not patched:
+        return whole
+    order = _order(patched)
+    patches = rows.filter("_set IS NOT NULL").groupBy(*[F.col(k).alias(f"_of_{k}") for k in keys]).agg(*[
+        F.max_by(F.struct(F.col(c).alias("v")), F.when(F.array_contains("_set", c), order)).alias(f"_p_{c}") for c in patched])
+    merged = [F.when(F.col(f"_p_{c}").isNotNull(), F.col(f"_p_{c}.v")).otherwise(F.col(f"`{c}`")).alias(c)
+              if c in patched else F.col(f"`{c}`") for c in cols]
+    same = C.all_of([F.col(k).eqNullSafe(F.col(f"_of_{k}")) if k == "event_date" else F.col(k) == F.col(f"_of_{k}") for k in keys])
+    return whole.join(patches, same, "left").select(*keys, *merged)
 
 
 def read(spark: SparkSession, path: str, patched: Iterable[str] = (), days: Iterable[str] | None = None, by_day: bool = True) -> DataFrame:

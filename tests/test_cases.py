@@ -522,6 +522,17 @@ def test_a_micro_batch_run_again_replaces_itself_and_an_id_of_two_comes_out_once
     assert {(r._id, r.v) for r in store.read(spark, path).collect()} == want | {("d", 3)}
 
 
+def test_versions_are_dropped_before_rows_meet_and_days_found_without_opening_files(spark):
+    path = work_dir(spark, "many")
+    rows = spark.createDataFrame([(f"{i}", at(86_400 * i), i) for i in range(5)] + [("none", None, 9)], "id string, ts timestamp, v int")
+    for version in (2, 3, 1):
+        store.write(rows.withColumn("v", F.col("v") + 100 * version), path, "id", F.lit(version))
+    plan = store.read(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and plan.index("Exchange") < plan.rindex("WindowGroupLimit")
+    assert "InMemoryFileIndex(3 paths)" in plan  # a path a piece, not a day
+    assert {(r._id, r.v) for r in store.read(spark, path).collect()} == {("none", 309)} | {(f"{i}", 300 + i) for i in range(5)}
+
+
 def test_a_write_without_its_line_in_the_log_is_not_read(spark):
     path = work_dir(spark, "half")
     one = spark.createDataFrame([("a", at(0), 1)], "id string, ts timestamp, v int")
