@@ -2,10 +2,10 @@
 
 The built-in exact ``percentile`` keeps every distinct value in one task. Here each rank is closed in on. The columns are
 written once; one pass takes their counts, ends and a sketch of bounded size, which proposes a narrow interval for each
-rank; one pass counts the rows below, in and above the intervals and sketches those inside; and so on, until at most
+rank; one pass counts the rows below, in and above the intervals; and so on, with a sketch of those inside, until at most
 ``LIST_ROWS`` rows are left, or a single value, which one last pass puts in order. A pass serves all columns and ranks
-and cuts the rows in question about seven-hundredfold: three passes up to some ten million rows, one more for each
-such factor beyond.
+and cuts the rows in question about seven-hundredfold: three passes up to some seven million rows, two more, one of
+them for a sketch, for each such factor beyond.
 """
 
 from __future__ import annotations
@@ -120,6 +120,7 @@ def _narrow(data: DataFrame, searches: dict, accuracy: int) -> dict:
             cuts[key] = (s.lo, s.lo)  # no progress: split off the least value alone
     # neighbouring ranks mostly share their interval
     parts = {(s.name, s.lo, s.hi, *cuts[key]): s for key, s in searches.items()}
+    # counts alone stay inside generated code; a sketch is made next time, of intervals that still need one
     counts = []
     for i, ((_, _, _, a, b), s) in enumerate(parts.items()):
         x = s.inside()
@@ -128,7 +129,6 @@ def _narrow(data: DataFrame, searches: dict, accuracy: int) -> dict:
             F.count_if(x <= b).alias(f"upto{i}"),
             F.max(F.when(x < a, x)).alias(f"prev{i}"),
             F.min(F.when(x > b, x)).alias(f"next{i}"),
-            F.kll_sketch_agg_double(F.when(x.between(a, b), x), accuracy).alias(f"sketch{i}"),
         ]
     row = data.agg(*counts).first()
     at = {where: i for i, where in enumerate(parts)}
@@ -142,5 +142,5 @@ def _narrow(data: DataFrame, searches: dict, accuracy: int) -> dict:
         elif s.k >= upto:
             left[key] = _Search(s.name, s.k - upto, s.m - upto, row[f"next{i}"], s.hi)
         else:
-            left[key] = _Search(s.name, s.k - under, upto - under, a, b, bytes(row[f"sketch{i}"]))
+            left[key] = _Search(s.name, s.k - under, upto - under, a, b)
     return left

@@ -854,6 +854,15 @@ def test_statistics_document_reads_its_input_once(spark):
     assert got["figure", "anomaly_rate_pct"] == 50.0 and got["figure", "avg_anomaly_score"] == 0.25 and got["dst_port", "1"] == 2.0
 
 
+def test_quantiles_sketch_only_what_is_still_too_long(spark, monkeypatch):
+    """Narrow intervals about ranks are counted, not sketched again."""
+    made, sketch = [], F.kll_sketch_agg_double
+    monkeypatch.setattr(F, "kll_sketch_agg_double", lambda *a: made.append(a) or sketch(*a))
+    df = spark.range(30_001).select(F.col("id").cast("double").alias("x"))
+    assert exact_quantiles(df, {"x": F.col("x")}, [0.25, 0.5])["x"] == [7500.0, 15000.0]
+    assert len(made) == 1
+
+
 def test_quantiles_take_few_passes(spark):
     """The input is computed once, and its columns are read three times whatever the number of columns and ranks."""
     seen = spark.sparkContext.accumulator(0)
