@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Summarizer
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,19 +63,24 @@ def _expression_score(df: DataFrame, model: Model, vec: str, out: str) -> DataFr
     return step.select(*[x for x in df.columns if x != vec], F.explode(F.array(error)).alias(out))
 
 
+def _matrix(vectors: pa.ListArray, dim: int) -> np.ndarray:
+    """The vectors of an Arrow batch as rows of one matrix, without an object per row."""
+    if vectors.null_count or any(n != dim for n in pc.unique(pc.list_value_length(vectors)).to_pylist()):
+        raise ValueError(f"vectors of {dim} values expected")
+    return vectors.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, dim)
+
+
 def _batch_score(model: Model):
     mean = np.array(model.mean)
     weights = np.array(model.components, dtype="float64").reshape(-1, model.dim)
 
-    @F.pandas_udf("double")
-    def mse(vectors: pd.Series) -> pd.Series:
-        full = vectors.notna()
-        out = pd.Series(np.nan, index=vectors.index, dtype="float64")
-        if full.any():
-            x = np.stack(vectors[full].to_numpy()).astype("float64") - mean
-            rest = x - (x @ weights.T) @ weights
-            out[full] = (rest * rest).mean(axis=1)
-        return out.where(full, None)
+    @F.arrow_udf("double")
+    def mse(vectors: pa.Array) -> pa.Array:
+        x = _matrix(vectors.drop_null(), len(mean)) - mean
+        rest = x - (x @ weights.T) @ weights
+        out = np.full(len(vectors), np.nan)
+        out[vectors.is_valid().to_numpy(zero_copy_only=False)] = (rest * rest).mean(axis=1)
+        return pa.array(out, from_pandas=True)
 
     return mse
 
@@ -122,19 +126,72 @@ def fit_threshold(df: DataFrame, raw: str = "raw_score", pct: float = PERCENTILE
     return exact_quantiles(df, {"e": F.col(raw)}, [pct])["e"][0]
 
 
+def _merged(parts: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """(count, mean, sum of products of deviations from the mean) of all rows from those of their parts."""
+    total = None
+    for n, mean, products in parts:
+        if total is None:
+            total = n, mean, products
+        else:
+            if len(mean) != len(total[1]):
+                raise ValueError("vectors of one length expected")
+            off, both = mean - total[1], total[0] + n
+            products = total[2] + products + np.outer(off, off) * (total[0] * n / both)
+            total = both, total[1] + off * (n / both), products
+    return total
+
+
+_MOMENTS = "n long, mean array<double>, products array<double>"
+
+
+def _moments_batch(moments) -> pa.RecordBatch:
+    n, mean, products = moments
+    return pa.RecordBatch.from_pydict({"n": [n], "mean": [mean], "products": [products.ravel()]})
+
+
+def _moments_of(rows) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    for r in rows:
+        mean = np.array(r["mean"])
+        yield r["n"], mean, np.array(r["products"]).reshape(len(mean), len(mean))
+
+
+def _moments(rows: DataFrame) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Count, mean and products of deviations of the one column of vectors, in one pass: a row a task, which a few tasks
+    put together; only theirs come to the driver."""
+
+    def count(batches):
+        def parts():
+            for b in batches:
+                if b.num_rows:
+                    x = _matrix(b.column(0), pc.list_value_length(b.column(0))[0].as_py())
+                    mean = x.mean(axis=0)
+                    x -= mean
+                    yield len(x), mean, x.T @ x
+
+        if (found := _merged(parts())) is not None:
+            yield _moments_batch(found)
+
+    def add(batches):
+        if (found := _merged(_moments_of(r for b in batches for r in b.to_pylist()))) is not None:
+            yield _moments_batch(found)
+
+    return _merged(_moments_of(rows.mapInArrow(count, _MOMENTS).repartition(8).mapInArrow(add, _MOMENTS).collect()))
+
+
 def fit_reconstruction(
     df: DataFrame, vec: str = "features", k: int = 4, pct: float = PERCENTILE, name: str = "flows", scaler: Scaler | None = None
 ) -> Model:
     """Principal directions of the vectors, and the error percentile on the same rows as threshold.
 
-    Only the mean, the k directions and the threshold come to the driver.
+    Mean and covariance take one pass. Only they, the k directions and the threshold come to the driver.
     """
     nested = df.schema[vec].dataType.elementType.typeName() == "array"
     flat = F.flatten(F.col(vec)) if nested else F.col(vec)
-    rows = df.select(array_to_vector(F.transform(flat, lambda v: v.cast("double"))).alias("v"))
-    mean = rows.select(Summarizer.mean(F.col("v"))).first()[0].toArray()
-    pca = PCA(k=k, inputCol="v", outputCol="p").fit(rows)
-    model = Model(name, mean.tolist(), pca.pc.toArray().T.tolist(), None, scaler)
+    n, mean, products = _moments(df.select(flat.alias("v"))) or (0, np.empty(0), None)
+    if n < 2 or k > len(mean):
+        raise ValueError(f"{n} vectors of {len(mean)} values are too few for {k} directions")
+    directions = np.linalg.svd(products / (n - 1))[0][:, :k]
+    model = Model(name, mean.tolist(), directions.T.tolist(), None, scaler)
     return replace(model, threshold=fit_threshold(score(df, model, vec), pct=pct))
 
 

@@ -37,16 +37,18 @@ def host_sequences(
     parts: int | None = None,
     out: str = "seq",
     untimed: bool = False,
+    written: bool = False,
 ) -> DataFrame:
     """Add ``out``: the vectors of the host's last ``n`` events up to this one, null before the n-th.
 
     Order within a host is by time, then id. Events without a time have no place in it and take no part
     (``columns.untimed`` gives them; with ``untimed`` they come out too, with a null sequence), here as in the stream.
 
-    The input is computed once and written, as finding the ranges reads it before the rows are dealt; the parts are
-    written once, so the ends of parts and the other rows come from one evaluation of the order.
+    The input is computed once and written, as finding the ranges reads it before the rows are dealt (unless the caller
+    says that ``df`` reads ``written`` rows); the parts are written once, so the ends of parts and the other rows come
+    from one evaluation of the order.
     """
-    held = stage(df, "events")
+    held = df if written else stage(df, "events")
     rows = held.filter(F.col(ts).isNotNull()).withColumn("_host", F.coalesce(F.col(host), F.lit("unknown")))
     order = Window.partitionBy("_host", "_part").orderBy(ts, uid)
     rank = F.row_number().over(order)
@@ -62,7 +64,9 @@ def host_sequences(
         .filter(F.col("_rank") < n)
         .withColumn(out, F.when(F.size(out) == n, F.col(out)))
     )
-    found = rows.filter(F.col("_rank") >= n).unionByName(heads).drop("_host", "_part", "_rank", "_end")
+    # never null, so who only asks whether a sequence is there does not read it
+    inner = rows.filter(F.col("_rank") >= n).withColumn(out, F.coalesce(out, F.array().cast(rows.schema[out].dataType)))
+    found = inner.unionByName(heads).drop("_host", "_part", "_rank", "_end")
     return with_untimed(found, held, ts, out) if untimed else found
 
 

@@ -48,12 +48,23 @@ def train_flows(flows: DataFrame, min_rows: int = MIN_FLOWS, k: int = 4, label_c
     return scoring.fit_reconstruction(train, k=k, name="flows", scaler=scaler)
 
 
-def train_sequences(events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32, label_col: str | None = None) -> Model:
-    """Fit on sequences built from normal events only."""
+def event_vectors(events: DataFrame, *keep: str, legacy: bool = False) -> DataFrame:
+    """Place, time and features of each event and the columns of ``keep``, written once: what training and scoring of the
+    same events read."""
+    return stage(event_features(events, legacy).select("event_uid", "computer", "ts", *keep, "features"), "event_vectors")
+
+
+def train_sequences(
+    events: DataFrame, min_rows: int = MIN_EVENTS, k: int = 32, label_col: str | None = None, written: bool = False
+) -> Model:
+    """Fit on sequences built from normal events only.
+
+    ``written``: the events come from ``event_vectors``, with what tells normal ones among the columns kept.
+    """
     normal, _ = split_normal_attack(events, label_col)
-    _pass(normal, min_rows, "events")
-    narrow = event_features(normal).select("event_uid", "computer", "ts", "features")
-    sequences = complete(host_sequences(narrow)).select("ts", "seq")
+    vectors = normal.select("event_uid", "computer", "ts", "features") if written else event_vectors(normal)
+    _pass(vectors, min_rows, "events")
+    sequences = complete(host_sequences(vectors, written=True)).select("ts", "seq")
     m = sequences.count()
     if m < MIN_SEQUENCES:
         warnings.warn(f"only {m} sequences, training on what there is", stacklevel=2)
@@ -77,9 +88,11 @@ def score_sequences(events: DataFrame, model: Model, seq: str = "seq") -> DataFr
     return annotate(score(events, model, seq), model.threshold).drop(seq)
 
 
-def score_events(events: DataFrame, model: Model, legacy: bool = False) -> DataFrame:
-    """Every event; one without a time has no place in a sequence and stays unscored."""
-    return score_sequences(host_sequences(event_features(events, legacy), untimed=True), model).drop("features")
+def score_events(events: DataFrame, model: Model, legacy: bool = False, written: bool = False) -> DataFrame:
+    """Every event; one without a time has no place in a sequence and stays unscored. ``written``: the events come from
+    ``event_vectors``."""
+    vectors = events if written else event_features(events, legacy)
+    return score_sequences(host_sequences(vectors, untimed=True, written=written), model).drop("features")
 
 
 def packets_to_flows(packets: DataFrame, idle_s: float = 60, bidirectional: bool = False) -> DataFrame:

@@ -406,10 +406,10 @@ def _(spark, sf):
 
 @query("m6_sequence_model_fit")
 def _(spark, sf):
-    e = V.win_events(spark, sf).drop("ts0")
-    model = jobs.train_sequences(e)
-    rows = e.withColumn("severity", F.lit("low"))
-    return terms(jobs.score_events(rows, model), "severity")
+    e = V.win_events(spark, sf).withColumn("severity", F.lit("low"))
+    vectors = jobs.event_vectors(e, "event_id", "severity")
+    model = jobs.train_sequences(vectors, written=True)
+    return terms(jobs.score_events(vectors, model, written=True), "severity")
 
 
 @query("m11_model_save_load", f"WITH {SCORED_FLOWS} SELECT flow_id, round(raw_score, 4) AS score, raw_score > 0.05::double AS is_anomaly FROM raw")

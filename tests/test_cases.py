@@ -16,7 +16,7 @@ from flowwarden.operators import detectors, features, flows, lookup_joins, searc
 from flowwarden.operators import anchors
 from flowwarden.operators.anchors import open_windows, run_steps
 from flowwarden.operators.quantiles import exact_quantiles
-from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, load_model, save_model, score
+from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, fit_reconstruction, load_model, save_model, score
 from flowwarden.operators.sequences import complete, dealt, host_sequences
 from flowwarden.plans import jobs
 from flowwarden.session import stage, staging, work_dir
@@ -377,6 +377,61 @@ def test_missing_sequence_has_no_score(spark):
     assert got == [1.0, None]
 
 
+def counted(spark, df):
+    """The rows of ``df``, and how many of them were computed so far."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    return df.mapInArrow(count, df.schema), seen
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_fit_takes_one_pass_and_agrees_with_numpy(spark, parts):
+    """Far from zero as well, where products of the values themselves would lose the digits of the directions."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(900, 12)) * np.arange(1, 13) + 1e6
+    rows, seen = counted(spark, spark.createDataFrame([(r.tolist(),) for r in x], "features array<double>").repartition(parts))
+    m = fit_reconstruction(rows, k=5)
+    # one for mean and directions, one for the threshold
+    assert seen.value == 2 * 900
+    w = np.linalg.svd(x - x.mean(axis=0), full_matrices=False)[2][:5]
+    assert np.allclose(m.mean, x.mean(axis=0), rtol=1e-12)
+    got = np.array(m.components)
+    assert np.allclose(got.T @ got, w.T @ w, atol=1e-9)
+    c = x - x.mean(axis=0)
+    assert np.isclose(m.threshold, np.quantile(((c - c @ w.T @ w) ** 2).mean(axis=1), 0.95), rtol=1e-9)
+
+
+def test_fit_refuses_unlike_vectors(spark):
+    for rows in ([[1.0, 2.0], [3.0]], [[1.0, 2.0], None], [[1.0, 2.0]], []):
+        with pytest.raises(Exception, match="expected|too few"):
+            fit_reconstruction(spark.createDataFrame([(r,) for r in rows], "features array<double>"), k=1)
+    df = spark.createDataFrame([([[1.0], [2.0]],), ([[1.0]],), ([[1.0]] * 3,)], "seq array<array<double>>").coalesce(1)
+    with pytest.raises(Exception, match="2 values expected"):
+        score(df, Model("m", [0.0] * 2, []), "seq").collect()
+
+
+def test_training_and_scoring_share_written_vectors(spark):
+    """The events are computed once for both, and results are those of the two jobs by themselves."""
+    rnd = random.Random(8)
+    rows = [(f"u{i:05}", at(60 * i) if i % 90 else None, f"h{i % 3}", rnd.choice([4624, 4625, 4688, 4999]), rnd.choice([None, 2, 3, 10]),
+             rnd.choice(["D:\\temp\\a.exe", ""]), rnd.choice(["", "8.8.8.8"])) for i in range(1200)]
+    df = spark.createDataFrame(rows, "event_uid string, ts timestamp, computer string, event_id int, logon_type int, process_name string, src_ip string")
+    df = df.withColumns({"user": F.lit("admin"), "severity": F.lit("low")})
+    own = jobs.train_sequences(df)
+    want = {r.event_uid: (r.anomaly_score, r.severity) for r in jobs.score_events(df, own).collect()}
+    once, seen = counted(spark, df)
+    vectors = jobs.event_vectors(once, "event_id", "severity")
+    model = jobs.train_sequences(vectors, written=True)
+    got = {r.event_uid: (r.anomaly_score, r.severity) for r in jobs.score_events(vectors, model, written=True).collect()}
+    assert seen.value == 1200
+    assert got == want and len(got) == 1200 and np.isclose(model.threshold, own.threshold, rtol=1e-9)
+
+
 def test_error_profile(spark):
     p = error_profile(spark.createDataFrame([(float(i),) for i in range(101)], "raw_score double"))
     assert p["mean"] == 50 and p["pct"] == 95 and p["max"] == 100 and abs(p["std"] - np.std(np.arange(101))) < 1e-9
