@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -85,6 +85,12 @@ def _batch_score(model: Model):
     return mse
 
 
+def sequence_score(model: Model) -> Callable[[Column], Column]:
+    """The score of a column of sequences, null where there is none."""
+    mse = _batch_score(model)
+    return lambda seq: mse(F.flatten(seq))
+
+
 def score(df: DataFrame, model: Model, vec: str = "features", out: str = "raw_score", engine: str | None = None) -> DataFrame:
     """Mean squared reconstruction error of a vector, or of a sequence of vectors taken as one.
 

@@ -9,7 +9,9 @@ the whole host: the n-1 events before the first ones of a part are always ends t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowwarden.functions import columns as C
@@ -38,6 +40,7 @@ def host_sequences(
     out: str = "seq",
     untimed: bool = False,
     written: bool = False,
+    of: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Add ``out``: the vectors of the host's last ``n`` events up to this one, null before the n-th.
 
@@ -46,17 +49,19 @@ def host_sequences(
 
     The input is computed once and written, as finding the ranges reads it before the rows are dealt (unless the caller
     says that ``df`` reads ``written`` rows); the parts are written once, so the ends of parts and the other rows come
-    from one evaluation of the order.
+    from one evaluation of the order. With ``of``, ``out`` is what that function makes of the sequence (null for none, if
+    it keeps nulls), and sequences, ``n`` times as long as the vectors, are not written at all.
     """
     held = df if written else stage(df, "events")
     rows = held.filter(F.col(ts).isNotNull()).withColumn("_host", F.coalesce(F.col(host), F.lit("unknown")))
     order = Window.partitionBy("_host", "_part").orderBy(ts, uid)
     rank = F.row_number().over(order)
-    rows = stage(dealt(rows, "_host", ts, uid, parts=parts).withColumns({
+    rows = dealt(rows, "_host", ts, uid, parts=parts).withColumns({
         "_rank": rank,
         "_end": (rank < n) | F.lead(ts, n - 1).over(order).isNull(),
         out: F.when(rank >= n, F.collect_list(vec).over(order.rowsBetween(1 - n, 0))),
-    }), "sequences")
+    })
+    rows = stage(rows.withColumn(out, of(F.col(out))) if of else rows, "sequences")
     whole = Window.partitionBy("_host").orderBy("_part", "_rank").rowsBetween(1 - n, 0)
     heads = (
         rows.filter("_end")
@@ -64,8 +69,12 @@ def host_sequences(
         .filter(F.col("_rank") < n)
         .withColumn(out, F.when(F.size(out) == n, F.col(out)))
     )
-    # never null, so who only asks whether a sequence is there does not read it
-    inner = rows.filter(F.col("_rank") >= n).withColumn(out, F.coalesce(out, F.array().cast(rows.schema[out].dataType)))
+    inner = rows.filter(F.col("_rank") >= n)
+    if of:
+        heads = heads.withColumn(out, of(F.col(out)))
+    else:
+        # never null, so who only asks whether a sequence is there does not read it
+        inner = inner.withColumn(out, F.coalesce(out, F.array().cast(rows.schema[out].dataType)))
     found = inner.unionByName(heads).drop("_host", "_part", "_rank", "_end")
     return with_untimed(found, held, ts, out) if untimed else found
 

@@ -92,7 +92,8 @@ def score_events(events: DataFrame, model: Model, legacy: bool = False, written:
     """Every event; one without a time has no place in a sequence and stays unscored. ``written``: the events come from
     ``event_vectors``."""
     vectors = events if written else event_features(events, legacy)
-    return score_sequences(host_sequences(vectors, untimed=True, written=written), model).drop("features")
+    scored = host_sequences(vectors, out="raw_score", untimed=True, written=written, of=scoring.sequence_score(model))
+    return annotate(scored, model.threshold).drop("features")
 
 
 def packets_to_flows(packets: DataFrame, idle_s: float = 60, bidirectional: bool = False) -> DataFrame:

@@ -16,7 +16,7 @@ from flowwarden.operators import detectors, features, flows, lookup_joins, searc
 from flowwarden.operators import anchors
 from flowwarden.operators.anchors import open_windows, run_steps
 from flowwarden.operators.quantiles import exact_quantiles
-from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, fit_reconstruction, load_model, save_model, score
+from flowwarden.operators.scoring import DEFAULT_THRESHOLD, Model, error_profile, fit_reconstruction, load_model, save_model, score, sequence_score
 from flowwarden.operators.sequences import complete, dealt, host_sequences
 from flowwarden.plans import jobs
 from flowwarden.session import stage, staging, work_dir
@@ -432,6 +432,24 @@ def test_training_and_scoring_share_written_vectors(spark):
     assert got == want and len(got) == 1200 and np.isclose(model.threshold, own.threshold, rtol=1e-9)
 
 
+@pytest.mark.parametrize("parts", [1, 9])
+def test_scores_are_made_before_rows_are_written(spark, parts):
+    """The same scores as from sequences, for inner rows and for ends of parts, and no sequence in what is written."""
+    rnd = random.Random(parts)
+    df = events(spark, [(rnd.choice(["hot", "x"]), rnd.randint(0, 200), rnd.random()) for _ in range(400)] + [("few", 1, 1)] * 3)
+    df = df.withColumn("ts", F.when(F.col("event_uid") != "u00007", F.col("ts")))
+    model = Model("m", [0.1] * 80, np.linalg.qr(np.random.default_rng(2).normal(size=(80, 3)))[0].T.tolist())
+    from_sequences = score(host_sequences(df, parts=parts, untimed=True), model, "seq").select("event_uid", "raw_score").collect()
+    direct = host_sequences(df, parts=parts, untimed=True, out="raw_score", of=sequence_score(model))
+    got, want = ({r.event_uid: r.raw_score for r in rows} for rows in (direct.collect(), from_sequences))
+    assert got.keys() == want.keys() and len(got) == 403
+    assert all((got[u] is None) == (want[u] is None) and np.isclose(got[u] or 0, want[u] or 0, rtol=1e-9) for u in got)
+    assert sum(v is None for v in got.values()) == 3 + 1 + 2 * 9
+    from_events = jobs.score_events(df.withColumns({"event_id": F.lit(4624), "logon_type": F.lit(2)} | {c: F.lit("a") for c in (
+        "user", "process_name", "src_ip", "severity")}), model)
+    assert all(spark.read.parquet(f).columns.count("seq") == 0 for f in [*direct.inputFiles(), *from_events.inputFiles()])
+
+
 def test_error_profile(spark):
     p = error_profile(spark.createDataFrame([(float(i),) for i in range(101)], "raw_score double"))
     assert p["mean"] == 50 and p["pct"] == 95 and p["max"] == 100 and abs(p["std"] - np.std(np.arange(101))) < 1e-9
