@@ -4,6 +4,7 @@ import datetime as dt
 import random
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from flowwarden import schemas
@@ -13,6 +14,7 @@ from flowwarden.operators.sequences import complete, host_sequences
 from flowwarden.session import work_dir
 from flowwarden.sources import store, tables
 from flowwarden.streaming import jobs
+from flowwarden.streaming.pieces import KEY, SUMS, FlowPieces
 from flowwarden.streaming.state import AlertChain, dispositions_stream, host_sequences_stream
 
 EPOCH = dt.datetime(2024, 1, 1)
@@ -208,6 +210,68 @@ def test_a_hot_session_is_added_up_before_it_is_shuffled(spark):
     assert want.filter("src_ip = '8.8.8.8' AND bytes_sent = 7 AND bytes_recv = 9").count() == 1
 
 
+@pytest.mark.parametrize("bidirectional", [False, True])
+def test_flows_are_kept_by_block_of_time_and_joined_over_its_ends(spark, bidirectional):
+    """Blocks of 21 s: short flows, some over an end, one over many, over micro-batches and a restart; sizes and addresses missing."""
+    rnd = random.Random(4)
+    ends = [("10.0.0.1", "8.8.8.8", 50000, 443), ("8.8.8.8", "10.0.0.1", 443, 50000), ("10.0.0.2", None, 1, 2)]
+    rows = [(at(rnd.uniform(0, 4000)), *rnd.choice(ends), 6, rnd.choice([2, 16]), rnd.choice([None, 100, 200])) for _ in range(1500)]
+    rows += [(at(3 * i + 0.5), "10.0.0.3", "8.8.8.8", 7, 8, 6, 2, 10) for i in range(600)]
+    # the last instant and the first of a block, pauses of just the idle time and of a microsecond more
+    rows += [(at(s), "10.0.0.4", "8.8.8.8", 7, 8, 6, 2, None) for s in (20.999999, 21, 41, 48, 55.000001, 63, 83.999999, 91, 98.000001, 1000)]
+    rows.sort(key=lambda r: r[0])
+    src, out, state = (work_dir(spark, n) for n in ("in", "out", "state"))
+
+    def go():
+        packets = flows.normalise_packets(read_stream(spark, src, schemas.PACKETS))
+        stream = flows.build_flows_stream(packets, 7, bidirectional=bidirectional, block_cells=3)
+        q = jobs.start(stream, state, lambda b, e: b.write.mode("overwrite").parquet(f"{out}/epoch={e}"), every=None)
+        q.awaitTermination()
+        return q
+
+    parts = [rows[i : i + 600] for i in range(0, len(rows), 600)]
+    for some in (parts[0], parts[1], None, parts[2], parts[3], [(at(200_000), "flush", "flush", 1, 1, 6, 2, 1)], None):
+        if some is None:
+            q = go()
+        else:
+            spark.createDataFrame(rnd.sample(some, len(some)), schemas.PACKETS).coalesce(1).write.mode("append").parquet(src)
+    # a store's key, whose sessions are compared with each other, is one block's
+    restore = [x for x in q._jsq.explainInternal(True).splitlines() if "SessionWindowStateStoreRestore" in x]
+    assert restore and all("_block" in x for x in restore)
+    cols = ["flow_id", *flows.FLOW_KEY, "bytes_sent", "bytes_recv", "packets_sent", "packets_total", "duration_ms", F.array_join("tcp_flags", ",")]
+    got = spark.read.parquet(f"{out}/epoch=*").filter("src_ip <> 'flush'").select(*cols)
+    want = flows.build_flows(flows.normalise_packets(spark.createDataFrame(rows, schemas.PACKETS)), 7, bidirectional).select(*cols)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
+    assert got.filter("src_ip = '10.0.0.3' AND packets_total = 600").count() == 1
+    assert got.filter("bytes_sent IS NULL").count() > 0
+
+
+def test_at_most_one_row_a_5_tuple_waits_for_the_next_block():
+    held, second = Held(), 1_000_000
+    p = FlowPieces(60 * second, 600 * second)
+    p.init(held)
+
+    class Now:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    def piece(a, b, src="a"):
+        return (src, None, 1, 2, "TCP", a * second, b * second, 5, 0, 1, 0, 2, 2 * a * second, True)
+
+    def given(pieces, ms):
+        return [r for pdf in p.handleInputRows((0,), iter([pd.DataFrame(pieces, columns=KEY + SUMS)]), Now(ms)) for r in pdf.itertuples(index=False, name=None)]
+
+    # within a block: out at once, and no state
+    assert given([piece(100, 200), piece(270, 500)], 560_000) == [piece(100, 200), piece(270, 500)] and held.values == {}
+    # up to the end of a block: waits; the next one's first piece is part of it
+    assert given([piece(550, 595)], 700_000) == [] and held.timers == [1_260_000]
+    assert given([piece(610, 700), piece(1190, 1199), piece(1190, 1199, "b")], 1_259_000) == [
+        (*piece(550, 700)[:7], 10, 0, 2, 0, 2, 2 * 550 * second, True)]
+    assert sorted(held.timers) == [1_260_000, 1_860_000, 1_860_000]
+    assert list(p.handleExpiredTimer((0,), Now(1_859_999), Now(1_260_000))) == []
+    assert [len(pdf) for pdf in p.handleExpiredTimer((0,), Now(1_860_000), Now(1_860_000))] == [2] and held.values == {}
+
+
 def test_host_sequences(spark):
     rnd = random.Random(9)
     rows = sorted((rnd.randint(0, 900), f"u{i:04}", rnd.choice(["h1", "h1", "h2"])) for i in range(120))
