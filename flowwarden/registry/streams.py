@@ -45,7 +45,9 @@ def feed(spark: SparkSession, df: DataFrame, name: str, flush: dict | None = Non
     ends = rows.agg(F.min(C.micros(F.col("ts"))).alias("a"), F.max(C.micros(F.col("ts"))).alias("b")).first()
     part = F.least(F.floor((C.micros(F.col("ts")) - ends["a"]) * PARTS / (ends["b"] - ends["a"] + 1)), F.lit(PARTS - 1))
     for i in range(PARTS):
-        rows.filter(F.coalesce(part, F.lit(0)) == i).repartition(FILES).write.mode("append").parquet(path)
+        # dealt by their hash: in turns, Spark would sort them first
+        some = rows.filter(F.coalesce(part, F.lit(0)) == i).repartition(FILES, F.xxhash64(*rows.columns))
+        some.write.mode("append").parquet(path)
     if flush is not None:
         values = {"ts": F.timestamp_micros(F.lit(ends["b"] + 2 * 86_400_000_000)), **{k: F.lit(v) for k, v in flush.items()}}
         # rows count as late by the watermark of the micro-batch before: two of closing rows come in between
